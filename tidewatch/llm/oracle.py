@@ -19,6 +19,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
@@ -78,4 +87,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM g GROUP BY conv_id
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op3_substring_dedup": OP3, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op9_chat_format": OP9}
+ORACLE = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_substring_dedup": OP3, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op9_chat_format": OP9}
