@@ -30,9 +30,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends here.
+
+    At most two files a core are written, whatever the number of partitions.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{label}"
-    df.write.parquet(path)
+    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

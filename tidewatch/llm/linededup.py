@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WS, order_key, partitions_for, text_or_empty, tie_key
+from .common import WS, materialise, order_key, partitions_for, text_or_empty, tie_key
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -60,8 +60,9 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
 
     ``dropped`` maps a word's number to its 64 bits; lines of other words are kept.
     """
-    lines = long_lines(docs, min_chars)
-    doomed = lines.join(frequent_keys(lines, min_docs), ["h1", "h2"]).where(F.col("k") != F.col("last"))
+    # Hashes only, dealt by document: range sampling, the stream and the join all read this one shuffle.
+    lines = long_lines(docs, min_chars).repartition(partitions_for(docs.sparkSession), "k")
+    doomed = lines.join(materialise(frequent_keys(lines, min_docs), "line_keys"), ["h1", "h2"]).where(F.col("k") != F.col("last"))
     words = doomed.groupBy("k", "t", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))).alias("bits"))
     per_doc = words.groupBy("k", "t").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
     return per_doc
