@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, quality, substrings, suffixes, warc
+from . import bpe, chat, decontaminate, linededup, quality, substrings, suffixes, tokenfile, warc
 from .common import read_table, text_or_empty
 
 
@@ -63,6 +63,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = tokenfile.write_shards(read_table(spark, sf_dir, "documents"))
+    return tokenfile.read_shards(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -72,4 +77,5 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_token_planes": op10_token_planes,
 }
