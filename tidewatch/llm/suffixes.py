@@ -36,7 +36,7 @@ from .common import materialise, order_key, partitions_for, tie_key
 MIN_BYTES = 400
 SEED_BYTES = 32
 MAX_SHARD = 50_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SUFFIXES = "h long, k long, t long, p int, left binary, right binary"
 REPEATS = "h long, k long, t long, start int, end int"
 RESULT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
@@ -49,7 +49,7 @@ def _seeds(min_bytes: int, seed_bytes: int):
         for batch in batches:
             ks, ts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for piece in B.slices(batch.column(3), SEGMENT):
-                for lo in range(0, max(1, len(piece.buf) - min_bytes + 1), SEGMENT):  # a longer text: windows that start in each MB
+                for lo in range(0, max(1, len(piece.buf) - min_bytes + 1), SEGMENT):  # a longer text: windows that start in each segment
                     buf = piece.buf[lo : lo + SEGMENT + min_bytes - 1]
                     n = len(buf) - min_bytes + 1
                     if n <= 0:
