@@ -110,14 +110,16 @@ def common_prefix(u: bytes, v: bytes) -> int:
     return lo
 
 
-def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object], least: int) -> list[set[tuple[int, int]]]:
-    """For each suffix the repeats (bytes to the left, bytes to the right) that it shares with another one.
+def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object], least: int, union: bool = False) -> list[list[tuple[int, int]]]:
+    """For each suffix the maximal repeats (bytes to the left, bytes to the right) that it shares with another one.
+
+    ``union``: only how far any of them goes to either side; all hold the anchor, so that is the stretch they cover.
 
     Walks the common-prefix intervals of the sorted suffixes ``rights`` by a stack. ``same``: suffixes
     with an equal entry are the same place in the same document and are no repeats of each other.
     """
     n = len(rights)
-    found: list[set[tuple[int, int]]] = [set() for _ in range(n)]
+    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     order = sorted(range(n), key=rights.__getitem__)
     by_left = sorted(range(n), key=lefts.__getitem__)
     rank = [0] * n
@@ -127,8 +129,14 @@ def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object]
     def meet(x: int, y: int, depth: int) -> None:
         i, j = by_left[x], by_left[y]
         if same[i] != same[j] and (left := common_prefix(lefts[i], lefts[j])) + depth >= least:
-            found[i].add((left, depth))
-            found[j].add((left, depth))
+            add(found[i], left, depth)
+            add(found[j], left, depth)
+
+    def add(own: list[tuple[int, int]], left: int, right: int) -> None:
+        if union:
+            own[:] = [(max(left, own[0][0]), max(right, own[0][1]))] if own else [(left, right)]
+        elif not any(a >= left and b >= right for a, b in own):
+            own[:] = [(a, b) for a, b in own if a > left or b > right] + [(left, right)]
 
     def merge(one: list[int], two: list[int], depth: int) -> list[int]:
         """Two children of an interval; both are sorted by left context."""
@@ -160,7 +168,7 @@ def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object]
     return found
 
 
-def _shards(least: int):
+def _shards(least: int, union: bool):
     """Stream suffixes sorted by anchor; one anchor's are held at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +177,20 @@ def _shards(least: int):
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
-                    out += _repeats_of(held, least)
+                    out += _repeats_of(held, least, union)
                     held = []
                 held.append(row)
             if out:
                 yield _repeat_batch(out)
-        if held and (out := _repeats_of(held, least)):
+        if held and (out := _repeats_of(held, least, union)):
             yield _repeat_batch(out)
 
     return each
 
 
-def _repeats_of(rows: list[tuple], least: int) -> list[tuple]:
+def _repeats_of(rows: list[tuple], least: int, union: bool) -> list[tuple]:
     places = [(k, t, p) for _, k, t, p, _, _ in rows]
-    found = interval_repeats([r[4] for r in rows], [r[5] for r in rows], places, least)
+    found = interval_repeats([r[4] for r in rows], [r[5] for r in rows], places, least, union)
     return [(h, k, t, p - left, p + right) for (h, k, t, p, _, _), spans in zip(rows, found, strict=True) for left, right in spans]
 
 
@@ -241,15 +249,18 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def repeats(base: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, max_shard: int = MAX_SHARD) -> DataFrame:
-    """Every occurrence of every maximal repeat: its anchor's hash h (repeats that share text share it), document and bytes [start, end)."""
+def repeats(base: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, max_shard: int = MAX_SHARD, union: bool = False) -> DataFrame:
+    """Every occurrence of every maximal repeat: its anchor's hash h (repeats that share text share it), document and bytes [start, end).
+
+    ``union``: one row for each occurrence of an anchor, with the stretch that its repeats cover together.
+    """
     spark = base.sparkSession
     first = materialise(A.settle(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.ROWS), later=False), "suffix_seeds")
     opened = first.where(F.col("kind") == A.OPEN).select("h", "k", "t", "a", "b", "p")
     crowded = opened.groupBy("h").count().where(F.col("count") > max_shard).select("h", F.lit(True).alias("hot"))
     opened = opened.join(crowded, "h", "left")
     suffixes = base.join(A.by_document(opened.where("hot is null"), "h", "a", "b", "p"), ["k", "t"]).mapInArrow(_suffixes(min_bytes), SUFFIXES)
-    shards = suffixes.repartition(partitions_for(spark), "h").sortWithinPartitions("h").mapInArrow(_shards(min_bytes), REPEATS)
+    shards = suffixes.repartition(partitions_for(spark), "h").sortWithinPartitions("h").mapInArrow(_shards(min_bytes, union), REPEATS)
     strings = base.join(A.by_document(opened.where("hot"), "h", "a", "b"), ["k", "t"]).mapInArrow(_strings(min_bytes), A.ROWS)
     hot = A.settle(strings, later=False)
     whole = first.unionByName(hot).where(F.col("kind") == A.SETTLED)
@@ -259,5 +270,5 @@ def repeats(base: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_
 def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, max_shard: int = MAX_SHARD) -> DataFrame:
     """Per document row: its bytes, the byte runs that occur elsewhere too, and what is left without them."""
     base = _base(docs)
-    found = A.by_document(repeats(base, min_bytes, seed_bytes, max_shard), "start", "end")
+    found = A.by_document(repeats(base, min_bytes, seed_bytes, max_shard, union=True), "start", "end")
     return base.join(found, ["k", "t"], "left").mapInArrow(_apply, RESULT)
