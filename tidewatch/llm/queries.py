@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, quality, substrings, suffixes, tokenfile, warc
+from . import bpe, chat, decontaminate, linededup, probminhash, quality, substrings, suffixes, tokenfile, warc
 from .common import read_table, text_or_empty
 
 
@@ -47,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents")).drop("host_failed")
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -76,6 +80,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_probminhash": op8_probminhash,
     "op9_chat_format": op9_chat_format,
     "op10_token_planes": op10_token_planes,
 }
