@@ -1,7 +1,7 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame per record.
 
 Writing: each task writes archives of at most ``ROLL_BYTES`` into the shared folder
-under names that hold the task attempt; Spark's own commit of the manifest decides which
+under names of its own; Spark's own commit of the manifest decides which
 attempts count, so archives of lost or repeated attempts are never read. Reading: one
 task per archive streams it, takes the dictionary from the skippable frame, decodes frame
 after frame, and checks each record's version, headers, lengths and digests.
@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,15 +141,15 @@ def _write(folder: str, dictionary: bytes, roll_bytes: int):
         fs, base = pafs.FileSystem.from_uri(folder)
         own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=True)
-        task, out, name, records, size, files = TaskContext.get(), None, "", 0, 0, 0
+        out, name, records, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    name = f"pages-{task.partitionId():05d}-{task.taskAttemptId()}-{files:04d}.warc.zst"
+                    name = f"pages-{uuid.uuid4().hex}.warc.zst"
                     out = fs.open_output_stream(f"{base}/{name}")
                     size = out.write(dictionary_frame(dictionary)) or len(dictionary_frame(dictionary))
-                    records, files = 0, files + 1
+                    records = 0
                 frame = packer.compress(record(page_id, url, html.encode(), digest, refers_to))
                 out.write(frame)
                 records, size = records + 1, size + len(frame)
