@@ -140,7 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes:
     merged = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), F.sort_array(words).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies.cast("int").alias("n"))
     first = F.filter("w", lambda x: ~F.array_contains("w", x - 1))
     last = F.filter("w", lambda x: ~F.array_contains("w", x + 1))
-    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    runs = F.zip_with(first, last, lambda a, b: F.named_struct(F.lit("start"), a, F.lit("end"), (b + 1).cast("int")))
     return merged.select("doc_id", "n_words", runs.alias("hits"), "items", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -230,8 +230,8 @@ def _vocabulary() -> str:
 def _write(folder: str, path: str | None, end_id: int, shard_ids: int, block: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        own, task = _encoder(path or _vocabulary()), TaskContext.get()
-        writer, row, files, done = None, None, 0, []
+        own = _encoder(path or _vocabulary())
+        writer, row, done = None, None, []
 
         def finish() -> None:
             writer.close()
@@ -242,8 +242,8 @@ def _write(folder: str, path: str | None, end_id: int, shard_ids: int, block: in
             known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             for piece in B.slices(batch.column(3), ENCODE_BYTES):
                 if writer is None:
-                    name = f"tokens-{task.partitionId():05d}-{task.taskAttemptId()}-{files:04d}.bpl"
-                    writer, row, files = ShardWriter(fs.open_output_stream(f"{base}/{name}"), block), (int(ks[piece.lo]), int(ts[piece.lo]), name), files + 1
+                    name = f"tokens-{uuid.uuid4().hex}.bpl"
+                    writer, row = ShardWriter(fs.open_output_stream(f"{base}/{name}"), block), (int(ks[piece.lo]), int(ts[piece.lo]), name)
                 texts = [piece.buf[a:b].tobytes() for a, b in zip(piece.offsets, piece.offsets[1:], strict=False)]
                 ids, counts = own.encode(texts, end_id)
                 writer.add(ks[piece.lo : piece.hi], known[piece.lo : piece.hi], counts, ids)
