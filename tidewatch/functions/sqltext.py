@@ -63,8 +63,8 @@ def odd_quotes(text: Column) -> Column:
 def pattern_score(text: Column) -> Column:
     """1 for a critical pattern; else .15 for each secondary one up to .9, at least .6 for unbalanced quotes. Null: 0."""
     soft = F.least(F.lit(0.9), hits(text, SECONDARY) * 0.15)
-    score = F.when(any_hit(text, CRITICAL), 1.0).when(odd_quotes(text), F.greatest(soft, F.lit(0.6))).otherwise(soft)
-    return F.coalesce(score, F.lit(0.0))
+    score = F.when(text.isNull(), 0.0).when(any_hit(text, CRITICAL), 1.0).when(odd_quotes(text), F.greatest(soft, F.lit(0.6))).otherwise(soft)
+    return score
 
 
 def attack_type(text: Column) -> Column:

@@ -198,3 +198,7 @@ SELECT round(t, 6) AS threshold, round(coalesce(fp / nullif(n, 0), 0), 6) AS fpr
 ORACLE["q_histogram"] = f"""WITH {_SCORED}, b AS (SELECT min(score_volume) AS lo, max(score_volume) AS hi FROM s)
 SELECT least(29, floor((score_volume - lo) / (hi - lo) * 30))::BIGINT AS bin, is_anomaly::BIGINT AS label, count(*)::BIGINT AS n FROM s, b GROUP BY ALL"""
 ORACLE["q_top_anomalies"] = f"WITH {NET} SELECT row_id, service, round(bytes, 6) AS bytes FROM net ORDER BY bytes DESC, row_id LIMIT 10"
+ORACLE["q_density_noise"] = f"""WITH {NET}, z AS (SELECT row_id, (bytes - avg(bytes) OVER ()) / stddev_pop(bytes) OVER () AS a, (duration - avg(duration) OVER ()) / stddev_pop(duration) OVER () AS b FROM net),
+p AS (SELECT x.row_id AS i, y.row_id AS j FROM z x, z y WHERE (x.a - y.a) ** 2 + (x.b - y.b) ** 2 <= 0.1 * 0.1),
+core AS (SELECT i FROM p GROUP BY i HAVING count(*) >= 5)
+SELECT row_id, (row_id NOT IN (SELECT p.i FROM p JOIN core ON p.j = core.i))::BIGINT AS noise FROM z"""

@@ -12,6 +12,7 @@ from ..functions import sqltext as S
 from ..operators import detectors as D
 from ..operators import ensemble as E
 from ..operators import evaluate as V
+from ..operators import models as M
 from ..operators import profiles as P
 from ..sources import views
 
@@ -299,3 +300,33 @@ def q_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_top_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return V.top_k(views.net(spark, sf), "bytes", 10).select("row_id", "service", *r6("bytes"))
+
+
+@query
+def q_density_noise(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.standardised(views.net(spark, sf), ["bytes", "duration"])
+    return M.density_noise(rows, "row_id", ["bytes", "duration"], 0.1, 5).select(F.col("key").alias("row_id"), F.col("noise").cast("long").alias("noise"))
+
+
+@query
+def q_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return M.isolation_forest(views.net(spark, sf).select("row_id", *BASE), BASE, trees=50).select("row_id", "anomaly_score", "predicted_anomaly")
+
+
+@query
+def q_local_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return M.local_outlier_factor(vectors, vectors, "embedding", "vec_id").select("vec_id", *r6("anomaly_score"))
+
+
+@query
+def q_principal_components(spark: SparkSession, sf: str) -> DataFrame:
+    out, share = M.principal_components(views.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+    return out.select("vec_id", "components", F.lit(share).alias("explained"))
+
+
+@query
+def q_text_forest(spark: SparkSession, sf: str) -> DataFrame:
+    text = views.sqltext(spark, sf)
+    hit = S.any_hit(F.col("query"), S.CRITICAL)
+    return M.score_text(M.text_forest(text.where(~hit), text.where(hit)), text.select("query").distinct())

@@ -69,10 +69,10 @@ def synthetic_traffic(spark: SparkSession, n: int = 1000, anomaly_ratio: float =
     kind = F.when(F.col("is_anomaly") == 1, F.floor(F.rand(seed + 1) * 4)).otherwise(-1)
     df = ids.withColumn("kind", kind)
     start = F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")
-    night = F.when(F.col("kind") == 2, F.make_dt_interval(F.lit(0), (3 - F.hour(F.timestampadd("MINUTE", F.col("id"), start))).cast("int"))).otherwise(F.make_dt_interval())
+    night = F.when(F.col("kind") == 2, F.make_dt_interval(F.lit(0), (3 - F.hour(F.timestamp_add("MINUTE", F.col("id"), start))).cast("int"))).otherwise(F.make_dt_interval())
     df = df.select(
         "id",
-        (F.timestampadd("MINUTE", F.col("id"), start) + night).alias("timestamp"),
+        (F.timestamp_add("MINUTE", F.col("id"), start) + night).alias("timestamp"),
         (_exponential(1000, seed + 2) * F.when(F.col("kind") == 0, 10).otherwise(1)).alias("bytes"),
         ((1 + _exponential(10, seed + 3)) * F.when(F.col("kind") == 3, 20).otherwise(1)).alias("packets"),
         _exponential(30, seed + 4).alias("duration"),
