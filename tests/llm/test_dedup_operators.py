@@ -193,11 +193,11 @@ def test_estimates_follow_probability_jaccard():
     pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     x, y = pool[:300], pool[100:]
     wx, wy = rng.uniform(0.5, 2, 300), rng.uniform(0.5, 2, 300)
-    signed = probminhash.signatures([x, y], [wx, wy], 4096)
+    signed = probminhash.signatures([x, y], [wx, wy], 2048)
     a, b = dict(zip(x.tolist(), wx.tolist(), strict=True)), dict(zip(y.tolist(), wy.tolist(), strict=True))
     every = set(a) | set(b)
     exact = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in every) for i in set(a) & set(b))
-    assert abs((signed[0] == signed[1]).mean() - exact) < 0.03
+    assert abs((signed[0] == signed[1]).mean() - exact) < 0.04
 
 
 # Empty tables
