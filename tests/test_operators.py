@@ -144,3 +144,52 @@ def test_stream_counts_equal_batch(spark, small, tmp_path):
     batch = events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours"), "event_type").count()
     got = spark.table("counts")
     assert got.count() == batch.count() and got.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_detectors_keep_their_contract(spark, small, tmp_path):
+    from tidewatch.operators import contract as C
+
+    net = views.net(spark, small)
+    options = {"dos": {"key": "service", "seconds": 21600, "percentile": 99.0}, "sequence": {}, "profile": {"features": ["bytes", "duration"], "sensitivity": "low"}, "forest": {"features": ["bytes", "packets"], "trees": 10, "best_f1": True}}
+    for kind, own in options.items():
+        fitted = C.DETECTORS[kind](**own).fit(net)
+        scored = fitted.predict(net)
+        assert {"predicted_anomaly", "anomaly_score"} <= set(scored.columns) and scored.count() == net.count()
+        fitted.save(str(tmp_path / kind))
+        again = C.Detector.load(spark, str(tmp_path / kind), **own)
+        pick = lambda d: sorted((r.row_id, round(r.anomaly_score, 9)) for r in d.predict(net).select("row_id", "anomaly_score").collect())
+        assert pick(again) == pick(fitted)
+        m = fitted.evaluate(net).first()
+        assert m.tp + m.fp + m.tn + m.fn == net.count()
+
+
+def test_reduced_features(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=200)
+    rows = [(i, float(x), float(2 * x), float(y)) for i, (x, y) in enumerate(zip(a, rng.normal(size=200), strict=True))]
+    from tidewatch.operators import contract as C
+
+    out, names = C.reduced(frame(spark, rows, "row_id int, a double, b double, c double"), ["a", "b", "c"])
+    assert names == ["pc_0", "pc_1"] and out.count() == 200
+
+
+def test_samples_and_splits(spark):
+    from tidewatch.operators import sampling as Z
+
+    df = frame(spark, [(i, int(i % 10 == 0)) for i in range(2000)], "row_id int, y int")
+    parts = [p.count() for p in Z.split(df, "row_id", [0.7, 0.3])]
+    assert sum(parts) == 2000 and abs(parts[0] - 1400) < 80
+    assert Z.sample(df, "row_id", 33).count() == 33
+    counts = {r.y: r["count"] for r in Z.per_stratum(df, "y", "row_id", {0: 70, 1: 30}).groupBy("y").count().collect()}
+    assert counts == {0: 70, 1: 30}
+
+
+def test_tokens_and_findings(spark):
+    texts = {"SELECT a FROM t WHERE b = 1 OR 1=1": ["boolean"], "x UNION ALL SELECT y": ["union"], "SELECT SLEEP(5)": ["time"], "a; DROP TABLE t": ["destructive"], "SELECT 'or true' FROM t": [], "": []}
+    out = frame(spark, [(t,) for t in texts], "q string").withColumn("tokens", S.tokens_udf("q")).select("q", S.token_findings(F.col("tokens")).alias("f"))
+    assert {r.q: r.f for r in out.collect()} == texts
+
+
+def test_explanations(spark, small):
+    out = S.detect_and_explain(views.sqltext(spark, small)).where(F.col("query").contains("DROP TABLE")).first()
+    assert out.attack_type == "destructive" and out.recommendation == S.ADVICE["destructive"] and "DROP" in out.explanation.upper()

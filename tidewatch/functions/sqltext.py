@@ -184,3 +184,67 @@ def detect(df: DataFrame, base: float = 0.5) -> DataFrame:
             "obfuscation_details": F.when(changed, F.struct(techniques.alias("techniques"), F.col("query").alias("original"), F.col("decoded").alias("deobfuscated"))),
         }
     )
+
+
+#: What to do about an attack, by kind.
+ADVICE = {
+    "boolean_based": "Bind parameters; never build conditions out of user input.",
+    "union_based": "Validate input strictly and query through a mapper with fixed columns.",
+    "time_based": "Give queries a time limit.",
+    "error_based": "Keep database errors from users.",
+    "destructive": "Take rights to change the schema from the application's account.",
+    "command_exec": "Turn shell procedures off in production.",
+    "stacked_queries": "Bind parameters and let the driver run one statement at a time.",
+    "out_of_band": "Block outgoing connections and file writes of the database server.",
+}
+DEFAULT_ADVICE = "Bind parameters and validate input."
+
+
+def recommendation(kind: Column) -> Column:
+    return F.when(kind.isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])[kind], F.lit(DEFAULT_ADVICE)))
+
+
+def sources(rows_pattern: Column, context: Column) -> Column:
+    """Which parts of the detector spoke, joined by commas."""
+    return F.array_join(F.array_compact(F.array(F.when(rows_pattern > 0, "pattern"), F.when(context > 0, "context"))), ",")
+
+
+def detect_and_explain(df: DataFrame, base: float = 0.5) -> DataFrame:
+    """``detect`` with detected_by, explanation and recommendation for flagged rows."""
+    rows = detect(df, base)
+    hit = F.col("predicted_anomaly") == 1
+    matched = F.slice(F.array_compact(F.array(*[F.when(F.lower("decoded").rlike(p.lower()), F.lit(p)) for p in CRITICAL + SECONDARY])), 1, 3)
+    text = F.concat_ws("\n", F.concat(F.lit("Kind: "), "attack_type"), F.concat(F.lit("Patterns: "), F.array_join(matched, "; ")), F.when(F.col("decoded") != F.col("query"), F.concat(F.lit("Decoded: "), "decoded")))
+    return rows.withColumns({"detected_by": F.when(hit, sources(F.col("pattern_score"), F.col("context_score"))), "explanation": F.when(hit, text), "recommendation": recommendation(F.col("attack_type"))})
+
+
+def synthetic_injections(df: DataFrame, text: str = "query") -> DataFrame:
+    """Attacks made of plain queries with a condition: an always-true condition, and a union over as many columns as are selected."""
+    plain = df.where(F.col(text).rlike(r"(?i)^SELECT .* WHERE \w+ = "))
+    true = F.regexp_replace(F.col(text), r"(?i)WHERE (\w+) = (\S+)", "WHERE $1 = $2 OR 1=1")
+    commas = F.length(F.regexp_extract(F.col(text), r"(?i)^SELECT (.*?) FROM", 1)) - F.length(F.replace(F.regexp_extract(F.col(text), r"(?i)^SELECT (.*?) FROM", 1), F.lit(","), F.lit("")))
+    union = F.concat(F.col(text), F.lit(" UNION SELECT "), F.array_join(F.array_repeat(F.lit("NULL"), commas + 1), ", "))
+    return plain.withColumn("made", F.explode(F.array(F.struct(F.lit("boolean").alias("kind"), true.alias("attack")), F.struct(F.lit("union").alias("kind"), union.alias("attack")))))
+
+
+_TOKEN = re.compile(
+    r"(?P<space>\s+)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<comment>--[^\n]*|#[^\n]*|/\*.*?\*/)|(?P<number>\d+(?:\.\d+)?)|(?P<word>[A-Za-z_@][\w@$]*)|(?P<operator><=|>=|<>|!=|\|\||&&|<<|>>|[-=<>+*/%^&|~!])|(?P<other>.)",
+    re.S,
+)
+TOKENS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(TOKENS)
+def tokens_udf(texts: pd.Series) -> pd.Series:
+    """Tokens without white space, words in upper case."""
+    return texts.map(lambda t: None if t is None else [{"type": m.lastgroup, "value": m[0].upper() if m.lastgroup == "word" else m[0]} for m in _TOKEN.finditer(t) if m.lastgroup != "space"])
+
+
+def token_findings(tokens: Column) -> Column:
+    """Kinds of suspicious neighbours among the tokens: expressions over the array."""
+    at = lambda i, k: F.get(tokens, i + k)
+    places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 3, F.lit(0)))
+    word = lambda i, k, *w: (at(i, k)["type"] == "word") & at(i, k)["value"].isin(*w)
+    true = lambda i: word(i, 0, "OR") & ((at(i, 1)["type"].isin("number", "string") & (at(i, 2)["value"] == "=")) | word(i, 1, "TRUE"))
+    rules = {"boolean": true, "union": lambda i: word(i, 0, "UNION") & (word(i, 1, "SELECT") | (word(i, 1, "ALL") & word(i, 2, "SELECT"))), "time": lambda i: word(i, 0, "SLEEP", "WAITFOR", "BENCHMARK"), "destructive": lambda i: word(i, 0, "DROP"), "command_exec": lambda i: word(i, 0, "XP_CMDSHELL", "CMDSHELL")}
+    return F.array_compact(F.array(*[F.when(F.exists(places, f), name) for name, f in rules.items()]))

@@ -28,7 +28,11 @@ def dos_features(df: DataFrame, key: str, seconds: int) -> DataFrame:
 def dos_detect(df: DataFrame, key: str = "src_ip", seconds: int = 30, percentile: float = 99.9) -> DataFrame:
     """Score: excess of each feature over its threshold, in thresholds, by the largest sum. A threshold of 0 is off."""
     rows = dos_features(df, key, seconds)
-    limits = P.quantile_thresholds(rows, DOS_FEATURES, percentile)
+    return dos_score(rows, P.quantile_thresholds(rows, DOS_FEATURES, percentile))
+
+
+def dos_score(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Scores of a frame with the features against one row of limits."""
     limits = limits.select(*[F.col(f).alias(f"__limit_{f}") for f in DOS_FEATURES])
     part = lambda f: F.when(F.col(f"__limit_{f}") > 0, F.greatest(F.lit(0.0), F.col(f) / F.col(f"__limit_{f}") - 1)).otherwise(0.0)
     parts = [part(f) for f in DOS_FEATURES]
@@ -62,7 +66,11 @@ def sequence_scores(df: DataFrame, model: DataFrame, state: Column, partition: l
 
 
 def sequence_detect(df: DataFrame, state: Column, partition: list[str], order: list[str], min_freq: int = 5, length: int = 10) -> DataFrame:
-    raw = sequence_scores(df, transitions(df, state, partition, order, min_freq), state, partition, order, length)
+    return sequence_labels(sequence_scores(df, transitions(df, state, partition, order, min_freq), state, partition, order, length))
+
+
+def sequence_labels(raw: DataFrame) -> DataFrame:
+    """anomaly_score (by the largest raw score) and a label from the 95th percentile on."""
     stats = raw.agg(F.max("raw_score").alias("__top"), F.percentile("raw_score", F.lit(0.95)).alias("__p"))
     scale = F.when(F.col("__top") > 0, F.col("__top")).otherwise(1.0)
     out = raw.crossJoin(F.broadcast(stats)).withColumn("anomaly_score", F.col("raw_score") / scale)

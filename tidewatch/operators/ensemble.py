@@ -83,7 +83,13 @@ def adaptive(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return scaled.withColumn("fused_score", F.array_max(scores)).withColumn("fused_anomaly", F.when(same, F.get(labels, F.lit(0))).otherwise(best)).drop(*[f"__own_{c}" for c in own])
 
 
-for _name, _f in (("majority_vote", majority_vote), ("weighted_average", weighted_average), ("rank_fusion", rank_fusion), ("stacking", stacking), ("adaptive", adaptive)):
+def cascade(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Flagged by the first detector (meant to miss little) and by the last (meant to be sure)."""
+    names = list(weights)
+    return df.withColumn("fused_score", F.least(F.col(f"score_{names[0]}"), F.col(f"score_{names[-1]}"))).withColumn("fused_anomaly", (F.col(f"anomaly_{names[0]}") * F.col(f"anomaly_{names[-1]}")).cast("int"))
+
+
+for _name, _f in (("cascade", cascade), ("majority_vote", majority_vote), ("weighted_average", weighted_average), ("rank_fusion", rank_fusion), ("stacking", stacking), ("adaptive", adaptive)):
     register_strategy(_name, _f)
 
 

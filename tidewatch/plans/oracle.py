@@ -202,3 +202,29 @@ ORACLE["q_density_noise"] = f"""WITH {NET}, z AS (SELECT row_id, (bytes - avg(by
 p AS (SELECT x.row_id AS i, y.row_id AS j FROM z x, z y WHERE (x.a - y.a) ** 2 + (x.b - y.b) ** 2 <= 0.1 * 0.1),
 core AS (SELECT i FROM p GROUP BY i HAVING count(*) >= 5)
 SELECT row_id, (row_id NOT IN (SELECT p.i FROM p JOIN core ON p.j = core.i))::BIGINT AS noise FROM z"""
+
+_H = "('0x' || substr(md5(row_id::VARCHAR || ':42'), 1, 8))::BIGINT %% 1000" % ()
+ORACLE["q_stratified_sample"] = f"""WITH {NET}, r AS (SELECT row_id, is_anomaly, row_number() OVER (PARTITION BY is_anomaly ORDER BY md5(row_id::VARCHAR || ':42'), row_id) AS n FROM net)
+SELECT row_id, is_anomaly::BIGINT AS is_anomaly FROM r WHERE n <= CASE is_anomaly WHEN 0 THEN 700 ELSE 300 END"""
+ORACLE["q_train_test_split"] = f"WITH {NET} SELECT CASE WHEN {_H} < 600 THEN 0 WHEN {_H} < 800 THEN 1 ELSE 2 END::BIGINT AS part, is_anomaly::BIGINT AS is_anomaly, count(*)::BIGINT AS n FROM net GROUP BY ALL"
+ORACLE["q_informative_weights"] = f"""WITH {_SCORED}, l AS ({' UNION ALL '.join(f"SELECT 'score_{d}' AS detector, abs(corr(score_{d}, is_anomaly)) AS a, var_pop(score_{d}) / (avg(score_{d}) + 1e-10) AS b FROM s" for d in _W)})
+SELECT detector, round(0.7 / 3::DOUBLE + 0.3 * a / sum(a) OVER (), 6) AS by_label, round(0.7 / 3::DOUBLE + 0.3 * b / sum(b) OVER (), 6) AS by_dispersion FROM l"""
+ORACLE["q_f1_weights"] = f"""WITH {_SCORED}, l AS ({' UNION ALL '.join(f"SELECT 'anomaly_{d}' AS detector, anomaly_{d} AS q, is_anomaly AS y FROM s" for d in _W)}),
+c AS (SELECT detector, {_CELLS % {'p': 'q = 1'}} FROM l GROUP BY detector), f AS (SELECT detector, coalesce({_R['f1']}, 0) AS f1 FROM c)
+SELECT detector, round(f1, 6) AS f1, round(greatest(f1, 0.01) / sum(greatest(f1, 0.01)) OVER (), 6) AS weight FROM f"""
+ORACLE["q_gap_threshold"] = f"""WITH {_SCORED}, d AS (SELECT DISTINCT score_volume AS v FROM s), g AS (SELECT v, lead(v) OVER (ORDER BY v) AS above, lead(v) OVER (ORDER BY v) - v AS gap FROM d),
+h AS (SELECT * FROM g WHERE above IS NOT NULL), l AS (SELECT quantile_cont(gap, 0.95) AS g FROM h WHERE gap >= (SELECT quantile_cont(gap, 0.75) FROM h)),
+n AS (SELECT min(above) AS nat FROM h, l WHERE gap > g)
+SELECT round(CASE WHEN nat > 2500 THEN nat ELSE least((SELECT quantile_cont(score_volume, 0.95) FROM s), 2500) END, 6) AS threshold FROM n"""
+ORACLE["q_weight_grid"] = f"""WITH {_SCORED}, w AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.5, 0.5), (2, 0.2, 10.0)) x(weights, a, b)), t AS (SELECT unnest([50.0::DOUBLE, 500, 1000]) AS threshold),
+c AS (SELECT weights, threshold, {_CELLS % {'p': 'score_volume * a + score_duration * b > threshold'}} FROM (SELECT score_volume, score_duration, is_anomaly AS y FROM s), w, t GROUP BY ALL)
+SELECT weights::BIGINT AS weights, threshold, tp, fp, tn, fn, {_rate('f1')} FROM c"""
+ORACLE["q_cascade"] = f"WITH {_SCORED} SELECT row_id, round(least(score_volume, score_port), 6) AS fused_score, (anomaly_volume * anomaly_port)::BIGINT AS fused_anomaly FROM s"
+ORACLE["q_top_states"] = f"""WITH {_transitions('orders', chr(39).join(['o_orderstatus || ', '_', ' || o_orderpriority']), 'o_custkey', 'o_orderdate, o_orderkey', 2)},
+e AS (SELECT state FROM m WHERE p > 0.01 UNION ALL SELECT next_state FROM m WHERE p > 0.01) SELECT state, count(*)::BIGINT AS degree FROM e GROUP BY state ORDER BY degree DESC, state LIMIT 15"""
+ORACLE["q_sqli_synthetic"] = f"""WITH {TEXT}, p AS (SELECT row_id, query, regexp_extract(query, '(?i)^SELECT (.*?) FROM', 1) AS cols FROM txt WHERE regexp_matches(query, '(?i)^SELECT .* WHERE \\w+ = '))
+SELECT row_id, 'boolean' AS kind, regexp_replace(query, '(?i)WHERE (\\w+) = (\\S+)', 'WHERE \\1 = \\2 OR 1=1', 'g') AS attack FROM p
+UNION ALL SELECT row_id, 'union', query || ' UNION SELECT NULL' || repeat(', NULL', (length(cols) - length(replace(cols, ',', '')))::INT) FROM p"""
+ORACLE["q_sqli_advice"] = f"""WITH {TEXT}, k AS (SELECT CASE {_KINDS} ELSE 'generic_injection' END AS attack_type FROM txt)
+SELECT attack_type, CASE attack_type {' '.join(f"WHEN '{k}' THEN {_q(v)}" for k, v in S.ADVICE.items())} ELSE {_q(S.DEFAULT_ADVICE)} END AS recommendation, count(*)::BIGINT AS n FROM k GROUP BY ALL"""
+ORACLE["q_customer_distribution"] = _profile("customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "r_name || '|' || n_name", ["c_acctbal"], 1, "")

@@ -14,6 +14,8 @@ from ..operators import ensemble as E
 from ..operators import evaluate as V
 from ..operators import models as M
 from ..operators import profiles as P
+from ..operators import sampling as Z
+from ..operators import tuning as U
 from ..sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,3 +332,82 @@ def q_text_forest(spark: SparkSession, sf: str) -> DataFrame:
     text = views.sqltext(spark, sf)
     hit = S.any_hit(F.col("query"), S.CRITICAL)
     return M.score_text(M.text_forest(text.where(~hit), text.where(hit)), text.select("query").distinct())
+
+
+@query
+def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return Z.per_stratum(views.net(spark, sf), "is_anomaly", "row_id", {0: 700, 1: 300}).select("row_id", F.col("is_anomaly").cast("long").alias("is_anomaly"))
+
+
+@query
+def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    parts = Z.split(views.net(spark, sf), "row_id", [0.6, 0.2, 0.2])
+    counts = [p.groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).cast("long").alias("part"), F.col("is_anomaly").cast("long").alias("is_anomaly"), "n") for i, p in enumerate(parts)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def q_informative_weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = scored(spark, sf), [f"score_{d}" for d in WEIGHTS]
+    a = U.informative_weights(rows, names, "is_anomaly").withColumnRenamed("weight", "by_label")
+    b = U.informative_weights(rows, names).withColumnRenamed("weight", "by_dispersion")
+    return a.join(b, "detector").select("detector", *r6("by_label", "by_dispersion"))
+
+
+@query
+def q_f1_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return U.f1_weights(scored(spark, sf), [f"anomaly_{d}" for d in WEIGHTS]).select("detector", *r6("f1", "weight"))
+
+
+@query
+def q_gap_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return U.gap_threshold(scored(spark, sf), "score_volume", 2500.0).select(*r6("threshold"))
+
+
+@query
+def q_weight_grid(spark: SparkSession, sf: str) -> DataFrame:
+    grid = U.weight_grid(scored(spark, sf), ["score_volume", "score_duration"], [(1.0, 0.0), (0.5, 0.5), (0.2, 10.0)], [50, 500, 1000])
+    return grid.select(F.col("weights").cast("long").alias("weights"), "threshold", "tp", "fp", "tn", "fn", *r6("f1"))
+
+
+@query
+def q_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return fused(E.cascade(scored(spark, sf), WEIGHTS))
+
+
+@query
+def q_top_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The states of most edges in the transition graph of orders, edges of a hundredth and more."""
+    edges = D.transitions(views.table(spark, sf, "orders"), F.concat_ws("_", "o_orderstatus", "o_orderpriority"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).where("p > 0.01")
+    ends = edges.select(F.explode(F.array("state", "next_state")).alias("state"))
+    return ends.groupBy("state").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "state").limit(15)
+
+
+@query
+def q_sqli_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    return S.synthetic_injections(views.sqltext(spark, sf)).select("row_id", "made.kind", "made.attack")
+
+
+@query
+def q_sqli_advice(spark: SparkSession, sf: str) -> DataFrame:
+    kind = S.attack_type(F.col("query"))
+    return views.sqltext(spark, sf).groupBy(kind.alias("attack_type"), S.recommendation(kind).alias("recommendation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_sqli_explain(spark: SparkSession, sf: str) -> DataFrame:
+    return S.detect_and_explain(views.sqltext(spark, sf)).select("row_id", "predicted_anomaly", "detected_by", "explanation", "recommendation", "obfuscation_details")
+
+
+@query
+def q_sqli_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.sqltext(spark, sf).select("row_id", S.tokens_udf("query").alias("tokens"))
+    return rows.select("row_id", F.size("tokens").alias("n_tokens"), S.token_findings(F.col("tokens")).alias("findings"))
+
+
+@query
+def q_customer_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Balance profile of customers by region and nation: dimension tables are broadcast while they are small."""
+    nation = views.table(spark, sf, "nation").join(views.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = views.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return P.profile(rows, "contextual", ["r_name", "n_name"], ["c_acctbal"]).select(*profile_columns())
