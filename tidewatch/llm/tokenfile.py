@@ -10,8 +10,8 @@ Documents are range-partitioned by id, each task encodes and writes its range as
 at most ``SHARD_IDS`` ids, and Spark's commit of the manifest decides which attempts' files
 count. The ids before a shard are a running sum over the manifest, a row per shard.
 
-Texts are cut at ASCII white space, which vocabularies that drop white space never join;
-a worker sends each different piece to the tokenizers library once while its bounded table
+Texts are cut at ASCII white space, which vocabularies that drop white space never join,
+and before a full stop or comma that ends a word; a worker sends each different piece to the tokenizers library once while its bounded table
 lasts, and documents are put together from the pieces' ids.
 
 Defined results: a null or empty text has the end id only; a null doc_id comes before all
@@ -22,10 +22,12 @@ an empty table gives no shards and no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ SHARD_IDS = 1 << 26
 END_ID = 1
 LEVEL = 3
 #: Different pieces of text that a worker remembers the ids of; beyond that it starts anew.
-PIECES = 400_000
+PIECES = 1_000_000
 ENCODE_BYTES = 4 << 20
 _BLOCK = struct.Struct("<QII32I")
 _FOOT = struct.Struct("<QQQQ8s")
@@ -53,16 +55,25 @@ MANIFEST = "k long, t long, shard string, n_docs long, n_ids long, bytes long"
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """Bit planes of a block, lowest first; empty where no id has the bit."""
-    bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [np.packbits(p, bitorder="little").tobytes() if p.any() else b"" for p in np.ascontiguousarray(bits.T)]
+    own = np.ascontiguousarray(ids, "<u4")
+    used = (int(own.max(initial=0)).bit_length() + 7) // 8  # bytes that any id needs
+    planes = []
+    for k in range(used):
+        byte = np.ascontiguousarray(own.view(np.uint8)[k::4])
+        bits = (byte & np.uint8(1 << i) for i in range(8))
+        planes += [np.packbits(b, bitorder="little").tobytes() if b.any() else b"" for b in bits]
+    return planes + [b""] * (32 - len(planes))
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    bits = np.zeros((32, n), np.uint8)
-    for i, p in enumerate(planes):
-        if p:
-            bits[i] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").ravel()
+    out = np.zeros((n, 4), np.uint8)
+    for k in range(4):
+        byte = np.zeros(n, np.uint8)
+        for i, p in enumerate(planes[8 * k : 8 * k + 8]):
+            if p:
+                byte |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") << np.uint8(i)
+        out[:, k] = byte
+    return out.view("<u4").ravel()
 
 
 class ShardWriter:
@@ -93,7 +104,7 @@ class ShardWriter:
 
     def _block(self, ids: np.ndarray) -> None:
         packed = [self.packer.compress(p) if p else b"" for p in to_planes(ids)]
-        self.index.append(_BLOCK.pack(self.at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *map(len, packed)))
+        self.index.append(_BLOCK.pack(self.at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), *map(len, packed)))
         self._put(b"".join(packed))
 
     def close(self) -> None:
@@ -139,7 +150,7 @@ class ShardReader:
             planes.append(self.unpacker.decompress(data[lo : lo + length]) if length else b"")
             lo += length
         ids = from_planes(planes, n)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
             raise ValueError(f"block {i}: the checksum differs")
         return ids
 
@@ -157,8 +168,19 @@ class ShardReader:
             held, start = whole[n:], start + n
 
 
+#: A full stop or comma that ends a word before white space: the splitter of word vocabularies parts it from the letter in any case.
+_STOP = re.compile(rb"([a-z0-9])([.,])(?=[ \t\n\v\f\r])")
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """Pieces whose ids in order are the text's. Capitals A-Z are lowered here already, unless an added token might then be spelt."""
+    if b"<|" in text:
+        return text.split()
+    return _STOP.sub(rb"\1 \2", text.lower()).split()
+
+
 class PieceEncoder:
-    """Ids of texts by their pieces between ASCII white space, for vocabularies that drop white space."""
+    """Ids of texts by their pieces, for lower-case vocabularies that drop white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,6 +189,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -175,9 +200,26 @@ class PieceEncoder:
         self.begins, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        e = self.tokenizer.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, np.uint32)
-        counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces)) if len(ids) else np.zeros(len(pieces), np.int64)
+        texts = [p.decode() for p in pieces]
+        # Letters alone are one word, so their ids can be told apart in one long text; if that doesn't add up, each piece is encoded as a text.
+        plain = np.array([t.isalpha() for t in texts], bool)
+        counts, parts = np.zeros(len(texts), np.int64), []
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        letters = [t for t, p in zip(texts, plain.tolist(), strict=True) if p]
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids])
+            if len(ends) == len(letters):
+                counts[plain] = np.diff(ends, prepend=-1)
+                parts.append(ids)
+            else:
+                order, letters = np.arange(len(texts)), []
+        if rest := texts if not letters else [t for t, p in zip(texts, plain.tolist(), strict=True) if not p]:
+            e = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            counts[order[len(letters) :]] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(rest))
+            parts.append(np.array(e.ids, np.uint32))
+        ids = np.concatenate(parts)
+        pieces, counts = [pieces[i] for i in order.tolist()], counts[order]
         n = len(self.place)
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -189,19 +231,26 @@ class PieceEncoder:
         self.n_ids += len(ids)
         self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and how many each text has."""
-        split = [t.split() for t in texts]
+        split = [pieces_of(t) for t in texts]
         n_pieces = np.array([len(x) for x in split], np.int64)
         every = [p for x in split for p in x]
-        distinct = set(every)
-        new = [p for p in distinct if p not in self.place]
-        if len(self.place) + len(new) > PIECES and self.place:
-            self._clear()
-            new = list(distinct)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        at = self._places(every)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [every[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            if len(self.place) + len(new) > PIECES and self.place:
+                self._clear()
+                self._learn(list(dict.fromkeys(every)))
+                at = self._places(every)
+            else:
+                self._learn(new)
+                at[missing] = self._places(unknown)
         n = self.counts[at]
         before = np.zeros(len(every) + 1, np.int64)
         np.cumsum(n, out=before[1:])
