@@ -193,3 +193,29 @@ def test_tokens_and_findings(spark):
 def test_explanations(spark, small):
     out = S.detect_and_explain(views.sqltext(spark, small)).where(F.col("query").contains("DROP TABLE")).first()
     assert out.attack_type == "destructive" and out.recommendation == S.ADVICE["destructive"] and "DROP" in out.explanation.upper()
+
+
+def test_base64_and_own_patterns(spark):
+    import base64
+
+    packed = base64.b64encode(b"1 UNION SELECT a").decode()
+    out = frame(spark, [(f"x = {packed}", "elevator operation")], "q string, w string").select(S.decoded(F.col("q")).alias("q"), S.decoded(F.col("w")).alias("w"), S.pattern_score(F.col("w"), [r"operat\w+"]).alias("s")).first()
+    assert tuple(out) == ("x = 1 UNION SELECT a", "elevator operation", 1.0)
+
+
+def test_feature_expressions(spark):
+    df = frame(spark, [(10, 4, 0.5, None, 0.2, 1.0), (0, -1, None, None, None, None)], "src_bytes int, dst_bytes int, serror_rate double, rerror_rate double, same_srv_rate double, diff_srv_rate double")
+    out = df.withColumns(X.byte_ratios() | X.error_rates(df.columns)).orderBy(F.desc("src_bytes")).collect()
+    assert [(r.bytes_ratio, r.total_bytes, r.total_error_rate, r.service_diversity) for r in out] == [(2.0, 14, 0.5, 0.6), (None, -1, 0.0, None)]
+    assert X.categorise(df)[0] == df.columns
+    assert X.aligned(df, ["dst_bytes", "absent"]).first().asDict() == {"dst_bytes": 4, "absent": 0.0}
+
+
+def test_stream_pace_of_addresses(spark, tmp_path):
+    rows = [("a", 1.0), ("a", 1.2), ("a", 1.9), ("b", 1.0), ("a", 9.0), ("b", 9.0)]
+    df = frame(spark, rows, "ip string, t double").select("ip", F.timestamp_millis((F.col("t") * 1000).cast("long")).alias("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ip string, ts timestamp").parquet(str(tmp_path / "in"))
+    run = traffic.address_pace(stream).writeStream.format("memory").queryName("pace").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert {(r.ip, r.events, r.counter) for r in spark.table("pace").collect()} == {("a", 4, 1.5), ("b", 2, 0.0)}

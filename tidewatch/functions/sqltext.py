@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import urllib.parse
 
@@ -60,10 +61,10 @@ def odd_quotes(text: Column) -> Column:
     return (count("'") % 2 != 0) | (count('"') % 2 != 0)
 
 
-def pattern_score(text: Column) -> Column:
+def pattern_score(text: Column, more_critical: list[str] = (), more_secondary: list[str] = ()) -> Column:
     """1 for a critical pattern; else .15 for each secondary one up to .9, at least .6 for unbalanced quotes. Null: 0."""
-    soft = F.least(F.lit(0.9), hits(text, SECONDARY) * 0.15)
-    score = F.when(text.isNull(), 0.0).when(any_hit(text, CRITICAL), 1.0).when(odd_quotes(text), F.greatest(soft, F.lit(0.6))).otherwise(soft)
+    soft = F.least(F.lit(0.9), hits(text, [*SECONDARY, *more_secondary]) * 0.15)
+    score = F.when(text.isNull(), 0.0).when(any_hit(text, [*CRITICAL, *more_critical]), 1.0).when(odd_quotes(text), F.greatest(soft, F.lit(0.6))).otherwise(soft)
     return score
 
 
@@ -127,18 +128,29 @@ def context_score(df: DataFrame) -> DataFrame:
 _HEX = re.compile(r"0x((?:[0-9a-fA-F]{2})+)")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CHAR = re.compile(r"(?i)\bCHAR\((\d{1,3})\)")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?(?![A-Za-z0-9+/=])")
 _JOIN = re.compile(r"'([^']*)'\s*(?:\+|\|\|)\s*'([^']*)'")
 _NOTES = re.compile(r"--[^\n]*|#[^\n]*|/\*.*?\*/", re.S)
 
 
+def _from_base64(match: re.Match) -> str:
+    """Only what turns into printable text with a space or sign in it: plain words may look like base64, too."""
+    try:
+        text = base64.b64decode(match[0], validate=True).decode("ascii")
+    except ValueError:
+        return match[0]
+    return text if text.isprintable() and re.search(r"[^A-Za-z0-9]", text) else match[0]
+
+
 def _decoded(text: str) -> str:
-    """URL, hex, unicode and CHAR() codes, comments, white space and joined strings, until nothing changes."""
+    """URL, hex, unicode, base64 and CHAR() codes, comments, white space and joined strings, until nothing changes."""
     for _ in range(5):
         before = text
         if "%" in text:
             text = urllib.parse.unquote(text)
         text = _HEX.sub(lambda m: bytes.fromhex(m[1]).decode("latin-1"), text)
         text = _UNICODE.sub(lambda m: chr(int(m[1], 16)), text)
+        text = _BASE64.sub(_from_base64, text)
         text = _CHAR.sub(lambda m: f"'{chr(int(m[1]))}'" if int(m[1]) < 128 else m[0], text)
         for _ in range(10):
             joined = _JOIN.sub(r"'\1\2'", text)
@@ -158,7 +170,7 @@ def decode_udf(texts: pd.Series) -> pd.Series:
 
 def decoded(text: Column) -> Column:
     """The decoded text; rows without any sign of obfuscation never reach Python."""
-    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|'\s*(?:\+|\|\|)\s*'|[\t\n]")
+    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|'\s*(?:\+|\|\|)\s*'|[\t\n]|[A-Za-z0-9+/]{12,}|[A-Za-z0-9+/]{6,}=")
     return F.when(signs, decode_udf(text)).otherwise(text)
 
 
@@ -175,7 +187,8 @@ def detect(df: DataFrame, base: float = 0.5) -> DataFrame:
     t = F.when(F.col("decoded") != F.col("query"), F.least(t, F.lit(0.55))).otherwise(t)
     rows = rows.withColumn("threshold", t).withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") >= F.col("threshold")).cast("int"), F.lit(0)))
     hit = F.col("predicted_anomaly") == 1
-    techniques = F.array_compact(F.array(F.when(F.col("query").contains("%"), "url"), F.when(F.col("query").rlike("0x[0-9a-fA-F]{2}"), "hex"), F.when(F.col("query").rlike(r"--|#|/\*"), "comment")))
+    signs = {"url": "%[0-9a-fA-F]{2}", "hex": "0x[0-9a-fA-F]{2}", "unicode": r"\\u[0-9a-fA-F]{4}", "base64": "[A-Za-z0-9+/]{6,}=", "comment": r"--|#|/\*", "white space": r"\s\s", "concatenation": r"'\s*(?:\+|\|\|)\s*'", "char codes": r"(?i)char\("}
+    techniques = F.array_compact(F.array(*[F.when(F.col("query").rlike(p), n) for n, p in signs.items()]))
     changed = hit & (F.col("decoded") != F.col("query"))
     return rows.withColumns(
         {

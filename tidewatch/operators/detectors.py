@@ -95,3 +95,41 @@ def adaptive_detect(df: DataFrame, features: list[str], sigmas: float = 3.0, nor
     top = F.greatest(*scores)
     kind = F.when(F.col(scores[0]) == top, "Statistical Anomaly").when(F.col(scores[1]) == top, "Contextual Anomaly").otherwise("Collective Anomaly")
     return out.withColumn("anomaly_type", F.when(F.col("predicted_anomaly") == 1, kind).otherwise("Normal"))
+
+
+def statistical_subtype(df: DataFrame) -> DataFrame:
+    """What a statistical anomaly is about; the first that fits: DoS, port scan, volume (over three times the mean
+    rate), suspicious port, time (before 6 or after 22), else statistical."""
+    rate = F.col("bytes") / (F.col("duration") + 0.1)
+    stats = df.agg(F.avg(rate).alias("__mean"), F.percentile("connection_count", F.lit(0.95)).alias("__p95"))
+    hour = F.hour("timestamp")
+    kind = (
+        F.when(F.col("connection_count") > F.col("__p95"), "DoS Attack")
+        .when(X.port_scan_like() == 1, "Port Scan")
+        .when(rate > 3 * F.col("__mean"), "Volume Anomaly")
+        .when(F.col("dst_port").isin(X.SUSPICIOUS_PORTS), "Suspicious Port")
+        .when((hour < 6) | (hour > 22), "Time Anomaly")
+        .otherwise("Statistical Anomaly")
+    )
+    return df.crossJoin(F.broadcast(stats)).withColumn("anomaly_subtype", kind).drop("__mean", "__p95")
+
+
+def dominant_type(df: DataFrame, weights: dict[str, float], least: float = 0.3) -> DataFrame:
+    """The score with the largest weighted share, if that reaches ``least``; else mixed, and none where all are 0."""
+    parts = {s: F.coalesce(F.col(s), F.lit(0.0)) * w for s, w in weights.items()}
+    total = sum(list(parts.values())[1:], next(iter(parts.values())))
+    top = F.greatest(*parts.values())
+    name = None
+    for s, p in parts.items():
+        name = F.when(p == top, s) if name is None else name.when(p == top, s)
+    return df.withColumn("dominant", F.when(total <= 0, "none").when(top / total >= least, name).otherwise("mixed"))
+
+
+def sequence_statistics(model: DataFrame) -> DataFrame:
+    """One row about a transition table: states, edges, edges with a probability, and the least and mean probability."""
+    return model.agg(F.count_distinct("state").alias("states"), F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("p") > 0, 1)).alias("likely"), F.min(F.when(F.col("p") > 0, F.col("p"))).alias("least_p"), F.avg(F.when(F.col("p") > 0, F.col("p"))).alias("mean_p"))
+
+
+def heat_map(model: DataFrame, states: list[str]) -> DataFrame:
+    """A row per state and a column per next state with its probability, for the states given."""
+    return model.where(F.col("state").isin(states)).groupBy("state").pivot("next_state", states).agg(F.max("p")).na.fill(0.0)

@@ -228,3 +228,13 @@ UNION ALL SELECT row_id, 'union', query || ' UNION SELECT NULL' || repeat(', NUL
 ORACLE["q_sqli_advice"] = f"""WITH {TEXT}, k AS (SELECT CASE {_KINDS} ELSE 'generic_injection' END AS attack_type FROM txt)
 SELECT attack_type, CASE attack_type {' '.join(f"WHEN '{k}' THEN {_q(v)}" for k, v in S.ADVICE.items())} ELSE {_q(S.DEFAULT_ADVICE)} END AS recommendation, count(*)::BIGINT AS n FROM k GROUP BY ALL"""
 ORACLE["q_customer_distribution"] = _profile("customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "r_name || '|' || n_name", ["c_acctbal"], 1, "")
+
+ORACLE["q_anomaly_subtypes"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY service, {_BUCKET % 21600}) AS n, bytes / (duration + 0.1) AS v FROM net)
+SELECT row_id, CASE WHEN n > (SELECT quantile_cont(n, 0.95) FROM c) THEN 'DoS Attack' WHEN packets <= 3 AND duration < 0.5 THEN 'Port Scan' WHEN v > 3 * (SELECT avg(v) FROM c) THEN 'Volume Anomaly'
+  WHEN dst_port IN {_in(X.SUSPICIOUS_PORTS)} THEN 'Suspicious Port' WHEN hour(timestamp) < 6 OR hour(timestamp) > 22 THEN 'Time Anomaly' ELSE 'Statistical Anomaly' END AS anomaly_subtype FROM c"""
+ORACLE["q_dominant_type"] = f"""WITH {_SCORED}, x AS (SELECT row_id, score_volume / 1000 * 0.4::DOUBLE AS a, duration * 0.1::DOUBLE AS b, score_port * 1.0::DOUBLE AS c FROM s)
+SELECT row_id, CASE WHEN a + b + c <= 0 THEN 'none' WHEN greatest(a, b, c) / (a + b + c) < 0.5 THEN 'mixed' WHEN a = greatest(a, b, c) THEN 'volume' WHEN b = greatest(a, b, c) THEN 'time' ELSE 'score_port' END AS dominant FROM x"""
+ORACLE["q_sequence_statistics"] = f"""WITH {NET}, {_transitions('net', _STATE, 'src_ip', 'timestamp, row_id', 5)}
+SELECT count(DISTINCT state)::BIGINT AS states, count(*)::BIGINT AS edges, count(*) FILTER (p > 0)::BIGINT AS likely, round(min(p) FILTER (p > 0), 6) AS least_p, round(avg(p) FILTER (p > 0), 6) AS mean_p FROM m"""
+_EVENTS = ["click", "error", "purchase", "signup", "view"]
+ORACLE["q_transition_heat_map"] = f"WITH {NET}, {_transitions('net', 'service', 'src_ip', 'timestamp, row_id', 5)} SELECT state, " + ", ".join(f"round(coalesce(max(p) FILTER (next_state = '{e}'), 0), 6) AS {e}" for e in _EVENTS) + f" FROM m WHERE state IN {_in(list(map(_q, _EVENTS)))} GROUP BY state"

@@ -411,3 +411,28 @@ def q_customer_distribution(spark: SparkSession, sf: str) -> DataFrame:
     nation = views.table(spark, sf, "nation").join(views.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = views.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return P.profile(rows, "contextual", ["r_name", "n_name"], ["c_acctbal"]).select(*profile_columns())
+
+
+@query
+def q_anomaly_subtypes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.window_counts(views.net(spark, sf), "service", 6 * 3600)
+    return D.statistical_subtype(rows).select("row_id", "anomaly_subtype")
+
+
+@query
+def q_dominant_type(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scored(spark, sf).withColumn("volume", F.col("bytes") / 1000).withColumn("time", F.col("duration"))
+    return D.dominant_type(rows, {"volume": 0.4, "time": 0.1, "score_port": 1.0}, 0.5).select("row_id", "dominant")
+
+
+@query
+def q_sequence_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    model = D.transitions(views.net(spark, sf), F.concat_ws("_", "service", "protocol"), ["src_ip"], ["timestamp", "row_id"])
+    return D.sequence_statistics(model).select("states", "edges", "likely", *r6("least_p", "mean_p"))
+
+
+@query
+def q_transition_heat_map(spark: SparkSession, sf: str) -> DataFrame:
+    states = ["click", "error", "purchase", "signup", "view"]
+    model = D.transitions(views.net(spark, sf), F.col("service"), ["src_ip"], ["timestamp", "row_id"])
+    return D.heat_map(model, states).select("state", *r6(*states))

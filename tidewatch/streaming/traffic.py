@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,29 @@ def window_counts(stream: DataFrame, key: str, window: str = "5 minutes", waterm
 def bursts(stream: DataFrame, key: str, most: int, window: str = "5 minutes", watermark: str = "1 minute") -> DataFrame:
     """Windows in which a key has more than ``most`` events."""
     return window_counts(stream, key, window, watermark).where(F.col("n") > most)
+
+
+PACE = "ip string, events long, counter double, last_ts timestamp"
+
+
+def _pace(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Adds 1 for each event within half a second of the one before, .5 within a second; state goes after an hour without events."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    events, counter, last = state.get if state.exists else (0, 0.0, None)
+    times = pd.concat([p["ts"] for p in parts]).sort_values()
+    before = times.shift()
+    if last is not None:
+        before.iloc[0] = pd.Timestamp(last, unit="us")
+    gaps = (times - before).dt.total_seconds()
+    counter += float((gaps < 0.5).sum() + 0.5 * ((gaps >= 0.5) & (gaps < 1)).sum())
+    events, newest = events + len(times), times.iloc[-1]
+    state.update((events, counter, int(newest.value // 1000)))
+    state.setTimeoutDuration(3_600_000)
+    yield pd.DataFrame({"ip": [key[0]], "events": [events], "counter": [counter], "last_ts": [newest]})
+
+
+def address_pace(stream: DataFrame) -> DataFrame:
+    """Running pace of each address (columns ip, ts): keyed state, one row an address and batch."""
+    return stream.select("ip", "ts").groupBy("ip").applyInPandasWithState(_pace, PACE, "events long, counter double, last long", "update", "ProcessingTimeTimeout")
