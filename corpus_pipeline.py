@@ -41,7 +41,7 @@ STAGES = [
     ("bpe", bpe_encoding),
 ]
 
-#: SQL can express neither the near-duplicate classes nor the tokenizer: tests/llm hold run() against a brute-force version.
+#: SQL can't express the tokenizer: tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

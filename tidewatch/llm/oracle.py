@@ -40,6 +40,18 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+r AS (SELECT doc_id, i, i - 400 > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS fresh FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+s AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+t AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY ALL),
+u AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM t GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN u.a IS NULL THEN h ELSE array_to_string(list_transform(list_zip(list_concat([0], u.b), list_concat(u.a, [length(h) // 2])), lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN u ON d.doc_id = u.doc_id
+"""
+
 OP6 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, {_WS}), '{_UPPER}', '{_LOWER}') AS key FROM l),
@@ -70,6 +82,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= 0.8 * (x.n + y.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id
+"""
+
 _BS = "chr(92)"
 _ESC = f"replace(replace(replace(%s, {_BS}, {_BS} || {_BS}), '### ', '#' || {_BS} || '## '), '</turn>', '<' || {_BS} || '/turn>')"
 
@@ -87,4 +109,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM g GROUP BY conv_id
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_substring_dedup": OP3, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op9_chat_format": OP9}
+ORACLE = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op8_probminhash": OP8, "op9_chat_format": OP9}
