@@ -32,7 +32,7 @@ RECON = [
     r"information_schema\.", r"sys\.", r"pg_catalog\.", r"sqlite_master", r"@@version", r"version\(\)", r"sqlite_version\(\)",
     r"sys\.configurations", r"'--", r'"--', r"' OR '1'='1",
 ]
-#: Kind of attack, and texts of which one is in the decoded query; the first kind that fits.
+# Kind of attack, and texts of which one is in the decoded query (the first kind that fits); weights of complexity.
 ATTACKS = [
     ("boolean_based", ["or 1=1", "or '1'='1'", "or true"]),
     ("union_based", ["union select", "union all select"]),
