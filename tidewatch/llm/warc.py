@@ -34,8 +34,8 @@ from .common import materialise, partitions_for, scratch_dir
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64 << 20
-#: The dictionary is trained on so many pages at most, whichever come first; it changes sizes, never contents.
-SAMPLE_PAGES = 256
+#: The dictionary is trained on so many pages of at most so many bytes each, whichever come first; it changes sizes, never contents.
+SAMPLE_PAGES, SAMPLE_BYTES = 256, 1 << 18
 DICT_BYTES = 64 << 10
 DICT_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -52,7 +52,7 @@ class WarcError(ValueError):
 
 def train_dictionary(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, size: int = DICT_BYTES) -> bytes:
     """A dictionary from a bounded sample; empty where there is too little to train on."""
-    samples = [r.html.encode() for r in pages.where("html <> ''").select("html").limit(sample_pages).collect()]
+    samples = [r.html.encode() for r in pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select("html").limit(sample_pages).collect()]
     if sum(map(len, samples)) < 8 * size or len(samples) < 16:
         return b""
     return zstandard.train_dictionary(size, samples).as_bytes()
