@@ -178,6 +178,25 @@ def test_near_duplicates_by_the_last_phase(make, monkeypatch, rounds):
     assert got == brute.near(rows)
 
 
+def test_large_buckets_verify_what_signatures_rate_low():
+    """Pairs at the threshold whose signatures agree in one band only, in a bucket of over SMALL_BUCKET members."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"m{i}w{j}" for j in range(104)) for i in range(probminhash.SMALL_BUCKET)]
+    words = [f"w{j}" for j in range(94)]  # 90 shingles, of which the next text has 80 and 10 of its own
+    texts += [" ".join(words), " ".join(words[:84] + [f"x{j}" for j in range(10)]), " ".join(words[:83] + [f"y{j}" for j in range(11)])]
+    signed = rng.integers(0, 1 << 16, (len(texts), probminhash.REGISTERS)).astype("<u2")
+    signed[:, : probminhash.ROWS_A_BAND] = 7
+    rows = [(5, 0, 0, 0, 0, i, i, s.tobytes(), t) for i, (s, t) in enumerate(zip(signed, texts, strict=True))]
+    names = ["bucket", "band", "left", "right", "block", "id", "label", "signature", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    n = probminhash.SMALL_BUCKET
+    # 80 of 100 shingles are shared: just similar. With one word less, 79 of 101 are: not similar.
+    assert [r for out in probminhash._links(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)] == [(n, n + 1)]
+
+
 def test_keep_one(make):
     text = " ".join(f"w{i}" for i in range(80))
     docs = make([(4, text), (2, text), (2, text), (3, text + " more"), (9, None), (8, ""), (8, ""), (None, "other words here")])

@@ -12,8 +12,8 @@ expanded into pairs: in each round one member of a bucket is its star, and every
 verified against one of its buckets' stars, their shingle sets compared exactly; verified
 links (Jaccard of ``SIMILARITY`` or more) join components. After ``ROUNDS`` rounds only members of one
 bucket that are still in different components are left. In small buckets their pairs are
-verified; in large ones they meet in blocks of bounded size, where pairs whose signatures
-come near are verified on the spot and only links that join components leave the task.
+verified; in large ones they meet in blocks of bounded size, where the shared shingles of
+every pair are counted on the spot and only links that join components leave the task.
 
 Defined results: a text without words has no shingle and is a class of its own; one of
 fewer than five words is one shingle; equal texts are in one class; a class is named by
@@ -39,9 +39,10 @@ SIMILARITY = 0.8
 BANDS, ROWS_A_BAND = 42, 6
 REGISTERS = BANDS * ROWS_A_BAND
 ROUNDS = 3
-#: Buckets of more open members are compared by signatures before texts; estimates this far below the threshold (three standard deviations) still pass.
+#: Open buckets of more members are compared in blocks; those of fewer list their pairs. Both verify every pair exactly.
 SMALL_BUCKET = 12
-MARGIN = 0.08
+#: Shingles of other texts that are compared with one text at once.
+STRETCH = 1 << 20
 BLOCK_ROWS = 2000
 #: Texts verified against one star in one task; a star with more is dealt over several.
 STAR_ROWS = 2000
@@ -184,50 +185,67 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _candidates(rows: list[tuple], least: float) -> Iterator[tuple[int, list[int]]]:
-    """Of a block pair's rows, each row and those of other components that share this band first and look similar enough."""
+def _candidates(rows: list[tuple], labels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block pair's rows, each row and those of other components that share this band first. The caller may join ``labels`` meanwhile."""
     _, band, left, right = rows[0][:4]
-    blocks, ids, labels = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
-    signed = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+    blocks, ids = (np.array([r[i] for r in rows], np.int64) for i in (4, 5))
+    signed = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), REGISTERS)[:, : band * ROWS_A_BAND]
     first, second = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
     for i in first.tolist():
         other = second[(labels[second] != labels[i]) & ((ids[second] > ids[i]) if left == right else True)]
+        if len(other) and band:
+            other = other[~(signed[other] == signed[i]).reshape(len(other), band, ROWS_A_BAND).all(axis=2).any(axis=1)]
         if len(other):
-            same = signed[other] == signed[i]
-            before = same[:, : band * ROWS_A_BAND].reshape(len(other), band, ROWS_A_BAND).all(axis=2).any(axis=1) if band else np.zeros(len(other), bool)
-            yield i, other[~before & (same.mean(axis=1) >= least)].tolist()
+            yield i, other
+
+
+def _labels(rows: list[tuple]) -> np.ndarray:
+    return np.array([r[6] for r in rows], np.int64)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of the few open members of a small bucket."""
     for rows in _groups(batches):
-        pairs = [tuple(sorted((rows[i][5], rows[j][5]))) for i, others in _candidates(rows, 0.0) for j in others]
+        pairs = [tuple(sorted((rows[i][5], rows[j][5]))) for i, others in _candidates(rows, _labels(rows)) for j in others.tolist()]
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that join the components of a large bucket's members: as many as it takes, never all pairs that are similar."""
+    """Links that join the components of a large bucket's members: as many as it takes, never all pairs that are similar.
+
+    Every pair of different components is decided by its exact count of shared shingles; only set sizes that rule a pair out skip it.
+    """
     for rows in _groups(batches):
         sets = [s for piece in B.slices(pa.array([r[8] for r in rows], pa.large_string())) for s, _ in shingle_sets(piece)]
-        root: dict[int, int] = {}
-
-        def find(x: int, root=root) -> int:
-            while x in root:
-                x = root[x]
-            return x
-
-        links = []
-        for i, others in _candidates(rows, SIMILARITY - MARGIN):
-            for j in others:
-                x, y = find(rows[i][6]), find(rows[j][6])
-                if x != y and similar(sets[i], sets[j]):
-                    root[max(x, y)] = min(x, y)
-                    links.append((rows[i][5], rows[j][5]))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(codes.astype(np.int32), np.cumsum(sizes)[:-1])
+        mark, labels, links = np.zeros(len(known), np.uint8), _labels(rows), []
+        for i, others in _candidates(rows, labels):
+            near = others[np.minimum(sizes[others], sizes[i]) >= SIMILARITY * np.maximum(sizes[others], sizes[i])]
+            mark[own[i]] = 1
+            for lo, hi in _stretches(sizes[near]):
+                part = near[lo:hi]
+                both = np.add.reduceat(mark[np.concatenate([own[j] for j in part.tolist()])], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+                for j in part[both >= SIMILARITY * (sizes[i] + sizes[part] - both) - 1e-9].tolist():
+                    if labels[i] != labels[j]:
+                        labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
+                        links.append((rows[i][5], rows[j][5]))
+            mark[own[i]] = 0
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
 
+def _stretches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Sets in order, in stretches of ``STRETCH`` shingles or one set each."""
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STRETCH, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def components(texts_of: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, label) of the representatives that share a bucket with another one. reps: id, k, t, signature; texts_of: k, t, text."""
     banded = reps.select("id", "signature").mapInArrow(_bands, "id long, band int, bucket long")
