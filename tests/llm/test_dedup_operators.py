@@ -197,6 +197,16 @@ def test_large_buckets_verify_what_signatures_rate_low():
     assert [r for out in probminhash._links(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)] == [(n, n + 1)]
 
 
+def test_near_duplicates_with_unequal_repeat_counts(make):
+    """Pairs of equal shingle sets, of which one text repeats a tenth 10,000 times: nothing but the sets counts."""
+    rows = []
+    for i in range(12):
+        cycle, rest = [f"c{i}x{j}" for j in range(10)], [f"r{i}x{j}" for j in range(90)]
+        rows += [(2 * i + n, " ".join(cycle * times + rest)) for n, times in enumerate((2, 10_000))]
+    assert brute.near(rows) == {d: d // 2 * 2 for d, _ in rows}
+    assert {r.doc_id: r.class_id for r in probminhash.classes(make(rows)).collect()} == brute.near(rows)
+
+
 def test_keep_one(make):
     text = " ".join(f"w{i}" for i in range(80))
     docs = make([(4, text), (2, text), (2, text), (3, text + " more"), (9, None), (8, ""), (8, ""), (None, "other words here")])

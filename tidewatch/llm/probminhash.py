@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Signatures. A document's shingles of five words have weights (damped counts). Each
-shingle sends a Poisson process of its weight's rate: arrivals at exponential gaps, each
-to a random register; a register keeps its earliest arrival. A shingle stops as soon as
-its next arrival comes later than all registers' (early termination). The share of equal
-registers estimates the probability Jaccard similarity of two documents.
+Signatures. Each shingle of five words sends a Poisson process of its weight's rate:
+arrivals at exponential gaps, each to a random register; a register keeps its earliest
+arrival. A shingle stops as soon as its next arrival comes later than all registers'
+(early termination). The share of equal registers estimates the probability Jaccard
+similarity of two documents. All weights are 1 here, however often a text repeats a
+shingle: then it is the Jaccard similarity of the sets, which is what links are verified by.
 
 Classes. Exact copies are collapsed first (summed per task before the shuffle). Of the
 remaining texts, those that agree in a band of registers meet in a bucket. No bucket is
@@ -98,7 +99,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in B.slices(batch.column(3), 1 << 20):
             found = list(shingle_sets(piece))
             full = [i for i, (s, _) in enumerate(found) if len(s)]
-            signed = signatures([found[i][0] for i in full], [found[i][1] ** 0.25 for i in full])
+            signed = signatures([found[i][0] for i in full], [np.ones(len(found[i][0])) for i in full])
             which = np.array(full, np.int64) + piece.lo
             columns = [batch.column(i).take(pa.array(which)) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed], pa.binary())], ["k", "t", "h", "signature"])
