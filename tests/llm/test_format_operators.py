@@ -172,6 +172,19 @@ def test_token_files_equal_the_library(spark, make, corpus):
         start += len(ids)
 
 
+def test_token_ids_of_decomposed_capitals_equal_the_library():
+    """NFC composes some marks with the small letter only, so capitals before marks stay for the library to lower."""
+    import unicodedata
+
+    own = tokenfile.PieceEncoder(tokenfile._vocabulary())
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [" ".join(f"xa{c}{m}bc {c}{m}. {c}\u0316{m}, {c}{m}" for m in marks) for c in map(chr, [*range(65, 91), *range(97, 123)])]
+    texts += [unicodedata.normalize("NFD", "Ḥaṭṭāʾ ǦABR. H\u0331ET, É"), "J\u030c", "xJ\u05b0\u030cy", "J \u030c", "PLAIN. J", "J\u030c <|endoftext|>"]
+    ids, counts = own.encode([t.encode() for t in texts], 1)
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 @pytest.mark.parametrize("n", [1, 7, 8, 4096])
 def test_planes_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)

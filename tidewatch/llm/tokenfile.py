@@ -170,13 +170,22 @@ class ShardReader:
 
 #: A full stop or comma that ends a word before white space: the splitter of word vocabularies parts it from the letter in any case.
 _STOP = re.compile(rb"([a-z0-9])([.,])(?=[ \t\n\v\f\r])")
+#: A capital that a combining mark may follow: NFC comes before lower case and composes some marks with the small letter only.
+_MARKED = re.compile(rb"[A-Z](?=[\x80-\xff])")
 
 
 def pieces_of(text: bytes) -> list[bytes]:
-    """Pieces whose ids in order are the text's. Capitals A-Z are lowered here already, unless an added token might then be spelt."""
+    """Pieces whose ids in order are the text's. Capitals A-Z before ASCII are lowered here already, unless an added token might then be spelt."""
     if b"<|" in text:
         return text.split()
-    return _STOP.sub(rb"\1 \2", text.lower()).split()
+    low = text.lower()
+    # The marks that compose with A-Z (U+0300 to U+0344) begin with one of these two bytes; other marks may stand between.
+    if (b"\xcc" in text or b"\xcd" in text) and (kept := [m.start() for m in _MARKED.finditer(text)]):
+        own = bytearray(low)
+        for i in kept:
+            own[i] = text[i]
+        low = bytes(own)
+    return _STOP.sub(rb"\1 \2", low).split()
 
 
 class PieceEncoder:
