@@ -129,6 +129,26 @@ def test_line_keys_are_counted_by_document(make):
     assert _op6(make([(1, line + "\n" + line), (2, line), (3, line), (4, line + "\n" + line)])) == {1: (0, f"{line}\n{line}"), 2: (0, line), 3: (0, line), 4: (0, f"{line}\n{line}")}
 
 
+@pytest.mark.parametrize("doc_id", [3, None])
+def test_texts_of_one_id_with_equal_checksums(make, doc_id):
+    """Two texts of one id whose CRC-32 agree are two documents: neither takes the other's repeats, neither is lost."""
+    import zlib
+
+    passage = " ".join(f"passage{i}" for i in range(60))
+    by_crc = {zlib.crc32(f"{passage}\nown words of one are {i}".encode()): i for i in range(150_000)}
+    j = next(j for j in range(1_000_000) if zlib.crc32(f"other text with number {j} in it".encode()) in by_crc)
+    other = f"other text with number {j} in it"
+    one = f"{passage}\nown words of one are {by_crc[zlib.crc32(other.encode())]}"
+    docs = make([(doc_id, one), (doc_id, other), *((d, f"{passage}\nand then {d}") for d in (-2, 1, 2, 4, 5, 6))])
+    got = {r.text for r in linededup.dedup_documents(docs).where(F.col("doc_id").eqNullSafe(doc_id)).collect()}
+    assert got == {one.split("\n")[1], other}
+    removed = lambda df: sorted(r.n_removed > 0 for r in df.where(F.col("doc_id").eqNullSafe(doc_id)).collect())
+    assert removed(suffixes.dedup(docs)) == [False, True]
+    assert removed(substrings.dedup(docs)) == [False, doc_id is not None]  # a null id comes first and keeps the passage
+    kept = probminhash.keep_one(docs).where(F.col("doc_id").eqNullSafe(doc_id)).collect()
+    assert {other} <= {r.text for r in kept} and len(kept) == (2 if doc_id is None else 1)
+
+
 # Quality rules
 
 

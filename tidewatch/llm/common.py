@@ -44,8 +44,8 @@ def order_key(id_col: str) -> Column:
 
 
 def tie_key(text_col: str) -> Column:
-    """Tells rows apart that share an id; rows equal in id and text are one document."""
-    return F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    """Tells rows apart that share an id, by 64 bits of their text's hash; rows equal in id and text are one document."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
 
 
 def text_or_empty(text_col: str) -> Column:

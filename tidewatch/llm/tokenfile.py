@@ -15,7 +15,7 @@ and before a full stop or comma that ends a word; a worker sends each different
 lasts, and documents are put together from the pieces' ids.
 
 Defined results: a null or empty text has the end id only; a null doc_id comes before all
-others and is read back as null; rows with equal ids are ordered by their text's checksum;
+others and is read back as null; rows with equal ids are ordered by their text's hash;
 an empty table gives no shards and no rows; other columns are ignored.
 """
 
