@@ -72,9 +72,10 @@ def _op4(docs, **kw):
     return rows_of(out.select("doc_id", "n_bytes", "n_removed", F.size("removed"), F.sha2("kept", 256)))
 
 
-@pytest.mark.parametrize("max_shard", [50_000, 0])
-def test_suffixes_equal_brute_force(make, corpus, max_shard):
-    assert _op4(make(corpus), max_shard=max_shard) == brute.suffixes(corpus)
+@pytest.mark.parametrize("shard", [20_000, 5, 0])
+def test_suffixes_equal_brute_force(make, corpus, shard):
+    """Whatever a shard may hold: small limits split hot anchors by longer prefixes, and stream what still is too large."""
+    assert _op4(make(corpus), shard=shard) == brute.suffixes(corpus)
 
 
 def test_suffixes_of_equal_rows(make, corpus):
@@ -94,11 +95,106 @@ def test_long_texts_cross_segments(make, monkeypatch):
     assert _op4(make(rows)) == brute.suffixes(rows)
 
 
-def test_interval_repeats_are_maximal():
+def test_repeats_of_a_shard_have_all_their_occurrences():
     texts = ["abcdeXfghij", "zbcdeXfghiq", "zbcdeXfgyyy"]
-    lefts, rights = [t[:5][::-1] for t in texts], [t[5:] for t in texts]
-    found = suffixes.interval_repeats([x.encode() for x in lefts], [x.encode() for x in rights], [1, 2, 3], 6)
-    assert [sorted(x) for x in found] == [[(4, 5)], [(4, 5), (5, 3)], [(5, 3)]]
+    lefts, rights = [t[:5][::-1].encode() for t in texts], [t[5:].encode() for t in texts]
+    found = {(left, right): sorted(m) for left, right, m in suffixes.maximal_repeats(lefts, rights, 6)}
+    assert found == {(4, 5): [0, 1], (5, 3): [1, 2], (4, 3): [0, 1, 2]}
+    assert suffixes.stretches(lefts, rights, 6) == [(4, 5), (5, 5), (5, 3)]
+    assert [x[:2] for x in suffixes.maximal_repeats(lefts, rights, 6, low=5)] == [(5, 3)]
+
+
+def _contexts(rnd, n):
+    pick = lambda k: bytes(rnd.choice(b"ab") for _ in range(k))
+    return [pick(rnd.randint(0, 6)) for _ in range(n)], [b"#" + pick(rnd.randint(0, 7)) for _ in range(n)]
+
+
+def test_repeats_of_a_shard_equal_brute_force():
+    """Every pair's common stretch is a repeat; its occurrences are all suffixes that have it."""
+    import random
+
+    rnd = random.Random(11)
+    for _ in range(60):
+        lefts, rights = _contexts(rnd, rnd.randint(2, 14))
+        n, expected, cover = len(lefts), {}, [None] * len(lefts)
+        for i in range(n):
+            for j in range(i):
+                left, right = suffixes.common_prefix(lefts[i], lefts[j]), suffixes.common_prefix(rights[i], rights[j])
+                if left + right >= 4:
+                    for m in (i, j):
+                        cover[m] = (max(left, cover[m][0]), max(right, cover[m][1])) if cover[m] else (left, right)
+        for i in range(n):
+            for left in range(len(lefts[i]) + 1):
+                for right in range(1, len(rights[i]) + 1):
+                    own = [m for m in range(n) if lefts[m][:left] == lefts[i][:left] and rights[m][:right] == rights[i][:right] and len(lefts[m]) >= left and len(rights[m]) >= right]
+                    if left + right >= 4 and len(own) > 1:
+                        ends = lambda texts, at: [texts[m][at : at + 1] for m in own]
+                        diverse = lambda e: len(set(e)) > 1 or e[0] == b""
+                        if diverse(ends(lefts, left)) and diverse(ends(rights, right)):
+                            expected[(lefts[i][:left], rights[i][:right])] = own
+        got = {(lefts[m[0]][:left], rights[m[0]][:right]): sorted(m) for left, right, m in suffixes.maximal_repeats(lefts, rights, 4)}
+        assert got == expected
+        assert suffixes.stretches(lefts, rights, 4) == cover
+
+
+@pytest.mark.parametrize("shard", [20_000, 2, 0])
+def test_groups_hold_every_occurrence(make, shard):
+    """Each group: all places of its bytes in the corpus. All strings that occur twice lie in groups, at each of their places."""
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(4)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared = [prose(n) for n in (30, 45, 90)]
+    rows = [(i, "".join(x for _ in range(rnd.randint(1, 4)) for x in (prose(rnd.randint(5, 60)), rnd.choice(shared)[rnd.randint(0, 6) :]))) for i in range(25)]
+    rows += [(40, rows[3][1]), (41, rows[3][1]), (41, rows[3][1]), (42, None), (43, "")]
+    least, texts, found = 24, dict(rows), defaultdict(set)
+    for r in suffixes.groups(make(rows), least, 8, shard).collect():
+        found[texts[r.doc_id][r.start : r.end]].add((r.doc_id, r.start))
+        assert r.length == r.end - r.start >= least
+    places = lambda w: {(d, p) for d, t in texts.items() for p in range(len(t or "") - len(w) + 1) if t[p : p + len(w)] == w}
+    assert found and all(places(w) == at and len(at) > 1 for w, at in found.items())
+    inside = {(d, p) for w, at in found.items() for d, s in at for p in range(s, s + len(w) - least + 1)}
+    windows = {t[p : p + least] for t in texts.values() for p in range(len(t or "") - least + 1)}
+    assert inside == set().union(*(at for w in windows if len(at := places(w)) > 1))
+
+
+# Words and bytes decide, not hashes
+
+
+def _side(cls, own, other, runs, **kw):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("p", pa.int32())]))
+    columns = [pa.array([x]) for x in (7, 1, 1)] + [pa.array([x], pa.int32()) for x in (0, 0, 0)] + [pa.array([runs], kind), pa.array([own], pa.binary()), pa.array([other], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["k", "t", "u", "block", "xblock", "shift", "runs", "content", "other"])
+    return [(r["kind"], r["a"], r["b"]) for out in cls._compare(**kw)(iter([batch])) for r in out.to_pylist()]
+
+
+def test_equal_hashes_of_other_texts_remove_nothing():
+    """A pair whose hashes met, with one word (one byte) that differs inside its only window."""
+    words = [f"w{i}" for i in range(20)]
+    other = [*words[:9], "else", *words[10:]]
+    runs = [{"a": 0, "b": 0, "p": 3}]
+    kw = {"min_words": 20, "before": 12}
+    assert _side(substrings, " ".join(words).encode(), " ".join(words).encode(), runs, again=True, **kw) == [(3, 0, 20)]
+    assert _side(substrings, " ".join(words).encode(), " ".join(other).encode(), runs, again=False, **kw) == []
+    assert [x[0] for x in _side(substrings, " ".join(words).encode(), " ".join(other).encode(), runs, again=True, **kw)] == [0]  # it may still repeat a third text
+    kw = {"min_bytes": 40, "before": 30, "names": False}
+    assert _side(suffixes, b"x" * 50, b"x" * 50, [{"a": 2, "b": 4, "p": 9}], **kw) == [(3, 2, 44)]
+    assert _side(suffixes, b"x" * 50, b"x" * 30 + b"y" + b"x" * 19, [{"a": 2, "b": 4, "p": 9}], **kw) == []
+
+
+def test_substrings_of_many_shapes(make):
+    """Short windows over few words: every kind of overlap, periods, texts longer than a block, third texts."""
+    import random
+
+    for seed in range(3):
+        rnd = random.Random(seed)
+        rows = [(i, " ".join(rnd.choice("abcd") + rnd.choice("xyz") for _ in range(rnd.choice((3, 12, 60, 700))))) for i in range(30)]
+        rows += [(50 + i, " ".join(rows[i][1].split()[5:] + ["tail"] * 9)) for i in range(10)] + [(70, "p q r " * 200), (71, "q r p " * 120)]
+        rnd.shuffle(rows)
+        assert _op3(make(rows), min_words=7, seed_words=3) == brute.substrings(rows, 7)
 
 
 # Line dedup
@@ -167,6 +263,29 @@ def test_hosts_that_fail_are_rejected(spark):
     assert {r.doc_id for r in quality.assess(docs).collect() if r.kept} == kept
 
 
+def test_host_verdicts_equal_sql(spark):
+    """Hosts of many sizes and rates: the SQL of op7 over the same rows, where verdicts differ from the base rules."""
+    import random
+
+    import duckdb
+
+    from tidewatch.llm.oracle import ORACLE
+
+    rnd = random.Random(9)
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = []
+    for host in range(40):
+        rate = rnd.choice((0.02, 0.1, 0.2, 0.6, 0.95))
+        rows += [(len(rows) + i, "bad" if rnd.random() < rate else good, f"host{host}" if host else None) for i in range(rnd.choice((1, 2, 7, 300)))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(quality.assess(documents).drop("host_failed"))
+    db = duckdb.connect()
+    db.register("documents", documents.toPandas())
+    assert got == {r[0]: tuple(r[1:]) for r in db.execute(ORACLE["op7_quality_rules"]).fetchall()}
+    lost = {d for d, x in got.items() if not x[-2] and not x[-1]}
+    assert lost and len(lost) < 0.2 * len(rows)
+
+
 def test_quality_of_equal_rows_and_columns(make):
     good = " ".join(f"w{i}" for i in range(60))
     docs = make([(1, good), (1, good), (None, good), (2, None)])

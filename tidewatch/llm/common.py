@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import math
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id wherever rows are ordered or joined by id: null sorts before every id.
 NULL_KEY = -(1 << 63)
+#: A document among others, in this order: its id, then two seeded 64-bit hashes of its text. Rows equal in id and text are one document.
+KEY = ["k", "t", "u"]
+#: A shuffle's partitions hold about so many bytes of input at most.
+PARTITION_BYTES = 128 << 20
 
 #: White space as the word and line rules of this package understand it.
 WS = " \t\n\x0b\x0c\r"
@@ -20,37 +30,80 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share."""
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = Path(own).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here.
+class Workspace:
+    """The tables that one call of an operator writes to the shared folder. Lineage ends at each of them."""
 
-    At most two files a core are written, whatever the number of partitions.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{label}"
-    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, scratch_dir(spark)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` once and read it back. Partitions stay as they are: adaptive execution has sized them."""
+        path, schema = f"{self.path}/{label}", df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete tables that nothing reads any more, and let the driver release the shuffle files behind them."""
+        jvm = self.spark.sparkContext._jvm
+        for label in labels:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark deletes shuffle files only when the plans that wrote them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends here."""
+    return Workspace(df.sparkSession).keep(df, label)
 
 
 def order_key(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY))
 
 
-def tie_key(text_col: str) -> Column:
-    """Tells rows apart that share an id, by 64 bits of their text's hash; rows equal in id and text are one document."""
-    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+def text_hashes(text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows of one id apart."""
+    data = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    return F.xxhash64(data), F.xxhash64(F.lit(7), data)
+
+
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    t, u = text_hashes(text_col)
+    return [order_key(id_col).alias("k"), t.alias("t"), u.alias("u")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """k, t, u, doc_id, text: what the operators on whole documents work on."""
+    return docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(df: DataFrame, growth: float = 1.0) -> int:
+    """Shuffle partitions for rows made from ``df``: the session's number, or more where its input is large.
+
+    ``growth``: bytes shuffled per byte that ``df`` reads, roughly. Sizes are those the optimizer knows from the files, so ``df``
+    is a scan or what filters and maps make of one; a join's size isn't known before it has run.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, math.ceil(size * growth / PARTITION_BYTES))

@@ -1,24 +1,30 @@
 """Substring dedup by seed and extend, over words.
 
 Seeds: winnowed anchors of ``SEED_WORDS`` words; every repeat of ``MIN_WORDS`` words or
-more holds one. Anchors meet by a shuffle on their hash. Where all the surroundings
-of two occurrences are equal they are settled at once; otherwise one occurrence of
-each kind goes back to its document and is extended to both sides, word by word, as far
-as windows of ``MIN_WORDS`` words around the anchor go; those windows meet by their hash.
-A window stays where it starts first (least document, then least position); overlapping
-repeats are united, so what is removed are maximal repeats.
+more holds one. Each occurrence of an anchor is paired with the anchor's first occurrence
+(least document, then least position), so a hot anchor makes as many pairs as it has
+occurrences, not their square.
 
-Hot passages: equal runs are put together in each task before the shuffle, pairs are
-never listed, and the reducers stream their sorted input.
+Extension: a pair's two texts are laid side by side and compared word by word, to both
+sides of the seed as far as they agree within the block at hand; stretches of
+``MIN_WORDS`` words or more are repeats. Windows of a run that differ from the first
+occurrence's may still repeat a third one. They are the seeds of a second round, each
+by its own hash, and are paired and compared in the same way. As a window that equals the
+first occurrence's is settled there, and only there, no pair between others is missed.
+
+Overlapping repeats are united, so what is removed are maximal repeats. A hash that two
+different passages share removes nothing: only compared words are removed.
 
 Defined results: a null or empty text has no words; rows equal in doc_id and text are
 one document (each gets the same result); rows that share only the id are ordered by
-their text's checksum; a null doc_id comes before all others; an empty table gives no
-rows; other columns are ignored.
+128 bits of their text's hashes; a null doc_id comes before all others; an empty table gives no
+rows; other columns, whatever their names, are ignored. A very long text is one row and is
+worked on in blocks of ``BLOCK_WORDS`` words; only the last step, which removes, holds it whole.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +34,17 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
-from .common import materialise, order_key, tie_key
+from .common import KEY, Workspace, keyed
 
 MIN_WORDS = 20
 SEED_WORDS = 8
+BLOCK_WORDS = 256
+BLOCKS = "k long, t long, u long, block int, content binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
 
-def _hashed_words(piece: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, before = piece.words(B.not_space_table())
-    return starts, ends, before, B.span_hashes(piece.buf, starts, ends)
+def _key_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy() for i in range(3)]
 
 
 def _seeds(min_words: int, seed_words: int):
@@ -45,10 +52,10 @@ def _seeds(min_words: int, seed_words: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for piece in B.slices(batch.column(3)):
-                _, _, before, words = _hashed_words(piece)
+            found, keys = [], _key_columns(batch)
+            for piece in B.slices(batch.column(4)):
+                starts, ends, before = piece.words(B.not_space_table())
+                words = B.span_hashes(piece.buf, starts, ends)
                 row = np.repeat(np.arange(len(before) - 1), np.diff(before))
                 n = len(words) - min_words + 1
                 if n <= 0:
@@ -58,83 +65,126 @@ def _seeds(min_words: int, seed_words: int):
                 prefix = A.poly_prefix(words)
                 content = A.poly_span(prefix, a, b + min_words) + (p - a).astype(np.uint64) * B.BASE
                 doc, lo = row[a], before[row[a]]
-                one = np.ones(len(a), np.int32)
-                found.append(dict(zip(A.NAMES, (one, grams[p].view(np.int64), content.view(np.int64), ks[piece.lo + doc], ts[piece.lo + doc], a - lo, b - lo, p - lo, one), strict=True)))
+                found.append(dict(zip(A.NAMES, (grams[p].view(np.int64), content.view(np.int64), *(x[piece.lo + doc] for x in keys), a - lo, b - lo, p - lo), strict=True)))
             if found:
-                yield A.to_batch(A.put_together(A.join(found), later=True))
+                yield from A.collapsed(A.join(found), both=False, r=0)
 
     return each
 
 
-def _windows(min_words: int):
-    """The windows of the runs that are open, each as a seed of its own: h its hash, r the anchor's."""
+def _blocks(before: int, after: int):
+    """Words ``BLOCK_WORDS`` * i - before to ``BLOCK_WORDS`` * (i + 1) + after of each text, one space between them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            opened = batch.column(4)
-            for piece in B.slices(batch.column(3)):
-                _, _, before, words = _hashed_words(piece)
-                for i in range(piece.lo, piece.hi):
-                    own = words[before[i - piece.lo] : before[i - piece.lo + 1]]
-                    runs = opened[i].as_py()
-                    at = np.concatenate([np.arange(x["a"], x["b"] + 1) for x in runs])
-                    anchor = np.concatenate([np.full(x["b"] - x["a"] + 1, x["h"], np.int64) for x in runs])
-                    h = B.window_hashes(own, min_words)[at].view(np.int64)
-                    one = np.ones(len(at), np.int32)
-                    found.append(dict(zip(A.NAMES, (one, h, anchor, one.astype(np.int64) * ks[i], one.astype(np.int64) * ts[i], at, at, at, one), strict=True)))
-            if found:
-                yield A.to_batch(A.put_together(A.join(found), later=True))
+            keys, rows = [batch.column(i).to_pylist() for i in range(3)], []
+            for piece in B.slices(batch.column(4)):
+                for i in range(piece.hi - piece.lo):
+                    words = piece.buf[piece.offsets[i] : piece.offsets[i + 1]].tobytes().split()
+                    for j in range(-(-len(words) // BLOCK_WORDS)):
+                        lo = BLOCK_WORDS * j
+                        rows.append((*(x[piece.lo + i] for x in keys), j, b" ".join(words[max(0, lo - before) : lo + BLOCK_WORDS + after])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 3, pa.int32(), pa.binary()], strict=True)], [*KEY, "block", "content"])
+                    rows = []
 
     return each
 
 
-def _apply(min_words: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def extended(own: list[bytes], other: list[bytes], shift: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in ``own``, of all stretches of ``least`` words or more that agree with ``other`` where own[i + shift] lies on other[i]."""
+    lo, hi = max(0, shift), min(len(own), len(other) + shift)
+    agree = np.zeros(max(0, hi - lo) + 2, np.int8)
+    agree[1:-1] = np.fromiter(map(operator.eq, own[lo:hi], other[lo - shift : hi - shift]), np.int8, max(0, hi - lo))
+    edge = np.diff(agree)
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = e - s >= least
+    return s[long] + lo, e[long] + lo
+
+
+def _compare(min_words: int, before: int, again: bool):
+    """Spans that agree; with ``again`` also the windows of the pairs' runs that don't, as seeds."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(2), batch.column(4)
-            for piece in B.slices(batch.column(3)):
-                starts, ends, before = piece.words(B.not_space_table())
-                n_words = np.diff(before)
-                gone = np.zeros(len(starts) + 1, np.int32)
-                for i in range(piece.lo, piece.hi):
-                    runs = found[i].as_py()
-                    if runs:
-                        lo = before[i - piece.lo]
-                        np.add.at(gone, [lo + x["a"] for x in runs], 1)
-                        np.add.at(gone, [lo + x["b"] + min_words for x in runs], -1)
-                mask = np.cumsum(gone[:-1]) > 0
-                n_removed, spans, texts = [], [], []
-                for i in range(len(n_words)):
-                    lo, hi = before[i], before[i + 1]
-                    own = mask[lo:hi]
-                    n_removed.append(int(own.sum()))
-                    edge = np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0]))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                    text = piece.buf[piece.offsets[i] : piece.offsets[i + 1]].tobytes()
-                    keep = edge if n_removed[-1] else []
-                    cuts = [0, *keep, hi - lo]  # kept words: between removed runs
-                    parts = []
-                    for s, e in zip(cuts[::2], cuts[1::2], strict=True):
-                        if e > s:
-                            parts += text[starts[lo + s] - piece.offsets[i] : ends[lo + e - 1] - piece.offsets[i]].split()
-                    texts.append(b" ".join(parts).decode(errors="replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(piece.lo, piece.hi - piece.lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "removed", "kept_text"],
-                )
+            keys = [batch.column(i).to_pylist() for i in range(3)]
+            places = [batch.column(i).to_pylist() for i in range(3, 7)]
+            spans, found = [], []
+            for i, (block, xblock, shift, runs, content, other) in enumerate(zip(*places, batch.column(7), batch.column(8), strict=True)):
+                own, low, xlow = content.as_py().split(b" "), max(0, BLOCK_WORDS * block - before), max(0, BLOCK_WORDS * xblock - before)
+                s, e = extended(own, other.as_py().split(b" "), shift + xlow - low, min_words)
+                key = [x[i] for x in keys]
+                spans += [(*key, int(a) + low, int(b) + low) for a, b in zip(s, e, strict=True)]
+                if not again:
+                    continue
+                fits = np.zeros(len(own) + 1, np.int32)  # how many stretches hold the window that starts here: 0 or 1
+                np.add.at(fits, s, 1)
+                np.add.at(fits, e - min_words + 1, -1)
+                fits = np.cumsum(fits)
+                at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in runs]) - low
+                at = at[fits[at] == 0]
+                if len(at):
+                    buf = np.frombuffer(content.as_py(), np.uint8)
+                    gaps = np.flatnonzero(buf == 0x20)
+                    h = B.window_hashes(B.span_hashes(buf, np.r_[0, gaps + 1], np.r_[gaps, len(buf)]), min_words)[at].view(np.int64)
+                    one, at = np.ones(len(at), np.int64), at + low
+                    found.append(dict(zip(A.NAMES, (h, 0 * one, *(one * x for x in key), at, at, at), strict=True)))
+            if spans:
+                k, t, u, a, b = (np.array(c) for c in zip(*spans, strict=True))
+                yield A.seed_batch(dict(zip(A.NAMES, (k, k, k, t, u, a, b, a), strict=True)), A.SPAN)
+            if found:
+                yield from A.collapsed(A.join(found), both=False)
 
     return each
 
 
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removes the spans [a, b) from each text's words."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        ids, found = batch.column(3), batch.column(5)
+        for piece in B.slices(batch.column(4)):
+            n_words, n_removed, spans, texts = [], [], [], []
+            for i in range(piece.lo, piece.hi):
+                words = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]].tobytes().split()
+                gone = united((x["a"], x["b"]) for x in found[i].as_py() or ())
+                cuts = [0, *(x for span in gone for x in span), len(words)]
+                kept = [w for s, e in zip(cuts[::2], cuts[1::2], strict=True) for w in words[s:e]]
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
+                spans.append([{"start": s, "end": e} for s, e in gone])
+                texts.append(b" ".join(kept).decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(piece.lo, piece.hi - piece.lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())],
+                ["doc_id", "n_words", "n_removed", "removed", "kept_text"],
+            )
+
+
+def united(spans) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(set(spans)):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Per document row: its words, the maximal repeats removed from it (word positions) and the kept text, words joined by a space."""
-    base = docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialise(A.settle(base.mapInArrow(_seeds(min_words, seed_words), A.ROWS), later=True), "substring_seeds")
-    opened = A.by_document(first.where(F.col("kind") == A.OPEN), "a", "b", "h")
-    extended = base.join(opened, ["k", "t"]).mapInArrow(_windows(min_words), A.ROWS)
-    second = A.settle(extended, later=True)
-    repeats = first.unionByName(second).where(F.col("kind") == A.SETTLED).select("k", "t", "a", "b")
-    return base.join(A.by_document(repeats, "a", "b"), ["k", "t"], "left").mapInArrow(_apply(min_words), RESULT)
+    base, ws = keyed(docs), Workspace(docs.sparkSession)
+    before = min_words - seed_words
+
+    def compared(seeds: DataFrame, growth: float, label: str, *, again: bool) -> DataFrame:
+        pairs = ws.keep(A.paired(seeds, both=False, growth=growth), f"{label}_pairs")
+        blocks = base.mapInArrow(_blocks(before, min_words), BLOCKS)
+        sides = A.side_by_side(pairs, blocks, BLOCK_WORDS)
+        return ws.keep(sides.mapInArrow(_compare(min_words, before, again), A.SEEDS), label)
+
+    first = compared(base.mapInArrow(_seeds(min_words, seed_words), A.SEEDS), 3, "substring_anchors", again=True)
+    ws.drop("substring_anchors_pairs")
+    second = compared(first.where(F.col("kind") != A.SPAN), 1, "substring_windows", again=False)
+    ws.drop("substring_windows_pairs")
+    spans = first.where(F.col("kind") == A.SPAN).unionByName(second)
+    return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)

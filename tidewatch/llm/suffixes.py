@@ -2,27 +2,41 @@
 
 Every string of ``MIN_BYTES`` bytes is represented by one winnowed anchor in it (see
 ``anchors``), so the suffixes that begin at anchors are enough: a repeat is a common
-prefix of two such suffixes together with a common extension to the left. All suffixes
-of an anchor go to one shard, where they are sorted, neighbours' common prefixes are
-taken, and a stack scan walks the tree of common-prefix intervals from the leaves.
-Where children of an interval meet, their suffixes are compared by what stands to the
-left (left-extension diversity): each suffix against its next of kin in the order of
-the reversed left contexts, which gives its longest repeat at this depth. The smaller
-child joins the larger, so an anchor with m suffixes costs m log m steps and lists no pairs.
-
-Suffixes whose whole surroundings are equal are one leaf with several occurrences. An
-anchor with over ``MAX_SHARD`` different surroundings isn't gathered in one task: its
-strings of ``MIN_BYTES`` bytes meet one by one, by hash, in a shuffle of their own.
+prefix of two such suffixes together with a common extension to the left. A suffix is taken
+as far to both sides as the windows of its anchor's run go. All suffixes of an anchor
+are a shard: they are sorted, neighbours' common prefixes are taken, and a stack scan
+walks the tree of common-prefix intervals from the leaves. Where children of an interval
+meet, their left contexts are compared (left-extension diversity): contexts sorted from the
+anchor leftwards have intervals of their own, and each that members of several children
+share is a maximal repeat, with all the interval's members that have it as its occurrences.
+
+Suffixes with the same surroundings are one leaf with several occurrences; these are put
+together by hash and compared byte by byte before anything is removed.
+
+Hot anchors: a shard of over ``SHARD`` different surroundings is split by longer prefixes. Repeats with low to
+low + step - 1 bytes to the left of the anchor all hold the string of low bytes to its left and
+``MIN_BYTES`` - low - step + 1 from it to the right, so suffixes meet by that string instead, once for each range.
+Step falls until shards fit; when it is 1 the string is all of the ``MIN_BYTES`` bytes. Suffixes that share
+such a string are streamed in the order of their right contexts and not held: a repeat is a range of ranks.
+
+``groups`` gives the repeats with every occurrence, ``dedup`` only what they cover. A repeat goes as far as
+the windows of one anchor do: one that spans several anchors comes as one group for each of them, all
+holding their part of it.
 
 Defined results: a null or empty text has no bytes; rows equal in doc_id and text are one
 document listed twice and are no repeats of each other; an empty table gives no rows;
-other columns are ignored.
+other columns, whatever their names, are ignored. A very long text is one row: it is hashed in segments
+and compared in blocks of ``BLOCK_BYTES``; only the last step, which removes, holds it whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +45,35 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
-from .common import materialise, order_key, partitions_for, tie_key
+from .common import KEY, Workspace, keyed, partitions_for, release
+from .substrings import BLOCKS, united
 
 MIN_BYTES = 400
 SEED_BYTES = 32
-MAX_SHARD = 50_000
+SHARD = 20_000
 SEGMENT = 1 << 18
-SUFFIXES = "h long, k long, t long, p int, left binary, right binary"
-REPEATS = "h long, k long, t long, start int, end int"
+BLOCK_BYTES = 4096
+SUFFIXES = "h long, low int, k long, t long, u long, p int, left binary, right binary"
+SUFFIX_NAMES = ["h", "low", *KEY, "p", "left", "right"]
+_SUFFIX_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.binary(), pa.binary()]
+#: Of a streamed shard (h, low) also the rank of each suffix, and for each repeat its length to either side (start, end) and first and last rank.
+FOUND = "repeat binary, k long, t long, u long, p int, start int, end int, h long, low int, rank long, last long"
+FOUND_NAMES = ["repeat", *KEY, "p", "start", "end", "h", "low", "rank", "last"]
+_FOUND_TYPES = [pa.binary(), *[pa.int64()] * 3, *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 RESULT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
 
 
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def _seeds(min_bytes: int, seed_bytes: int):
     w = min_bytes - seed_bytes + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            for piece in B.slices(batch.column(3), SEGMENT):
+            keys, found = [batch.column(i).to_numpy() for i in range(3)], []
+            for piece in B.slices(batch.column(4), SEGMENT):
                 for lo in range(0, max(1, len(piece.buf) - min_bytes + 1), SEGMENT):  # a longer text: windows that start in each segment
                     buf = piece.buf[lo : lo + SEGMENT + min_bytes - 1]
                     n = len(buf) - min_bytes + 1
@@ -62,10 +87,50 @@ def _seeds(min_bytes: int, seed_bytes: int):
                     a, b, p = A.runs(grams, valid, doc, w)
                     content = A.poly_span(prefix, a, b + min_bytes) + (p - a).astype(np.uint64) * B.BASE
                     row, at = doc[a], piece.offsets[doc[a]] - lo
-                    one = np.ones(len(a), np.int32)
-                    found.append(dict(zip(A.NAMES, (one, grams[p].view(np.int64), content.view(np.int64), ks[piece.lo + row], ts[piece.lo + row], a - at, b - at, p - at, one), strict=True)))
+                    found.append(dict(zip(A.NAMES, (grams[p].view(np.int64), content.view(np.int64), *(x[piece.lo + row] for x in keys), a - at, b - at, p - at), strict=True)))
             if found:
-                yield A.to_batch(A.put_together(A.join(found), later=False))
+                yield from A.collapsed(A.join(found), both=True)
+
+    return each
+
+
+def _blocks(before: int, after: int):
+    """Bytes ``BLOCK_BYTES`` * i - before to ``BLOCK_BYTES`` * (i + 1) + after of each text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(i).to_pylist() for i in range(3)]
+            for piece in B.slices(batch.column(4)):
+                rows = []
+                for i in range(piece.hi - piece.lo):
+                    text = piece.buf[piece.offsets[i] : piece.offsets[i + 1]]
+                    for lo in range(0, len(text), BLOCK_BYTES):
+                        rows.append((*(x[piece.lo + i] for x in keys), lo // BLOCK_BYTES, text[max(0, lo - before) : lo + BLOCK_BYTES + after].tobytes()))
+                if rows:
+                    yield _batch(rows, [*KEY, "block", "content"], [*[pa.int64()] * 3, pa.int32(), pa.binary()])
+
+    return each
+
+
+def _compare(min_bytes: int, before: int, names: bool):
+    """Of the pairs' runs those whose bytes agree: spans [a, b), with ``names`` and the name of their content."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            lists = [batch.column(i).to_pylist() for i in range(7)]
+            for *key, block, xblock, shift, runs, content, other in zip(*lists, batch.column(7), batch.column(8), strict=True):
+                own, two = content.as_py(), other.as_py()
+                low, xlow = max(0, BLOCK_BYTES * block - before), max(0, BLOCK_BYTES * xblock - before)
+                for r in runs:
+                    s, e = r["a"] - low, r["b"] + min_bytes - low
+                    if own[s:e] == two[s - shift + low - xlow : e - shift + low - xlow]:
+                        spans.append((*key, r["a"], r["b"] + min_bytes, r["p"], name_of(own[s:e]) if names else None))
+            if spans:
+                *rest, found = zip(*spans, strict=True)
+                k, t, u, a, b, p = map(np.array, rest)
+                out = A.seed_batch(dict(zip(A.NAMES, (k, k, k, t, u, a, b, p), strict=True)), A.SPAN)
+                yield out.set_column(9, "x", pa.array(found, pa.binary()))
 
     return each
 
@@ -75,25 +140,48 @@ def _suffixes(min_bytes: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            opened = batch.column(4)
-            rows: list[tuple] = []
-            for piece in B.slices(batch.column(3)):
+            opened, rows = batch.column(5), []
+            for piece in B.slices(batch.column(4)):
                 for i in range(piece.lo, piece.hi):
                     text = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]].tobytes()
-                    k, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    rows += [(x["h"], k, t, x["p"], text[x["a"] : x["p"]][::-1], text[x["p"] : x["b"] + min_bytes]) for x in opened[i].as_py()]
+                    key = [batch.column(c)[i].as_py() for c in range(3)]
+                    rows += [(x["h"], 0, *key, x["p"], text[x["a"] : x["p"]][::-1], text[x["p"] : x["b"] + min_bytes]) for x in opened[i].as_py()]
                 if len(rows) > 4000:
-                    yield _suffix_batch(rows)
+                    yield _batch(rows, SUFFIX_NAMES, _SUFFIX_TYPES)
                     rows = []
             if rows:
-                yield _suffix_batch(rows)
+                yield _batch(rows, SUFFIX_NAMES, _SUFFIX_TYPES)
 
     return each
 
 
-def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "k", "t", "p", "left", "right"])
+def prefix_string(left: bytes, right: bytes, low: int, step: int, least: int, seed: int) -> bytes | None:
+    """What all repeats with ``low`` to low + step - 1 bytes to the left hold; None where the suffix is too short for any."""
+    d = max(seed, least + 1 - low - step)
+    return left[:low][::-1] + right[:d] if len(left) >= low and len(right) >= d else None
+
+
+def _split(old: int, new: int, least: int, seed: int):
+    """Suffixes of shards with ``old`` left lengths under the longer strings of ``new`` left lengths each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, first, *key, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low in range(first, first + old, new):
+                    if (own := prefix_string(left, right, low, new, least, seed)) is not None:
+                        rows.append((int.from_bytes(name_of(own)[:8], "little", signed=True), low, *key, left, right))
+                if len(rows) > 4000:
+                    yield _batch(rows, SUFFIX_NAMES, _SUFFIX_TYPES)
+                    rows = []
+            if rows:
+                yield _batch(rows, SUFFIX_NAMES, _SUFFIX_TYPES)
+
+    return each
+
+
+def name_of(repeat: bytes) -> bytes:
+    return hashlib.blake2b(repeat, digest_size=16).digest()
 
 
 def common_prefix(u: bytes, v: bytes) -> int:
@@ -110,17 +198,58 @@ def common_prefix(u: bytes, v: bytes) -> int:
     return lo
 
 
-def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object], least: int, union: bool = False) -> list[list[tuple[int, int]]]:
-    """For each suffix the maximal repeats (bytes to the left, bytes to the right) that it shares with another one.
+def intervals(texts: list[bytes], order: list[int]) -> Iterator[tuple[int, list[list[int]]]]:
+    """Common-prefix intervals of the texts, which ``order`` sorts, leaves first: depth, and the members of each child.
 
-    ``union``: only how far any of them goes to either side; all hold the anchor, so that is the stretch they cover.
+    A stack scan: an open interval closes where a neighbour's common prefix is shorter. A child is a text or an interval within.
+    """
+    stack: list[tuple[int, list[list[int]]]] = []
+    last = [order[0]]
+    for a, b in zip(order, order[1:], strict=False):
+        depth = common_prefix(texts[a], texts[b])
+        while stack and stack[-1][0] > depth:
+            d, children = stack.pop()
+            yield d, (own := [*children, last])
+            last = [x for child in own for x in child]
+        if stack and stack[-1][0] == depth:
+            stack[-1][1].append(last)
+        else:
+            stack.append((depth, [last]))
+        last = [b]
+    while stack:
+        d, children = stack.pop()
+        yield d, (own := [*children, last])
+        last = [x for child in own for x in child]
+
+
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int, low: int = 0, high: int = 1 << 30) -> Iterator[tuple[int, int, list[int]]]:
+    """Bytes to the left and to the right of the anchor, and all occurrences, of each maximal repeat of ``least`` bytes or more.
+
+    ``low`` and ``high``: only repeats with so many bytes to the left. A right interval's members are walked by the intervals of
+    their left contexts; where members of several children of the right interval share one, neither side can be extended.
+    """
+    n = len(rights)
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    rank = [0] * n
+    for r, i in enumerate(by_left):
+        rank[i] = r
+    for depth, children in intervals(rights, sorted(range(n), key=rights.__getitem__)):
+        of = {i: c for c, child in enumerate(children) for i in child}
+        for left, groups in intervals(lefts, sorted(of, key=rank.__getitem__)):
+            if left + depth >= least and low <= left <= high:
+                members = [i for g in groups for i in g]
+                if any(of[i] != of[members[0]] for i in members):
+                    yield left, depth, members
+
+
+def stretches(lefts: list[bytes], rights: list[bytes], least: int, low: int = 0, high: int = 1 << 30) -> list[tuple[int, int] | None]:
+    """How far any maximal repeat of each suffix goes to either side: all hold the anchor, so that is what they cover.
 
-    Walks the common-prefix intervals of the sorted suffixes ``rights`` by a stack. ``same``: suffixes
-    with an equal entry are the same place in the same document and are no repeats of each other.
+    The same walk without listing occurrences. Where two children of an interval meet, each member of the smaller is compared
+    with its neighbours in the order of left contexts, which agree with it furthest; the smaller joins the larger.
     """
     n = len(rights)
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    order = sorted(range(n), key=rights.__getitem__)
+    found: list[tuple[int, int] | None] = [None] * n
     by_left = sorted(range(n), key=lefts.__getitem__)
     rank = [0] * n
     for r, i in enumerate(by_left):
@@ -128,113 +257,128 @@ def interval_repeats(lefts: list[bytes], rights: list[bytes], same: list[object]
 
     def meet(x: int, y: int, depth: int) -> None:
         i, j = by_left[x], by_left[y]
-        if same[i] != same[j] and (left := common_prefix(lefts[i], lefts[j])) + depth >= least:
-            add(found[i], left, depth)
-            add(found[j], left, depth)
-
-    def add(own: list[tuple[int, int]], left: int, right: int) -> None:
-        if union:
-            own[:] = [(max(left, own[0][0]), max(right, own[0][1]))] if own else [(left, right)]
-        elif not any(a >= left and b >= right for a, b in own):
-            own[:] = [(a, b) for a, b in own if a > left or b > right] + [(left, right)]
-
-    def merge(one: list[int], two: list[int], depth: int) -> list[int]:
-        """Two children of an interval; both are sorted by left context."""
-        small, large = (one, two) if len(one) < len(two) else (two, one)
-        for x in small:
-            at = bisect_left(large, x)
-            if at:
-                meet(x, large[at - 1], depth)
-            if at < len(large):
-                meet(x, large[at], depth)
-            large.insert(at, x)
-        return large
-
-    stack: list[tuple[int, list[int]]] = []  # (common prefix, suffixes so far) of the open intervals
-    last = [rank[order[0]]]
-    for a, b in zip(order, order[1:], strict=False):
-        depth = common_prefix(rights[a], rights[b])
-        while stack and stack[-1][0] > depth:
-            d, members = stack.pop()
-            last = merge(members, last, d)
-        if stack and stack[-1][0] == depth:
-            d, members = stack.pop()
-            last = merge(members, last, d)
-        stack.append((depth, last))
-        last = [rank[b]]
-    while stack:
-        d, members = stack.pop()
-        last = merge(members, last, d)
+        left = min(common_prefix(lefts[i], lefts[j]), high)
+        if left + depth >= least and left >= low:
+            for m in (i, j):
+                found[m] = (max(left, found[m][0]), max(depth, found[m][1])) if found[m] else (left, depth)
+
+    held: dict[int, list[int]] = {}  # of closed intervals, by their first member: members' ranks in order
+    for depth, children in intervals(rights, sorted(range(n), key=rights.__getitem__)):
+        parts = sorted((held.pop(c[0], None) or sorted(rank[i] for i in c) for c in children), key=len)
+        large = parts.pop()
+        for small in parts:
+            for x in small:
+                at = bisect_left(large, x)
+                if at:
+                    meet(x, large[at - 1], depth)
+                if at < len(large):
+                    meet(x, large[at], depth)
+                large.insert(at, x)
+        held[children[0][0]] = large
     return found
 
 
-def _shards(least: int, union: bool):
-    """Stream suffixes sorted by anchor; one anchor's are held at a time."""
+def _shard(rows: list[tuple], least: int, step: int, cover: bool) -> Iterator[tuple]:
+    """What a shard's suffixes have in common, as rows of FOUND; ``cover``: one row a suffix, without a name."""
+    if len(rows) < 2:
+        return
+    lefts, rights, low = [r[6] for r in rows], [r[7] for r in rows], rows[0][1]
+    high = low + step - 1
+    if cover:
+        for r, span in zip(rows, stretches(lefts, rights, least, low, high), strict=True):
+            if span:
+                yield None, *r[2:6], r[5] - span[0], r[5] + span[1]
+        return
+    for left, depth, members in maximal_repeats(lefts, rights, least, low, high):
+        name = name_of(lefts[members[0]][:left][::-1] + rights[members[0]][:depth])
+        yield from ((name, *rows[i][2:6], rows[i][5] - left, rows[i][5] + depth) for i in members)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    out += _repeats_of(held, least, union)
-                    held = []
-                held.append(row)
-            if out:
-                yield _repeat_batch(out)
-        if held and (out := _repeats_of(held, least, union)):
-            yield _repeat_batch(out)
 
-    return each
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= 10_000:
+            yield _batch(out, FOUND_NAMES, _FOUND_TYPES)
+            out = []
+    if out:
+        yield _batch(out, FOUND_NAMES, _FOUND_TYPES)
+
+
+def _walk(least: int, step: int, cover: bool):
+    """Suffixes sorted by shard (h, low), one shard held at a time."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = groupby(_rows(batches), key=itemgetter(0, 1))
+        yield from _batches((*x, None, None, None, None) for _, rows in shards for x in _shard(list(rows), least, step, cover))
 
-def _repeats_of(rows: list[tuple], least: int, union: bool) -> list[tuple]:
-    places = [(k, t, p) for _, k, t, p, _, _ in rows]
-    found = interval_repeats([r[4] for r in rows], [r[5] for r in rows], places, least, union)
-    return [(h, k, t, p - left, p + right) for (h, k, t, p, _, _), spans in zip(rows, found, strict=True) for left, right in spans]
+    return each
 
 
-def _repeat_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "k", "t", "start", "end"])
+def _stream(least: int, cover: bool):
+    """Suffixes sorted by shard and right context, which share all of a string of ``least`` bytes: the stack scan without holding any.
 
+    All suffixes agree in the ``low`` bytes to the left, so one more byte tells whether they go on (left-extension diversity: a set of
+    two is enough). A row for each suffix with its rank, and one for each maximal repeat with the ranks it spans; ``cover``: the
+    string of each suffix that isn't alone.
+    """
 
-def _strings(min_bytes: int):
-    """The strings of ``min_bytes`` bytes around the anchors of hot shards, each as a seed of its own."""
+    def spans(rows: Iterator[tuple]) -> Iterator[tuple]:
+        h, low, *key, p, left, right = first = next(rows)
+        at = lambda r: (None, *r[2:6], r[5] - low, r[5] + least - low, None, None, None, None)
+        if cover:
+            for i, row in enumerate(rows):
+                if not i:
+                    yield at(first)
+                yield at(row)
+            return
+        stack: list[list] = []  # depth, first rank and left bytes of the open intervals
+        yield None, *key, p, 0, 0, h, low, 0, None
+        rank, beside = 0, {left[low : low + 1] or -1}
+
+        def close(depth: int, own: set, lo: int) -> Iterator[tuple]:
+            nonlocal beside
+            while stack and stack[-1][0] > depth:
+                d, lo, lefts = stack.pop()
+                own = set(list(lefts | own)[:2])
+                if len(own) > 1:
+                    yield name_of(last[6][:low][::-1] + last[7][:d]), *key, 0, low, d, h, low, lo, rank
+            beside, starts[0] = own, lo
+
+        starts, last = [0], first
+        for row in rows:
+            depth = common_prefix(last[7], row[7])
+            yield from close(depth, beside, rank)
+            if stack and stack[-1][0] == depth:
+                stack[-1][2] = set(list(stack[-1][2] | beside)[:2])
+            else:
+                stack.append([depth, starts[0], beside])
+            rank, last = rank + 1, row
+            beside = {row[6][low : low + 1] or -1 - rank}
+            yield None, *row[2:6], 0, 0, h, low, rank, None
+        yield from close(-1, beside, rank)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ks, ts, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4)
-            for piece in B.slices(batch.column(3)):
-                found = []
-                for i in range(piece.lo, piece.hi):
-                    text = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]]
-                    for x in opened[i].as_py():
-                        prefix = A.poly_prefix(text[x["a"] : x["b"] + min_bytes].astype(np.uint64) + np.uint64(1))
-                        at = np.arange(x["b"] - x["a"] + 1)
-                        h = A.poly_span(prefix, at, at + min_bytes).view(np.int64)
-                        one = np.ones(len(at), np.int64)
-                        found.append(dict(zip(A.NAMES, (one, h, one * x["h"], one * ks[i], one * ts[i], at + x["a"], at + x["a"], at + x["a"], one), strict=True)))
-                if found:
-                    yield A.to_batch(A.put_together(A.join([{c: v.astype(t.to_pandas_dtype()) for (c, v), t in zip(f.items(), A._TYPES, strict=True)} for f in found]), later=False))
+        yield from _batches(x for _, rows in groupby(_rows(batches), key=itemgetter(0, 1)) for x in spans(rows))
 
     return each
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removes the spans [a, b) from each text's bytes."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        ids, found = batch.column(2), batch.column(4)
-        for piece in B.slices(batch.column(3)):
+        ids, found = batch.column(3), batch.column(5)
+        for piece in B.slices(batch.column(4)):
             n_removed, spans, kept = [], [], []
             for i in range(piece.lo, piece.hi):
                 text = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]].tobytes()
-                gone: list[list[int]] = []
-                for s, e in sorted({(x["start"], x["end"]) for x in found[i].as_py() or ()}):
-                    if gone and s <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], e)
-                    else:
-                        gone.append([s, e])
+                gone = united((x["a"], x["b"]) for x in found[i].as_py() or ())
                 n_removed.append(sum(e - s for s, e in gone))
                 spans.append([{"start": s, "end": e} for s, e in gone])
                 cuts = [0, *(x for run in gone for x in run), len(text)]
@@ -245,30 +389,83 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def repeats(base: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, max_shard: int = MAX_SHARD, union: bool = False) -> DataFrame:
-    """Every occurrence of every maximal repeat: its anchor's hash h (repeats that share text share it), document and bytes [start, end).
-
-    ``union``: one row for each occurrence of an anchor, with the stretch that its repeats cover together.
+class Repeats:
+    """The repeats of keyed documents: verified runs with the same surroundings, and what the interval trees find among the others."""
+
+    def __init__(self, base: DataFrame, min_bytes: int, seed_bytes: int, shard: int):
+        self.base, self.min_bytes, self.seed_bytes, self.shard = base, min_bytes, seed_bytes, shard
+        self.ws, self.reach = Workspace(base.sparkSession), min_bytes - seed_bytes
+        self.runs = self.ws.keep(A.paired(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.SEEDS), both=True, growth=1.5), "suffix_runs")
+        release(base.sparkSession)
+
+    def equal_runs(self, *, names: bool) -> DataFrame:
+        """Runs that another run equals, byte for byte: x (with ``names``: their content's), document, place and span [a, b)."""
+        blocks = self.base.mapInArrow(_blocks(self.reach, self.min_bytes), BLOCKS)
+        sides = A.side_by_side(self.runs.where(F.col("kind") == A.PAIR), blocks, BLOCK_BYTES)
+        found = self.ws.keep(sides.mapInArrow(_compare(self.min_bytes, self.reach, names), A.SEEDS), "suffix_equal")
+        release(self.base.sparkSession)
+        return found.select("x", *KEY, "p", "a", "b")
+
+    def _walked(self, suffixes: DataFrame, step: int, cover: bool) -> DataFrame:
+        ready = suffixes.repartition(partitions_for(self.base, 2), "h", "low")
+        if step > 1:
+            return ready.sortWithinPartitions("h", "low").mapInArrow(_walk(self.min_bytes, step, cover), FOUND).select(*FOUND_NAMES[:7])
+        found = ready.sortWithinPartitions("h", "low", "right").mapInArrow(_stream(self.min_bytes, cover), FOUND)
+        if cover:
+            return found.select(*FOUND_NAMES[:7])
+        found = self.ws.keep(found, "suffix_ranks")
+        spans = found.where("last is not null").select("repeat", "h", "low", F.col("start").alias("left"), F.col("end").alias("right"), F.explode(F.sequence("rank", "last")).alias("rank"))
+        members = found.where("last is null").select("h", "low", "rank", *KEY, "p")
+        return spans.join(members, ["h", "low", "rank"]).select("repeat", *KEY, "p", (F.col("p") - F.col("left")).alias("start"), (F.col("p") + F.col("right")).alias("end"))
+
+    def trees(self, *, cover: bool) -> DataFrame:
+        """Rows of FOUND, of the first suffix of each class; ``cover``: without names."""
+        suffixes = lambda opened: self.base.join(A.by_document(opened, "h", "a", "b", "p"), KEY).mapInArrow(_suffixes(self.min_bytes), SUFFIXES)
+        opened = self.runs.where(F.col("kind") == A.OPEN).select("h", *KEY, "a", "b", "p")
+        crowded = self.ws.keep(opened.groupBy("h").count().where(F.col("count") > self.shard).select("h"), "suffix_crowded")
+        step = 8 ** math.ceil(math.log(self.reach + 1, 8))  # all left lengths; an eighth at each further level
+        found = self._walked(suffixes(opened.join(crowded, "h", "left_anti")), step, cover)
+        if crowded.isEmpty():
+            return found
+        rows = suffixes(opened.join(crowded, "h", "left_semi"))
+        while True:
+            old, step = step, step // 8
+            rows = self.ws.keep(rows.mapInArrow(_split(old, step, self.min_bytes, self.seed_bytes), SUFFIXES), f"suffix_split_{step}")
+            if step == 1:
+                return found.unionByName(self._walked(rows, step, cover))
+            crowded = self.ws.keep(rows.groupBy("h", "low").count().where(F.col("count") > self.shard).select("h", "low"), f"suffix_crowded_{step}")
+            found = found.unionByName(self._walked(rows.join(crowded, ["h", "low"], "left_anti").select(*rows.columns), step, cover))
+            if crowded.isEmpty():
+                return found
+            rows = rows.join(crowded, ["h", "low"], "left_semi").select(*rows.columns)
+
+
+def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, shard: int = SHARD) -> DataFrame:
+    """Maximal repeats with all their occurrences, a row each: repeat (hash of its bytes), length, n_occurrences, doc_id, start, end.
+
+    A document listed twice is there once. Suffixes that were one leaf of a tree are each an occurrence of what the leaf is part of.
     """
-    spark = base.sparkSession
-    first = materialise(A.settle(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.ROWS), later=False), "suffix_seeds")
-    opened = first.where(F.col("kind") == A.OPEN).select("h", "k", "t", "a", "b", "p")
-    crowded = opened.groupBy("h").count().where(F.col("count") > max_shard).select("h", F.lit(True).alias("hot"))
-    opened = opened.join(crowded, "h", "left")
-    suffixes = base.join(A.by_document(opened.where("hot is null"), "h", "a", "b", "p"), ["k", "t"]).mapInArrow(_suffixes(min_bytes), SUFFIXES)
-    shards = suffixes.repartition(partitions_for(spark), "h").sortWithinPartitions("h").mapInArrow(_shards(min_bytes, union), REPEATS)
-    strings = base.join(A.by_document(opened.where("hot"), "h", "a", "b"), ["k", "t"]).mapInArrow(_strings(min_bytes), A.ROWS)
-    hot = A.settle(strings, later=False)
-    whole = first.unionByName(hot).where(F.col("kind") == A.SETTLED)
-    return shards.unionByName(whole.select("h", "k", "t", F.col("a").alias("start"), (F.col("b") + min_bytes).alias("end")))
-
-
-def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, max_shard: int = MAX_SHARD) -> DataFrame:
+    base = keyed(docs)
+    own = Repeats(base, min_bytes, seed_bytes, shard)
+    places = [*KEY, "p"]
+    equal = own.equal_runs(names=True)
+    pairs = own.runs.where(F.col("kind") == A.PAIR).join(equal.select(*places).distinct(), places, "left_semi").select(*places, *[f"x{c}" for c in places])
+    found = own.ws.keep(own.trees(cover=False), "suffix_found")
+    every = found
+    for _ in range(2):  # a batch's first equal run, and the anchor's
+        step = every.withColumnsRenamed({c: f"x{c}" for c in places}).join(pairs, [f"x{c}" for c in places])
+        step = step.select("repeat", *places, (F.col("start") - F.col("xp") + F.col("p")).alias("start"), (F.col("end") - F.col("xp") + F.col("p")).alias("end"))
+        every = every.unionByName(step)
+    rows = every.select("repeat", *KEY, "start", "end").unionByName(equal.select(F.col("x").alias("repeat"), *KEY, F.col("a").alias("start"), F.col("b").alias("end"))).distinct()
+    ids = base.select(*KEY, "doc_id").distinct()
+    many = rows.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_occurrences"))
+    return rows.join(many, "repeat").join(ids, KEY).select("repeat", (F.col("end") - F.col("start")).alias("length"), "n_occurrences", "doc_id", "start", "end")
+
+
+def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, shard: int = SHARD) -> DataFrame:
     """Per document row: its bytes, the byte runs that occur elsewhere too, and what is left without them."""
-    base = _base(docs)
-    found = A.by_document(repeats(base, min_bytes, seed_bytes, max_shard, union=True), "start", "end")
-    return base.join(found, ["k", "t"], "left").mapInArrow(_apply, RESULT)
+    base = keyed(docs)
+    own = Repeats(base, min_bytes, seed_bytes, shard)
+    equal = own.equal_runs(names=False).select(*KEY, "a", "b")
+    spans = equal.unionByName(own.trees(cover=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
+    return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)
