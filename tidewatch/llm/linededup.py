@@ -11,8 +11,9 @@ lines a word, only words that drop a line are kept.
 Defined results: a null or empty text is one empty line; rows that share an id are
 one document for the count of documents and for the last holder (each such row keeps
 its lines if it holds the largest id); a null id sorts before all ids; equal rows get
-equal bitmaps; an empty table gives no rows; other columns are ignored by ``bitmaps``
-and returned untouched by ``dedup_documents``.
+equal bitmaps; an empty table gives no rows; other columns, whatever their names, are ignored by ``bitmaps``
+and returned untouched by ``dedup_documents``. A very long text is one row; its lines are rows of
+their own, and what comes back to it is a word of bitmap for each 64 lines that lose one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WS, materialise, order_key, partitions_for, text_or_empty, tie_key
+from .common import KEY, WS, Workspace, document_key, partitions_for, text_or_empty
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -38,16 +39,15 @@ def line_key(line: Column) -> Column:
 
 def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Two hashes of each long line's key (128 bits: none of a large corpus' lines meet by chance), and its place."""
-    lines = docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.posexplode(F.split(text_or_empty("text"), "\n")).alias("pos", "line"))
-    lines = lines.select("k", "t", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return lines.select("k", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    lines = docs.select(*document_key(), F.posexplode(F.split(text_or_empty("text"), "\n")).alias("pos", "line"))
+    lines = lines.select(*KEY, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return lines.select(*KEY, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
 def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """Keys of at least ``min_docs`` documents and the largest document that holds each."""
-    spark = lines.sparkSession
     salted = lines.select("h1", "h2", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt"), "k", "pos")
-    ranged = salted.repartitionByRange(partitions_for(spark), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("k"), "pos")
+    ranged = salted.repartitionByRange(partitions_for(lines), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("k"), "pos")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("k"))
     before = F.lag("k").over(stream)
     firsts = ranged.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("k")))
@@ -56,16 +56,16 @@ def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k, t, n_dropped, dropped): for each document that loses lines, a sparse bitmap of the lines it loses.
+    """(k, t, u, n_dropped, dropped): for each document that loses lines, a sparse bitmap of the lines it loses.
 
     ``dropped`` maps a word's number to its 64 bits; lines of other words are kept.
     """
-    # Hashes only, dealt by document: range sampling, the stream and the join all read this one shuffle.
-    lines = long_lines(docs, min_chars).repartition(partitions_for(docs.sparkSession), "k")
-    doomed = lines.join(materialise(frequent_keys(lines, min_docs), "line_keys"), ["h1", "h2"]).where(F.col("k") != F.col("last"))
-    words = doomed.groupBy("k", "t", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))).alias("bits"))
-    per_doc = words.groupBy("k", "t").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
-    return per_doc
+    # Hashes and places only, written once: range sampling, the stream and the join read them, and no text is split twice.
+    ws = Workspace(docs.sparkSession)
+    lines = ws.keep(long_lines(docs, min_chars), "lines")
+    doomed = lines.join(ws.keep(frequent_keys(lines, min_docs), "line_keys"), ["h1", "h2"]).where(F.col("k") != F.col("last"))
+    words = doomed.groupBy(*KEY, F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))).alias("bits"))
+    return words.groupBy(*KEY).agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -77,9 +77,10 @@ def kept_text(text: Column, dropped: Column) -> Column:
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with two columns more, ``__line_n_dropped`` and ``__line_dropped`` (null: all lines are kept)."""
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    maps = bitmaps(plain, min_chars, min_docs).select(F.col("k").alias(f"{P}k"), F.col("t").alias(f"{P}t"), F.col("n_dropped").alias(f"{P}n_dropped"), F.col("dropped").alias(f"{P}dropped"))
-    on = (order_key("doc_id") == F.col(f"{P}k")) & (tie_key("text") == F.col(f"{P}t"))
-    return docs.join(maps, on, "left").drop(f"{P}k", f"{P}t")
+    maps = bitmaps(plain, min_chars, min_docs).withColumnsRenamed({c: f"{P}{c}" for c in [*KEY, "n_dropped", "dropped"]})
+    own = docs.withColumns({f"{P}own_{c}": x for c, x in zip(KEY, document_key(), strict=True)})
+    on = [F.col(f"{P}own_{c}") == F.col(f"{P}{c}") for c in KEY]
+    return own.join(maps, on, "left").drop(*[f"{P}{x}" for c in KEY for x in (c, f"own_{c}")])
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
