@@ -74,9 +74,10 @@ m AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string
       FROM d LEFT JOIN rw ON d.doc_id = rw.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-mv AS (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v FROM h),
-prior AS (SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM mv),
-bad AS (SELECT source FROM h, prior WHERE (f + k * m) / (n + k) > 0.75)
+s AS (SELECT count(*)::DOUBLE AS hosts, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares, sum(f) / sum(n) AS m, sum(f * f / n) AS raw FROM h),
+r AS (SELECT *, m * (1 - m) * (total - squares / total - (hosts - 1)) AS freedom FROM s),
+prior AS (SELECT m, 1 / least(0.5, greatest(1e-6, CASE WHEN freedom > 0 THEN (raw - total * m * m - m * (1 - m) * (hosts - 1)) / freedom ELSE 0 END)) - 1 AS k FROM r),
+bad AS (SELECT source FROM h, prior WHERE (f + k * m) / (n + k) > m + 0.5 * (1 - m))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
 FROM b

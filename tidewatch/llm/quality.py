@@ -2,8 +2,9 @@
 
 Each document is measured by itself. Its base failure is then counted per host
 (column ``source``), and a host's failure rate is shrunk towards the corpus with a
-beta prior fitted to the hosts by the method of moments. A host whose shrunken rate
-exceeds ``max_host_failure`` rejects all its documents.
+beta prior fitted to the hosts by the method of moments. The limit follows the prior: a host whose
+shrunken rate lies more than ``HOST_EXCESS`` of the way from the corpus rate to 1
+rejects all its documents.
 
 Counts are summed per host and task before they are shuffled, so a hot host costs
 no more than another; verdicts go back by a join with the rejected hosts alone,
@@ -11,8 +12,9 @@ whose table is written first so that Spark knows its size and broadcasts it only
 
 Defined results: a null or empty text has no words and fails; a null host is no
 host: its documents count for none and get no host verdict; equal rows count and are
-returned each by itself; an empty table gives no rows; other columns are ignored by
-``assess`` unless listed in ``keep`` and returned untouched by ``filter_documents``.
+returned each by itself; an empty table gives no rows and no prior; other columns, whatever their
+names, are ignored by ``assess`` and returned untouched by ``filter_documents``. A very long
+text is measured in its row, in arrays as long as its words.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CLASS, materialise, text_or_empty
+from .common import WS, WS_CLASS, Workspace, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_HOST_FAILURE = 0.75
+HOST_EXCESS = 0.5
 P = "__quality_"
 
 
@@ -78,35 +80,46 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
-    """Per host its documents, failures and shrunken failure rate.
+    """Per host its documents, failures, shrunken failure rate and the rate above which it is rejected.
 
-    Mean m and variance v of the hosts' raw rates give the prior's strength
-    k = m (1 - m) / v - 1, bounded to [1, 1e6]; the rate is (failures + k m) / (documents + k).
+    The prior is a beta distribution with the corpus rate m as its mean. Its strength k comes from the
+    hosts' spread beyond what sampling alone would give (moments of the beta-binomial):
+    rho = (S - m (1 - m) (H - 1)) / (m (1 - m) (N - Q / N - (H - 1))), k = 1 / rho - 1, with H hosts, N documents,
+    Q the sum of squared sizes and S the sum of size * (raw rate - m)^2; rho is bounded to [1e-6, 0.5].
+    The shrunken rate is (failures + k m) / (documents + k), the limit m + ``HOST_EXCESS`` (1 - m).
     """
     hosts = rows.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failures"))
-    raw = F.col("failures") / F.col("n")
-    prior = hosts.agg((F.sum("failures") / F.sum("n")).alias("m"), F.var_pop(raw).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    k = F.when(v > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
-    prior = prior.select("m", k.alias("k"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failures", ((F.col("failures") + F.col("k") * m) / (F.col("n") + F.col("k"))).alias("rate"))
+    f, n = F.col("failures").cast("double"), F.col("n").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("total"), F.sum(n * n).alias("squares"), F.sum(f).alias("failed"), F.sum(f * f / n).alias("raw"))
+    m, spare = F.col("m"), F.col("hosts") - 1
+    within = m * (1 - m)
+    freedom = within * (F.col("total") - F.col("squares") / F.col("total") - spare)
+    rho = F.when(freedom > 0, (F.col("raw") - F.col("total") * m * m - within * spare) / freedom).otherwise(F.lit(0.0))
+    prior = sums.withColumn("m", F.col("failed") / F.col("total")).select("m", F.least(F.lit(0.5), F.greatest(F.lit(1e-6), rho)).alias("rho")).select("m", (1 / F.col("rho") - 1).alias("k"))
+    shrunken = (F.col("failures") + F.col("k") * m) / (F.col("n") + F.col("k"))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failures", shrunken.alias("rate"), m.alias("corpus_rate"))
 
 
-def assess(docs: DataFrame, max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
+def rejected_hosts(rows: DataFrame, host_excess: float) -> DataFrame:
+    m = F.col("corpus_rate")
+    return host_rates(rows, "source", f"{P}base_failed").where(F.col("rate") > m + host_excess * (1 - m)).select("host")
+
+
+def assess(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
     """doc_id, the measures, base_failed, the host's verdict and ``kept``, one row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = materialise(measures(rows, ["doc_id", "source"]), "quality")
-    bad = host_rates(rows, "source", f"{P}base_failed").where(F.col("rate") > max_host_failure)
-    bad = materialise(bad.select("host"), "quality_hosts").withColumn("host_failed", F.lit(True))
+    ws = Workspace(docs.sparkSession)
+    rows = ws.keep(measures(rows, ["doc_id", "source"]), "measures")
+    bad = ws.keep(rejected_hosts(rows, host_excess), "hosts").withColumn("host_failed", F.lit(True))
     out = rows.join(bad, rows["source"] == bad["host"], "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"{P}{x}").alias(x) for x in names], "host_failed", (~F.col(f"{P}base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
+def filter_documents(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
     """``docs`` with their own columns, without the documents that the base rules or their host reject."""
-    rows = materialise(measures(docs, docs.columns), "quality_docs")
-    bad = host_rates(rows, "source", f"{P}base_failed").where(F.col("rate") > max_host_failure)
-    bad = materialise(bad.select(F.col("host").alias(f"{P}host")), "quality_hosts")
+    ws = Workspace(docs.sparkSession)
+    rows = ws.keep(measures(docs, docs.columns), "measures")
+    bad = ws.keep(rejected_hosts(rows, host_excess).withColumnRenamed("host", f"{P}host"), "hosts")
     kept = rows.where(~F.col(f"{P}base_failed"))
     return kept.join(bad, kept["source"] == bad[f"{P}host"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
