@@ -13,14 +13,16 @@ expanded into pairs: in each round one member of a bucket is its star, and every
 verified against one of its buckets' stars, their shingle sets compared exactly; verified
 links (Jaccard of ``SIMILARITY`` or more) join components. After ``ROUNDS`` rounds only members of one
 bucket that are still in different components are left. In small buckets their pairs are
-verified; in large ones they meet in blocks of bounded size, where the shared shingles of
-every pair are counted on the spot and only links that join components leave the task.
+verified; in large ones they meet in blocks of bounded size, the largest component's members
+with the others only, where the shared shingles of every pair are counted on the spot and
+only links that join components leave the task.
 
 Defined results: a text without words has no shingle and is a class of its own; one of
 fewer than five words is one shingle; equal texts are in one class; a class is named by
 its least doc_id (null ids come first and name the class null); equal rows get equal
-classes, of which ``keep_one`` keeps one row; an empty table gives no rows; other columns
-are ignored by ``classes`` and returned untouched by ``keep_one``.
+classes, of which ``keep_one`` keeps one row; an empty table gives no rows; other columns, whatever
+their names, are ignored by ``classes`` and returned untouched by ``keep_one``. A very long text
+is one row: its shingles are hashed in slices, and one text's set is held at a time beside a star's.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import NULL_KEY, materialise, order_key, partitions_for, tie_key
+from .common import KEY, NULL_KEY, Workspace, document_key, keyed, partitions_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -96,13 +98,13 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray], m: int = REGIS
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in B.slices(batch.column(3), 1 << 20):
+        for piece in B.slices(batch.column(4), 1 << 20):
             found = list(shingle_sets(piece))
             full = [i for i, (s, _) in enumerate(found) if len(s)]
             signed = signatures([found[i][0] for i in full], [np.ones(len(found[i][0])) for i in full])
             which = np.array(full, np.int64) + piece.lo
-            columns = [batch.column(i).take(pa.array(which)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed], pa.binary())], ["k", "t", "h", "signature"])
+            columns = [batch.column(i).take(pa.array(which)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed], pa.binary())], [*KEY, "h", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,29 +150,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets are similar enough. ``texts``: id, text."""
-    spark = pairs.sparkSession
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
     salted = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("id"))
     stars = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
     rows = salted.unionByName(stars).join(texts, "id").select("a", "salt", "id", "text")
-    ready = rows.repartition(partitions_for(spark), "a", "salt").sortWithinPartitions("a", "salt", (F.col("id") != F.col("a")).cast("int"), "id")
+    ready = rows.repartition(partitions_for(texts), "a", "salt").sortWithinPartitions("a", "salt", (F.col("id") != F.col("a")).cast("int"), "id")
     return ready.mapInArrow(_verify, "a long, b long")
 
 
-def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def join_components(ws: Workspace, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Labels (id, label) after the links (a, b) have joined their components; the least label wins."""
+    step = 0
     while True:
         a, b = labels.withColumnsRenamed({"id": "a", "label": "x"}), labels.withColumnsRenamed({"id": "b", "label": "y"})
         edges = links.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         # To each label its least neighbour if that is less; then along the chain, as far as three steps see.
-        up = materialise(edges.groupBy("x").agg(F.min("y").alias("y")), "labels_up")
+        up = ws.keep(edges.groupBy("x").agg(F.min("y").alias("y")), f"{name}_up_{step}")
         if up.isEmpty():
             return labels
         for _ in range(2):
             far = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
             up = up.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
         moved = labels.join(up, labels["label"] == up["x"], "left").select("id", F.coalesce("y", "label").alias("label"))
-        labels = materialise(moved, "labels")
+        labels, step = ws.keep(moved, f"{name}_labels_{step}"), step + 1
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -247,47 +249,67 @@ def _stretches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def components(texts_of: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, label) of the representatives that share a bucket with another one. reps: id, k, t, signature; texts_of: k, t, text."""
+def _dealt(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows of a pair of blocks together; ``like``: a written table about as large."""
+    return rows.repartition(partitions_for(like), "bucket", "left", "right").sortWithinPartitions("bucket", "band", "left", "right", "id")
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt over blocks of the bucket: a row for each pair of blocks that has to meet.
+
+    A bucket's largest component needs no comparison within itself, so its members meet the others only:
+    with n members, r of which are not in that component, r / ``BLOCK_ROWS`` times n / ``BLOCK_ROWS`` pairs of blocks.
+    """
+    seen = members.join(labels, "id")
+    sizes = seen.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
+    open_ = open_.select("bucket", "size", F.col("most.label").alias("main"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("size") - F.col("most.n")).alias("rests"))
+    rows = seen.join(open_, "bucket")
+    is_main, spread = F.col("label") == F.col("main"), F.xxhash64("id")
+    block = F.when(is_main, F.col("rests") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "rests")).cast("int")
+    last = F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "label", "size")
+
+
+def components(ws: Workspace, texts_of: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, label) of the representatives that share a bucket with another one. reps: id, k, t, u, signature; texts_of: k, t, u, text."""
     banded = reps.select("id", "signature").mapInArrow(_bands, "id long, band int, bucket long")
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(banded.join(sizes, "bucket"), "near_buckets")
-    labels = materialise(members.select("id").distinct().withColumn("label", F.col("id")), "labels")
-    wanted = labels.join(reps.select("id", "k", "t"), "id").select("id", "k", "t")
-    texts = materialise(texts_of.join(wanted, ["k", "t"]).dropDuplicates(["k", "t"]).select("id", "text"), "near_texts")
+    members = ws.keep(banded.join(sizes, "bucket"), "buckets")
+    labels = ws.keep(members.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    wanted = labels.join(reps.select("id", *KEY), "id").select("id", *KEY)
+    texts = ws.keep(texts_of.join(wanted, KEY).dropDuplicates(KEY).select("id", "text"), "texts")
     for i in range(rounds):
         # One pair for each text: of the stars of its buckets that are in another component, the one that comes first in this round's order.
         stars = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64(F.lit(i), "id")).alias("star"))
         a, b = labels.withColumnsRenamed({"id": "star", "label": "x"}), labels.withColumnRenamed("label", "y")
         pairs = members.join(stars, "bucket").where("id <> star").select("id", "star").distinct().join(a, "star").join(b, "id").where("x <> y")
         pairs = pairs.groupBy("id").agg(F.min_by("star", F.xxhash64(F.lit(i), "star")).alias("a")).select("a", F.col("id").alias("b"))
-        links = materialise(verified(pairs, texts), "near_links")
+        links = ws.keep(verified(pairs, texts), f"links_{i}")
         if links.isEmpty():
             break
-        labels = join_components(labels, links)
+        labels = join_components(ws, labels, links, f"round_{i}")
     # What is left: members of one bucket in several components.
-    seen = members.join(labels, "id")
-    open_ = seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-    rows = seen.join(open_, "bucket").join(reps.select("id", "signature"), "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "label", "signature", "size")
-    dealt = lambda df: df.repartition(partitions_for(df.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "band", "left", "right", "id")
-    few = dealt(rows.where(F.col("size") <= SMALL_BUCKET).drop("size")).mapInArrow(_pairs, "a long, b long").distinct()
-    many = dealt(rows.where(F.col("size") > SMALL_BUCKET).drop("size").join(texts, "id").select("bucket", "band", "left", "right", "block", "id", "label", "signature", "text")).mapInArrow(_links, "a long, b long")
-    return join_components(labels, materialise(verified(few, texts).unionByName(many), "near_links"))
+    rows = _open_members(members, labels).join(reps.select("id", "signature"), "id")
+    names = ["bucket", "band", "left", "right", "block", "id", "label", "signature"]
+    few = _dealt(rows.where(F.col("size") <= SMALL_BUCKET).select(*names), members).mapInArrow(_pairs, "a long, b long").distinct()
+    many = _dealt(rows.where(F.col("size") > SMALL_BUCKET).join(texts, "id").select(*names, "text"), texts).mapInArrow(_links, "a long, b long")
+    return join_components(ws, labels, ws.keep(verified(few, texts).unionByName(many), "links_last"), "last")
 
 
 def _classed(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(k, t, doc_id, text, h) of each row; and of each text with shingles its hash h and its class's least document (ck, ct)."""
-    base = docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(k, t, u, doc_id, text, h) of each row; and of each text with shingles its hash h and its class's least document (ck, ct, cu)."""
+    ws, base = Workspace(docs.sparkSession), keyed(docs)
     hashed = base.withColumn("h", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    signed = hashed.select("k", "t", "h", "text").mapInArrow(_signed, "k long, t long, h binary, signature binary")
-    firsts = signed.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.first("signature").alias("signature"))
-    reps = materialise(firsts.withColumn("id", F.monotonically_increasing_id()), "near_reps")
-    labels = components(base.select("k", "t", "text"), reps, rounds)
-    named = reps.select("id", "h", "k", "t").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least = named.groupBy("label").agg(F.min(F.struct("k", "t")).alias("c"))
-    return hashed, materialise(named.join(least, "label").select("h", F.col("c.k").alias("ck"), F.col("c.t").alias("ct")), "near_classes")
+    signed = hashed.select(*KEY, "h", "text").mapInArrow(_signed, "k long, t long, u long, h binary, signature binary")
+    firsts = signed.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("signature").alias("signature"))
+    reps = ws.keep(firsts.withColumn("id", F.monotonically_increasing_id()), "reps")
+    labels = components(ws, base.select(*KEY, "text"), reps, rounds)
+    named = reps.select("id", "h", *KEY).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = named.groupBy("label").agg(F.min(F.struct(*KEY)).alias("c"))
+    return hashed, ws.keep(named.join(least, "label").select("h", *[F.col(f"c.{c}").alias(f"c{c}") for c in KEY]), "classes")
 
 
 def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -301,9 +323,9 @@ def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with their own columns, of each class the row with the least doc_id; rows without shingles stay."""
     hashed, named = _classed(docs, rounds)
-    firsts = named.select(F.col("ck").alias("__near_k"), F.col("ct").alias("__near_t")).distinct()
-    keys = docs.withColumn("__near_own_k", order_key("doc_id")).withColumn("__near_own_t", tie_key("text"))
+    firsts = named.select(*[F.col(f"c{c}").alias(f"__near_{c}") for c in KEY]).distinct()
+    keys = docs.withColumns({f"__near_own_{c}": x for c, x in zip(KEY, document_key(), strict=True)})
     blank = F.col("text").isNull() | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == "")
-    kept = keys.where(~blank).join(firsts, (F.col("__near_own_k") == F.col("__near_k")) & (F.col("__near_own_t") == F.col("__near_t")), "left_semi")
-    kept = kept.dropDuplicates(["__near_own_k", "__near_own_t"])
+    kept = keys.where(~blank).join(firsts, [F.col(f"__near_own_{c}") == F.col(f"__near_{c}") for c in KEY], "left_semi")
+    kept = kept.dropDuplicates([f"__near_own_{c}" for c in KEY])
     return kept.unionByName(keys.where(blank)).select(*[F.col(f"`{c}`") for c in docs.columns])
