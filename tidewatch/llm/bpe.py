@@ -14,7 +14,8 @@ The table is each Python worker's own. One for the whole cluster would need ever
 and its ids in a shuffle, more than the text itself.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; equal rows
-each give their own row; an empty table gives no rows; other columns are ignored.
+each give their own row; an empty table gives no rows; other columns, whatever their names, are
+ignored. A very long text is one row, encoded chunk by chunk.
 """
 
 from __future__ import annotations

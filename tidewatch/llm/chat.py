@@ -12,7 +12,9 @@ the code point ranges of the assistants' texts in the formatted string.
 
 Defined results: rows are ordered by turn (null first), then role and text; a null role
 or text is empty; rows with a null conv_id form one conversation; repeated rows are
-repeated turns; an empty table gives no rows; other columns are ignored.
+repeated turns; an empty table gives no rows; other columns, whatever their names, are ignored.
+A conversation is formatted in one row, since that is what it comes to: a very long one needs
+memory for a few copies of itself in the task that holds it, and no more than that.
 """
 
 from __future__ import annotations

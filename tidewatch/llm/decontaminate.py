@@ -4,11 +4,14 @@ The benchmark's normalised windows are hashed and sent to every task; a task has
 the windows of its documents, looks them up, and compares each hit word for word
 with the benchmark's own words before it counts. The benchmark is small by nature,
 but that is checked: one of more than ``block_bytes`` is dealt into blocks by item,
-each broadcast and scanned in turn, and the hits of the blocks are then united.
+each built, broadcast, scanned for and destroyed in turn, and the hits of the blocks are then united.
 
 Defined results: a null or empty text has no words and no hits; an item without words
 has no window; items that share an id are one item, and a null item id counts as the
-id ``null``; equal document rows each give their own row; other columns are ignored.
+id ``null``; equal document rows each give their own row; an empty table of documents
+gives no rows, an empty benchmark no hits; other columns, whatever their names, are ignored by
+``scan`` and returned untouched by ``remove``. A very long text is one row: its words are
+hashed in slices, and its hits are runs, not words.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import materialise, order_key, text_or_empty, tie_key
+from .common import KEY, Workspace, keyed, text_or_empty
+from .substrings import united
 
 NGRAM = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 HITS = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 _FILTER_BITS = 20
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 class Windows:
@@ -92,56 +98,72 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _blocks(benchmark: DataFrame, ngram: int, block_bytes: int) -> Iterator[Windows]:
+def _blocks(benchmark: DataFrame, ngram: int, block_bytes: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks there are, and the windows of each, built one at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_or_empty("text").alias("text")).where("text <> ''")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
-        yield Windows([(r.item, r.text) for r in part.toLocalIterator()], ngram)
+
+    def each() -> Iterator[Windows]:
+        for i in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
+            yield Windows([(r.item, r.text) for r in part.toLocalIterator()], ngram)
+
+    return n, each()
+
+
+def _scan(shared: Broadcast, only_hits: bool):
+    """Key, id, words, hits and items of each document; ``only_hits``: of those that have any."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in B.slices(batch.column(4)):
+                _, _, before, mask, items = shared.value.find(piece)
+                hits, found = [], []
+                for r in range(len(before) - 1):
+                    lo, hi = before[r], before[r + 1]
+                    s, e = _runs(mask[lo:hi]) if mask[lo:hi].any() else ((), ())
+                    hits.append([{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)])
+                    found.append(sorted(items.get(r, ())))
+                head = [batch.column(i).slice(piece.lo, piece.hi - piece.lo) for i in range(4)]
+                rest = [pa.array(np.diff(before), pa.int64()), pa.array(hits, _SPANS), pa.array(found, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([*head, *rest], [*KEY, "doc_id", "n_words", "hits", "items"])
+                yield out.filter(pa.array([bool(h) for h in hits])) if only_hits else out
+
+    return each
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words counted, and the blocks' hits of each document united."""
+    table = B.letter_digit_table()
+    for batch in batches:
+        for piece in B.slices(batch.column(4)):
+            low = np.frombuffer(piece.buf.tobytes().translate(B.LOWER), np.uint8)
+            _, _, before = B.Slice(piece.lo, piece.hi, low, piece.offsets).words(table)
+            own = batch.slice(piece.lo, piece.hi - piece.lo)
+            hits = [[{"start": s, "end": e} for s, e in united((x["start"], x["end"]) for x in found or ())] for found in own.column(5).to_pylist()]
+            items = [sorted(set(x or ())) for x in own.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(3), pa.array(np.diff(before), pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: its words, the runs of hit words [start, end), and the items with occurring windows."""
-    spark = docs.sparkSession
-    parts = []
-    for block in _blocks(benchmark, ngram, block_bytes):
+    spark, rows = docs.sparkSession, keyed(docs)
+    n, blocks = _blocks(benchmark, ngram, block_bytes)
+    scanned = f"k long, t long, u long, {HITS}"
+    if n == 1:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(next(blocks)), False), scanned).drop(*KEY)
+    # Several blocks: one is broadcast at a time, and only documents with hits are written for each.
+    ws, parts = Workspace(spark), []
+    for i, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(block)
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in B.slices(batch.column(1)):
-                    _, _, before, mask, items = shared.value.find(piece)
-                    hits, found = [], []
-                    for r in range(len(before) - 1):
-                        lo, hi = before[r], before[r + 1]
-                        s, e = _runs(mask[lo:hi]) if mask[lo:hi].any() else ((), ())
-                        hits.append([{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)])
-                        found.append(sorted(items.get(r, ())))
-                    ids = batch.column(0).slice(piece.lo, piece.hi - piece.lo)
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    rest = [pa.array(np.diff(before), pa.int64()), pa.array(hits, kind), pa.array(found, pa.list_(pa.string()))]
-                    tail = [batch.column(2).slice(piece.lo, piece.hi - piece.lo)] if batch.num_columns > 2 else []
-                    names = ["doc_id", "n_words", "hits", "items"] + ["tie"] * len(tail)
-                    yield pa.RecordBatch.from_arrays([ids, *rest, *tail], names)
-
-        parts.append(each)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(parts) == 1:
-        return rows.mapInArrow(parts[0], HITS)
-    # Several blocks: equal rows (same id and text) are united, so they come back once with their count.
-    rows = rows.withColumn("tie", tie_key("text"))
-    out = None
-    for each in parts:
-        one = rows.mapInArrow(each, f"{HITS}, tie long")
-        out = one if out is None else out.unionByName(one)
-    copies = F.count(F.lit(1)) / len(parts)
-    words = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))))
-    merged = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), F.sort_array(words).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies.cast("int").alias("n"))
-    first = F.filter("w", lambda x: ~F.array_contains("w", x - 1))
-    last = F.filter("w", lambda x: ~F.array_contains("w", x + 1))
-    runs = F.zip_with(first, last, lambda a, b: F.named_struct(F.lit("start"), a, F.lit("end"), (b + 1).cast("int")))
-    return merged.select("doc_id", "n_words", runs.alias("hits"), "items", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
+        parts.append(ws.keep(rows.mapInArrow(_scan(shared, True), scanned), f"hits_{i}"))
+        shared.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return rows.join(merged, KEY, "left").mapInArrow(_united, HITS)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,7 +174,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
     where = docs.columns.index("text")
-    for block in _blocks(benchmark, ngram, block_bytes):
+    n, blocks = _blocks(benchmark, ngram, block_bytes)
+    ws = Workspace(docs.sparkSession) if n > 1 else None
+    for i, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -178,4 +202,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram
                     yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
         docs = docs.mapInArrow(each, docs.schema)
+        if ws:
+            docs = ws.keep(docs, f"clean_{i}")
+            shared.destroy()
     return docs

@@ -16,7 +16,8 @@ lasts, and documents are put together from the pieces' ids.
 
 Defined results: a null or empty text has the end id only; a null doc_id comes before all
 others and is read back as null; rows with equal ids are ordered by their text's hash;
-an empty table gives no shards and no rows; other columns are ignored.
+an empty table gives no shards and no rows; other columns, whatever their names, are ignored. A very long text
+is encoded whole, and its ids cross as many blocks as they need.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytetext as B
-from .common import materialise, order_key, partitions_for, scratch_dir, tie_key
+from .common import KEY, keyed, materialise, partitions_for, scratch_dir
 
 MAGIC, VERSION_END = b"BITPLN01", b"BITPLNIX"
 BLOCK = 1 << 16
@@ -50,7 +51,7 @@ PIECES = 1_000_000
 ENCODE_BYTES = 4 << 20
 _BLOCK = struct.Struct("<QII32I")
 _FOOT = struct.Struct("<QQQQ8s")
-MANIFEST = "k long, t long, shard string, n_docs long, n_ids long, bytes long"
+MANIFEST = "k long, t long, u long, shard string, n_docs long, n_ids long, bytes long"
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -296,12 +297,12 @@ def _write(folder: str, path: str | None, end_id: int, shard_ids: int, block: in
             done.append((*row, sum(len(d[0]) for d in writer.docs), writer.n_ids, writer.at))
 
         for batch in batches:
-            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            for piece in B.slices(batch.column(3), ENCODE_BYTES):
+            ks, ts, us = (batch.column(i).to_numpy() for i in range(3))
+            known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            for piece in B.slices(batch.column(4), ENCODE_BYTES):
                 if writer is None:
                     name = f"tokens-{uuid.uuid4().hex}.bpl"
-                    writer, row = ShardWriter(fs.open_output_stream(f"{base}/{name}"), block), (int(ks[piece.lo]), int(ts[piece.lo]), name)
+                    writer, row = ShardWriter(fs.open_output_stream(f"{base}/{name}"), block), (int(ks[piece.lo]), int(ts[piece.lo]), int(us[piece.lo]), name)
                 texts = [piece.buf[a:b].tobytes() for a, b in zip(piece.offsets, piece.offsets[1:], strict=False)]
                 ids, counts = own.encode(texts, end_id)
                 writer.add(ks[piece.lo : piece.hi], known[piece.lo : piece.hi], counts, ids)
@@ -311,7 +312,7 @@ def _write(folder: str, path: str | None, end_id: int, shard_ids: int, block: in
         if writer is not None:
             finish()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], ["k", "t", "shard", "n_docs", "n_ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], [*KEY, "shard", "n_docs", "n_ids", "bytes"])
 
     return each
 
@@ -322,8 +323,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
     folder = folder or f"{scratch_dir(spark)}/tokens"
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    rows = docs.select(order_key("doc_id").alias("k"), tie_key("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions_for(spark), "k", "t").sortWithinPartitions("k", "t")
+    rows = keyed(docs)
+    ranged = rows.repartitionByRange(partitions_for(rows), *KEY).sortWithinPartitions(*KEY)
     return folder, materialise(ranged.mapInArrow(_write(folder, path, end_id, shard_ids, block), MANIFEST), "token_manifest")
 
 
@@ -350,6 +351,6 @@ def _read(folder: str):
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document."""
-    before = F.sum("n_ids").over(Window.orderBy("k", "t", "shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_ids").over(Window.orderBy(*KEY, "shard").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.withColumn("first", F.coalesce(before, F.lit(0).cast("long"))).select("shard", "bytes", "first")
-    return placed.repartition(partitions_for(spark), "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(partitions_for(placed), "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")

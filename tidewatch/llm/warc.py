@@ -14,7 +14,8 @@ Defined results: a null html is an empty payload; a null url leaves out the targ
 and line ends in a url are percent-encoded; null page ids are read back as null and
 revisit the group's largest id (a group without any id has responses only); rows that
 share the largest id are all responses; an empty table gives no archives and no rows;
-other columns are ignored.
+other columns, whatever their names, are ignored. A very long page is one record and one frame,
+which a task holds once; archives roll after it.
 """
 
 from __future__ import annotations
@@ -175,8 +176,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     dictionary = train_dictionary(rows)
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= min_revisit, F.sha2(F.col("html").cast("binary"), 256)))
-    groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("key", "keeper")
+    # Pages too small for revisits get a key of their own: they meet nobody, and spread over the join's partitions.
+    large = F.octet_length("html") >= min_revisit
+    rows = rows.withColumn("key", F.when(large, F.sha2(F.col("html").cast("binary"), 256)).otherwise(F.hex(F.xxhash64("page_id", "url", "html"))))
+    groups = rows.where(large).groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("key", "keeper")
     rows = rows.join(groups, "key", "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False)), F.col("keeper"))
     written = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(folder, dictionary, roll_bytes), MANIFEST)
@@ -210,4 +213,4 @@ def _read(folder: str, payloads: bool):
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the manifest's archives, one row each; with ``payloads`` also what responses hold."""
-    return manifest.select("archive", "records").repartition(partitions_for(spark), "archive").mapInArrow(_read(folder, payloads), RECORDS + ", payload binary" * payloads)
+    return manifest.select("archive", "records").repartition(partitions_for(manifest), "archive").mapInArrow(_read(folder, payloads), RECORDS + ", payload binary" * payloads)
