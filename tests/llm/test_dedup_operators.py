@@ -162,27 +162,19 @@ def test_groups_hold_every_occurrence(make, shard):
 # Words and bytes decide, not hashes
 
 
-def _side(cls, own, other, runs, **kw):
+def test_equal_hashes_of_other_texts_remove_nothing():
+    """Two runs whose anchors' hashes met, with one word that differs: only what agrees on both sides of it is a repeat."""
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("p", pa.int32())]))
-    columns = [pa.array([x]) for x in (7, 1, 1)] + [pa.array([x], pa.int32()) for x in (0, 0, 0)] + [pa.array([runs], kind), pa.array([own], pa.binary()), pa.array([other], pa.binary())]
-    batch = pa.RecordBatch.from_arrays(columns, ["k", "t", "u", "block", "xblock", "shift", "runs", "content", "other"])
-    return [(r["kind"], r["a"], r["b"]) for out in cls._compare(**kw)(iter([batch])) for r in out.to_pylist()]
-
-
-def test_equal_hashes_of_other_texts_remove_nothing():
-    """A pair whose hashes met, with one word (one byte) that differs inside its only window."""
-    words = [f"w{i}" for i in range(20)]
-    other = [*words[:9], "else", *words[10:]]
-    runs = [{"a": 0, "b": 0, "p": 3}]
-    kw = {"min_words": 20, "before": 12}
-    assert _side(substrings, " ".join(words).encode(), " ".join(words).encode(), runs, again=True, **kw) == [(3, 0, 20)]
-    assert _side(substrings, " ".join(words).encode(), " ".join(other).encode(), runs, again=False, **kw) == []
-    assert [x[0] for x in _side(substrings, " ".join(words).encode(), " ".join(other).encode(), runs, again=True, **kw)] == [0]  # it may still repeat a third text
-    kw = {"min_bytes": 40, "before": 30, "names": False}
-    assert _side(suffixes, b"x" * 50, b"x" * 50, [{"a": 2, "b": 4, "p": 9}], **kw) == [(3, 2, 44)]
-    assert _side(suffixes, b"x" * 50, b"x" * 30 + b"y" + b"x" * 19, [{"a": 2, "b": 4, "p": 9}], **kw) == []
+    words = [f"w{i}" for i in range(50)]
+    other = [*words[:24], "else", *words[25:]]
+    for own, expected in ((words, [(0, 30)]), (other, [(0, 4), (25, 30)]), ([f"x{i}" for i in range(50)], [])):
+        rows = [(7, 1, 0, 0, 0, 8, " ".join(words).encode()), (7, 2, 0, 0, 0, 8, " ".join(own).encode())]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["h", "k", "t", "u", "a", "p", "words"])
+        found = [r for out in substrings._extend(20)(iter([batch])) for r in out.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in found if r["kind"] == 0) == expected
+        covered = {i for s, e in expected for i in range(s, e + 1)}
+        assert sorted(r["a"] for r in found if r["kind"] == 1) == sorted(set(range(31)) - covered)  # these may still repeat a third text
 
 
 def test_substrings_of_many_shapes(make):

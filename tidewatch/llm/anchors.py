@@ -1,25 +1,23 @@
-"""Seeds for repeats: winnowed anchors, how their occurrences are paired, and how pairs are compared.
+"""Seeds for repeats: winnowed anchors, the runs of windows they stand for, and classes of equal runs.
 
 A repeat of at least L units (words or bytes) is a window of L units that occurs twice.
 Every window is represented by one anchor: the k-gram with the least hash inside it
 (the rightmost of equals), so that equal windows meet at equal anchors. Neighbouring
-windows with one anchor form a run.
-
-Occurrences of an anchor are streamed in order; each is paired with one representative,
-the first of its group, so a group of n makes n - 1 pairs. Equal runs of an Arrow
-batch are paired before anything is shuffled: an anchor that a third of all documents share
-with equal surroundings leaves a task as a single seed and its pairs.
-
-Hashes only propose pairs. What two documents share is decided on their texts: those are
-cut into blocks of a fixed number of units, a pair asks for the two blocks it lies in, and
-both are laid side by side. No document's pairs are gathered in one row.
-
-Seed rows: h the anchor's hash, r the hash of the group it is paired in, k, t, u the document,
-[a, b] the starts of the run's windows, p the anchor's start, x (pairs only) the other occurrence.
+windows with one anchor form a run. Runs are equal (a class) where the 128-bit BLAKE2b
+digests of their bytes are; these match in all their windows. What is left are anchors with more than one
+class: there, parts of the runs may match, and the callers extend from the anchor
+to both sides, comparing the texts themselves.
+
+Rows: h hash of the anchor, r and s the run's digest, k, t and u the document's key,
+[a, b] the starts of the run's windows, p the anchor's start, n how many equal runs the
+row stands for. Equal runs within an Arrow batch are put
+together before anything is shuffled, so an anchor that a third of all documents share
+with equal surroundings leaves a task as a single row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,35 +28,43 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .common import KEY, partitions_for
 
-SEED, PAIR, OPEN, SPAN = 0, 1, 2, 3
-SEEDS = "kind int, h long, r long, k long, t long, u long, a int, b int, p int, x binary"
-NAMES = ["h", "r", "k", "t", "u", "a", "b", "p"]
-PAIRS = "kind int, h long, r long, k long, t long, u long, a int, b int, p int, xk long, xt long, xu long, xp int"
-_TYPES = [*[pa.int64()] * 5, *[pa.int32()] * 3]
-_X = ["k", "t", "u", "p"]
+#: kind: SETTLED rows are repeats whatever else is found, SEED rows take part in the search, OPEN rows are for the caller.
+SETTLED, SEED, OPEN = 0, 1, 2
+ROWS = "kind int, h long, r long, s long, k long, t long, u long, a int, b int, p int, n int"
+NAMES = ["kind", "h", "r", "s", *KEY, "a", "b", "p", "n"]
+_TYPES = [pa.int32(), *[pa.int64()] * 6, *[pa.int32()] * 4]
 Rows = dict[str, np.ndarray]
 
 
-def take(rows: Rows, which: np.ndarray) -> Rows:
-    return {c: rows[c][which] for c in NAMES}
+def to_batch(rows: Rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[c].astype(t.to_pandas_dtype(), copy=False), t) for c, t in zip(NAMES, _TYPES, strict=True)], NAMES)
+
+
+def from_batch(batch: pa.RecordBatch) -> Rows:
+    return {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(NAMES)}
+
+
+def take(rows: Rows, which: np.ndarray, **changed: int) -> Rows:
+    out = {c: v[which] for c, v in rows.items()}
+    for c, v in changed.items():
+        out[c] = np.full(len(out["h"]), v, rows[c].dtype)
+    return out
 
 
 def join(parts: list[Rows]) -> Rows:
     return {c: np.concatenate([p[c] for p in parts]) for c in NAMES}
 
 
-def columns(rows: Rows) -> list[pa.Array]:
-    return [pa.array(rows[c].astype(t.to_pandas_dtype(), copy=False), t) for c, t in zip(NAMES, _TYPES, strict=True)]
+def digest(data: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def seed_batch(seeds: Rows, kind: int = SEED, others: Rows | None = None) -> pa.RecordBatch:
-    """A batch of SEEDS; ``others``: the other occurrence of each pair."""
-    n = len(seeds["h"])
-    x = pa.nulls(n, pa.binary())
-    if others is not None:
-        data = np.ascontiguousarray(np.stack([others[c].astype("<i8") for c in _X], axis=1))
-        x = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 32 * n + 1, 32, dtype=np.int32)), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns(seeds), x], ["kind", *NAMES, "x"])
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digest of each buf[s:e]."""
+    view, blake = memoryview(np.ascontiguousarray(buf)), hashlib.blake2b
+    both = b"".join([blake(view[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(both, "<i8").reshape(len(starts), 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def poly_prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,116 +94,104 @@ def runs(grams: np.ndarray, valid: np.ndarray, doc: np.ndarray, w: int) -> tuple
     return at[first], at[last], anchor[first]
 
 
-def _groups(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: where a group (h, r) begins, and rows that repeat the row before (one document that is listed twice)."""
-    n = len(rows["h"])
-    new, same = np.ones(n, bool), np.zeros(n, bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["r"][1:] != rows["r"][:-1])
-    same[1:] = ~new[1:]
-    for c in ("k", "t", "u", "a"):
-        same[1:] &= rows[c][1:] == rows[c][:-1]
-    return new, same
-
-
-def _paired(rows: Rows, new: np.ndarray, same: np.ndarray, both: bool, held_has_pair: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows and the rows they are paired with: all of a group with its first; ``both``: the first with another one too.
-
-    Last: whether the last group's first row has its pair by now. ``held_has_pair``: so had the first group's.
-    """
+def put_together(rows: Rows, *, later: bool) -> Rows:
+    """Equal runs of a batch as one seed; the others are settled. later: the first of a class is no repeat by itself."""
+    done = take(rows, rows["kind"] == SETTLED)  # settled before
+    done["h"] = _spread(done)
+    rows = take(rows, rows["kind"] != SETTLED)
+    if not len(rows["h"]):
+        return done
+    rows = take(rows, np.lexsort(tuple(rows[c] for c in ("a", "u", "t", "k", "s", "r", "h"))))
+    new, same = _classes(rows)
     first = np.flatnonzero(new)
-    head = np.repeat(first, np.diff(np.r_[first, len(new)]))
-    later = np.flatnonzero(~new & ~same)
-    y, x = later, head[later]
-    has = np.zeros(len(new), bool)
-    has[x] = True
-    if held_has_pair and len(new):
-        has[0] = True
-    if both and len(later):
-        heads, at = np.unique(x, return_index=True)
-        if held_has_pair:
-            heads, at = heads[heads > 0], at[heads > 0]
-        y, x = np.r_[y, heads], np.r_[x, later[at]]
-    return y, x, bool(len(first)) and bool(has[first[-1]])
-
-
-def collapsed(rows: Rows, *, both: bool, r: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A batch's seeds, one for each (h, r), and the pairs that the others make with it. ``r``: what the seeds have for r from here on."""
-    rows = take(rows, np.lexsort((rows["a"], rows["u"], rows["t"], rows["k"], rows["r"], rows["h"])))
-    new, same = _groups(rows)
-    y, x, _ = _paired(rows, new, same, both, False)
+    weight = np.add.reduceat(np.where(same, 0, rows["n"]), first)
     seeds = take(rows, new)
-    if r is not None:
-        seeds["r"] = np.full(len(seeds["r"]), r, np.int64)
-    yield seed_batch(seeds)
-    if len(y):
-        pairs = take(rows, y)
-        pairs["h"] = B.mix(pairs["a"].astype(np.uint64) ^ pairs["t"].view(np.uint64)).view(np.int64)  # spreads them: they need no meeting
-        yield seed_batch(pairs, PAIR, take(rows, x))
+    seeds["n"] = weight.astype(rows["n"].dtype)
+    gone = ~new & ~same if later else (np.repeat(weight, np.diff(np.r_[first, len(new)])) > 1) & ~new
+    settled = take(rows, gone, kind=SETTLED)
+    # They need no meeting, so they spread by document; the anchor's hash can be had back.
+    settled["h"] = settled["h"] ^ _spread(settled)
+    return join([seeds, settled, done])
+
+
+def _spread(rows: Rows) -> np.ndarray:
+    return B.mix(rows["k"].view(np.uint64) ^ rows["t"].view(np.uint64)).view(np.int64)
 
 
-def _pair_batch(kind: int, rows: Rows, xs: list[np.ndarray]) -> pa.RecordBatch:
+def _classes(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: where a class begins, and rows that repeat the row before (one document that is listed twice)."""
     n = len(rows["h"])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns(rows), *[pa.array(v, t) for v, t in zip(xs, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]], ["kind", *NAMES, "xk", "xt", "xu", "xp"])
+    new = np.ones(n, bool)
+    new[1:] = False
+    for c in ("h", "r", "s"):
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    same = np.zeros(n, bool)
+    same[1:] = ~new[1:]
+    for c in ("k", "t", "u", "a"):
+        same[1:] &= rows[c][1:] == rows[c][:-1]
+    return new, same
 
 
-def _stream(both: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stream rows sorted by h, r and document. Memory: a batch, and the first row of the group at hand."""
+def _settle(later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stream rows sorted by h, r, s and document. Memory: a batch and the first row of the class at hand."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Rows | None = None
-        many = opened = has_pair = False  # of the group at hand: h has other groups too; its first row was returned as OPEN; has a pair
+        held: Rows | None = None  # the first row of the last class; its n: rows of the class so far
+        many = opened = removed = False  # its h has other classes too; it was returned as OPEN; as SETTLED
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            if (done := kind == PAIR).any():
-                own = batch.filter(pa.array(done))
-                x = np.frombuffer(b"".join(own.column(9).to_pylist()), "<i8").reshape(own.num_rows, 4)
-                yield _pair_batch(PAIR, {c: own.column(i + 1).to_numpy() for i, c in enumerate(NAMES)}, [x[:, 0], x[:, 1], x[:, 2], x[:, 3].astype(np.int32)])
-            rows = {c: batch.column(i + 1).to_numpy()[~done] for i, c in enumerate(NAMES)}
+            rows = from_batch(batch)
+            done = rows["kind"] == SETTLED
+            out = []
+            if done.any():
+                own = take(rows, done)
+                own["h"] = own["h"] ^ _spread(own)
+                out.append(own)
+            rows = take(rows, ~done)
             if held is not None:
                 rows = join([held, rows])
-            if not len(rows["h"]):
-                continue
-            new, same = _groups(rows)
-            first = np.flatnonzero(new)
-            y, x, last_has = _paired(rows, new, same, both, has_pair)
-            if len(y):
-                yield _pair_batch(PAIR, take(rows, y), [rows[c][x] for c in _X])
-            if both:
+            if len(rows["h"]):
+                new, same = _classes(rows)
+                first = np.flatnonzero(new)
+                size = np.diff(np.r_[first, len(new)])
+                weight = np.add.reduceat(np.where(same, 0, rows["n"]), first)
+                if later:
+                    gone = ~new & ~same
+                else:
+                    gone = np.repeat(weight, size) > 1
+                    gone &= ~same
+                    gone[0] &= not removed
+                out.append(take(rows, gone, kind=SETTLED))
                 heads = take(rows, new)
                 of = np.ones(len(first), bool)
                 of[1:] = heads["h"][1:] != heads["h"][:-1]
-                size = np.diff(np.r_[np.flatnonzero(of), len(of)])
-                groups = size.copy()
-                groups[0] += many
-                wide = np.repeat(groups > 1, size)
+                group = np.flatnonzero(of)
+                classes = np.diff(np.r_[group, len(of)])
+                classes[0] += many
+                wide = np.repeat(classes > 1, np.diff(np.r_[group, len(of)]))
                 show = wide.copy()
                 show[0] &= not opened
-                if show.any():
-                    none = np.zeros(int(show.sum()), np.int64)
-                    yield _pair_batch(OPEN, take(heads, show), [none, none, none, none.astype(np.int32)])
-                many, opened = bool(groups[-1] > 1), bool(wide[-1]) or (len(first) == 1 and opened)
-            held, has_pair = take(rows, first[-1:]), last_has
+                out.append(take(heads, show, kind=OPEN))
+                only = len(first) == 1
+                many = bool(classes[-1] > 1)
+                opened = bool(wide[-1]) or (only and opened)
+                removed = bool(weight[-1] > 1) or (only and removed)
+                held = take(heads, np.array([len(first) - 1]))
+                held["n"] = weight[-1:].astype(held["n"].dtype)
+            if out:
+                yield to_batch(join(out))
 
     return each
 
 
-def paired(seeds: DataFrame, *, both: bool, growth: float) -> DataFrame:
-    """PAIR rows; with ``both`` also OPEN rows, the first of each group of an anchor that has several groups."""
-    ready = seeds.repartition(partitions_for(seeds, growth), "h").sortWithinPartitions("h", "r", *KEY, "p")
-    return ready.mapInArrow(_stream(both), PAIRS)
-
-
-def side_by_side(pairs: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
-    """For the pairs of two blocks with one shift: the runs (a, b, p), the block's number, the shift, and both blocks' contents.
+def settle(seeds: DataFrame, *, later: bool, growth: float, like: DataFrame | None = None) -> DataFrame:
+    """SETTLED rows (repeats in all their windows) and OPEN rows (one of each class of an anchor that has several).
 
-    blocks: k, t, u, block, content. Both joins read one shuffle of the blocks and may be split where a key is hot.
+    ``later``: a class's first run isn't settled by the others. ``like``: the frame whose size times ``growth`` the seeds have.
     """
-    at = lambda c: F.floor(F.col(c) / size).cast("int")
-    asked = pairs.groupBy(*KEY, at("p").alias("block"), "xk", "xt", "xu", at("xp").alias("xblock"), (F.col("p") - F.col("xp")).alias("shift")).agg(F.collect_list(F.struct("a", "b", "p")).alias("runs"))
-    own = asked.withColumnsRenamed({c: f"y{c}" for c in [*KEY, "block"]} | {"xk": "k", "xt": "t", "xu": "u", "xblock": "block"})
-    other = own.join(blocks, [*KEY, "block"]).select(*[F.col(f"y{c}").alias(c) for c in [*KEY, "block"]], F.col("block").alias("xblock"), "shift", "runs", F.col("content").alias("other"))
-    return other.join(blocks, [*KEY, "block"]).select(*KEY, "block", "xblock", "shift", "runs", "content", "other")
+    n = partitions_for(seeds if like is None else like, growth)
+    ready = seeds.repartition(n, "h").sortWithinPartitions("h", "r", "s", *KEY, "a")
+    return ready.mapInArrow(_settle(later), ROWS)
 
 
-def by_document(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("found"))
+def by_document(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias("found"))

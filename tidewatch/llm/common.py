@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import math
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import Workspace, release, scratch_dir, staged
+
+__all__ = ["Workspace", "release", "scratch_dir"]
+
 #: Stands for a null id wherever rows are ordered or joined by id: null sorts before every id.
 NULL_KEY = -(1 << 63)
 #: A document among others, in this order: its id, then two seeded 64-bit hashes of its text. Rows equal in id and text are one document.
@@ -29,49 +27,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share; only a local session may leave that unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="tidewatch-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = Path(own).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
-
-
-class Workspace:
-    """The tables that one call of an operator writes to the shared folder. Lineage ends at each of them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, scratch_dir(spark)
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` once and read it back. Partitions stay as they are: adaptive execution has sized them."""
-        path, schema = f"{self.path}/{label}", df.schema
-        df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *labels: str) -> None:
-        """Delete tables that nothing reads any more, and let the driver release the shuffle files behind them."""
-        jvm = self.spark.sparkContext._jvm
-        for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver: Spark deletes shuffle files only when the plans that wrote them are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here."""
-    return Workspace(df.sparkSession).keep(df, label)
+    return staged(df, label)
 
 
 def order_key(id_col: str) -> Column:

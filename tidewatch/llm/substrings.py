@@ -1,30 +1,31 @@
 """Substring dedup by seed and extend, over words.
 
 Seeds: winnowed anchors of ``SEED_WORDS`` words; every repeat of ``MIN_WORDS`` words or
-more holds one. Each occurrence of an anchor is paired with the anchor's first occurrence
-(least document, then least position), so a hot anchor makes as many pairs as it has
-occurrences, not their square.
+more holds one. Anchors meet by a shuffle on their hash. Runs whose bytes have the same
+128-bit digest are a class and are settled at once; the first run of each class goes on, with
+its words.
 
-Extension: a pair's two texts are laid side by side and compared word by word, to both
-sides of the seed as far as they agree within the block at hand; stretches of
-``MIN_WORDS`` words or more are repeats. Windows of a run that differ from the first
-occurrence's may still repeat a third one. They are the seeds of a second round, each
-by its own hash, and are paired and compared in the same way. As a window that equals the
-first occurrence's is settled there, and only there, no pair between others is missed.
+Extension: an anchor's runs are streamed in order, and each is laid beside the first (least document, then least
+position) and compared with it word by word, to both sides of the seed as far as they agree; stretches of
+``MIN_WORDS`` words or more are repeats. So a hot anchor costs as many comparisons as it has runs, not their
+square. Windows of a run that differ from the first run's may still repeat a third one. They are the
+seeds of a second round, each by the digest of its own words. A window that equals the first run's
+is settled there, and no other is, so no pair among the rest is missed.
 
-Overlapping repeats are united, so what is removed are maximal repeats. A hash that two
-different passages share removes nothing: only compared words are removed.
+Overlapping repeats are united, so what is removed are maximal repeats. A hash of an anchor that two
+different passages share removes nothing: words, or digests of all words, decide.
 
 Defined results: a null or empty text has no words; rows equal in doc_id and text are
 one document (each gets the same result); rows that share only the id are ordered by
 128 bits of their text's hashes; a null doc_id comes before all others; an empty table gives no
-rows; other columns, whatever their names, are ignored. A very long text is one row and is
-worked on in blocks of ``BLOCK_WORDS`` words; only the last step, which removes, holds it whole.
+rows; other columns, whatever their names, are ignored. A very long text is one row: it is hashed in slices
+and extended run by run.
 """
 
 from __future__ import annotations
 
 import operator
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,25 +35,20 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
-from .common import KEY, Workspace, keyed
+from .common import KEY, Workspace, keyed, partitions_for, release
 
 MIN_WORDS = 20
 SEED_WORDS = 8
-BLOCK_WORDS = 256
-BLOCKS = "k long, t long, u long, block int, content binary"
+CONTEXTS = "h long, k long, t long, u long, a int, p int, words binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
 
-def _key_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(i).to_numpy() for i in range(3)]
-
-
 def _seeds(min_words: int, seed_words: int):
     w = min_words - seed_words + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], _key_columns(batch)
+            found, keys = [], [batch.column(i).to_numpy() for i in range(3)]
             for piece in B.slices(batch.column(4)):
                 starts, ends, before = piece.words(B.not_space_table())
                 words = B.span_hashes(piece.buf, starts, ends)
@@ -62,30 +58,30 @@ def _seeds(min_words: int, seed_words: int):
                     continue
                 grams = B.window_hashes(words, seed_words)
                 a, b, p = A.runs(grams, row[:n] == row[min_words - 1 :], row, w)
-                prefix = A.poly_prefix(words)
-                content = A.poly_span(prefix, a, b + min_words) + (p - a).astype(np.uint64) * B.BASE
+                r, s = A.digests(piece.buf, starts[a], ends[b + min_words - 1])
                 doc, lo = row[a], before[row[a]]
-                found.append(dict(zip(A.NAMES, (grams[p].view(np.int64), content.view(np.int64), *(x[piece.lo + doc] for x in keys), a - lo, b - lo, p - lo), strict=True)))
+                one = np.ones(len(a), np.int32)
+                found.append(dict(zip(A.NAMES, (one * A.SEED, grams[p].view(np.int64), r, s, *(x[piece.lo + doc] for x in keys), a - lo, b - lo, p - lo, one), strict=True)))
             if found:
-                yield from A.collapsed(A.join(found), both=False, r=0)
+                yield A.to_batch(A.put_together(A.join(found), later=True))
 
     return each
 
 
-def _blocks(before: int, after: int):
-    """Words ``BLOCK_WORDS`` * i - before to ``BLOCK_WORDS`` * (i + 1) + after of each text, one space between them."""
+def _contexts(min_words: int):
+    """The words that each open run's windows hold, one space between them."""
+    types = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [batch.column(i).to_pylist() for i in range(3)], []
+            rows = []
             for piece in B.slices(batch.column(4)):
-                for i in range(piece.hi - piece.lo):
-                    words = piece.buf[piece.offsets[i] : piece.offsets[i + 1]].tobytes().split()
-                    for j in range(-(-len(words) // BLOCK_WORDS)):
-                        lo = BLOCK_WORDS * j
-                        rows.append((*(x[piece.lo + i] for x in keys), j, b" ".join(words[max(0, lo - before) : lo + BLOCK_WORDS + after])))
+                for i in range(piece.lo, piece.hi):
+                    words = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]].tobytes().split()
+                    key = [batch.column(c)[i].as_py() for c in range(3)]
+                    rows += [(x["h"], *key, x["a"], x["p"], b" ".join(words[x["a"] : x["b"] + min_words])) for x in batch.column(5)[i].as_py()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 3, pa.int32(), pa.binary()], strict=True)], [*KEY, "block", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", *KEY, "a", "p", "words"])
                     rows = []
 
     return each
@@ -102,38 +98,26 @@ def extended(own: list[bytes], other: list[bytes], shift: int, least: int) -> tu
     return s[long] + lo, e[long] + lo
 
 
-def _compare(min_words: int, before: int, again: bool):
-    """Spans that agree; with ``again`` also the windows of the pairs' runs that don't, as seeds."""
+def _extend(min_words: int):
+    """Contexts sorted by h and document, each beside the first of its h: spans that agree, and the windows that don't as seeds of their own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, seed = None, [], 0
         for batch in batches:
-            keys = [batch.column(i).to_pylist() for i in range(3)]
-            places = [batch.column(i).to_pylist() for i in range(3, 7)]
-            spans, found = [], []
-            for i, (block, xblock, shift, runs, content, other) in enumerate(zip(*places, batch.column(7), batch.column(8), strict=True)):
-                own, low, xlow = content.as_py().split(b" "), max(0, BLOCK_WORDS * block - before), max(0, BLOCK_WORDS * xblock - before)
-                s, e = extended(own, other.as_py().split(b" "), shift + xlow - low, min_words)
-                key = [x[i] for x in keys]
-                spans += [(*key, int(a) + low, int(b) + low) for a, b in zip(s, e, strict=True)]
-                if not again:
+            rows: list[tuple] = []
+            for h, k, t, u, a, p, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = text.split(b" ")
+                if h != at:
+                    at, first, seed = h, own, p - a
                     continue
-                fits = np.zeros(len(own) + 1, np.int32)  # how many stretches hold the window that starts here: 0 or 1
-                np.add.at(fits, s, 1)
-                np.add.at(fits, e - min_words + 1, -1)
-                fits = np.cumsum(fits)
-                at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in runs]) - low
-                at = at[fits[at] == 0]
-                if len(at):
-                    buf = np.frombuffer(content.as_py(), np.uint8)
-                    gaps = np.flatnonzero(buf == 0x20)
-                    h = B.window_hashes(B.span_hashes(buf, np.r_[0, gaps + 1], np.r_[gaps, len(buf)]), min_words)[at].view(np.int64)
-                    one, at = np.ones(len(at), np.int64), at + low
-                    found.append(dict(zip(A.NAMES, (h, 0 * one, *(one * x for x in key), at, at, at), strict=True)))
-            if spans:
-                k, t, u, a, b = (np.array(c) for c in zip(*spans, strict=True))
-                yield A.seed_batch(dict(zip(A.NAMES, (k, k, k, t, u, a, b, a), strict=True)), A.SPAN)
-            if found:
-                yield from A.collapsed(A.join(found), both=False)
+                starts, ends = (x.tolist() for x in extended(own, first, p - a - seed, min_words))
+                rows += [(A.SETTLED, 0, 0, 0, k, t, u, a + s, a + e - min_words, p, 1) for s, e in zip(starts, ends, strict=True)]
+                for s, e in zip([0, *(x - min_words + 1 for x in ends)], [*starts, len(own) - min_words + 1], strict=True):
+                    for i in range(s, e):
+                        one, two = struct.unpack("<qq", A.digest(b" ".join(own[i : i + min_words])))
+                        rows.append((A.SEED, one, two, 0, k, t, u, a + i, a + i, a + i, 1))
+            if rows:
+                yield A.to_batch(A.put_together({c: np.array(x) for c, x in zip(A.NAMES, zip(*rows, strict=True), strict=True)}, later=True))
 
     return each
 
@@ -174,17 +158,12 @@ def united(spans) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Per document row: its words, the maximal repeats removed from it (word positions) and the kept text, words joined by a space."""
     base, ws = keyed(docs), Workspace(docs.sparkSession)
-    before = min_words - seed_words
-
-    def compared(seeds: DataFrame, growth: float, label: str, *, again: bool) -> DataFrame:
-        pairs = ws.keep(A.paired(seeds, both=False, growth=growth), f"{label}_pairs")
-        blocks = base.mapInArrow(_blocks(before, min_words), BLOCKS)
-        sides = A.side_by_side(pairs, blocks, BLOCK_WORDS)
-        return ws.keep(sides.mapInArrow(_compare(min_words, before, again), A.SEEDS), label)
-
-    first = compared(base.mapInArrow(_seeds(min_words, seed_words), A.SEEDS), 3, "substring_anchors", again=True)
-    ws.drop("substring_anchors_pairs")
-    second = compared(first.where(F.col("kind") != A.SPAN), 1, "substring_windows", again=False)
-    ws.drop("substring_windows_pairs")
-    spans = first.where(F.col("kind") == A.SPAN).unionByName(second)
-    return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)
+    first = ws.keep(A.settle(base.mapInArrow(_seeds(min_words, seed_words), A.ROWS), later=True, growth=3), "substring_seeds")
+    release(docs.sparkSession)
+    opened = A.by_document(first.where(F.col("kind") == A.OPEN), "a", "b", "p", "h")
+    contexts = base.join(opened, KEY).mapInArrow(_contexts(min_words), CONTEXTS)
+    ready = contexts.repartition(partitions_for(base), "h").sortWithinPartitions("h", *KEY, "p")
+    second = ws.keep(A.settle(ready.mapInArrow(_extend(min_words), A.ROWS), later=True, growth=1, like=base), "substring_windows")
+    release(docs.sparkSession)
+    repeats = first.unionByName(second).where(F.col("kind") == A.SETTLED).select(*KEY, "a", (F.col("b") + min_words).alias("b"))
+    return base.join(A.by_document(repeats, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)

@@ -10,8 +10,8 @@ meet, their left contexts are compared (left-extension diversity): contexts sort
 anchor leftwards have intervals of their own, and each that members of several children
 share is a maximal repeat, with all the interval's members that have it as its occurrences.
 
-Suffixes with the same surroundings are one leaf with several occurrences; these are put
-together by hash and compared byte by byte before anything is removed.
+Suffixes with the same surroundings (by the 128-bit digest of their bytes) are one leaf with several occurrences;
+trees compare the bytes themselves.
 
 Hot anchors: a shard of over ``SHARD`` different surroundings is split by longer prefixes. Repeats with low to
 low + step - 1 bytes to the left of the anchor all hold the string of low bytes to its left and
@@ -25,13 +25,12 @@ holding their part of it.
 
 Defined results: a null or empty text has no bytes; rows equal in doc_id and text are one
 document listed twice and are no repeats of each other; an empty table gives no rows;
-other columns, whatever their names, are ignored. A very long text is one row: it is hashed in segments
-and compared in blocks of ``BLOCK_BYTES``; only the last step, which removes, holds it whole.
+other columns, whatever their names, are ignored. A very long text is one row: it is hashed in segments,
+and its suffixes are cut to what their windows hold.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -40,19 +39,18 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
 from .common import KEY, Workspace, keyed, partitions_for, release
-from .substrings import BLOCKS, united
+from .substrings import united
 
 MIN_BYTES = 400
 SEED_BYTES = 32
 SHARD = 20_000
 SEGMENT = 1 << 18
-BLOCK_BYTES = 4096
 SUFFIXES = "h long, low int, k long, t long, u long, p int, left binary, right binary"
 SUFFIX_NAMES = ["h", "low", *KEY, "p", "left", "right"]
 _SUFFIX_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.binary(), pa.binary()]
@@ -85,52 +83,12 @@ def _seeds(min_bytes: int, seed_bytes: int):
                     i = np.arange(len(buf) - seed_bytes + 1)
                     grams = A.poly_span(prefix, i, i + seed_bytes)
                     a, b, p = A.runs(grams, valid, doc, w)
-                    content = A.poly_span(prefix, a, b + min_bytes) + (p - a).astype(np.uint64) * B.BASE
+                    r, s = A.digests(buf, a, b + min_bytes)
                     row, at = doc[a], piece.offsets[doc[a]] - lo
-                    found.append(dict(zip(A.NAMES, (grams[p].view(np.int64), content.view(np.int64), *(x[piece.lo + row] for x in keys), a - at, b - at, p - at), strict=True)))
+                    one = np.ones(len(a), np.int32)
+                    found.append(dict(zip(A.NAMES, (one * A.SEED, grams[p].view(np.int64), r, s, *(x[piece.lo + row] for x in keys), a - at, b - at, p - at, one), strict=True)))
             if found:
-                yield from A.collapsed(A.join(found), both=True)
-
-    return each
-
-
-def _blocks(before: int, after: int):
-    """Bytes ``BLOCK_BYTES`` * i - before to ``BLOCK_BYTES`` * (i + 1) + after of each text."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [batch.column(i).to_pylist() for i in range(3)]
-            for piece in B.slices(batch.column(4)):
-                rows = []
-                for i in range(piece.hi - piece.lo):
-                    text = piece.buf[piece.offsets[i] : piece.offsets[i + 1]]
-                    for lo in range(0, len(text), BLOCK_BYTES):
-                        rows.append((*(x[piece.lo + i] for x in keys), lo // BLOCK_BYTES, text[max(0, lo - before) : lo + BLOCK_BYTES + after].tobytes()))
-                if rows:
-                    yield _batch(rows, [*KEY, "block", "content"], [*[pa.int64()] * 3, pa.int32(), pa.binary()])
-
-    return each
-
-
-def _compare(min_bytes: int, before: int, names: bool):
-    """Of the pairs' runs those whose bytes agree: spans [a, b), with ``names`` and the name of their content."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            lists = [batch.column(i).to_pylist() for i in range(7)]
-            for *key, block, xblock, shift, runs, content, other in zip(*lists, batch.column(7), batch.column(8), strict=True):
-                own, two = content.as_py(), other.as_py()
-                low, xlow = max(0, BLOCK_BYTES * block - before), max(0, BLOCK_BYTES * xblock - before)
-                for r in runs:
-                    s, e = r["a"] - low, r["b"] + min_bytes - low
-                    if own[s:e] == two[s - shift + low - xlow : e - shift + low - xlow]:
-                        spans.append((*key, r["a"], r["b"] + min_bytes, r["p"], name_of(own[s:e]) if names else None))
-            if spans:
-                *rest, found = zip(*spans, strict=True)
-                k, t, u, a, b, p = map(np.array, rest)
-                out = A.seed_batch(dict(zip(A.NAMES, (k, k, k, t, u, a, b, p), strict=True)), A.SPAN)
-                yield out.set_column(9, "x", pa.array(found, pa.binary()))
+                yield A.to_batch(A.put_together(A.join(found), later=False))
 
     return each
 
@@ -170,7 +128,7 @@ def _split(old: int, new: int, least: int, seed: int):
             for _, first, *key, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for low in range(first, first + old, new):
                     if (own := prefix_string(left, right, low, new, least, seed)) is not None:
-                        rows.append((int.from_bytes(name_of(own)[:8], "little", signed=True), low, *key, left, right))
+                        rows.append((int.from_bytes(A.digest(own)[:8], "little", signed=True), low, *key, left, right))
                 if len(rows) > 4000:
                     yield _batch(rows, SUFFIX_NAMES, _SUFFIX_TYPES)
                     rows = []
@@ -180,10 +138,6 @@ def _split(old: int, new: int, least: int, seed: int):
     return each
 
 
-def name_of(repeat: bytes) -> bytes:
-    return hashlib.blake2b(repeat, digest_size=16).digest()
-
-
 def common_prefix(u: bytes, v: bytes) -> int:
     """Length of the common prefix, by halving."""
     lo, hi = 0, min(len(u), len(v))
@@ -290,7 +244,7 @@ def _shard(rows: list[tuple], least: int, step: int, cover: bool) -> Iterator[tu
                 yield None, *r[2:6], r[5] - span[0], r[5] + span[1]
         return
     for left, depth, members in maximal_repeats(lefts, rights, least, low, high):
-        name = name_of(lefts[members[0]][:left][::-1] + rights[members[0]][:depth])
+        name = A.digest(lefts[members[0]][:left][::-1] + rights[members[0]][:depth])
         yield from ((name, *rows[i][2:6], rows[i][5] - left, rows[i][5] + depth) for i in members)
 
 
@@ -347,7 +301,7 @@ def _stream(least: int, cover: bool):
                 d, lo, lefts = stack.pop()
                 own = set(list(lefts | own)[:2])
                 if len(own) > 1:
-                    yield name_of(last[6][:low][::-1] + last[7][:d]), *key, 0, low, d, h, low, lo, rank
+                    yield A.digest(last[6][:low][::-1] + last[7][:d]), *key, 0, low, d, h, low, lo, rank
             beside, starts[0] = own, lo
 
         starts, last = [0], first
@@ -390,21 +344,17 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Repeats:
-    """The repeats of keyed documents: verified runs with the same surroundings, and what the interval trees find among the others."""
+    """The repeats of keyed documents: runs with the same surroundings, and what the interval trees find among the others."""
 
     def __init__(self, base: DataFrame, min_bytes: int, seed_bytes: int, shard: int):
         self.base, self.min_bytes, self.seed_bytes, self.shard = base, min_bytes, seed_bytes, shard
         self.ws, self.reach = Workspace(base.sparkSession), min_bytes - seed_bytes
-        self.runs = self.ws.keep(A.paired(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.SEEDS), both=True, growth=1.5), "suffix_runs")
+        self.runs = self.ws.keep(A.settle(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.ROWS), later=False, growth=1.5), "suffix_runs")
         release(base.sparkSession)
 
-    def equal_runs(self, *, names: bool) -> DataFrame:
-        """Runs that another run equals, byte for byte: x (with ``names``: their content's), document, place and span [a, b)."""
-        blocks = self.base.mapInArrow(_blocks(self.reach, self.min_bytes), BLOCKS)
-        sides = A.side_by_side(self.runs.where(F.col("kind") == A.PAIR), blocks, BLOCK_BYTES)
-        found = self.ws.keep(sides.mapInArrow(_compare(self.min_bytes, self.reach, names), A.SEEDS), "suffix_equal")
-        release(self.base.sparkSession)
-        return found.select("x", *KEY, "p", "a", "b")
+    def equal_runs(self) -> DataFrame:
+        """Runs that another run equals: their class (r, s, the digest of their bytes), document and windows."""
+        return self.runs.where(F.col("kind") == A.SETTLED).select("h", "r", "s", *KEY, "p", "a", (F.col("b") + self.min_bytes).alias("b"))
 
     def _walked(self, suffixes: DataFrame, step: int, cover: bool) -> DataFrame:
         ready = suffixes.repartition(partitions_for(self.base, 2), "h", "low")
@@ -440,6 +390,12 @@ class Repeats:
             rows = rows.join(crowded, ["h", "low"], "left_semi").select(*rows.columns)
 
 
+def _little_endian(column: str) -> Column:
+    """The eight bytes of a long, lowest first."""
+    digits = F.lpad(F.hex(column), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)]))
+
+
 def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, shard: int = SHARD) -> DataFrame:
     """Maximal repeats with all their occurrences, a row each: repeat (hash of its bytes), length, n_occurrences, doc_id, start, end.
 
@@ -447,16 +403,17 @@ def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_B
     """
     base = keyed(docs)
     own = Repeats(base, min_bytes, seed_bytes, shard)
-    places = [*KEY, "p"]
-    equal = own.equal_runs(names=True)
-    pairs = own.runs.where(F.col("kind") == A.PAIR).join(equal.select(*places).distinct(), places, "left_semi").select(*places, *[f"x{c}" for c in places])
+    places, leaf = [*KEY, "p"], ["h", "r", "s"]
+    equal = own.equal_runs()
     found = own.ws.keep(own.trees(cover=False), "suffix_found")
-    every = found
-    for _ in range(2):  # a batch's first equal run, and the anchor's
-        step = every.withColumnsRenamed({c: f"x{c}" for c in places}).join(pairs, [f"x{c}" for c in places])
-        step = step.select("repeat", *places, (F.col("start") - F.col("xp") + F.col("p")).alias("start"), (F.col("end") - F.col("xp") + F.col("p")).alias("end"))
-        every = every.unionByName(step)
-    rows = every.select("repeat", *KEY, "start", "end").unionByName(equal.select(F.col("x").alias("repeat"), *KEY, F.col("a").alias("start"), F.col("b").alias("end"))).distinct()
+    # A tree holds the first suffix of each class: the others of its class are occurrences of the same repeats.
+    heads = own.runs.where(F.col("kind") == A.OPEN).select(*leaf, *places)
+    members = heads.withColumnsRenamed({c: f"x{c}" for c in places}).join(equal.select(*leaf, *places), leaf)
+    rest = found.withColumnsRenamed({c: f"x{c}" for c in places}).join(members, [f"x{c}" for c in places])
+    rest = rest.select("repeat", *KEY, (F.col("start") - F.col("xp") + F.col("p")).alias("start"), (F.col("end") - F.col("xp") + F.col("p")).alias("end"))
+    name = F.concat(_little_endian("r"), _little_endian("s"))
+    leaves = equal.select(name.alias("repeat"), *KEY, F.col("a").alias("start"), F.col("b").alias("end"))
+    rows = found.select("repeat", *KEY, "start", "end").unionByName(rest).unionByName(leaves).distinct()
     ids = base.select(*KEY, "doc_id").distinct()
     many = rows.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_occurrences"))
     return rows.join(many, "repeat").join(ids, KEY).select("repeat", (F.col("end") - F.col("start")).alias("length"), "n_occurrences", "doc_id", "start", "end")
@@ -466,6 +423,5 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BY
     """Per document row: its bytes, the byte runs that occur elsewhere too, and what is left without them."""
     base = keyed(docs)
     own = Repeats(base, min_bytes, seed_bytes, shard)
-    equal = own.equal_runs(names=False).select(*KEY, "a", "b")
-    spans = equal.unionByName(own.trees(cover=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
+    spans = own.equal_runs().select(*KEY, "a", "b").unionByName(own.trees(cover=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
     return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)
