@@ -52,6 +52,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def compact(base: DataFrame) -> DataFrame:
+    """``keyed`` rows whose text hashes are 0 where no id has two texts: then ids alone tell documents apart, in 16 bytes less a row."""
+    hashes = [f("t") for f in (F.min, F.max)] + [f("u") for f in (F.min, F.max)]
+    spread = base.groupBy("k").agg(*[h.alias(n) for h, n in zip(hashes, ("t0", "t1", "u0", "u1"), strict=True)]).where("t0 <> t1 or u0 <> u1")
+    return base.withColumns({"t": F.lit(0).cast("long"), "u": F.lit(0).cast("long")}) if spread.isEmpty() else base
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
-from .common import KEY, Workspace, keyed, partitions_for, release
+from .common import KEY, Workspace, compact, keyed, partitions_for, release
 
 MIN_WORDS = 20
-SEED_WORDS = 8
+SEED_WORDS = 6
 CONTEXTS = "h long, k long, t long, u long, a int, p int, words binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
@@ -157,7 +157,7 @@ def united(spans) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Per document row: its words, the maximal repeats removed from it (word positions) and the kept text, words joined by a space."""
-    base, ws = keyed(docs), Workspace(docs.sparkSession)
+    base, ws = compact(keyed(docs)), Workspace(docs.sparkSession)
     first = ws.keep(A.settle(base.mapInArrow(_seeds(min_words, seed_words), A.ROWS), later=True, growth=3), "substring_seeds")
     release(docs.sparkSession)
     opened = A.by_document(first.where(F.col("kind") == A.OPEN), "a", "b", "p", "h")

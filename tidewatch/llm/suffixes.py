@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import bytetext as B
-from .common import KEY, Workspace, keyed, partitions_for, release
+from .common import KEY, Workspace, compact, keyed, partitions_for, release
 from .substrings import united
 
 MIN_BYTES = 400
@@ -401,7 +401,7 @@ def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_B
 
     A document listed twice is there once. Suffixes that were one leaf of a tree are each an occurrence of what the leaf is part of.
     """
-    base = keyed(docs)
+    base = compact(keyed(docs))
     own = Repeats(base, min_bytes, seed_bytes, shard)
     places, leaf = [*KEY, "p"], ["h", "r", "s"]
     equal = own.equal_runs()
@@ -421,7 +421,7 @@ def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_B
 
 def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, shard: int = SHARD) -> DataFrame:
     """Per document row: its bytes, the byte runs that occur elsewhere too, and what is left without them."""
-    base = keyed(docs)
+    base = compact(keyed(docs))
     own = Repeats(base, min_bytes, seed_bytes, shard)
     spans = own.equal_runs().select(*KEY, "a", "b").unionByName(own.trees(cover=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
     return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)
