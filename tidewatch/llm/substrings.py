@@ -103,7 +103,7 @@ def _extend(min_words: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, seed = None, [], 0
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             rows: list[tuple] = []
             for h, k, t, u, a, p, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = text.split(b" ")
@@ -125,7 +125,7 @@ def _extend(min_words: int):
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the spans [a, b) from each text's words."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
         ids, found = batch.column(3), batch.column(5)
         for piece in B.slices(batch.column(4)):
             n_words, n_removed, spans, texts = [], [], [], []
