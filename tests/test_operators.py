@@ -1,5 +1,7 @@
 """Operators on small made tables: rules, models, files and streams."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,13 +152,16 @@ def test_detectors_keep_their_contract(spark, small, tmp_path):
     from tidewatch.operators import contract as C
 
     net = views.net(spark, small)
-    options = {"dos": {"key": "service", "seconds": 21600, "percentile": 99.0}, "sequence": {}, "profile": {"features": ["bytes", "duration"], "sensitivity": "low"}, "forest": {"features": ["bytes", "packets"], "trees": 10, "best_f1": True}}
+    factor = {"features": ["bytes", "duration"], "neighbours": 5}
+    members = {"floods": ("dos", {"key": "service", "seconds": 21600, "percentile": 99.0}), "steps": ("sequence", {}), "trees": ("forest", {"features": ["bytes"], "trees": 10, "scale": True})}
+    options = {"ensemble": {"members": members, "learn_weights": True}, "adaptive": {"features": ["bytes", "packets", "duration"], "sensitivity": "low"}, "factor": factor, "dos": {"key": "service", "seconds": 21600, "percentile": 99.0}, "sequence": {}, "profile": {"features": ["bytes", "duration"], "sensitivity": "low"}, "forest": {"features": ["bytes", "packets"], "trees": 10, "best_f1": True}}
     for kind, own in options.items():
         fitted = C.DETECTORS[kind](**own).fit(net)
         scored = fitted.predict(net)
         assert {"predicted_anomaly", "anomaly_score"} <= set(scored.columns) and scored.count() == net.count()
         fitted.save(str(tmp_path / kind))
-        again = C.Detector.load(spark, str(tmp_path / kind), **own)
+        again = C.Detector.load(spark, str(tmp_path / kind))
+        assert json.dumps(again.options) == json.dumps(fitted.options)
         pick = lambda d: sorted((r.row_id, round(r.anomaly_score, 9)) for r in d.predict(net).select("row_id", "anomaly_score").collect())
         assert pick(again) == pick(fitted)
         m = fitted.evaluate(net).first()
@@ -219,3 +224,138 @@ def test_stream_pace_of_addresses(spark, tmp_path):
     run = traffic.address_pace(stream).writeStream.format("memory").queryName("pace").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert {(r.ip, r.events, r.counter) for r in spark.table("pace").collect()} == {("a", 4, 1.5), ("b", 2, 0.0)}
+
+
+def test_quantiles_by_selection(spark):
+    """Narrowed brackets give what sorting gives: ties, few values, nulls, ends."""
+    from tidewatch.operators import order
+
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=3000), np.zeros(1500), rng.integers(0, 4, 500)]
+    df = frame(spark, [(float(v),) for v in rng.permutation(x)] + [(None,)], "x double").repartition(5)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.95, 1.0]
+    for most in (100_000, 60, 1):
+        assert np.allclose(order.quantiles(df, {"x": F.col("x")}, shares, most)["x"], np.quantile(x, shares))
+    assert order.quantile(df.where("x > 100"), "x", 0.5) is None
+    grouped = df.where("x is not null").select(F.when(F.col("x") > 0, "a").otherwise("b").alias("g"), "x")
+    got = {r.g: r.q for r in order.grouped_quantiles(grouped, ["g"], "x", [0.25, 0.5]).collect()}
+    assert np.allclose(got["a"], np.quantile(x[x > 0], [0.25, 0.5])) and np.allclose(got["b"], np.quantile(x[x <= 0], [0.25, 0.5]))
+
+
+def test_large_groups_have_the_same_profile(spark, small, monkeypatch):
+    from tidewatch.operators import order
+
+    net = views.net(spark, small)
+    rows = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in P.profile(net, "x", ["protocol"], ["bytes", "packets"]).collect())
+    plain = rows()
+    monkeypatch.setattr(order, "MOST", 10)
+    assert rows() == plain
+
+
+def test_running_sums_over_ranges(spark):
+    from tidewatch.operators import order
+
+    df = frame(spark, [(g, i, 1 + i % 3) for g in "ab" for i in range(200)], "g string, s int, n int").repartition(7)
+    for down in (False, True):
+        got = {(r.g, r.s): r.before_n for r in order.running(df, ["g"], "s", ["n"], descending=down).collect()}
+        assert got == {(g, i): sum(1 + j % 3 for j in (range(i + 1, 200) if down else range(i))) for g in "ab" for i in range(200)}
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    df = frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "key long, v array<double>").repartition(4)
+    monkeypatch.setattr(M, "CHUNK", 90)
+    monkeypatch.setattr(M, "PIVOTS", 9)
+    got = {r.key: [(n.d, n.key) for n in r.near] for r in M.nearest(df, df, 4).collect()}
+    for i in range(700):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        expected = sorted((d[j], j) for j in range(700) if j != i)[:4]
+        assert [k for _, k in got[i]] == [k for _, k in expected] and np.allclose([v for v, _ in got[i]], [v for v, _ in expected])
+
+
+def test_text_models_and_their_store(spark, small, tmp_path):
+    from tidewatch.operators import contract as C
+
+    text = views.sqltext(spark, small)
+    assert M.TextModels.fit(text.limit(5)) is None
+    own = C.TextDetector(trees=5, tokens=True).fit(text)
+    scored = own.predict(text)
+    assert scored.where("ml_score not between 0 and 1 or advanced_score not between 0 and 1").count() == 0
+    assert scored.where(F.col("query").contains("UNION SELECT") & (F.col("predicted_anomaly") == 0)).count() == 0
+    own.save(str(tmp_path / "text"))
+    again = C.Detector.load(spark, str(tmp_path / "text"))
+    pick = lambda d: sorted((r.row_id, round(r.anomaly_score, 9)) for r in d.predict(text).select("row_id", "anomaly_score").collect())
+    assert pick(again) == pick(own)
+    assert S.attack_texts(text.limit(0)).count() == len(S.ATTACK_TEXTS)
+
+
+def test_rules_test_plain_parts_first(spark):
+    assert S.needle(r"'\s*or\s*0=0\s*#") == "0=0" and S.needle(r"\|\|") == "||" and S.needle("a(b|c)d") == "" and S.needle(r"colou?r") == "colo"
+    texts = ["GROUP BY a HAVING 1=1", "x || y", "IS  NOT  NULL", "nothing", "when", ") when 3 then"]
+    rows = frame(spark, [(t,) for t in texts], "q string")
+    for p in S.CRITICAL + S.SECONDARY + S.RECON:
+        low = F.lower("q")
+        assert rows.where(S.matches(low, p) != low.rlike(p.lower())).count() == 0
+
+
+@pytest.mark.parametrize(("text", "decoded"), [('"O" + "R"', '"OR"'), ("CONCAT('a', 'b')", "'ab'"), ("'a'.concat('b')", "'ab'"), ("select 1", "SELECT 1"), ("sElEcT 'x'||'y'", "SELECT 'xy'"), ("%30x4f52", "OR")])
+def test_joined_and_mixed_case_texts(spark, text, decoded):
+    assert frame(spark, [(text,)], "q string").select(S.decoded(F.col("q")).alias("d")).first().d == decoded
+
+
+def test_synthetic_points(spark):
+    train, test = files.load_synthetic(spark, 2000, 0.2, 4)
+    n, m = train.count(), test.count()
+    assert n + m == 2000 and abs(n - 1400) <= 1
+    share = lambda df: df.agg(F.avg("is_anomaly")).first()[0]
+    assert abs(share(train) - share(test)) < 0.01 and 0.15 < share(train) < 0.25
+    every = train.unionByName(test)
+    stats = every.agg(F.avg("bytes"), F.stddev_pop("bytes"), F.avg("feature_0")).first()
+    assert abs(stats[0]) < 1e-9 and abs(stats[1] - 1) < 1e-9 and {"service_http", "flag_SF", "serror_rate", "timestamp"} <= set(every.columns)
+    raw = files.synthetic_points(spark, 4000, 0.2, 4)
+    assert abs(raw.agg(F.avg("count")).first()[0] - 3 * (1 + 0.2 * 0.3 * 4)) < 0.3 and raw.where("is_anomaly = 1 and flag_SF = 1").count() == 0
+
+
+def test_prepared_files(spark, tmp_path):
+    line = "0,tcp,http,SF," + ",".join(["1"] * 37)
+    (tmp_path / "nsl.csv").write_text("".join(f"{line.replace('tcp', p)},{c},20\n" for p, c in (("tcp", "normal"), ("udp", "neptune"), ("icmp", "smurf"))))
+    files.prepare_nsl_kdd(spark, str(tmp_path / "nsl.csv"), str(tmp_path / "out"))
+    back = files.read_nsl_kdd(spark, str(tmp_path / "out"), header=True, codes=True)
+    assert sorted((r.protocol_type, r.is_anomaly) for r in back.collect()) == [(0, 1), (1, 0), (2, 1)]
+    (tmp_path / "kdd.csv").write_text("".join(f"{line},{c}.\n" for c in ["normal"] * 20 + ["smurf"] * 10))
+    train, test = files.load_kdd(spark, str(tmp_path / "kdd.csv"))
+    assert (train.count(), test.count(), test.agg(F.sum("is_anomaly")).first()[0]) == (21, 9, 3)
+    assert {"protocol_type_tcp", "connection_rate", "bytes_ratio", "src_bytes_log"} <= set(train.columns)
+
+
+def test_streamed_thresholds_equal_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, "a" if i % 3 else "b", float(np.round(rng.choice([0.1, 0.15, 0.7]), 2))) for i in range(90)]
+    df = frame(spark, rows, "row_id long, ip string, score double").withColumn("ts", F.timestamp_seconds("row_id"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run = traffic.adaptive_labels(stream, history=100).writeStream.format("memory").queryName("labels").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    batch = S.adaptive_threshold(df, "score", ["ip"], ["ts", "row_id"])
+    assert {(r.row_id, round(r.threshold, 9)) for r in spark.table("labels").collect()} == {(r.row_id, round(r.threshold, 9)) for r in batch.collect()}
+    assert traffic.late_rows(run) == 0
+
+
+def test_profiles_grow_with_the_stream(spark, tmp_path):
+    df = frame(spark, [("a", float(i), i) for i in range(50)] + [("b", 2.0, 3)], "k string, x double, t long").withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run = traffic.profile_updates(stream, "k", "x").writeStream.format("memory").queryName("updates").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    got = {r.key: (r.n, r.mean, r.std) for r in traffic.merged_profile(spark.table("updates")).collect()}
+    assert got["a"][:2] == (50, 24.5) and abs(got["a"][2] - np.arange(50).std(ddof=1)) < 1e-9 and got["b"] == (1, 2.0, None)
+
+
+def test_benchmark_of_presets(spark):
+    from tidewatch.operators import contract as C
+
+    train, test = files.load_synthetic(spark, 900, 0.2, 3)
+    features = ["feature_0", "feature_1", "feature_2"]
+    out = V.benchmark(train, test, {n: C.preset(n, features, **({"trees": 10} if "forest" in n else {"neighbours": 5})) for n in C.PRESETS})
+    assert {r.detector for r in out.where("tp + fp + tn + fn > 200").collect()} == set(C.PRESETS)

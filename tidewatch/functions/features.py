@@ -52,6 +52,13 @@ def protocol_number(protocol: Column) -> Column:
     return out
 
 
+def is_protocol(df: DataFrame, name: str) -> Column:
+    """1 where the protocol's text holds the name or its number is the name's."""
+    column = "protocol_type" if "protocol_type" in df.columns else "protocol"
+    text = F.lower(F.col(column).cast("string"))
+    return F.coalesce((text.contains(name) | (text == F.lit(str(PROTOCOLS[name])))).cast("int"), F.lit(0))
+
+
 def one_hot(column: str, values: list[str]) -> dict[str, Column]:
     return {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}
 
@@ -64,6 +71,39 @@ def byte_ratios() -> dict[str, Column]:
     return {"bytes_ratio": F.try_divide(F.col("src_bytes"), F.col("dst_bytes") + 1), "total_bytes": F.col("src_bytes") + F.col("dst_bytes")}
 
 
+def connection_rate() -> Column:
+    return F.try_divide(F.col("count"), F.col("srv_count") + 1)
+
+
+def positions(df: DataFrame, order: list[str], seconds: int = 10, start: str = "2023-01-01 00:00:00") -> DataFrame:
+    """order (0 to n - 1), order_normalized (order / n) and a surrogate clock that advances so many seconds a row.
+
+    Rows are ordered by ranges: each range is numbered by itself, and the counts of the ranges before it are added.
+    """
+    from ..sources.staging import Workspace
+
+    parted = Workspace(df.sparkSession).keep(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = {r["__part"]: r["count"] for r in parted.groupBy("__part").count().collect()}  # a row per partition
+    n, before, offsets = sum(sizes.values()), 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    table = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    out = parted.withColumn("__rank", rank).join(F.broadcast(table), "__part").withColumn("order", (F.col("__rank") + F.col("__before")).cast("long")).drop("__part", "__rank", "__before")
+    clock = F.timestamp_add("SECOND", F.col("order") * seconds, F.lit(start).cast("timestamp_ntz"))
+    return out.withColumns({"order_normalized": F.col("order") / n if n else F.lit(0.0), "clock": clock})
+
+
+def adaptive_pipeline(df: DataFrame, features: list[str], key: str = "src_ip", seconds: int = 60) -> DataFrame:
+    """The adaptive detector's features in one go: temporal, network (counts, rates, flags of ports and protocols), and scaled numeric columns."""
+    out = df.withColumns(temporal(F.col("timestamp")))
+    out = window_counts(out, key, seconds).withColumns(rates())
+    out = out.withColumns({"port_class": port_class(F.col("dst_port")), "dst_port_suspicious": suspicious(F.col("dst_port")), "is_port_scan_like": port_scan_like(), "protocol_num": protocol_number(F.col("protocol"))})
+    scaled = standardised(out.withColumns({f"scaled_{f}": F.col(f) for f in features}), [f"scaled_{f}" for f in features])
+    return scaled
+
+
 def error_rates(columns: list[str]) -> dict[str, Column]:
     """Sum of the error rates and mean of the diversity rates that are there; nulls are skipped."""
     errors = [c for c in ("serror_rate", "rerror_rate", "srv_serror_rate", "srv_rerror_rate") if c in columns]
@@ -106,14 +146,21 @@ def aligned(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation, 1 for a deviation of 0; nulls become 0. One aggregate row, broadcast."""
-    stats = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return standardised_by(df, df, columns)
+
+
+def standardised_by(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    """``standardised`` with the means and deviations of ``train``."""
+    stats = train.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     scale = lambda c: F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")), F.lit(0.0))
     return df.crossJoin(F.broadcast(stats)).withColumns({c: scale(c) for c in columns}).drop(*stats.columns)
 
 
 def quintile(df: DataFrame, column: str, name: str, parts: int = 5) -> DataFrame:
-    """Right-closed quantile code from linearly interpolated edges; equal edges are one."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("__edges"))
-    inner = F.slice("__edges", F.lit(2), F.greatest(F.size("__edges") - 2, F.lit(0)))
-    code = F.when(F.col(column).isNotNull(), F.size(F.filter(inner, lambda e: F.col(column) > e)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, code).drop("__edges")
+    """Right-closed quantile code from linearly interpolated edges; equal edges are one. The edges are selected from ``df`` first."""
+    from ..operators import order
+
+    edges = order.quantiles(df, {column: F.col(column)}, [i / parts for i in range(parts + 1)])[column]
+    inner = sorted({e for e in edges if e is not None})[1:-1]
+    code = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in inner), F.lit(0))
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), code))

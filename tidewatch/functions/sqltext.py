@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import urllib.parse
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,15 +46,49 @@ STACKED = ["select", "insert", "update", "delete"]
 COMPLEXITY = [("SELECT", 1), ("FROM", 1), ("WHERE", 2), ("JOIN", 3), ("GROUP BY", 3), ("ORDER BY", 2), ("HAVING", 3), ("CASE", 4)]
 
 
+_META = set(".^$*+?{}[]\\|()")
+
+
+def needle(pattern: str) -> str:
+    """The longest run of plain characters that every match of the pattern holds; none for patterns with groups or alternatives."""
+    if re.search(r"(?<!\\)[(|]", pattern):
+        return ""
+    runs, own, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and pattern[i + 1] in _META | {"-"}:
+            own, i = own + pattern[i + 1], i + 2
+        elif c in _META:
+            if c in "*?" or c == "{":
+                own = own[:-1]
+            runs.append(own)
+            own, i = "", pattern.index("]", i) + 1 if c == "[" else i + 2 if c == "\\" else i + 1
+        else:
+            own, i = own + c, i + 1
+    return max([*runs, own], key=len).lower()
+
+
+def matches(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text has the pattern. Its plain part is looked for first, so texts without it cost no regular expression."""
+    plain = needle(pattern)
+    if plain == pattern.lower():
+        return low.contains(plain)
+    regex = low.rlike(pattern.lower())
+    return low.contains(plain) & regex if len(plain) > 1 else regex
+
+
 def hits(text: Column, patterns: list[str]) -> Column:
     """How many patterns match."""
-    low = F.lower(text)
-    parts = [low.rlike(p.lower()).cast("int") for p in patterns]
+    parts = [matches(F.lower(text), p).cast("int") for p in patterns]
     return sum(parts[1:], parts[0])
 
 
 def any_hit(text: Column, patterns: list[str]) -> Column:
-    return F.lower(text).rlike("|".join(f"(?:{p.lower()})" for p in patterns))
+    low = F.lower(text)
+    out = matches(low, patterns[0])
+    for p in patterns[1:]:
+        out = out | matches(low, p)
+    return out
 
 
 def odd_quotes(text: Column) -> Column:
@@ -109,27 +144,59 @@ def adaptive_threshold(df: DataFrame, score: str, partition: list[str], order: l
     return out.withColumn("threshold", F.when(F.size(h) > 10, F.least(F.lit(0.8), F.greatest(F.lit(0.4), found))).otherwise(base)).drop("__h", "__mean", "__std")
 
 
+def scanned_value(text: Column) -> Column:
+    """The first whole number after WHERE."""
+    return F.regexp_extract(text, r"(?is)\bWHERE\b.*?\b(\d+)\b", 1).try_cast("long")
+
+
+def is_scan(values: Column) -> Column:
+    """Three values or more in arithmetic or monotone order."""
+    n = F.size(values)
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(values, i) - F.get(values, i - 1))
+    return (n >= 3) & ((F.array_min(steps) >= 0) | (F.array_max(steps) <= 0))
+
+
+def escalates(values: Column) -> Column:
+    """Of three complexities or more: none before the last falls below .8 of the one before it, and the last is over 1.5 times the first."""
+    n = F.size(values)
+    steady = F.forall(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: (i > n - 2) | (F.get(values, i) >= 0.8 * F.get(values, i - 1)))
+    return (n >= 3) & steady & (F.get(values, n - 1) > 1.5 * F.get(values, F.lit(0)))
+
+
 def context_score(df: DataFrame) -> DataFrame:
-    """Up to .6 more for an address that queries fast or probes: its last ten queries and this one."""
+    """Up to .6 more for an address that queries fast, scans, escalates or probes: its last ten queries and this one. Rows without an address get 0."""
     by = Window.partitionBy("ip").orderBy("ts", "row_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(by)
-    fast = F.when(gap < 500_000, 1.0).when(gap < 1_000_000, 0.5).otherwise(0.0)
-    out = df.withColumn("__gap", gap).withColumn("__counter", F.sum(fast).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    recon = F.sum(hits(F.col("query"), RECON)).over(by.rowsBetween(-10, 0))
+    last = by.rowsBetween(-10, 0)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(by)
+    out = df.withColumns({"__value": scanned_value(F.col("query")), "__cx": complexity(F.col("query")), "__probes": hits(F.col("query"), RECON)})
+    out = out.withColumn("__gap", gap)
+    fast = F.when(F.col("__gap") < 500_000, 1.0).when(F.col("__gap") < 1_000_000, 0.5).otherwise(0.0)
+    out = out.withColumns({"__counter": F.sum(fast).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__recon": F.sum("__probes").over(last), "__values": F.collect_list("__value").over(last), "__cxs": F.collect_list("__cx").over(last)})
     rate = F.when(F.col("__gap") < 500_000, 0.05).when(F.col("__gap") < 1_000_000, 0.02).otherwise(0.0)
     crowd = F.when(F.col("__counter") > 5, F.least(F.lit(0.3), 0.05 * F.col("__counter"))).otherwise(0.0)
-    last = F.lag("complexity").over(by)
-    out = out.withColumn("complexity", complexity(F.col("query"))).withColumn("__recon", recon)
-    escalates = (F.col("complexity") > 1.5 * last) & (F.lag("complexity", 2).over(by) <= 1.25 * last)
-    total = rate + crowd + F.when(F.col("__recon") >= 2, 0.25).otherwise(0.0) + F.when(escalates, 0.2).otherwise(0.0)
-    return out.withColumn("context_score", F.least(F.lit(0.6), total)).drop("__gap", "__counter", "__recon", "complexity")
+    flag = lambda hit, x: F.when(hit, x).otherwise(0.0)
+    total = rate + crowd + flag(is_scan(F.col("__values")), 0.15) + flag(escalates(F.col("__cxs")), 0.2) + flag(F.col("__recon") >= 2, 0.25)
+    out = out.withColumn("context_score", F.when(F.col("ip").isNull(), 0.0).otherwise(F.least(F.lit(0.6), total)))
+    return out.drop("__gap", "__counter", "__recon", "__value", "__values", "__cx", "__cxs", "__probes")
 
 
 _HEX = re.compile(r"0x((?:[0-9a-fA-F]{2})+)")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CHAR = re.compile(r"(?i)\bCHAR\((\d{1,3})\)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?(?![A-Za-z0-9+/=])")
-_JOIN = re.compile(r"'([^']*)'\s*(?:\+|\|\|)\s*'([^']*)'")
+_PART = r"(?:'([^']*)'|\"([^\"]*)\")"
+#: Joined strings of either quote: with a sign between them, as arguments, or as a method.
+_JOINS = [re.compile(p, re.I) for p in (rf"{_PART}\s*(?:\+|\|\|)\s*{_PART}", rf"CONCAT\s*\(\s*{_PART}\s*,\s*{_PART}\s*\)", rf"{_PART}\s*\.\s*concat\s*\(\s*{_PART}\s*\)")]
+# Keywords, in the order in which tokens are recognised.
+KEYWORDS = (
+    "SELECT FROM WHERE INSERT UPDATE DELETE DROP CREATE ALTER UNION JOIN HAVING GROUP ORDER BY LIMIT PROCEDURE EXEC EXECUTE WAITFOR DELAY "
+    "BENCHMARK INTO VALUES TABLE DATABASE COLUMN INDEX CONSTRAINT VIEW FUNCTION TRIGGER SCHEMA GRANT REVOKE COMMIT ROLLBACK SAVEPOINT "
+    "TRANSACTION SET DECLARE CASE WHEN THEN ELSE END AND OR NOT EXISTS BETWEEN LIKE IN IS NULL TRUE FALSE PRIMARY FOREIGN KEY REFERENCES "
+    "INNER OUTER LEFT RIGHT FULL CROSS NATURAL ON USING COUNT SUM AVG MIN MAX DISTINCT ALL EXCEPT INTERSECT ANY SOME FOR OFFSET FETCH "
+    "FIRST NEXT ONLY WITH"
+).split()
+_KEYWORD = re.compile(r"\b(?:" + "|".join(KEYWORDS) + r")\b", re.I)
 _NOTES = re.compile(r"--[^\n]*|#[^\n]*|/\*.*?\*/", re.S)
 
 
@@ -142,8 +209,19 @@ def _from_base64(match: re.Match) -> str:
     return text if text.isprintable() and re.search(r"[^A-Za-z0-9]", text) else match[0]
 
 
+def _joined(match: re.Match) -> str:
+    """Two quoted parts as one, in the first one's quotes."""
+    one, other, two, more = match.groups()
+    quote = "'" if one is not None else '"'
+    return f"{quote}{one if one is not None else other}{two if two is not None else more}{quote}"
+
+
 def _decoded(text: str) -> str:
-    """URL, hex, unicode, base64 and CHAR() codes, comments, white space and joined strings, until nothing changes."""
+    """URL, hex, unicode, base64 and CHAR() codes, comments, white space, joined strings and keywords in any case, until nothing changes.
+
+    As codes are undone until the text stays as it is, codes within codes of another kind are undone too, and so are
+    keywords that were broken into quoted letters.
+    """
     for _ in range(5):
         before = text
         if "%" in text:
@@ -153,48 +231,77 @@ def _decoded(text: str) -> str:
         text = _BASE64.sub(_from_base64, text)
         text = _CHAR.sub(lambda m: f"'{chr(int(m[1]))}'" if int(m[1]) < 128 else m[0], text)
         for _ in range(10):
-            joined = _JOIN.sub(r"'\1\2'", text)
+            joined = text
+            for rule in _JOINS:
+                joined = rule.sub(_joined, joined)
             if joined == text:
                 break
             text = joined
         text = re.sub(r"\s+", " ", _NOTES.sub(" ", text))
         if text == before:
             break
-    return text
+    return _KEYWORD.sub(lambda m: m[0].upper(), text)
 
 
 @F.pandas_udf(T.StringType())
 def decode_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _decoded(t))
+    """Texts repeat a lot: each distinct one of a batch is decoded once."""
+    known = {t: _decoded(t) for t in texts.dropna().unique()}
+    return texts.map(known).where(texts.notna(), None)
 
 
 def decoded(text: Column) -> Column:
     """The decoded text; rows without any sign of obfuscation never reach Python."""
-    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|'\s*(?:\+|\|\|)\s*'|[\t\n]|[A-Za-z0-9+/]{12,}|[A-Za-z0-9+/]{6,}=")
-    return F.when(signs, decode_udf(text)).otherwise(text)
+    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|['\"]\s*(?:\+|\|\||\.)\s*|(?i:concat)|[\t\n]|[A-Za-z0-9+/]{12,}|[A-Za-z0-9+/]{6,}=")
+    mixed = text.rlike(r"\b(?i:" + "|".join(KEYWORDS) + r")\b") & (F.upper(text) != text) & text.rlike(r"\b(?!(?:" + "|".join(KEYWORDS) + r")\b)(?i:" + "|".join(KEYWORDS) + r")\b")
+    return F.when(signs | mixed, decode_udf(text)).otherwise(text)
+
 
+def combine(pattern: Column, model: Column, advanced: Column) -> Column:
+    """Patterns of .9 and more decide; else an advanced score of .8 and more, mixed with the plain model's; else .6, .2 and .2."""
+    return F.when(pattern >= 0.9, pattern).when(advanced >= 0.8, F.greatest(pattern, 0.7 * advanced + 0.3 * model)).otherwise(0.6 * pattern + 0.2 * model + 0.2 * advanced)
 
-def detect(df: DataFrame, base: float = 0.5) -> DataFrame:
-    """Scores, threshold, labels, attack type, threat level and techniques for (row_id, ts, ip, query)."""
+
+def final_threshold(threshold: Column, pattern: Column, text: Column, decoded_text: Column) -> Column:
+    """The first rule that fits: .6 at most for patterns of .7 and more, .65 at least below .1, .55 at most for decoded texts, .5 at most for dangerous words."""
+    words = F.upper(text).rlike("UNION|DROP|EXEC|WAITFOR")
+    return F.when(pattern >= 0.7, F.least(threshold, F.lit(0.6))).when(pattern < 0.1, F.greatest(threshold, F.lit(0.65))).when(text != decoded_text, F.least(threshold, F.lit(0.55))).when(words, F.least(threshold, F.lit(0.5))).otherwise(threshold)
+
+
+#: Signs of obfuscation in a text, by technique.
+TECHNIQUES = {"url": "%[0-9a-fA-F]{2}", "hex": "0x[0-9a-fA-F]{2}", "unicode": r"\\u[0-9a-fA-F]{4}", "base64": "[A-Za-z0-9+/]{6,}=", "comment": r"--|#|/\*", "white space": r"\s\s", "concatenation": r"'\s*(?:\+|\|\|)\s*'|(?i)concat\s*\(", "char codes": r"(?i)char\s*\(", "fragments": r"'\s*\+\s*'[^']+'\s*\+\s*'", "mixed case": r"\b(?!(?:SELECT|UNION|FROM|WHERE)\b)(?i:SELECT|UNION|FROM|WHERE)\b"}
+
+
+def techniques(text: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in TECHNIQUES.items()]))
+
+
+def detect(df: DataFrame, base: float = 0.5, history: list[str] | None = None, tokens: bool = False) -> DataFrame:
+    """Scores, threshold, labels, attack type, threat level and techniques for (row_id, ts, ip, query).
+
+    Columns ml_score and advanced_score count where they are there (``models.with_text_scores`` adds them). ``history``: what a
+    threshold's history is kept by (["ip"]; [] is one history, in one task). ``tokens``: findings among a text's tokens raise its pattern score to .8.
+    """
     rows = df.withColumn("decoded", decoded(F.col("query")))
-    rows = rows.withColumn("pattern_score", F.greatest(pattern_score(F.col("query")), pattern_score(F.col("decoded"))))
-    rows = context_score(rows)
-    mixed = F.when(F.col("pattern_score") >= 0.9, F.col("pattern_score")).otherwise(0.6 * F.col("pattern_score"))
-    rows = rows.withColumn("anomaly_score", F.least(F.lit(1.0), mixed + F.col("context_score")))
-    rows = adaptive_threshold(rows, "anomaly_score", ["ip"], ["ts", "row_id"], base)
-    t = F.col("threshold")
-    t = F.when(F.col("pattern_score") >= 0.7, F.least(t, F.lit(0.6))).when(F.col("pattern_score") < 0.1, F.greatest(t, F.lit(0.65))).otherwise(t)
-    t = F.when(F.col("decoded") != F.col("query"), F.least(t, F.lit(0.55))).otherwise(t)
-    rows = rows.withColumn("threshold", t).withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") >= F.col("threshold")).cast("int"), F.lit(0)))
+    score = F.greatest(pattern_score(F.col("query")), pattern_score(F.col("decoded")))
+    if tokens:
+        rows = rows.withColumn("__tokens", tokens_udf("decoded")).withColumn("token_findings", token_findings(F.col("__tokens"))).drop("__tokens")
+        score = F.when(F.size("token_findings") > 0, F.greatest(score, F.lit(0.8))).otherwise(score)
+    rows = context_score(rows.withColumn("pattern_score", score))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    model, advanced = part("ml_score"), part("advanced_score")
+    rows = rows.withColumn("anomaly_score", F.least(F.lit(1.0), combine(F.col("pattern_score"), model, advanced) + F.col("context_score")))
+    rows = adaptive_threshold(rows, "anomaly_score", ["ip"] if history is None else history, ["ts", "row_id"], base)
+    rows = rows.withColumn("threshold", final_threshold(F.col("threshold"), F.col("pattern_score"), F.col("query"), F.col("decoded")))
+    rows = rows.withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") >= F.col("threshold")).cast("int"), F.lit(0)))
     hit = F.col("predicted_anomaly") == 1
-    signs = {"url": "%[0-9a-fA-F]{2}", "hex": "0x[0-9a-fA-F]{2}", "unicode": r"\\u[0-9a-fA-F]{4}", "base64": "[A-Za-z0-9+/]{6,}=", "comment": r"--|#|/\*", "white space": r"\s\s", "concatenation": r"'\s*(?:\+|\|\|)\s*'", "char codes": r"(?i)char\("}
-    techniques = F.array_compact(F.array(*[F.when(F.col("query").rlike(p), n) for n, p in signs.items()]))
     changed = hit & (F.col("decoded") != F.col("query"))
     return rows.withColumns(
         {
             "attack_type": F.when(hit, attack_type(F.col("decoded"))),
             "threat_level": F.when(hit, threat_level(F.col("anomaly_score"))),
-            "obfuscation_details": F.when(changed, F.struct(techniques.alias("techniques"), F.col("query").alias("original"), F.col("decoded").alias("deobfuscated"))),
+            "detected_by": F.when(hit, sources(F.col("pattern_score"), model, advanced, F.col("context_score"), F.col("threshold"))),
+            "obfuscation_details": F.when(changed, F.struct(techniques(F.col("query")).alias("techniques"), F.col("query").alias("original"), F.col("decoded").alias("deobfuscated"))),
         }
     )
 
@@ -217,18 +324,33 @@ def recommendation(kind: Column) -> Column:
     return F.when(kind.isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])[kind], F.lit(DEFAULT_ADVICE)))
 
 
-def sources(rows_pattern: Column, context: Column) -> Column:
-    """Which parts of the detector spoke, joined by commas."""
-    return F.array_join(F.array_compact(F.array(F.when(rows_pattern > 0, "pattern"), F.when(context > 0, "context"))), ",")
+def sources(pattern: Column, model: Column, advanced: Column, context: Column, threshold: Column) -> Column:
+    """Which parts of the detector reach the threshold, the context with the best of the others; joined by commas."""
+    best = F.greatest(pattern, model, advanced)
+    parts = {"pattern": pattern >= threshold, "ml": model >= threshold, "advanced_ml": advanced >= threshold, "context": (context > 0) & (context + best >= threshold)}
+    return F.array_join(F.array_compact(F.array(*[F.when(hit, name) for name, hit in parts.items()])), ",")
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_udf(one: pd.Series, two: pd.Series) -> pd.Series:
+    """Share of matching characters of two texts (twice the matches by the sum of lengths)."""
+    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(one, two, strict=True)], dtype="float64")
+
+
+def differences(text: Column, decoded_text: Column) -> Column:
+    """What was decoded: the techniques found, or, where there is none, how far the texts are apart."""
+    found, ratio = techniques(text), similarity_udf(text, decoded_text)
+    apart = F.when(ratio < 0.5, "very different").when(ratio < 0.9, "somewhat different").otherwise("almost equal")
+    return F.when(text == decoded_text, None).when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(apart)
 
 
 def detect_and_explain(df: DataFrame, base: float = 0.5) -> DataFrame:
-    """``detect`` with detected_by, explanation and recommendation for flagged rows."""
+    """``detect`` with explanation and recommendation for flagged rows."""
     rows = detect(df, base)
     hit = F.col("predicted_anomaly") == 1
-    matched = F.slice(F.array_compact(F.array(*[F.when(F.lower("decoded").rlike(p.lower()), F.lit(p)) for p in CRITICAL + SECONDARY])), 1, 3)
-    text = F.concat_ws("\n", F.concat(F.lit("Kind: "), "attack_type"), F.concat(F.lit("Patterns: "), F.array_join(matched, "; ")), F.when(F.col("decoded") != F.col("query"), F.concat(F.lit("Decoded: "), "decoded")))
-    return rows.withColumns({"detected_by": F.when(hit, sources(F.col("pattern_score"), F.col("context_score"))), "explanation": F.when(hit, text), "recommendation": recommendation(F.col("attack_type"))})
+    matched = F.slice(F.array_compact(F.array(*[F.when(matches(F.lower("decoded"), p), F.lit(p)) for p in CRITICAL + SECONDARY])), 1, 3)
+    text = F.concat_ws("\n", F.concat(F.lit("Kind: "), "attack_type"), F.concat(F.lit("Patterns: "), F.array_join(matched, "; ")), F.concat(F.lit("Decoded: "), F.when(F.col("decoded") != F.col("query"), F.col("decoded"))), F.concat(F.lit("Differences: "), F.when(hit, differences(F.col("query"), F.col("decoded")))))
+    return rows.withColumns({"explanation": F.when(hit, text), "recommendation": recommendation(F.col("attack_type"))})
 
 
 def synthetic_injections(df: DataFrame, text: str = "query") -> DataFrame:
@@ -240,8 +362,25 @@ def synthetic_injections(df: DataFrame, text: str = "query") -> DataFrame:
     return plain.withColumn("made", F.explode(F.array(F.struct(F.lit("boolean").alias("kind"), true.alias("attack")), F.struct(F.lit("union").alias("kind"), union.alias("attack")))))
 
 
+# Attacks that are the same whatever the plain queries are, plain and obfuscated ones.
+ATTACK_TEXTS = [
+    "' OR 1=1 --", "' UNION SELECT 1,2,3 --", "'; DROP TABLE users --", "' OR '1'='1", "' AND (SELECT COUNT(*) FROM users) > 10 --",
+    "' WAITFOR DELAY '0:0:5' --", "' OR SLEEP(5) --", "' OR EXISTS(SELECT 1 FROM users) --", "' OR (SELECT ascii(substring(database(),1,1))) > 90 --",
+    "' AND (SELECT 1 FROM information_schema.tables LIMIT 1) --", "' UNION ALL SELECT 1,2,@@version --", "' ORDER BY 10 --",
+    "' GROUP BY 1 HAVING 1=1 --", "' INSERT INTO users VALUES ('hacker','hacked') --",
+    "' OR/**/ 1=1 --", "' UNION/**/SELECT 1,2,3 --", "' OR '1'/**/='1", "' + 'OR' + '1' + '=' + '1", "' OR 0x31=0x31 --",
+    "' OR CHAR(49)=CHAR(49) --", "' || 1=1 --", "' UnIoN SeLeCt 1,2,3 --", "' OR (1)/**/=/**/(1) --",
+]
+
+
+def attack_texts(df: DataFrame, text: str = "query") -> DataFrame:
+    """All attacks to learn from (column ``text``): the fixed ones and those made of plain queries."""
+    fixed = df.sparkSession.createDataFrame([(x,) for x in ATTACK_TEXTS], f"`{text}` string")
+    return fixed.unionByName(synthetic_injections(df, text).select(F.col("made.attack").alias(text)))
+
+
 _TOKEN = re.compile(
-    r"(?P<space>\s+)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<comment>--[^\n]*|#[^\n]*|/\*.*?\*/)|(?P<number>\d+(?:\.\d+)?)|(?P<word>[A-Za-z_@][\w@$]*)|(?P<operator><=|>=|<>|!=|\|\||&&|<<|>>|[-=<>+*/%^&|~!])|(?P<other>.)",
+    r"(?P<space>\s+)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<comment>--[^\n]*|#[^\n]*|/\*.*?\*/)|(?P<number>\d+(?:\.\d+)?)|(?P<keyword>\b(?i:" + "|".join(KEYWORDS) + r")\b)|(?P<identifier>[A-Za-z_@][\w@$]*)|(?P<operator><=|>=|<>|!=|\|\||&&|<<|>>|[-=<>+*/%^&|~!])|(?P<other>.)",
     re.S,
 )
 TOKENS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
@@ -249,15 +388,18 @@ TOKENS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Stru
 
 @F.pandas_udf(TOKENS)
 def tokens_udf(texts: pd.Series) -> pd.Series:
-    """Tokens without white space, words in upper case."""
-    return texts.map(lambda t: None if t is None else [{"type": m.lastgroup, "value": m[0].upper() if m.lastgroup == "word" else m[0]} for m in _TOKEN.finditer(t) if m.lastgroup != "space"])
+    """Tokens without white space, keywords and identifiers in upper case; each distinct text of a batch is split once."""
+    words = ("keyword", "identifier")
+    split = lambda t: [{"type": m.lastgroup, "value": m[0].upper() if m.lastgroup in words else m[0]} for m in _TOKEN.finditer(t) if m.lastgroup != "space"]
+    known = {t: split(t) for t in texts.dropna().unique()}
+    return texts.map(lambda t: None if t is None else known[t])
 
 
 def token_findings(tokens: Column) -> Column:
     """Kinds of suspicious neighbours among the tokens: expressions over the array."""
     at = lambda i, k: F.get(tokens, i + k)
     places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 3, F.lit(0)))
-    word = lambda i, k, *w: (at(i, k)["type"] == "word") & at(i, k)["value"].isin(*w)
+    word = lambda i, k, *w: at(i, k)["type"].isin("keyword", "identifier") & at(i, k)["value"].isin(*w)
     true = lambda i: word(i, 0, "OR") & ((at(i, 1)["type"].isin("number", "string") & (at(i, 2)["value"] == "=")) | word(i, 1, "TRUE"))
     rules = {"boolean": true, "union": lambda i: word(i, 0, "UNION") & (word(i, 1, "SELECT") | (word(i, 1, "ALL") & word(i, 2, "SELECT"))), "time": lambda i: word(i, 0, "SLEEP", "WAITFOR", "BENCHMARK"), "destructive": lambda i: word(i, 0, "DROP"), "command_exec": lambda i: word(i, 0, "XP_CMDSHELL", "CMDSHELL")}
     return F.array_compact(F.array(*[F.when(F.exists(places, f), name) for name, f in rules.items()]))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from ..functions import sqltext as S
+from ..sources.staging import staged
 from . import detectors as D
+from . import ensemble as E
 from . import evaluate as V
 from . import models as M
+from . import order
 from . import profiles as P
+from . import tuning as U
 
 DETECTORS: dict[str, Callable[..., Detector]] = {}
 
@@ -41,21 +47,30 @@ class Detector:
     def save(self, path: str) -> None:
         for name, table in self.state.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = next(iter(self.state.values())).sparkSession
-        note = [(self.kind, sorted(self.state), {k: repr(v) for k, v in self.options.items()})]
-        spark.createDataFrame(note, "kind string, tables array<string>, options map<string,string>").coalesce(1).write.mode("overwrite").json(f"{path}/note")
+        _write_note(SparkSession.active(), path, {"kind": self.kind, "tables": sorted(self.state), "options": self.options})
+
+    def restore(self, spark: SparkSession, path: str, note: dict) -> None:
+        self.state = {t: spark.read.parquet(f"{path}/{t}") for t in note["tables"]}
 
     @staticmethod
     def load(spark: SparkSession, path: str, **options) -> Detector:
-        """``options`` are those that the detector was made with."""
-        note = spark.read.schema("kind string, tables array<string>, options map<string,string>").json(f"{path}/note").first()
-        if note.kind not in DETECTORS:
-            raise ValueError(f"no detector of kind {note.kind!r} is registered")
-        own = DETECTORS[note.kind](**options)
-        own.state = {t: spark.read.parquet(f"{path}/{t}") for t in note.tables}
+        """The detector as it was saved; ``options`` given here replace saved ones."""
+        note = _read_note(spark, path)
+        if note["kind"] not in DETECTORS:
+            raise ValueError(f"no detector of kind {note['kind']!r} is registered")
+        own = DETECTORS[note["kind"]](**(note["options"] | options))
+        own.restore(spark, path, note)
         return own
 
 
+def _write_note(spark: SparkSession, path: str, note: dict) -> None:
+    spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
+
+
+def _read_note(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/note").first().value)
+
+
 class DosDetector(Detector):
     """Thresholds from the training frame's quantiles, applied to any frame."""
 
@@ -103,32 +118,145 @@ class ProfileDetector(Detector):
 class ForestDetector(Detector):
     """An isolation forest whose threshold comes from the training frame, so scores compare across frames.
 
-    With ``best_f1`` and labels, the threshold is the one of 100 between the training scores' extremes that has the best F1.
+    With ``best_f1`` and labels, the threshold is the one of 100 between the training scores' extremes that has the best F1. With ``tune``, trees,
+    share of features and contamination are those of ``tuning.forest_grid`` with the best F1. ``scale``: features are standardised by the training frame.
     """
 
     kind = "forest"
 
+    def _rows(self, df: DataFrame) -> DataFrame:
+        if "scale" not in self.state:
+            return df
+        stats, features = self.state["scale"], self.options["features"]
+        scale = lambda c: F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}"), F.lit(0.0))
+        return df.crossJoin(F.broadcast(stats)).withColumns({c: scale(c) for c in features}).drop(*stats.columns)
+
     def fit(self, df: DataFrame) -> Detector:
-        features = self.options["features"]
-        nodes = M.fit_isolation_forest(df, features, self.options.get("trees", 100), seed=self.options.get("seed", 42)).cache()
-        scored = M.score_isolation_forest(df, nodes, features)
-        limit = scored.agg(F.percentile("anomaly_score", F.lit(1 - self.options.get("contamination", 0.05))).alias("threshold"))
-        if self.options.get("best_f1") and "is_anomaly" in df.columns:
-            lo, hi = scored.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
-            grid = [lo + (hi - lo) * i / 99 for i in range(100)]
-            cells = [F.count(F.when((F.col("anomaly_score") >= t) & (F.col("is_anomaly") == y), 1)).alias(f"{k}{i}") for i, t in enumerate(grid) for k, y in (("tp", 1), ("fp", 0))]
-            row = scored.agg(F.sum("is_anomaly").alias("p"), *cells).first()
-            best = max(range(100), key=lambda i: 2 * row[f"tp{i}"] / max(1, row[f"tp{i}"] + row[f"fp{i}"] + (row.p or 0)))
-            limit = limit.select(F.lit(float(grid[best])).alias("threshold"))
-        self.state |= {"nodes": nodes, "limit": limit}
+        features, labelled = self.options["features"], "is_anomaly" in df.columns
+        if self.options.get("scale"):
+            deviation = lambda c: F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c))
+            self.state["scale"] = staged(df.agg(*[x for c in features for x in (F.avg(c).alias(f"__m_{c}"), deviation(c).alias(f"__s_{c}"))]), "scale")
+        rows = self._rows(df)
+        if self.options.get("tune") and labelled:
+            best = U.forest_grid(rows, features, **self.options.get("grid", {})).first()
+            self.options |= {"trees": best.trees, "features": features[: max(1, round(best.feature_share * len(features)))], "contamination": best.contamination}
+            features = self.options["features"]
+        nodes = staged(M.fit_isolation_forest(rows, features, self.options.get("trees", 100), seed=self.options.get("seed", 42)), "nodes")
+        scored = staged(M.score_isolation_forest(rows, nodes, features), "scores")
+        if self.options.get("best_f1") and labelled:
+            limit = U.best_threshold(scored, "anomaly_score")
+        else:
+            limit = order.quantile(scored, "anomaly_score", 1 - self.options.get("contamination", 0.05))
+        self.state |= {"nodes": nodes, "limit": df.sparkSession.createDataFrame([(limit,)], "threshold double")}
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = M.score_isolation_forest(df, self.state["nodes"], self.options["features"])
-        return scored.crossJoin(F.broadcast(self.state["limit"])).withColumn("predicted_anomaly", (F.col("anomaly_score") >= F.col("threshold")).cast("int")).drop("threshold")
+        scored = M.score_isolation_forest(self._rows(df), self.state["nodes"], self.options["features"])
+        return scored.crossJoin(F.broadcast(self.state["limit"])).withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") >= F.col("threshold")).cast("int"), F.lit(0))).drop("threshold")
+
+
+class FactorDetector(Detector):
+    """The local outlier factor against all training rows, with the threshold that leaves ``contamination`` of them above it."""
+
+    kind = "factor"
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__v", F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.options["features"]]))
+
+    def fit(self, df: DataFrame) -> Detector:
+        key, k = self.options.get("key", "row_id"), self.options.get("neighbours", 20)
+        model = M.fit_local_outlier_factor(self._vectors(df), "__v", key, k)
+        own = staged(M.score_local_outlier_factor(model.select("key", "v"), model, "v", "key", k), "factor_scores")
+        limit = order.quantile(own, "anomaly_score", 1 - self.options.get("contamination", 0.05))
+        self.state = {"model": model, "limit": df.sparkSession.createDataFrame([(limit,)], "threshold double")}
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        scored = M.score_local_outlier_factor(self._vectors(df), self.state["model"], "__v", self.options.get("key", "row_id"), self.options.get("neighbours", 20)).drop("__v")
+        return scored.crossJoin(F.broadcast(self.state["limit"])).withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") > F.col("threshold")).cast("int"), F.lit(0))).drop("threshold")
+
+
+class TextDetector(Detector):
+    """The SQL text detector (row_id, ts, ip, query) with its models; without models where there were too few texts to learn from."""
+
+    kind = "text"
+
+    def __init__(self, **options):
+        super().__init__(**options)
+        self.models: M.TextModels | None = None
+
+    def fit(self, df: DataFrame) -> Detector:
+        self.models = M.TextModels.fit(df, "query", self.options.get("trees", 100)) if self.options.get("use_models", True) else None
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return S.detect(self.models.score(df) if self.models else df, self.options.get("base", 0.5), tokens=self.options.get("tokens", False))
+
+    def save(self, path: str) -> None:
+        if self.models:
+            self.models.save(f"{path}/models")
+        _write_note(SparkSession.active(), path, {"kind": self.kind, "tables": [], "options": self.options, "models": self.models is not None})
+
+    def restore(self, spark: SparkSession, path: str, note: dict) -> None:
+        self.models = M.TextModels.load(spark, f"{path}/models") if note["models"] else None
+
+
+class EnsembleDetector(Detector):
+    """Detectors by name (made by ``members``: name to kind and options), fused by a strategy; weights are 1 unless given or learned (``learn_weights``: F1 on the training frame)."""
+
+    kind = "ensemble"
+
+    def __init__(self, **options):
+        super().__init__(**options)
+        self.detectors = {name: DETECTORS[kind](**own) for name, (kind, own) in options["members"].items()}
+
+    def fit(self, df: DataFrame) -> Detector:
+        for d in self.detectors.values():
+            d.fit(df)
+        weights = self.options.get("weights") or dict.fromkeys(self.detectors, 1.0)
+        if self.options.get("learn_weights") and "is_anomaly" in df.columns:
+            weights = {name: max(0.01, d.evaluate(df).first().f1) for name, d in self.detectors.items()}
+        self.options["weights"] = weights
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return E.predict(df, self.detectors, self.options["weights"], self.options.get("strategy", "weighted_average"), self.options.get("key", "row_id"))
+
+    def save(self, path: str) -> None:
+        for name, d in self.detectors.items():
+            d.save(f"{path}/{name}")
+        _write_note(SparkSession.active(), path, {"kind": self.kind, "tables": [], "options": self.options})
+
+    def restore(self, spark: SparkSession, path: str, note: dict) -> None:
+        self.detectors = {name: Detector.load(spark, f"{path}/{name}") for name in note["options"]["members"]}
+
+
+class AdaptiveDetector(Detector):
+    """Profiles of the training frame's normal rows, kept as a table; statistical, contextual and collective scores of any frame against them."""
+
+    kind = "adaptive"
+
+    def fit(self, df: DataFrame) -> Detector:
+        rows = df.withColumns(X.temporal(F.col("timestamp")))
+        self.state["moments"] = D.normal_moments(rows, self.options["features"], self.options.get("min_rows"))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        rows = df.withColumns(X.temporal(F.col("timestamp")))
+        raw = D.profile_scores(rows, self.state["moments"], self.options["features"], P.SENSITIVITY[self.options.get("sensitivity", "medium")])
+        return D.combined(raw, {c: w for c, w in D.WEIGHTS.items() if c != "ml_score"})
+
+
+#: Detectors as published scripts set them up.
+PRESETS = {"standard_forest": ("forest", {"contamination": 0.2}), "improved_forest": ("forest", {"contamination": 0.2, "scale": True, "best_f1": True}), "factor": ("factor", {"contamination": 0.1})}
+
+
+def preset(name: str, features: list[str], **options) -> Detector:
+    kind, own = PRESETS[name]
+    return DETECTORS[kind](**(own | {"features": features} | options))
 
 
-for _c in (DosDetector, SequenceDetector, ProfileDetector, ForestDetector):
+for _c in (DosDetector, SequenceDetector, ProfileDetector, ForestDetector, FactorDetector, TextDetector, EnsembleDetector, AdaptiveDetector):
     register_detector(_c.kind, _c)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features as X
+from ..sources.staging import staged
+from . import models as M
+from . import order
 from . import profiles as P
 
 DOS_FEATURES = ["connection_count", "bytes_per_second", "traffic_intensity", "syn_flag", "icmp_flag", "udp_flag"]
@@ -19,26 +22,26 @@ def dos_features(df: DataFrame, key: str, seconds: int) -> DataFrame:
             "bytes_per_second": F.col("bytes") / (F.col("duration") + 0.1),
             "traffic_intensity": (F.col("connection_count") * F.col("packets")).cast("double"),
             "syn_flag": (F.col("flag").contains("S0") | F.col("flag").contains("SYN")).cast("int"),
-            "icmp_flag": F.lower("protocol").contains("icmp").cast("int"),
-            "udp_flag": F.lower("protocol").contains("udp").cast("int"),
+            "icmp_flag": X.is_protocol(df, "icmp"),
+            "udp_flag": X.is_protocol(df, "udp"),
         }
     )
 
 
 def dos_detect(df: DataFrame, key: str = "src_ip", seconds: int = 30, percentile: float = 99.9) -> DataFrame:
     """Score: excess of each feature over its threshold, in thresholds, by the largest sum. A threshold of 0 is off."""
-    rows = dos_features(df, key, seconds)
+    rows = staged(dos_features(df, key, seconds), "dos_features")
     return dos_score(rows, P.quantile_thresholds(rows, DOS_FEATURES, percentile))
 
 
 def dos_score(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Scores of a frame with the features against one row of limits."""
-    limits = limits.select(*[F.col(f).alias(f"__limit_{f}") for f in DOS_FEATURES])
-    part = lambda f: F.when(F.col(f"__limit_{f}") > 0, F.greatest(F.lit(0.0), F.col(f) / F.col(f"__limit_{f}") - 1)).otherwise(0.0)
+    """Scores of a frame with the features against one row of limits; ``rows`` is read once for the largest sum and once for the scores."""
+    limit = limits.first()
+    part = lambda f: F.coalesce(F.greatest(F.lit(0.0), F.col(f) / limit[f] - 1), F.lit(0.0)) if (limit[f] or 0) > 0 else F.lit(0.0)
     parts = [part(f) for f in DOS_FEATURES]
-    raw = rows.crossJoin(F.broadcast(limits)).withColumn("__raw", sum(parts[1:], parts[0])).drop(*limits.columns)
-    top = raw.agg(F.max("__raw").alias("__top"))
-    out = raw.crossJoin(F.broadcast(top)).withColumn("anomaly_score", F.coalesce(F.try_divide("__raw", "__top"), F.lit(0.0))).drop("__raw", "__top")
+    raw = sum(parts[1:], parts[0])
+    top = rows.agg(F.max(raw)).first()[0] or 0.0
+    out = rows.withColumn("anomaly_score", raw / top if top > 0 else F.lit(0.0))
     kind = F.when(F.col("udp_flag") == 1, "UDP Flood").when(F.col("icmp_flag") == 1, "ICMP Flood").when(F.col("syn_flag") == 1, "SYN Flood").otherwise("Generic DoS")
     hit = F.col("anomaly_score") > 0
     return out.withColumn("predicted_anomaly", hit.cast("int")).withColumn("dos_attack_type", F.when(hit, kind).otherwise("Normal"))
@@ -71,47 +74,137 @@ def sequence_detect(df: DataFrame, state: Column, partition: list[str], order: l
 
 def sequence_labels(raw: DataFrame) -> DataFrame:
     """anomaly_score (by the largest raw score) and a label from the 95th percentile on."""
-    stats = raw.agg(F.max("raw_score").alias("__top"), F.percentile("raw_score", F.lit(0.95)).alias("__p"))
-    scale = F.when(F.col("__top") > 0, F.col("__top")).otherwise(1.0)
-    out = raw.crossJoin(F.broadcast(stats)).withColumn("anomaly_score", F.col("raw_score") / scale)
-    return out.withColumn("predicted_anomaly", (F.col("raw_score") >= F.col("__p")).cast("int")).drop("__top", "__p", "raw_score")
+    raw = staged(raw, "sequence_scores")
+    top, limit = P.bounds(raw, {"s": F.col("raw_score")})["s"][1], order.quantile(raw, "raw_score", 0.95)
+    out = raw.withColumn("anomaly_score", F.col("raw_score") / (top if top > 0 else 1.0))
+    return out.withColumn("predicted_anomaly", (F.col("raw_score") >= F.lit(limit)).cast("int")).drop("raw_score")
 
 
-def adaptive_detect(df: DataFrame, features: list[str], sigmas: float = 3.0, normal_only: bool = True) -> DataFrame:
-    """Statistical, contextual and collective scores against profiles of normal rows, weighed .4, .3 and .1 (.2 is for models)."""
+#: Weights of the adaptive detector's scores, and of the models within theirs: two published mixes of forest, factor and noise.
+WEIGHTS = {"statistical_score": 0.4, "contextual_score": 0.3, "ml_score": 0.2, "collective_score": 0.1}
+IMPROVED_WEIGHTS = {"statistical_score": 0.3, "contextual_score": 0.4, "ml_score": 0.25, "collective_score": 0.05}
+MODEL_MIXES = {"sum": (0.5, 0.5, 0.3), "share": (0.5, 0.3, 0.2)}
+KINDS = {"statistical_score": "Statistical Anomaly", "contextual_score": "Contextual Anomaly", "ml_score": "Complex Anomaly", "collective_score": "Collective Anomaly"}
+
+
+def normal_moments(rows: DataFrame, features: list[str], min_rows: int | None = 10) -> DataFrame:
+    """Profiles of the normal rows (all, without labels) for all contexts of the adaptive detector, from one pass over them.
+
+    ``min_rows``: of a protocol and port; None: a hundredth of all, 10 at least.
+    """
+    normal = rows.where("is_anomaly = 0") if "is_anomaly" in rows.columns else rows
+    least = P.support(normal) if min_rows is None else min_rows
+    return P.moments(normal, {name: (keys, least if name == "port" else 1) for name, keys in CONTEXTS.items()}, features)
+
+
+CONTEXTS = {"global": [], "hour": ["hour_of_day"], "working": ["is_working_hours"], "port": ["protocol", "dst_port"]}
+
+
+def profile_scores(rows: DataFrame, table: DataFrame, features: list[str], sigmas: float) -> DataFrame:
+    """``rows`` with statistical, contextual and collective raw scores, written once."""
+    out = rows
+    for name, keys in CONTEXTS.items():
+        out = P.score_by(out, table, name, keys, features, f"__c_{name}", sigmas)
+    context = [F.col(f"__c_{name}") for name in CONTEXTS if name != "global"]
+    out = out.withColumn("statistical_score", F.col("__c_global")).withColumn("contextual_score", sum(context[1:], context[0])).drop(*[f"__c_{name}" for name in CONTEXTS])
+    return staged(P.collective_spikes(out, features[:3], ["src_ip"], ["timestamp", "row_id"]), "adaptive_scores")
+
+
+def adaptive_scores(df: DataFrame, features: list[str], sigmas: float = 3.0, normal_only: bool = True, min_rows: int | None = 10) -> DataFrame:
+    """``df`` with raw scores against profiles of its own normal rows."""
     rows = df.withColumns(X.temporal(F.col("timestamp")))
-    normal = rows.where("is_anomaly = 0") if normal_only and "is_anomaly" in df.columns else rows
-    out = P.score_against(rows, P.profile(normal, "global", [], features), [], features, "statistical_score", sigmas)
-    context = []
-    for name, keys, least in (("hour", ["hour_of_day"], 1), ("working", ["is_working_hours"], 1), ("port", ["protocol", "dst_port"], 10)):
-        out = P.score_against(out, P.profile(normal, name, keys, features, least), keys, features, f"__c_{name}", sigmas)
-        context.append(F.col(f"__c_{name}"))
-    out = out.withColumn("contextual_score", sum(context[1:], context[0])).drop("__c_hour", "__c_working", "__c_port")
-    out = P.collective_spikes(out, features[:3], ["src_ip"], ["timestamp", "row_id"])
-    scores = ["statistical_score", "contextual_score", "collective_score"]
-    out = P.min_max(out, scores).withColumn("anomaly_score", 0.4 * F.col(scores[0]) + 0.3 * F.col(scores[1]) + 0.1 * F.col(scores[2]))
-    out = P.min_max(out, ["anomaly_score"])
+    return profile_scores(rows, normal_moments(rows if normal_only else rows.drop("is_anomaly"), features, min_rows), features, sigmas)
+
+
+def ml_scores(df: DataFrame, train: DataFrame, features: list[str], key: str = "row_id", mix: str = "sum", trees: int = 100, eps: float = 0.5, neighbours: int = 20) -> DataFrame:
+    """``df`` with ml_score: scaled isolation forest and local outlier factor against ``train``, and density noise of ``df`` itself.
+
+    Features are standardised by ``train`` for the forest and the factor, by ``df`` for the noise.
+    """
+    w_forest, w_factor, w_noise = MODEL_MIXES[mix]
+    scaled, own = X.standardised_by(df, train, features), X.standardised_by(train, train, features)
+    forest = staged(M.score_isolation_forest(scaled, M.fit_isolation_forest(own, features, trees), features).withColumnRenamed("anomaly_score", "__forest"), "forest")
+    vectors = lambda rows: rows.select(F.col(key).alias("key"), F.array(*features).alias("v"))
+    factor = staged(M.local_outlier_factor(vectors(scaled), vectors(own), "v", "key", neighbours).select(F.col("key").alias(key), F.col("anomaly_score").alias("__factor")), "factor")
+    noise = M.density_noise(X.standardised_by(df, df, features), key, features, eps).select(F.col("key").alias(key), F.col("noise").alias("__noise"))
+    found = {**P.bounds(forest, {"f": F.col("__forest")}), **P.bounds(factor, {"l": F.col("__factor")})}
+    both = forest.select(key, "__forest").join(factor, key).join(noise, key)
+    score = w_forest * P.scaled(F.col("__forest"), *found["f"]) + w_factor * P.scaled(F.col("__factor"), *found["l"]) + w_noise * F.col("__noise")
+    return df.join(both.select(key, score.alias("ml_score")), key)
+
+
+def combined(raw: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Scores scaled to 0..1, their weighted sum scaled again, a label from min(95th percentile, .7) on, and the leading score's type."""
+    scores = list(weights)
+    found = P.bounds(raw, {c: F.col(c) for c in scores})
+    out = raw.withColumns({c: P.scaled(F.col(c), *found[c]) for c in scores})
+    total = sum((F.col(c) * weights[c] for c in scores[1:]), F.col(scores[0]) * weights[scores[0]])
+    lo, hi = P.bounds(out, {"t": total})["t"]
+    out = out.withColumn("anomaly_score", P.scaled(total, lo, hi))
     out = P.above_percentile(out, "anomaly_score", 0.95, "predicted_anomaly", cap=0.7, inclusive=True)
-    top = F.greatest(*scores)
-    kind = F.when(F.col(scores[0]) == top, "Statistical Anomaly").when(F.col(scores[1]) == top, "Contextual Anomaly").otherwise("Collective Anomaly")
+    top, kind = F.greatest(*scores), None
+    for c in scores:
+        kind = F.when(F.col(c) == top, KINDS[c]) if kind is None else kind.when(F.col(c) == top, KINDS[c])
     return out.withColumn("anomaly_type", F.when(F.col("predicted_anomaly") == 1, kind).otherwise("Normal"))
 
 
+def adaptive_detect(df: DataFrame, features: list[str], sigmas: float = 3.0, normal_only: bool = True, models: bool = False) -> DataFrame:
+    """Statistical, contextual, model and collective scores against profiles of normal rows, weighed .4, .3, .2 and .1.
+
+    Without ``models`` (no forest, factor and noise) the .2 adds nothing. Raw scores are written once; bounds and percentile read that.
+    """
+    raw = adaptive_scores(df, features, sigmas, normal_only)
+    if models:
+        train = df.where("is_anomaly = 0") if normal_only and "is_anomaly" in df.columns else df
+        raw = staged(ml_scores(raw, train, features), "adaptive_models")
+    return combined(raw, {c: w for c, w in WEIGHTS.items() if models or c != "ml_score"})
+
+
+#: How far, in deviations, a row must be from a profile: the base detector's scale and the improved one's, which runs the other way.
+IMPROVED_SENSITIVITY = {"low": 5.0, "medium": 3.0, "high": 1.5}
+
+
+def improved_types(df: DataFrame, least: float = 0.3) -> DataFrame:
+    """anomaly_type of flagged rows (scaled scores, is_dos_like, is_port_scan_like, rates, dst_port, hour_of_day): the kind whose share of the four scores is largest and
+    at least ``least``, statistical ones in detail; else mixed. Rates are compared with three times the frame's mean.
+    """
+    scores = list(KINDS)
+    total = sum((F.col(c) for c in scores[1:]), F.col(scores[0])) + P.EPSILON
+    mean = df.agg(F.avg("bytes_per_second").alias("b"), F.avg("packets_per_second").alias("p")).first()
+    burst = F.col("packets_per_second") > 3 * (mean.p or 0.0)
+    detail = (
+        F.when((F.col("is_dos_like") == 1) & (F.col("bytes_per_second") > 5000), "High-Bandwidth DoS Attack")
+        .when(F.col("is_dos_like") == 1, "DoS Attack")
+        .when(F.col("is_port_scan_like") == 1, "Port Scan")
+        .when((F.col("bytes_per_second") > 3 * (mean.b or 0.0)) & burst, "Traffic Burst")
+        .when(F.col("bytes_per_second") > 3 * (mean.b or 0.0), "Volume Anomaly")
+        .when(F.col("dst_port").isin(X.SUSPICIOUS_PORTS), "Suspicious Port")
+        .when((F.col("hour_of_day") < 6) | (F.col("hour_of_day") > 22), "After-Hours Activity")
+        .otherwise("Statistical Anomaly")
+    )
+    top = F.greatest(*scores)
+    kind = F.when(top / total < least, "Mixed Anomaly").when(F.col("statistical_score") == top, detail)
+    for c in scores[1:]:
+        kind = kind.when(F.col(c) == top, KINDS[c])
+    return df.withColumn("anomaly_type", F.when(F.col("predicted_anomaly") == 1, kind).otherwise("Normal"))
+
+
 def statistical_subtype(df: DataFrame) -> DataFrame:
     """What a statistical anomaly is about; the first that fits: DoS, port scan, volume (over three times the mean
     rate), suspicious port, time (before 6 or after 22), else statistical."""
     rate = F.col("bytes") / (F.col("duration") + 0.1)
-    stats = df.agg(F.avg(rate).alias("__mean"), F.percentile("connection_count", F.lit(0.95)).alias("__p95"))
+    mean = df.agg(F.avg(rate)).first()[0]
+    crowd = order.quantile(df, "connection_count", 0.95)
     hour = F.hour("timestamp")
     kind = (
-        F.when(F.col("connection_count") > F.col("__p95"), "DoS Attack")
+        F.when(F.col("connection_count") > F.lit(crowd), "DoS Attack")
         .when(X.port_scan_like() == 1, "Port Scan")
-        .when(rate > 3 * F.col("__mean"), "Volume Anomaly")
+        .when(rate > 3 * F.lit(mean), "Volume Anomaly")
         .when(F.col("dst_port").isin(X.SUSPICIOUS_PORTS), "Suspicious Port")
         .when((hour < 6) | (hour > 22), "Time Anomaly")
         .otherwise("Statistical Anomaly")
     )
-    return df.crossJoin(F.broadcast(stats)).withColumn("anomaly_subtype", kind).drop("__mean", "__p95")
+    return df.withColumn("anomaly_subtype", kind)
 
 
 def dominant_type(df: DataFrame, weights: dict[str, float], least: float = 0.3) -> DataFrame:

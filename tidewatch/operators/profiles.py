@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staged
+from . import order
+
 EPSILON = 1e-10
 SENSITIVITY = {"low": 2.0, "medium": 3.0, "high": 4.0}
 PROFILE = "context string, key string, feature string, n long, mean double, std double, median double, q1 double, q3 double, iqr double, min double, max double"
@@ -15,18 +18,78 @@ def unpivoted(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     return df.unpivot([F.col(k) for k in keys], [F.col(f).cast("double").alias(f) for f in features], "feature", "x")
 
 
+def _key(keys: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys]) if keys else F.lit("all")
+
+
+def support(df: DataFrame) -> int:
+    """The least rows of a port's or protocol and port's profile: a hundredth of all rows, at least 10."""
+    return max(10, df.count() // 100)
+
+
 def profile(df: DataFrame, context: str, keys: list[str], features: list[str], min_rows: int = 1) -> DataFrame:
-    """One row per key and feature: one pass and one shuffle for all features of a context."""
-    parts = ["coalesce(cast(`%s` as string), 'null')" % k for k in keys]
-    long = unpivoted(df, keys, features).where("x is not null")
-    key = F.concat_ws("|", *[F.expr(p) for p in parts]) if keys else F.lit("all")
-    stats = long.groupBy(key.alias("key"), "feature").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+    """One row per key and feature: one pass and one shuffle for all features of a context.
+
+    Quartiles are exact. A group's values fit one buffer up to ``order.MOST`` rows a group; where a group is larger,
+    all are counted by value first and picked by rank over ranges.
+    """
+    long = unpivoted(df, keys, features).where("x is not null").select(_key(keys).alias("key"), "feature", "x")
+    shares = [0.25, 0.5, 0.75]
+    plain = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    large = long.groupBy("key", "feature").count().agg(F.max("count")).first()[0] or 0
+    if large <= order.MOST:
+        stats = long.groupBy("key", "feature").agg(*plain, F.percentile("x", F.array(*[F.lit(x) for x in shares])).alias("q"))
+    else:
+        stats = long.groupBy("key", "feature").agg(*plain).join(order.grouped_quantiles(long, ["key", "feature"], "x", shares), ["key", "feature"])
     q = [F.get("q", F.lit(i)) for i in range(3)]
     return stats.where(F.col("n") >= min_rows).select(F.lit(context).alias("context"), "key", "feature", "n", "mean", "std", q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "min", "max")
 
 
+def profile_counts(profiles: DataFrame) -> DataFrame:
+    """How many feature profiles each context holds."""
+    return profiles.groupBy("context").agg(F.count(F.lit(1)).alias("profiles"))
+
+
+def lookup(profiles: DataFrame, context: str, key: str | None = None, feature: str | None = None) -> DataFrame:
+    """The rows of a context, of one of its keys or features: filters that reach the scan of stored profiles."""
+    out = profiles.where(F.col("context") == context)
+    out = out if key is None else out.where(F.col("key") == key)
+    return out if feature is None else out.where(F.col("feature") == feature)
+
+
+def threshold_of(limits: DataFrame, wanted: DataFrame, multiplier: float = 1.0) -> DataFrame:
+    """``wanted`` (feature) with its threshold times the multiplier; infinite where there is none."""
+    return wanted.join(limits, "feature", "left").withColumn("threshold", F.coalesce(F.col("threshold"), F.lit(float("inf"))) * multiplier)
+
+
+def moments(df: DataFrame, contexts: dict[str, tuple[list[str], int]], features: list[str]) -> DataFrame:
+    """context, key, and mean and deviation of each feature, for several contexts (keys, least rows) in one pass: grouping sets.
+
+    The table has a row per key of each context and is written once, as every context is joined by itself.
+    """
+    keys = list(dict.fromkeys(k for ks, _ in contexts.values() for k in ks))
+    rows = df.select(*[F.col(k) for k in keys], *[F.col(f).cast("double").alias(f) for f in features])
+    stats = [x for f in features for x in (F.avg(f).alias(f"mean_{f}"), F.stddev_samp(f).alias(f"std_{f}"))]
+    sets = [[F.col(k) for k in ks] for ks, _ in contexts.values()]
+    grouped = rows.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("set"), *stats)
+    number = lambda ks: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
+    context, key, least = F.lit(None).cast("string"), F.lit("all"), F.lit(1)
+    for name, (ks, n) in contexts.items():
+        own = F.col("set") == number(ks)
+        context, key, least = F.when(own, name).otherwise(context), F.when(own, _key(ks)).otherwise(key), F.when(own, n).otherwise(least)
+    out = grouped.select(context.alias("context"), key.alias("key"), "n", least.alias("least"), *[f"{m}_{f}" for f in features for m in ("mean", "std")])
+    return staged(out.where("n >= least").drop("least"), "moments")
+
+
+def score_by(df: DataFrame, table: DataFrame, context: str, keys: list[str], features: list[str], name: str, sigmas: float) -> DataFrame:
+    """The summed excess of a row's features over its key in a table of ``moments``."""
+    prefix = f"__{name}"
+    own = table.where(F.col("context") == context).select(F.col("key").alias(f"{prefix}_key"), *[F.col(f"{m}_{f}").alias(f"{prefix}_{m}_{f}") for f in features for m in ("mean", "std")])
+    joined = df.withColumn(f"{prefix}_own", _key(keys)).join(own, F.col(f"{prefix}_own") == F.col(f"{prefix}_key"), "left")
+    parts = [excess(F.col(f).cast("double"), F.col(f"{prefix}_mean_{f}"), F.col(f"{prefix}_std_{f}"), sigmas) for f in features]
+    return joined.withColumn(name, sum(parts[1:], parts[0])).drop(*own.columns, f"{prefix}_own")
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Share of each value; nulls are left out."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -42,7 +105,8 @@ def thresholds(stats: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 def quantile_thresholds(df: DataFrame, features: list[str], percentile: float) -> DataFrame:
     """One row with each feature's quantile."""
-    return df.agg(*[F.percentile(f, F.lit(percentile / 100)).alias(f) for f in features])
+    found = order.quantiles(df, {f: F.col(f) for f in features}, [percentile / 100])
+    return df.sparkSession.createDataFrame([tuple(found[f][0] for f in features)], ", ".join(f"`{f}` double" for f in features))
 
 
 def excess(x: Column, mean: Column, std: Column, sigmas: float) -> Column:
@@ -50,38 +114,44 @@ def excess(x: Column, mean: Column, std: Column, sigmas: float) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.abs(x - mean) / (std + EPSILON) - sigmas), F.lit(0.0))
 
 
-def wide(stats: DataFrame, features: list[str], prefix: str) -> DataFrame:
-    """key, and mean and std of each feature as columns."""
-    pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
-    return stats.groupBy("key").agg(*[pick(f, c).alias(f"{prefix}_{c}_{f}") for f in features for c in ("mean", "std")])
-
-
 def score_against(df: DataFrame, stats: DataFrame, keys: list[str], features: list[str], name: str, sigmas: float = 3.0) -> DataFrame:
     """The summed excess of a row's features over the profile of its key; a key without profile adds 0.
 
     A profile has a row per key, so Spark broadcasts it while it is small and joins by key beyond.
     """
-    prefix = f"__{name}"
-    table = wide(stats, features, prefix).withColumnRenamed("key", f"{prefix}_key")
-    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]) if keys else F.lit("all")
-    joined = df.withColumn(f"{prefix}_own", key).join(table, F.col(f"{prefix}_own") == F.col(f"{prefix}_key"), "left")
-    parts = [excess(F.col(f).cast("double"), F.col(f"{prefix}_mean_{f}"), F.col(f"{prefix}_std_{f}"), sigmas) for f in features]
-    return joined.withColumn(name, sum(parts[1:], parts[0])).drop(*table.columns, f"{prefix}_own")
+    pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
+    table = stats.groupBy("key").agg(*[pick(f, c).alias(f"{c}_{f}") for f in features for c in ("mean", "std")])
+    return score_by(df, table.withColumn("context", F.lit("own")), "own", keys, features, name, sigmas)
+
+
+def bounds(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float, float]]:
+    """Least and largest value of each column, all in one aggregate; (0, 0) without values."""
+    row = df.agg(*[f(c.cast("double")).alias(f"{n}_{name}") for name, c in columns.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return {c: (row[f"lo_{c}"] or 0.0, row[f"hi_{c}"] or 0.0) for c in columns}
+
+
+def scaled(column: Column, lo: float, hi: float) -> Column:
+    """0 to 1 between the bounds; 0 where they are equal."""
+    return F.coalesce((column - lo) / (hi - lo), F.lit(0.0)) if hi > lo else F.lit(0.0)
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column scaled to 0..1; a constant one becomes 0."""
-    bounds = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")), F.lit(0.0))
-    return df.crossJoin(F.broadcast(bounds)).withColumns({c: scaled(c) for c in columns}).drop(*bounds.columns)
+    """Each column scaled to 0..1; a constant one becomes 0. One aggregate reads ``df`` first; the result doesn't join it with itself."""
+    found = bounds(df, {c: F.col(c) for c in columns})
+    return df.withColumns({c: scaled(F.col(c), *found[c]) for c in columns})
 
 
 def above_percentile(df: DataFrame, column: str, p: float, name: str, cap: float | None = None, inclusive: bool = False) -> DataFrame:
-    """1 where the column exceeds its own percentile (or ``cap``, if that is less); 0 for all if it is constant."""
-    bounds = df.agg(F.percentile(column, F.lit(p)).alias("__t"), F.min(column).alias("__lo"), F.max(column).alias("__hi"))
-    t = F.least(F.col("__t"), F.lit(cap)) if cap is not None else F.col("__t")
-    hit = (F.col(column) >= t) if inclusive else (F.col(column) > t)
-    return df.crossJoin(F.broadcast(bounds)).withColumn(name, (hit & (F.col("__hi") > F.col("__lo"))).cast("int")).drop("__t", "__lo", "__hi")
+    """1 where the column exceeds its own percentile (or ``cap``, if that is less); 0 for all if it is constant.
+
+    The percentile is selected from ``df`` first, in a few passes of bounded memory: stage a frame that is more than a scan.
+    """
+    lo, hi = bounds(df, {column: F.col(column)})[column]
+    t = order.quantile(df, column, p)
+    if t is None or hi <= lo:
+        return df.withColumn(name, F.lit(0))
+    t = t if cap is None else min(t, cap)
+    return df.withColumn(name, F.coalesce(((F.col(column) >= t) if inclusive else (F.col(column) > t)).cast("int"), F.lit(0)))
 
 
 def collective_spikes(df: DataFrame, features: list[str], partition: list[str], order: list[str], width: int = 10) -> DataFrame:

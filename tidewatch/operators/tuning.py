@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..sources.staging import staged
 from . import evaluate as V
+from . import order
 
 
 def informative_weights(df: DataFrame, scores: list[str], label: str | None = None, base: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
@@ -31,16 +32,53 @@ def gap_threshold(df: DataFrame, score: str, fallback: float = 0.7, percentile:
     """The score above the first large gap between neighbouring scores, if it exceeds ``fallback``; else the lesser of
     the percentile and ``fallback``. Large: over the 95th percentile of the largest quarter of gaps.
 
-    Scores are counted first, so what is ordered are distinct scores.
+    Distinct scores are ordered by ranges; quantiles are selected, not gathered.
     """
-    distinct = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.orderBy("s")
-    gaps = distinct.select("s", F.lead("s").over(by).alias("above")).where("above is not null").withColumn("gap", F.col("above") - F.col("s"))
-    quarter = gaps.agg(F.percentile("gap", F.lit(0.75)).alias("q"))
-    large = gaps.crossJoin(F.broadcast(quarter)).where("gap >= q").agg(F.percentile("gap", F.lit(0.95)).alias("g"))
-    first = gaps.crossJoin(F.broadcast(large)).where("gap > g").agg(F.min("above").alias("natural"))
-    limit = df.agg(F.percentile(score, F.lit(percentile)).alias("p"))
-    return first.crossJoin(limit).select(F.when(F.col("natural") > fallback, F.col("natural")).otherwise(F.least("p", F.lit(fallback))).alias("threshold"))
+    distinct = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s")).distinct()
+    gaps = staged(order.neighbours(distinct, "s").withColumn("gap", F.col("above") - F.col("s")), "gaps")
+    quarter = order.quantile(gaps, "gap", 0.75)
+    large = None if quarter is None else order.quantile(gaps.where(F.col("gap") >= quarter), "gap", 0.95)
+    natural = None if large is None else gaps.where(F.col("gap") > large).agg(F.min("above")).first()[0]
+    limit = order.quantile(df, score, percentile)
+    found = natural if natural is not None and natural > fallback else None if limit is None else min(limit, fallback)
+    return df.sparkSession.createDataFrame([(found,)], "threshold double")
+
+
+def grid_of(lo: float, hi: float, steps: int = 100) -> list[float]:
+    """Evenly spaced thresholds from lo to hi."""
+    return [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
+
+
+def best_threshold(df: DataFrame, score: str, label: str = "is_anomaly", steps: int = 100) -> float:
+    """Of ``steps`` thresholds between the extremes, the first with the best F1 (scores from it on are flagged); one pass for all."""
+    lo, hi = df.agg(F.min(score), F.max(score)).first()
+    grid = grid_of(lo, hi, steps)
+    cells = [F.count(F.when((F.col(score) >= t) & (F.col(label) == y), 1)).alias(f"{k}{i}") for i, t in enumerate(grid) for k, y in (("tp", 1), ("fp", 0))]
+    row = df.agg(F.sum(label).alias("p"), *cells).first()
+    return float(grid[max(range(steps), key=lambda i: 2 * row[f"tp{i}"] / max(1, row[f"tp{i}"] + row[f"fp{i}"] + (row.p or 0)))])
+
+
+def forest_grid(df: DataFrame, features: list[str], key: str = "row_id", trees: tuple[int, ...] = (50, 100, 200), feature_shares: tuple[float, ...] = (0.5, 0.75, 1.0), contaminations: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2), folds: int = 3, label: str = "is_anomaly", seed: int = 42) -> DataFrame:
+    """trees, feature_share, contamination and mean F1 over folds (by hash of ``key``), best first; all contaminations share a fold's forest and scores."""
+    from . import models as M
+    from . import sampling as Z
+
+    rows, fold = [], Z.bucket(key, folds, seed)
+    for n in trees:
+        for share in feature_shares:
+            own = features[: max(1, round(share * len(features)))]
+            for i in range(folds):
+                nodes = M.fit_isolation_forest(df.where(fold != i), own, n, seed=seed)
+                scored = staged(M.score_isolation_forest(df.withColumn("__fold", fold), nodes, own).select("__fold", label, "anomaly_score"), "grid")
+                limits = order.quantiles(scored.where(F.col("__fold") != i), {"s": F.col("anomaly_score")}, [1 - c for c in contaminations])["s"]
+                test = scored.where(F.col("__fold") == i)
+                cells = [F.count(F.when(hit, 1)) for t in limits for hit in ((F.col("anomaly_score") > F.lit(t)) & (F.col(label) == 1), F.col("anomaly_score") > F.lit(t))]
+                found = test.agg(F.sum(label), *cells).first()
+                for j, c in enumerate(contaminations):
+                    tp, flagged = found[1 + 2 * j], found[2 + 2 * j]
+                    rows.append((n, share, c, 2.0 * tp / max(1, flagged + (found[0] or 0))))
+    out = df.sparkSession.createDataFrame(rows, "trees int, feature_share double, contamination double, f1 double")
+    return out.groupBy("trees", "feature_share", "contamination").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "trees", "feature_share", "contamination")
 
 
 def weight_grid(df: DataFrame, scores: list[str], weights: list[tuple[float, ...]], thresholds: list[float], label: str = "is_anomaly") -> DataFrame:

@@ -145,7 +145,8 @@ _SEC = " + ".join(f"{_match(p)}::INT" for p in S.SECONDARY)
 _ODD = """((length(query) - length(replace(query, '''', ''))) % 2 <> 0 OR (length(query) - length(replace(query, '"', ''))) % 2 <> 0)"""
 _PS = f"CASE WHEN {_CRIT} THEN 1.0 WHEN {_ODD} THEN greatest(least(0.9, ({_SEC}) * 0.15), 0.6) ELSE least(0.9, ({_SEC}) * 0.15) END"
 ORACLE["q_sqli_patterns"] = f"WITH {TEXT} SELECT row_id, ({_CRIT}) AS critical, ({_SEC})::BIGINT AS n_secondary, round(({_PS})::DOUBLE, 6) AS pattern_score FROM txt"
-ORACLE["q_sqli_pages"] = "SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (contains(t, '--') OR contains(t, '#'))::BIGINT AS comment_signs FROM (SELECT 'pages' AS kind, html AS t FROM pages UNION ALL SELECT 'documents', text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY kind"
+_CRIT_T = " OR ".join(_match(p, "lower(t)") for p in S.CRITICAL)
+ORACLE["q_sqli_pages"] = f"SELECT kind, count(*)::BIGINT AS n, count(*) FILTER (contains(t, '--') OR contains(t, '#'))::BIGINT AS comment_signs, count(*) FILTER ({_CRIT_T})::BIGINT AS flagged FROM (SELECT 'pages' AS kind, html AS t FROM pages UNION ALL SELECT 'documents', text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY kind"
 _has = lambda words: "(" + " OR ".join(f"contains(lower(query), {_q(w)})" for w in words) + ")"
 _KINDS = " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in S.ATTACKS) + f" WHEN contains(query, ';') AND {_has(S.STACKED)} THEN 'stacked_queries' " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in S.LATE_ATTACKS)
 ORACLE["q_sqli_attack_type"] = f"""WITH {TEXT}, s AS (SELECT *, {_PS} AS score FROM txt)
@@ -160,11 +161,21 @@ h AS (SELECT row_id, list_sort(list(score) OVER w) AS h, avg(score) OVER w AS m,
 g AS (SELECT *, list_filter(range(2, len(h) + 1), lambda i: h[i] - h[i - 1] > 0.15) AS g FROM h)
 SELECT row_id, round(CASE WHEN coalesce(len(h), 0) > 10 THEN least(0.8, greatest(0.4, CASE WHEN len(g) > 0 THEN (h[g[1] - 1] + h[g[len(g)]]) / 2 ELSE m + 2 * d END)) ELSE 0.5 END, 6) AS threshold FROM g"""
 _RECON = " + ".join(f"{_match(p)}::INT" for p in S.RECON)
-ORACLE["q_sqli_context"] = f"""WITH {TEXT}, a AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, {_COMPLEX} AS cx, {_RECON} AS rc FROM txt WINDOW w AS (PARTITION BY ip ORDER BY ts, row_id)),
-b AS (SELECT *, sum(CASE WHEN gap < 500000 THEN 1.0 WHEN gap < 1000000 THEN 0.5 ELSE 0 END) OVER w AS cnt, sum(rc) OVER (PARTITION BY ip ORDER BY ts, row_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS recon,
-        lag(cx) OVER w AS l1, lag(cx, 2) OVER w AS l2 FROM a WINDOW w AS (PARTITION BY ip ORDER BY ts, row_id))
-SELECT row_id, round(least(0.6, CASE WHEN gap < 500000 THEN 0.05 WHEN gap < 1000000 THEN 0.02 ELSE 0 END + CASE WHEN cnt > 5 THEN least(0.3, 0.05 * cnt) ELSE 0 END
-  + CASE WHEN recon >= 2 THEN 0.25 ELSE 0 END + CASE WHEN cx > 1.5 * l1 AND l2 <= 1.25 * l1 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS context_score FROM b"""
+_VALUE = r"TRY_CAST(nullif(regexp_extract(query, '(?is)\bWHERE\b.*?\b(\d+)\b', 1), '') AS BIGINT)"
+_SCAN = "(len(%(v)s) >= 3 AND (list_min(list_transform(range(2, len(%(v)s) + 1), lambda i: %(v)s[i] - %(v)s[i - 1])) >= 0 OR list_max(list_transform(range(2, len(%(v)s) + 1), lambda i: %(v)s[i] - %(v)s[i - 1])) <= 0))"
+ORACLE["q_sqli_context"] = f"""WITH {TEXT}, a AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, ({_COMPLEX})::DOUBLE AS cx, {_RECON} AS rc, {_VALUE} AS val FROM txt WINDOW w AS (PARTITION BY ip ORDER BY ts, row_id)),
+b AS (SELECT *, sum(CASE WHEN gap < 500000 THEN 1.0 WHEN gap < 1000000 THEN 0.5 ELSE 0 END) OVER w AS cnt, sum(rc) OVER l AS recon, list_filter(list(val) OVER l, lambda x: x IS NOT NULL) AS vs, list(cx) OVER l AS cs
+      FROM a WINDOW w AS (PARTITION BY ip ORDER BY ts, row_id), l AS (PARTITION BY ip ORDER BY ts, row_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, {_SCAN % {'v': 'vs'}} AS scan, len(cs) >= 3 AND cs[len(cs)] > 1.5 * cs[1] AND len(list_filter(range(2, len(cs)), lambda i: cs[i] < 0.8 * cs[i - 1])) = 0 AS up FROM b)
+SELECT row_id, round(CASE WHEN ip IS NULL THEN 0 ELSE least(0.6, CASE WHEN gap < 500000 THEN 0.05 WHEN gap < 1000000 THEN 0.02 ELSE 0 END + CASE WHEN cnt > 5 THEN least(0.3, 0.05 * cnt) ELSE 0 END
+  + CASE WHEN coalesce(scan, false) THEN 0.15 ELSE 0 END + CASE WHEN up THEN 0.2 ELSE 0 END + CASE WHEN recon >= 2 THEN 0.25 ELSE 0 END) END::DOUBLE, 6) AS context_score FROM c"""
+ORACLE["q_sqli_scan"] = f"""WITH {TEXT}, a AS (SELECT row_id, ip, ts, {_VALUE} AS value FROM txt), b AS (SELECT row_id, value, list_filter(list(value) OVER (PARTITION BY ip ORDER BY ts, row_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS vs FROM a)
+SELECT row_id, coalesce(value, -1)::BIGINT AS value, coalesce({_SCAN % {'v': 'vs'}}, false) AS scan FROM b"""
+ORACLE["q_sqli_combine"] = f"""WITH {TEXT}, s AS (SELECT row_id, query, ({_PS})::DOUBLE AS p, (row_id % 11) / 10.0::DOUBLE AS m, (row_id % 7) / 6.0::DOUBLE AS a FROM txt),
+t AS (SELECT *, CASE WHEN p >= 0.9 THEN p WHEN a >= 0.8 THEN greatest(p, 0.7 * a + 0.3 * m) ELSE 0.6 * p + 0.2 * m + 0.2 * a END AS score,
+  CASE WHEN p >= 0.7 THEN 0.58 WHEN p < 0.1 THEN 0.65 WHEN row_id % 3 = 0 THEN 0.55 WHEN regexp_matches(upper(query), 'UNION|DROP|EXEC|WAITFOR') THEN 0.5 ELSE 0.58 END::DOUBLE AS threshold FROM s)
+SELECT row_id, round(score, 6) AS score, round(threshold, 6) AS threshold,
+  array_to_string(list_filter([CASE WHEN p >= threshold THEN 'pattern' END, CASE WHEN m >= threshold THEN 'ml' END, CASE WHEN a >= threshold THEN 'advanced_ml' END, CASE WHEN 0.1 + greatest(p, m, a) >= threshold THEN 'context' END], lambda x: x IS NOT NULL), ',') AS detected_by FROM t"""
 
 _W = {"volume": 1.5, "duration": 1.0, "port": 1.0}
 _SCORED = f"""{NET}, p AS (SELECT *, 0.5 * coalesce(dst_port IN {_in(X.SUSPICIOUS_PORTS)}, false)::INT + 0.25 * (packets <= 3)::INT AS port FROM net),
@@ -206,7 +217,10 @@ SELECT row_id, (row_id NOT IN (SELECT p.i FROM p JOIN core ON p.j = core.i))::BI
 _H = "('0x' || substr(md5(row_id::VARCHAR || ':42'), 1, 8))::BIGINT %% 1000" % ()
 ORACLE["q_stratified_sample"] = f"""WITH {NET}, r AS (SELECT row_id, is_anomaly, row_number() OVER (PARTITION BY is_anomaly ORDER BY md5(row_id::VARCHAR || ':42'), row_id) AS n FROM net)
 SELECT row_id, is_anomaly::BIGINT AS is_anomaly FROM r WHERE n <= CASE is_anomaly WHEN 0 THEN 700 ELSE 300 END"""
-ORACLE["q_train_test_split"] = f"WITH {NET} SELECT CASE WHEN {_H} < 600 THEN 0 WHEN {_H} < 800 THEN 1 ELSE 2 END::BIGINT AS part, is_anomaly::BIGINT AS is_anomaly, count(*)::BIGINT AS n FROM net GROUP BY ALL"
+ORACLE["q_train_test_split"] = f"WITH {NET} SELECT row_id, CASE WHEN {_H} < 600 THEN 0 WHEN {_H} < 800 THEN 1 ELSE 2 END::BIGINT AS part FROM net"
+ORACLE["q_stratified_split"] = f"""WITH {NET}, r AS (SELECT row_id, row_number() OVER (PARTITION BY is_anomaly ORDER BY md5(row_id::VARCHAR || ':42')) - 1 AS i, count(*) OVER (PARTITION BY is_anomaly) AS n FROM net)
+SELECT row_id, CASE WHEN i < round(0.7 * n) THEN 0 ELSE 1 END::BIGINT AS part FROM r"""
+ORACLE["q_set_difference"] = f"WITH {NET} SELECT row_id FROM net WHERE {_H} >= 700"
 ORACLE["q_informative_weights"] = f"""WITH {_SCORED}, l AS ({' UNION ALL '.join(f"SELECT 'score_{d}' AS detector, abs(corr(score_{d}, is_anomaly)) AS a, var_pop(score_{d}) / (avg(score_{d}) + 1e-10) AS b FROM s" for d in _W)})
 SELECT detector, round(0.7 / 3::DOUBLE + 0.3 * a / sum(a) OVER (), 6) AS by_label, round(0.7 / 3::DOUBLE + 0.3 * b / sum(b) OVER (), 6) AS by_dispersion FROM l"""
 ORACLE["q_f1_weights"] = f"""WITH {_SCORED}, l AS ({' UNION ALL '.join(f"SELECT 'anomaly_{d}' AS detector, anomaly_{d} AS q, is_anomaly AS y FROM s" for d in _W)}),
@@ -238,3 +252,58 @@ ORACLE["q_sequence_statistics"] = f"""WITH {NET}, {_transitions('net', _STATE, '
 SELECT count(DISTINCT state)::BIGINT AS states, count(*)::BIGINT AS edges, count(*) FILTER (p > 0)::BIGINT AS likely, round(min(p) FILTER (p > 0), 6) AS least_p, round(avg(p) FILTER (p > 0), 6) AS mean_p FROM m"""
 _EVENTS = ["click", "error", "purchase", "signup", "view"]
 ORACLE["q_transition_heat_map"] = f"WITH {NET}, {_transitions('net', 'service', 'src_ip', 'timestamp, row_id', 5)} SELECT state, " + ", ".join(f"round(coalesce(max(p) FILTER (next_state = '{e}'), 0), 6) AS {e}" for e in _EVENTS) + f" FROM m WHERE state IN {_in(list(map(_q, _EVENTS)))} GROUP BY state"
+
+ORACLE["q_profile_counts"] = f"WITH {NET} SELECT 'global' AS context, 3::BIGINT AS profiles UNION ALL SELECT 'protocol', 3 * count(DISTINCT protocol) FROM net"
+ORACLE["q_port_profile_support"] = _profile("net", "dst_port::VARCHAR", _BASE).replace("HAVING count(*) >= 1", "HAVING count(*) >= greatest(10, (SELECT count(*) // 100 FROM net))")
+ORACLE["q_profile_lookup"] = _profile("(SELECT * FROM net WHERE protocol = 'udp')", "protocol", ["bytes"])
+ORACLE["q_threshold_lookup"] = f"""WITH {NET}, long AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS x FROM net" for f in ("bytes", "duration"))}),
+s AS (SELECT feature, avg(x) AS m, greatest(avg(x) + 3 * stddev_samp(x), quantile_cont(x, 0.75) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25))) AS t FROM long GROUP BY feature)
+SELECT feature, round(1.5 * CASE WHEN t < 1.2 * m THEN 1.5 * m ELSE t END, 6) AS threshold, false AS unbounded FROM s UNION ALL SELECT 'unknown', NULL, true"""
+ORACLE["q_mean_scores"] = f"WITH {_SCORED} " + " UNION ALL ".join(f"SELECT 'score_{d}' AS detector, round(avg(score_{d}), 6) AS mean FROM s" for d in _W)
+ORACLE["q_positions"] = f"""WITH {NET}, p AS (SELECT row_id, row_number() OVER (ORDER BY timestamp, row_id) - 1 AS i, count(*) OVER () AS n FROM net)
+SELECT row_id, i::BIGINT AS "order", round(i / n, 6) AS order_normalized, strftime(TIMESTAMP '2023-01-01' + to_seconds(10 * i), '%Y-%m-%d %H:%M:%S') AS clock FROM p"""
+ORACLE["q_inferred_types"] = f"""WITH {_SCORED} SELECT 'volume' AS type, count(*) FILTER (anomaly_volume = 1 AND bytes > (SELECT quantile_cont(bytes, 0.95) FROM s))::BIGINT AS n FROM s
+UNION ALL SELECT 'port', count(*) FILTER (anomaly_volume = 1 AND dst_port IN {_in(X.SUSPICIOUS_PORTS)}) FROM s"""
+ORACLE["q_best_f1"] = f"""WITH {_SCORED}, t AS ({' UNION ALL '.join(f'SELECT {p}::DOUBLE AS percentile, quantile_cont(score_duration, {p / 100}) AS threshold FROM s' for p in (70, 75, 80, 85, 90, 95))}),
+c AS (SELECT percentile, threshold, {_CELLS % {'p': 'score_duration >= threshold'}} FROM t, (SELECT score_duration, is_anomaly AS y FROM s) GROUP BY ALL),
+f AS (SELECT percentile, threshold, coalesce({_R['f1']}, 0) AS f1 FROM c) SELECT percentile, round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM f WHERE f1 > 0 ORDER BY f.f1 DESC, percentile LIMIT 1"""
+ORACLE["q_metrics_and_auc"] = f"""WITH {TEXT}, s AS (SELECT ({_PS})::DOUBLE AS s, regexp_matches(query, '--|#|;')::INT AS y FROM txt), c AS (SELECT {_CELLS % {'p': 's >= 0.6'}} FROM s),
+r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM s WHERE y IS NOT NULL),
+u AS (SELECT round(((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0))::DOUBLE, 6) AS auc FROM r)
+SELECT tp, fp, tn, fn, {_rate('precision', 'recall', 'f1')}, auc FROM c, u"""
+ORACLE["q_improvement"] = f"""WITH {_SCORED}, a AS (SELECT {_CELLS % {'p': 'anomaly_port = 1'}} FROM (SELECT *, is_anomaly AS y FROM s)), b AS (SELECT {_CELLS % {'p': 'anomaly_duration = 1'}} FROM (SELECT *, is_anomaly AS y FROM s)),
+x AS (SELECT {', '.join(f'coalesce({_R[m]}, 0) AS {m}' for m in ('precision', 'recall', 'f1'))} FROM a), z AS (SELECT {', '.join(f'coalesce({_R[m]}, 0) AS {m}' for m in ('precision', 'recall', 'f1'))} FROM b)
+SELECT {', '.join(f'round(100 * (z.{m} - x.{m}) / nullif(x.{m}, 0), 6) AS {m}' for m in ('precision', 'recall', 'f1'))} FROM x, z"""
+ORACLE["q_rounded_vote"] = f"WITH {_SCORED} SELECT row_id, round((anomaly_volume + anomaly_duration + anomaly_port) / 3, 6) AS fused_score, (anomaly_volume + anomaly_duration + anomaly_port >= 2)::BIGINT AS fused_anomaly FROM s"
+_F1S = ", ".join(f"coalesce(2.0::DOUBLE * count(*) FILTER (anomaly_{d} = 1 AND is_anomaly = 1) / nullif(2 * count(*) FILTER (anomaly_{d} = 1 AND is_anomaly = 1) + count(*) FILTER (anomaly_{d} = 1 AND is_anomaly = 0) + count(*) FILTER (anomaly_{d} = 0 AND is_anomaly = 1), 0), 0) AS f_{d}" for d in _W)
+ORACLE["q_f1_vote"] = f"""WITH {_SCORED}, f AS (SELECT {_F1S} FROM s), v AS (SELECT row_id, ({' + '.join(f'anomaly_{d} * f_{d}' for d in _W)}) / CASE WHEN {' + '.join(f'f_{d}' for d in _W)} = 0 THEN 1 ELSE {' + '.join(f'f_{d}' for d in _W)} END AS x FROM s, f)
+SELECT row_id, round(x, 6) AS fused_score, (x > 0.5)::BIGINT AS fused_anomaly FROM v"""
+ORACLE["q_ensemble_types"] = f"""WITH {_SCORED}, v AS (SELECT *, bytes / (duration + 0.1) AS v FROM s), h AS (SELECT CASE WHEN count(*) <= 4 THEN max(score_volume) ELSE quantile_cont(score_volume, 0.75) END AS high FROM s WHERE anomaly_volume = 1)
+SELECT row_id, CASE WHEN bytes > 1800 THEN 'SYN Flood' WHEN v > (SELECT quantile_cont(v, 0.99) FROM v) THEN 'Volume Anomaly' WHEN dst_port IN {_in(X.SUSPICIOUS_PORTS)} THEN 'Unusual Port' WHEN packets <= 3 AND duration < 0.5 THEN 'Port Scan'
+  WHEN NOT (hour(timestamp) BETWEEN 8 AND 18 AND isodow(timestamp) < 6) THEN 'Unusual Time' WHEN anomaly_duration = 1 THEN 'Sequence Anomaly' WHEN anomaly_volume = 1 AND score_volume > high THEN 'Isolation Anomaly' ELSE 'Unknown Anomaly' END AS anomaly_type FROM v, h"""
+ORACLE["q_improved_types"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY service, {_BUCKET % 21600}) AS n, bytes / (duration + 0.1) AS bps, packets / (duration + 0.1) AS pps FROM net),
+x AS (SELECT *, coalesce(bytes / 4000, 0) AS a, duration / 10 AS b, packets / 20 AS m, CASE WHEN protocol = 'icmp' THEN 0.9 ELSE 0.1 END::DOUBLE AS g FROM c), k AS (SELECT avg(bps) AS mb, avg(pps) AS mp FROM c)
+SELECT row_id, CASE WHEN greatest(a, b, m, g) / (a + b + m + g + 1e-10) < 0.3 THEN 'Mixed Anomaly' WHEN a = greatest(a, b, m, g) THEN CASE WHEN n > 20 AND bps > 5000 THEN 'High-Bandwidth DoS Attack' WHEN n > 20 THEN 'DoS Attack' WHEN packets <= 3 AND duration < 0.5 THEN 'Port Scan'
+    WHEN bps > 3 * mb AND pps > 3 * mp THEN 'Traffic Burst' WHEN bps > 3 * mb THEN 'Volume Anomaly' WHEN dst_port IN {_in(X.SUSPICIOUS_PORTS)} THEN 'Suspicious Port' WHEN hour(timestamp) < 6 OR hour(timestamp) > 22 THEN 'After-Hours Activity' ELSE 'Statistical Anomaly' END
+  WHEN b = greatest(a, b, m, g) THEN 'Contextual Anomaly' WHEN m = greatest(a, b, m, g) THEN 'Complex Anomaly' ELSE 'Collective Anomaly' END AS anomaly_type FROM x, k"""
+_PAIRS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id), n AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d QUALIFY r <= %d)"
+ORACLE["q_nearest"] = f"WITH {_PAIRS % 5} SELECT i AS vec_id, (r - 1)::BIGINT AS rank, j AS other, round(d, 6) AS d FROM n"
+_LOF = f"""{_PAIRS % 20}, k AS (SELECT i, max(d) AS kd FROM n GROUP BY i), l AS (SELECT n.i, 1 / (avg(greatest(n.d, k.kd)) + 1e-10) AS density FROM n JOIN k ON n.j = k.i GROUP BY n.i),
+f AS (SELECT n.i AS vec_id, avg(o.density) / any_value(l.density) AS s FROM n JOIN l o ON n.j = o.i JOIN l ON n.i = l.i GROUP BY n.i)"""
+ORACLE["q_local_outlier_factor"] = f"WITH {_LOF} SELECT vec_id, round(s, 6) AS anomaly_score FROM f"
+ORACLE["q_factor_labels"] = f"WITH {_LOF} SELECT vec_id, round(s, 6) AS anomaly_score, (s > (SELECT quantile_cont(s, 0.95) FROM f))::BIGINT AS predicted_anomaly FROM f"
+ORACLE["q_feature_pipeline"] = f"""WITH {NET} SELECT row_id, count(*) OVER (PARTITION BY src_ip, {_BUCKET % 86400})::BIGINT AS connection_count,
+  CASE WHEN dst_port IN {_in(X.COMMON_PORTS)} THEN dst_port WHEN dst_port BETWEEN 1 AND 1023 THEN 1 WHEN dst_port BETWEEN 1 AND 49151 THEN 2 ELSE 3 END::BIGINT AS port_class, (packets <= 3 AND duration < 0.5)::BIGINT AS is_port_scan_like,
+  round(bytes / (duration + 0.1), 6) AS bytes_per_second, {', '.join(f"round(coalesce(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 0), 6) AS scaled_{f}" for f in ("bytes", "duration"))} FROM net"""
+_seq = f"""t0 AS (SELECT service || '_' || protocol AS state, lead(service || '_' || protocol) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id) AS nx FROM net), t1 AS (SELECT state, nx, count(*) AS n FROM t0 WHERE nx IS NOT NULL GROUP BY ALL), m AS (SELECT *, CASE WHEN n >= 5 THEN n / sum(n) OVER (PARTITION BY state) ELSE 0 END AS p FROM t1)"""
+ORACLE["q_ensemble"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY service, {_BUCKET % 21600}) AS connection_count FROM net),
+f AS (SELECT *, bytes / (duration + 0.1) AS bytes_per_second, (connection_count * packets)::DOUBLE AS traffic_intensity, (flag = 'S0')::INT AS syn_flag, (protocol = 'icmp')::INT AS icmp_flag, (protocol = 'udp')::INT AS udp_flag FROM c),
+l AS (SELECT {', '.join(f'quantile_cont({x}, 0.99) AS l_{x}' for x in _DOS)} FROM f), s0 AS (SELECT f.*, {' + '.join(f'CASE WHEN l_{x} > 0 THEN coalesce(greatest(0, {x} / l_{x} - 1), 0) ELSE 0 END' for x in _DOS)} AS raw FROM f, l),
+{_seq}, y AS (SELECT s0.*, service || '_' || protocol AS st, lead(service || '_' || protocol) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id) AS nx FROM s0),
+z AS (SELECT y.*, CASE WHEN y.nx IS NULL THEN NULL WHEN p > 0 THEN -ln(p / (SELECT min(p) FROM m WHERE p > 0)) ELSE 10 END AS step FROM y LEFT JOIN m ON y.st = m.state AND y.nx = m.nx),
+w AS (SELECT *, coalesce(avg(step) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), 0) AS q FROM z),
+g AS (SELECT *, coalesce(raw / nullif(max(raw) OVER (), 0), 0) AS a, q / CASE WHEN max(q) OVER () > 0 THEN max(q) OVER () ELSE 1 END AS b, q >= (SELECT quantile_cont(q, 0.95) FROM w) AS steps FROM w),
+h AS (SELECT *, {_mm('a')} / 2 + {_mm('b')} / 2 AS x, bytes / (duration + 0.1) AS v FROM g), i AS (SELECT *, x > (SELECT quantile_cont(x, 0.95) FROM h) AS hit FROM h)
+SELECT row_id, round(x, 6) AS anomaly_score, hit::BIGINT AS predicted_anomaly, CASE WHEN NOT hit THEN 'Normal' WHEN a > 0 THEN CASE WHEN udp_flag = 1 THEN 'UDP Flood' WHEN icmp_flag = 1 THEN 'ICMP Flood' WHEN syn_flag = 1 THEN 'SYN Flood' ELSE 'Generic DoS' END
+  WHEN v > (SELECT quantile_cont(v, 0.99) FROM h) THEN 'Volume Anomaly' WHEN dst_port IN {_in(X.SUSPICIOUS_PORTS)} THEN 'Unusual Port' WHEN packets <= 3 AND duration < 0.5 THEN 'Port Scan' WHEN NOT (hour(timestamp) BETWEEN 8 AND 18 AND isodow(timestamp) < 6) THEN 'Unusual Time'
+  WHEN steps THEN 'Sequence Anomaly' ELSE 'Unknown Anomaly' END AS anomaly_type FROM i"""

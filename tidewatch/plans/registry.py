@@ -190,11 +190,12 @@ def q_sqli_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_sqli_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages always hold comment signs, documents hardly ever: how many texts of each kind the rules flag."""
+    """How many texts of each kind the critical rules flag over whole texts; pages nearly always hold comment signs."""
     pages = views.table(spark, sf, "pages").select(F.lit("pages").alias("kind"), F.col("html").alias("t"))
     docs = views.table(spark, sf, "documents").select(F.lit("documents").alias("kind"), F.col("text").alias("t"))
     every = pages.unionByName(docs).unionByName(views.table(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("text").alias("t")))
-    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.contains("t", F.lit("--")) | F.contains("t", F.lit("#")), 1)).alias("comment_signs"))
+    flagged = F.count(F.when(S.any_hit(F.col("t"), S.CRITICAL), 1)).alias("flagged")
+    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.contains("t", F.lit("--")) | F.contains("t", F.lit("#")), 1)).alias("comment_signs"), flagged)
 
 
 @query
@@ -321,6 +322,14 @@ def q_local_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
     return M.local_outlier_factor(vectors, vectors, "embedding", "vec_id").select("vec_id", *r6("anomaly_score"))
 
 
+@query
+def q_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of each vector."""
+    rows = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
+    near = M.nearest(rows, rows, 5).select("key", F.posexplode("near").alias("rank", "x"))
+    return near.select(F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.col("x.key").alias("other"), F.round("x.d", 6).alias("d"))
+
+
 @query
 def q_principal_components(spark: SparkSession, sf: str) -> DataFrame:
     out, share = M.principal_components(views.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
@@ -341,9 +350,23 @@ def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Which part each row is in: 60, 20 and 20 per cent by hash."""
     parts = Z.split(views.net(spark, sf), "row_id", [0.6, 0.2, 0.2])
-    counts = [p.groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).cast("long").alias("part"), F.col("is_anomaly").cast("long").alias("is_anomaly"), "n") for i, p in enumerate(parts)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    rows = [p.select("row_id", F.lit(i).cast("long").alias("part")) for i, p in enumerate(parts)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly 70 and 30 per cent of each class."""
+    return Z.stratified_split(views.net(spark, sf), "row_id", "is_anomaly", [0.7, 0.3]).select("row_id", F.col("part").cast("long").alias("part"))
+
+
+@query
+def q_set_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Traffic rows that a sample of 70 % left out."""
+    net = views.net(spark, sf)
+    return Z.without(net, Z.split(net, "row_id", [0.7, 0.3])[0], "row_id").select("row_id")
 
 
 @query
@@ -436,3 +459,165 @@ def q_transition_heat_map(spark: SparkSession, sf: str) -> DataFrame:
     states = ["click", "error", "purchase", "signup", "view"]
     model = D.transitions(views.net(spark, sf), F.col("service"), ["src_ip"], ["timestamp", "row_id"])
     return D.heat_map(model, states).select("state", *r6(*states))
+
+
+@query
+def q_profile_counts(spark: SparkSession, sf: str) -> DataFrame:
+    net = views.net(spark, sf)
+    return P.profile_counts(P.profile(net, "global", [], BASE).unionByName(P.profile(net, "protocol", ["protocol"], BASE))).select("context", "profiles")
+
+
+@query
+def q_port_profile_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Ports with a hundredth of all rows at least, and 10."""
+    net = views.net(spark, sf)
+    return P.profile(net, "port", ["dst_port"], BASE, P.support(net)).select(*profile_columns())
+
+
+@query
+def q_profile_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return P.lookup(P.profile(views.net(spark, sf), "protocol", ["protocol"], BASE), "protocol", "udp", "bytes").select(*profile_columns())
+
+
+@query
+def q_threshold_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Thresholds of wanted features, one and a half times; infinite for one without."""
+    limits = P.thresholds(P.profile(views.net(spark, sf), "global", [], BASE))
+    wanted = spark.createDataFrame([("bytes",), ("duration",), ("unknown",)], "feature string")
+    return P.threshold_of(limits, wanted, 1.5).select("feature", F.when(F.col("threshold") < 1e300, F.round("threshold", 6)).alias("threshold"), F.isnull(F.when(F.col("threshold") < 1e300, 1)).alias("unbounded"))
+
+
+@query
+def q_mean_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return V.mean_scores(scored(spark, sf), [f"score_{d}" for d in WEIGHTS]).select("detector", *r6("mean"))
+
+
+@query
+def q_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Position in time, by ranges, and a surrogate clock."""
+    return X.positions(views.net(spark, sf).select("row_id", "timestamp"), ["timestamp", "row_id"]).select("row_id", "order", *r6("order_normalized"), F.date_format("clock", "yyyy-MM-dd HH:mm:ss").alias("clock"))
+
+
+@query
+def q_inferred_types(spark: SparkSession, sf: str) -> DataFrame:
+    return V.inferred_types(scored(spark, sf).withColumn("predicted_anomaly", F.col("anomaly_volume"))).select("type", "n")
+
+
+@query
+def q_best_f1(spark: SparkSession, sf: str) -> DataFrame:
+    swept = V.sweep(scored(spark, sf), "score_duration", [70, 75, 80, 85, 90, 95], inclusive=True)
+    return V.best_f1(swept).select(*r6("percentile", "threshold"), *r6("f1"))
+
+
+@query
+def q_metrics_and_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and AUC of the text rules against the critical texts that a plain search for signs finds."""
+    rows = views.sqltext(spark, sf).select(S.pattern_score(F.col("query")).alias("anomaly_score"), F.col("query").rlike("--|#|;").cast("int").alias("is_anomaly"))
+    return V.metrics_and_auc(rows.withColumn("predicted_anomaly", (F.col("anomaly_score") >= 0.6).cast("int"))).select("tp", "fp", "tn", "fn", *r6("precision", "recall", "f1", "auc"))
+
+
+@query
+def q_improvement(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scored(spark, sf)
+    return V.improvement(V.metrics(rows, predicted="anomaly_port"), V.metrics(rows, predicted="anomaly_duration")).select(*r6("precision", "recall", "f1"))
+
+
+@query
+def q_rounded_vote(spark: SparkSession, sf: str) -> DataFrame:
+    return fused(E.rounded_vote(scored(spark, sf), WEIGHTS))
+
+
+@query
+def q_f1_vote(spark: SparkSession, sf: str) -> DataFrame:
+    return fused(E.f1_vote(scored(spark, sf), WEIGHTS))
+
+
+@query
+def q_forest_stacking(spark: SparkSession, sf: str) -> DataFrame:
+    return fused(E.stacking(scored(spark, sf), WEIGHTS, key="row_id", model="forest"))
+
+
+@query
+def q_ensemble_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types with the DoS, sequence and isolation rules; stand-ins for those detectors' columns come from the three scores."""
+    rows = scored(spark, sf).withColumns({"dos": F.when(F.col("bytes") > 1800, "SYN Flood").otherwise("Normal"), "fused_anomaly": F.lit(1)})
+    return E.anomaly_types(rows, dos="dos", sequence="duration", forest="volume").select("row_id", "anomaly_type")
+
+
+@query
+def q_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """A DoS and a sequence detector, fitted, fused by the mean of their scaled scores, and typed."""
+    from ..operators.contract import EnsembleDetector
+
+    net = views.net(spark, sf)
+    members = {"dos": ("dos", {"key": "service", "seconds": 21600, "percentile": 99.0}), "steps": ("sequence", {})}
+    return EnsembleDetector(members=members).fit(net).predict(net).select("row_id", *r6("anomaly_score"), F.col("predicted_anomaly").cast("long").alias("predicted_anomaly"), "anomaly_type")
+
+
+@query
+def q_adaptive_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The adaptive detector with forest, factor and noise as well."""
+    return D.adaptive_detect(views.net(spark, sf), BASE, 2.0, models=True).select("row_id", "ml_score", "anomaly_score", "predicted_anomaly", "anomaly_type")
+
+
+@query
+def q_improved_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types by the share of four scores; the scores are plain expressions here."""
+    net = X.window_counts(views.net(spark, sf), "service", 6 * 3600).withColumns(X.rates())
+    rows = net.withColumns({"is_dos_like": (F.col("connection_count") > 20).cast("int"), "is_port_scan_like": X.port_scan_like(), "hour_of_day": F.hour("timestamp"), "predicted_anomaly": F.lit(1)})
+    rows = rows.withColumns({"statistical_score": F.coalesce(F.col("bytes") / 4000, F.lit(0.0)), "contextual_score": F.col("duration") / 10, "ml_score": F.col("packets") / 20, "collective_score": F.when(F.col("protocol") == "icmp", 0.9).otherwise(0.1)})
+    return D.improved_types(rows).select("row_id", "anomaly_type")
+
+
+@query
+def q_forest_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """A small grid of forests, scored by F1 over folds."""
+    return U.forest_grid(views.net(spark, sf), BASE, trees=(10, 20), feature_shares=(1.0,), contaminations=(0.05, 0.2), folds=2)
+
+
+@query
+def q_factor_labels(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return M.local_outlier_labels(vectors, vectors, "embedding", "vec_id").select("vec_id", *r6("anomaly_score"), F.col("predicted_anomaly").cast("long").alias("predicted_anomaly"))
+
+
+@query
+def q_sqli_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses whose last numbers after WHERE go one way."""
+    from pyspark.sql.window import Window
+
+    last = Window.partitionBy("ip").orderBy("ts", "row_id").rowsBetween(-10, 0)
+    rows = views.sqltext(spark, sf).withColumn("value", S.scanned_value(F.col("query")))
+    return rows.select("row_id", F.coalesce("value", F.lit(-1)).alias("value"), S.is_scan(F.collect_list("value").over(last)).alias("scan"))
+
+
+@query
+def q_sqli_combine(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of patterns and two stand-ins for models, combined, and the threshold rules."""
+    q = F.col("query")
+    rows = views.sqltext(spark, sf).withColumns({"p": S.pattern_score(q), "m": F.pmod("row_id", F.lit(11)) / 10, "a": F.pmod("row_id", F.lit(7)) / 6})
+    limit = S.final_threshold(F.lit(0.58), F.col("p"), q, F.when(F.pmod("row_id", F.lit(3)) == 0, F.lit("other")).otherwise(q))
+    rows = rows.withColumns({"score": S.combine(F.col("p"), F.col("m"), F.col("a")), "threshold": limit})
+    by = S.sources(F.col("p"), F.col("m"), F.col("a"), F.lit(0.1), F.col("threshold"))
+    return rows.select("row_id", *r6("score", "threshold"), by.alias("detected_by"))
+
+
+@query
+def q_sqli_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection with both models' scores."""
+    text = views.sqltext(spark, sf)
+    models = M.TextModels.fit(text, trees=20)
+    return S.detect(models.score(text)).select("row_id", "ml_score", "advanced_score", "anomaly_score", "threshold", "predicted_anomaly", "attack_type", "detected_by")
+
+
+@query
+def q_sqli_differences(spark: SparkSession, sf: str) -> DataFrame:
+    text = views.sqltext(spark, sf).select("query").distinct()
+    rows = text.withColumn("decoded", S.decoded(F.col("query")))
+    return rows.select("query", "decoded", S.differences(F.col("query"), F.col("decoded")).alias("differences"))
+
+
+@query
+def q_feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    out = X.adaptive_pipeline(views.net(spark, sf), BASE, "src_ip", 86400)
+    return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))

@@ -50,3 +50,60 @@ def _pace(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataF
 def address_pace(stream: DataFrame) -> DataFrame:
     """Running pace of each address (columns ip, ts): keyed state, one row an address and batch."""
     return stream.select("ip", "ts").groupBy("ip").applyInPandasWithState(_pace, PACE, "events long, counter double, last long", "update", "ProcessingTimeTimeout")
+
+
+SCORED = "ip string, row_id long, ts timestamp, score double, threshold double, predicted_anomaly int"
+
+
+def _thresholds(base: float, most: int):
+    def each(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        past = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(["ts", "row_id"])
+        limits = []
+        for score in rows["score"]:
+            limits.append(threshold_of(past, base))
+            past = [*past, float(score)][-most:]
+        state.update((past,))
+        state.setTimeoutDuration(3_600_000)
+        yield pd.DataFrame({"ip": key[0], "row_id": rows["row_id"], "ts": rows["ts"], "score": rows["score"], "threshold": limits, "predicted_anomaly": [int(s >= t) for s, t in zip(rows["score"], limits, strict=True)]})
+
+    return each
+
+
+def threshold_of(past: list[float], base: float = 0.5) -> float:
+    """From over ten past scores: the middle of the gap, if sorted scores part by more than .15; else mean and two deviations; in [.4, .8]."""
+    if len(past) <= 10:
+        return base
+    own = sorted(past)
+    gaps = [i for i in range(1, len(own)) if own[i] - own[i - 1] > 0.15]
+    mean = sum(own) / len(own)
+    found = (own[gaps[0] - 1] + own[gaps[-1]]) / 2 if gaps else mean + 2 * (sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5
+    return min(0.8, max(0.4, found))
+
+
+def adaptive_labels(stream: DataFrame, base: float = 0.5, history: int = 100) -> DataFrame:
+    """Scored rows (ip, row_id, ts, score) labelled against the last ``history`` scores of their address: keyed state, in order of time within a batch."""
+    return stream.select("ip", "row_id", "ts", "score").groupBy("ip").applyInPandasWithState(_thresholds(base, history), SCORED, "past array<double>", "append", "ProcessingTimeTimeout")
+
+
+def profile_updates(stream: DataFrame, key: str, value: str, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """Profiles that grow with the stream: count, sum and sum of squares by key and window. ``merged_profile`` adds up what a sink has of them."""
+    timed = stream.withWatermark("ts", watermark)
+    out = timed.groupBy(F.window("ts", window).alias("w"), F.col(key).alias("key")).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
+    return out.select(F.col("w.start").alias("window_start"), "key", "n", "total", "squares")
+
+
+def merged_profile(updates: DataFrame) -> DataFrame:
+    """key, n, mean and sample deviation from partial profiles."""
+    sums = updates.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    mean = F.col("total") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("n") * mean * mean) / (F.col("n") - 1))))
+    return sums.select("key", "n", mean.alias("mean"), spread.alias("std"))
+
+
+def late_rows(query) -> int:
+    """How many rows a running query has dropped as later than its watermark, over the progress that it remembers."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
