@@ -1,4 +1,7 @@
-"""A training corpus from ``documents``: five stages, each an operator of ``tidewatch.llm`` over all its predecessor kept."""
+"""A training corpus from ``documents``: five stages, each an operator of ``tidewatch.llm`` over all its predecessor kept.
+
+All stages take an empty table and give one; columns whose names the operators use themselves come through untouched.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,42 @@ from tidewatch.llm.common import materialise, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their host's verdict reject go."""
+    """Documents that the base rules or their host's verdict reject go.
+
+    A null or empty text fails the rules; a null host has no verdict; repeated rows each stay or go by themselves; a very long text is measured in its row.
+    """
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in the last of them; the others' texts lose them."""
+    """Lines that many documents share stay in the last of them; the others' texts lose them.
+
+    Null and empty texts stay as they are, and so does a text that loses no line; rows that share an id (null is one) count as one document; equal rows lose the same lines.
+    """
     return linededup.dedup_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
+    """Of each class of near-duplicates the document with the least id stays.
+
+    A null id is the least; of rows equal in id and text one stays; texts without words are nobody's duplicates and all stay; other texts of one id are told apart by 128 bits.
+    """
     return probminhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts stay; repeated rows stay or go together; items without words hold no window; a very long text is hashed in slices.
+    """
     return decontaminate.remove(docs, read_table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text that they decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text that they decode to.
+
+    A null or empty text has no ids; repeated rows each give a row; a very long text is encoded chunk by chunk.
+    """
     return bpe.decode(bpe.encode(docs))
 
 
