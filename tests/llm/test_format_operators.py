@@ -253,3 +253,38 @@ def test_registered_queries_run_over_whole_tables(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name in ("op1_decontaminate", "op5_bpe", "op8_probminhash", "op10_token_planes"):
         assert queries.QUERIES[name](spark, small).count() == n
+
+
+# Very long texts, and texts that share an id
+
+
+def test_very_long_texts(spark, make):
+    from tidewatch.llm import decontaminate, linededup, probminhash, quality
+
+    words = [f"w{i % 9973}x{i % 31}" for i in range(150_000)]
+    long = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    item = " ".join(words[70_000:70_012])
+    docs = make([(1, long), (2, long + " end"), (3, "short text"), (4, None)])
+    hits = {r.doc_id: len(r.hits) > 0 for r in decontaminate.scan(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hits == {1: True, 2: True, 3: False, 4: False}
+    assert {r.doc_id: r.n_words for r in quality.assess(docs).collect()} == {1: 150_000, 2: 150_001, 3: 2, 4: 0}
+    assert {r.doc_id: r.class_id for r in probminhash.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert linededup.dedup_documents(docs, min_docs=2).where("doc_id = 1").first().text == long.split("\n")[-1]  # the other text's last line is another
+    folder, manifest = warc.write_archives(_pages(spark, [(1, "u", long), (2, "u", long)]))
+    assert {(r.page_id, r.record_type, r.payload_bytes) for r in warc.read_archives(spark, folder, manifest, payloads=False).collect()} == {(1, "revisit", len(long)), (2, "response", len(long))}
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "</turn>")], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(turns).first()
+    assert [t["text"] for t in out.recovered] == [long, long + "</turn>"] and out.loss_text == long + "</turn>"
+
+
+@pytest.mark.parametrize("doc_id", [4, None])
+def test_texts_of_one_id_are_told_apart(spark, make, doc_id):
+    from tidewatch.llm import decontaminate
+
+    rows = [(doc_id, "one two three four"), (doc_id, "five six seven"), (doc_id, None), (9, "one two three four")]
+    bench = spark.createDataFrame([(1, "one two three"), (2, "seven")], "item_id long, text string")
+    for block_bytes in (1 << 20, 10):
+        out = decontaminate.scan(make(rows), bench, block_bytes=block_bytes).collect()
+        assert sorted((str(r.doc_id), r.n_words, tuple(r["items"])) for r in out) == sorted((str(d), len((t or "").split()), ("1",) if t and "two" in t else ("2",) if t else ()) for d, t in rows)
+    folder, manifest = tokenfile.write_shards(make(rows))
+    assert sorted(str(r.doc_id) for r in tokenfile.read_shards(spark, folder, manifest).collect()) == sorted(str(d) for d, _ in rows)
