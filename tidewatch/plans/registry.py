@@ -588,7 +588,8 @@ def q_sqli_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     last = Window.partitionBy("ip").orderBy("ts", "row_id").rowsBetween(-10, 0)
     rows = views.sqltext(spark, sf).withColumn("value", S.scanned_value(F.col("query")))
-    return rows.select("row_id", F.coalesce("value", F.lit(-1)).alias("value"), S.is_scan(F.collect_list("value").over(last)).alias("scan"))
+    rows = rows.withColumn("values", F.collect_list("value").over(last))
+    return rows.select("row_id", F.coalesce("value", F.lit(-1)).alias("value"), S.is_scan(F.col("values")).alias("scan"))
 
 
 @query
