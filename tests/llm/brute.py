@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,3 +108,45 @@ def near(docs, least=0.8):
     for i, (d, _) in enumerate(docs):
         groups[find(i)].append(d)
     return {d: min(g) for g in groups.values() for d in g}
+
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def vocabulary(docs, divisor=199, chars=6, least=5):
+    count = Counter()
+    for d, text in docs:
+        for run in RUN.findall(text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            count[run[: h % len(run)] + run[h % len(run) + 1 :] if h % divisor == 0 else run] += 1
+    return {w: n for w, n in count.items() if len(w) >= chars and n >= least}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def near_words(words):
+    words = sorted(words)
+    return {(a, b) for a in words for b in words if abs(len(a) - len(b)) < 2 and one_apart(a, b)}
+
+
+def spelling(count, ratio=5):
+    near = defaultdict(list)
+    for a, b in near_words(count):
+        near[a].append(b)
+    form = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda x: (-count[x], x), default=None)
+        form[w] = best if best and count[best] >= ratio * n else None
+    out = {}
+    for w, n in count.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), count.get(form[w]))
+    return out

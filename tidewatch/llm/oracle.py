@@ -110,4 +110,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM g GROUP BY conv_id
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op8_probminhash": OP8, "op9_chat_format": OP9}
+# The crc32 table's entry of a byte, and the crc32 of a string's bytes (one list_reduce over them, then inverted).
+_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+_RUN = "'[A-Za-zÀ-ÿ]+'"
+
+OP13 = f"""
+WITH RECURSIVE t(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, {_STEP}, k + 1 FROM t WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS entries FROM t WHERE k = 8),
+r AS (SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), {_RUN})) AS run FROM documents)),
+f AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM r GROUP BY doc_id, run),
+g AS (SELECT f.*, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda j: ('0x' || h[2 * j + 1:2 * j + 2])::BIGINT), lambda c, b: xor(c // 256, entries[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM f, crc),
+w AS (SELECT CASE WHEN crc % 199 = 0 THEN run[1:crc % length(run)] || run[crc % length(run) + 2:] ELSE run END AS word, n FROM g),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+a AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+b AS (SELECT word, n, word[1:i - 1] || '_' || word[i + 1:] AS hole, word[1:i - 1] || word[i + 1:] AS less FROM a),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM b x JOIN b y ON x.hole = y.hole AND x.word <> y.word
+      UNION SELECT b.word, v.word, v.n FROM b JOIN v ON b.less = v.word UNION SELECT v.word, b.word, b.n FROM b JOIN v ON b.less = v.word),
+m AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM e GROUP BY word),
+p AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * v.n THEN top END AS form_n,
+             CASE WHEN top >= 5 * v.n THEN (SELECT min(near) FROM e WHERE e.word = v.word AND near_n = top) END AS form FROM v LEFT JOIN m ON v.word = m.word),
+way(word, r) AS (SELECT word, word FROM p UNION ALL SELECT way.word, p.form FROM way JOIN p ON way.r = p.word WHERE p.form IS NOT NULL)
+SELECT p.word, form, r AS root, n, n_near, form_n::BIGINT AS form_n FROM p JOIN way ON p.word = way.word AND r IN (SELECT word FROM p WHERE form IS NULL)
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op6_line_dedup": OP6, "op7_quality_rules": OP7, "op8_probminhash": OP8, "op9_chat_format": OP9, "op13_spelling_variants": OP13}

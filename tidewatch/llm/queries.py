@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, probminhash, quality, substrings, suffixes, tokenfile, warc
+from . import bpe, chat, decontaminate, linededup, probminhash, quality, spelling, substrings, suffixes, tokencount, tokenfile, warc, whiten
 from .common import read_table, text_or_empty
 
 
@@ -72,6 +72,22 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    vectors = vectors.where(whiten.usable("embedding")).select("vec_id", whiten.grid("embedding", 1024, 100_000).alias("x"))
+    out = whiten.whiten(vectors, "x", components=8)
+    one = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return out.select("vec_id", "n", "deviation", "identity_error", one).select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"), F.col("col.explained").alias("explained"), "identity_error")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), misspell=199)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -83,4 +99,7 @@ QUERIES = {
     "op8_probminhash": op8_probminhash,
     "op9_chat_format": op9_chat_format,
     "op10_token_planes": op10_token_planes,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
