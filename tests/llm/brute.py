@@ -91,6 +91,10 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
+def weight(grams):
+    return sum(len(" ".join(g).encode()) for g in grams)
+
+
 def near(docs, least=0.8):
     sets = [shingles(t) for _, t in docs]
     root = list(range(len(docs)))
@@ -102,7 +106,7 @@ def near(docs, least=0.8):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9:
+            if a and sets[j] and weight(a & sets[j]) >= least * weight(a | sets[j]) - 1e-9:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     groups = defaultdict(list)
     for i, (d, _) in enumerate(docs):

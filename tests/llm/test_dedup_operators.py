@@ -194,7 +194,7 @@ def test_substrings_of_many_shapes(make):
 
 def _op6(docs):
     out = linededup.with_bitmaps(docs.select("doc_id", "text"))
-    return rows_of(out.select("doc_id", F.coalesce("__line_n_dropped", F.lit(0)), linededup.kept_text(F.coalesce("text", F.lit("")), F.col("__line_dropped"))))
+    return rows_of(out.select("row.doc_id", F.coalesce("n_dropped", F.lit(0)), linededup.kept_text(F.coalesce("row.text", F.lit("")), F.col("dropped"))))
 
 
 def test_lines_equal_brute_force(make, corpus):
@@ -316,8 +316,8 @@ def test_large_buckets_verify_what_signatures_rate_low():
 
     rng = np.random.default_rng(2)
     texts = [" ".join(f"m{i}w{j}" for j in range(104)) for i in range(probminhash.SMALL_BUCKET)]
-    words = [f"w{j}" for j in range(94)]  # 90 shingles, of which the next text has 80 and 10 of its own
-    texts += [" ".join(words), " ".join(words[:84] + [f"x{j}" for j in range(10)]), " ".join(words[:83] + [f"y{j}" for j in range(11)])]
+    words = [f"w{j:02}" for j in range(94)]  # 90 shingles, of which the next text has 80 and 10 of its own; all of one length, so all weigh alike
+    texts += [" ".join(words), " ".join(words[:84] + [f"x{j:02}" for j in range(10)]), " ".join(words[:83] + [f"y{j:02}" for j in range(11)])]
     signed = rng.integers(0, 1 << 16, (len(texts), probminhash.REGISTERS)).astype("<u2")
     signed[:, : probminhash.ROWS_A_BAND] = 7
     rows = [(5, 0, 0, 0, 0, i, i, s.tobytes(), t) for i, (s, t) in enumerate(zip(signed, texts, strict=True))]
@@ -328,6 +328,17 @@ def test_large_buckets_verify_what_signatures_rate_low():
     assert [r for out in probminhash._links(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)] == [(n, n + 1)]
 
 
+def test_shingles_weigh_their_bytes(make):
+    """Long words that are common or not decide where the number of shingles alone would not."""
+    long, short = [f"{'long' * 9}{i}" for i in range(60)], [f"s{i}" for i in range(60)]
+    rows = [(1, " ".join(long + short)), (2, " ".join(long + [f"{x}z" for x in short[:30]])), (3, " ".join(short + long[:44])), (4, " ".join(short + [x[::-1] for x in long[:16]]))]
+    plain = [brute.shingles(t) for _, t in rows]
+    assert len(plain[0] & plain[1]) < 0.8 * len(plain[0] | plain[1]) and len(plain[2] & plain[3]) > 0.7 * len(plain[3])
+    expected = brute.near(rows)
+    assert expected == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.class_id for r in probminhash.classes(make(rows)).collect()} == expected
+
+
 def test_near_duplicates_with_unequal_repeat_counts(make):
     """Pairs of equal shingle sets, of which one text repeats a tenth 10,000 times: nothing but the sets counts."""
     rows = []
@@ -379,3 +390,18 @@ def test_empty_tables(spark, make):
     ):
         assert out.count() == 0
     assert decontaminate.scan(make([(1, "a b")]), bench).collect()[0]["items"] == []
+
+
+CLASHING = [*(f"{p}{c}" for p in ("", "__line_", "__line_own_", "__near_", "__near_own_", "__quality_", "c", "x") for c in ("k", "t", "u", "h", "n", "row", "dropped", "n_dropped", "host", "words", "base_failed")), "a.b", "a b", "signature", "id", "label", "pos", "word", "bits", "last", "source.x", "found"]
+
+
+def test_columns_of_any_name_come_through(make, corpus, items, spark):
+    plain = make(corpus).select("doc_id", "text", "source")
+    docs = plain.withColumns({c: F.concat(F.lit(c), F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHING})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for stage in (linededup.dedup_documents, probminhash.keep_one, quality.filter_documents, lambda d: decontaminate.remove(d, bench)):
+        got, without = stage(docs), stage(plain)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert sorted(((r["doc_id"], r["text"] or "") for r in rows)) == sorted((r["doc_id"], r["text"] or "") for r in without.collect())
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING)

@@ -143,12 +143,32 @@ def test_chat_round_trip(spark):
     for c, r in out.items():
         own = sorted(((t if t is not None else -1, role or "", text or "") for conv, t, role, text in TURNS if conv == c))
         assert [(x.role, x.text) for x in r.recovered] == [x[1:] for x in own]
-        assert r.loss_text == r.masked == "".join(x[2] for x in own if x[1] == "assistant")
+        assert r.masked == "".join(x[2] for x in own if x[1] == "assistant")
         assert r.formatted.count("</turn>") == len(own)
     assert not out[1].escaped and out[2].escaped and out[3].escaped
     assert out[1].formatted == "### user: plain</turn>\n### assistant: fine</turn>\n"
 
 
+def test_loss_figures_come_from_the_mask(spark, small, monkeypatch):
+    """A mask that is one code point off, or empty, shows in the query's result."""
+    right = {r.conv_id: r for r in queries.op9_chat_format(spark, small).collect()}
+    sound = chat.format_conversations
+    for mask in (lambda s: F.slice(s, 1, 0), lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), (x["end"] + 1).alias("end")))):
+        monkeypatch.setattr(chat, "format_conversations", lambda turns, mask=mask: sound(turns).withColumn("loss_spans", mask(F.col("loss_spans"))))
+        wrong = {r.conv_id: r for r in queries.op9_chat_format(spark, small).collect()}
+        for c, r in right.items():
+            assert r.loss_chars == 0 or (wrong[c].loss_chars != r.loss_chars and wrong[c].loss_sha256 != r.loss_sha256)
+            assert wrong[c].turns_sha256 == r.turns_sha256
+
+
+def test_masks_across_blocks(spark):
+    text = "".join(chr(0x61 + i % 26) if i % 7 else "é日\U0001f600"[i % 3] for i in range(3 * chat.BLOCK + 5))
+    spans = [(0, 0), (0, 1), (5, chat.BLOCK), (chat.BLOCK - 1, chat.BLOCK + 1), (chat.BLOCK, 2 * chat.BLOCK), (10, len(text)), (len(text), len(text))]
+    df = spark.createDataFrame([(text, spans), ("", [(0, 0)]), ("abc", [])], "formatted string, spans array<struct<start:long,end:long>>")
+    got = df.select("formatted", chat.masked_text(F.col("formatted"), F.col("spans")).alias("m")).collect()
+    assert {r.formatted: r.m for r in got} == {text: "".join(text[a:b] for a, b in spans), "": "", "abc": ""}
+
+
 @pytest.mark.parametrize("bad", ["### user: a", "### user: a</turn>", "### user: a</turn> b</turn>\n"])
 def test_the_parser_refuses(spark, bad):
     assert spark.range(1).select(chat.parse(F.lit(bad)).alias("p")).first().p is None
@@ -273,7 +293,7 @@ def test_very_long_texts(spark, make):
     folder, manifest = warc.write_archives(_pages(spark, [(1, "u", long), (2, "u", long)]))
     assert {(r.page_id, r.record_type, r.payload_bytes) for r in warc.read_archives(spark, folder, manifest, payloads=False).collect()} == {(1, "revisit", len(long)), (2, "response", len(long))}
     turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "</turn>")], "conv_id long, turn long, role string, text string")
-    out = chat.format_conversations(turns).first()
+    out = chat.format_conversations(turns).withColumn("loss_text", chat.masked_text(F.col("formatted"), F.col("loss_spans"))).first()
     assert [t["text"] for t in out.recovered] == [long, long + "</turn>"] and out.loss_text == long + "</turn>"
 
 

@@ -59,8 +59,9 @@ def compact(base: DataFrame) -> DataFrame:
     return base.withColumns({"t": F.lit(0).cast("long"), "u": F.lit(0).cast("long")}) if spread.isEmpty() else base
 
 
-def text_or_empty(text_col: str) -> Column:
-    return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+def text_or_empty(*names: str) -> Column:
+    """A text column, or a field of a struct."""
+    return F.coalesce(F.col(".".join(f"`{n}`" for n in names)), F.lit(""))
 
 
 def partitions_for(df: DataFrame, growth: float = 1.0) -> int:

@@ -173,7 +173,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
-    where = docs.columns.index("text")
+    where, names = docs.columns.index("text"), docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots in them can't go to the workers
     n, blocks = _blocks(benchmark, ngram, block_bytes)
     ws = Workspace(docs.sparkSession) if n > 1 else None
     for i, block in enumerate(blocks):
@@ -205,4 +206,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram
         if ws:
             docs = ws.keep(docs, f"clean_{i}")
             shared.destroy()
-    return docs
+    return docs.toDF(*names)

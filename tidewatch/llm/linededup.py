@@ -30,7 +30,6 @@ from .common import KEY, WS, Workspace, document_key, partitions_for, text_or_em
 MIN_CHARS = 40
 MIN_DOCS = 5
 SALTS = 32
-P = "__line_"
 
 
 def line_key(line: Column) -> Column:
@@ -75,16 +74,18 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with two columns more, ``__line_n_dropped`` and ``__line_dropped`` (null: all lines are kept)."""
+    """``row`` (the columns of ``docs``), n_dropped and dropped (null: all lines are kept).
+
+    The table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here.
+    """
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    maps = bitmaps(plain, min_chars, min_docs).withColumnsRenamed({c: f"{P}{c}" for c in [*KEY, "n_dropped", "dropped"]})
-    own = docs.withColumns({f"{P}own_{c}": x for c, x in zip(KEY, document_key(), strict=True)})
-    on = [F.col(f"{P}own_{c}") == F.col(f"{P}{c}") for c in KEY]
-    return own.join(maps, on, "left").drop(*[f"{P}{x}" for c in KEY for x in (c, f"own_{c}")])
+    maps = bitmaps(plain, min_chars, min_docs)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *document_key())
+    return own.join(maps, KEY, "left").select("row", "n_dropped", "dropped")
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with their own columns, ``text`` without the dropped lines; a document that loses none keeps its text as it is."""
     out = with_bitmaps(docs, min_chars, min_docs)
-    text = F.when(F.col(f"{P}dropped").isNull(), F.col("text")).otherwise(kept_text(text_or_empty("text"), F.col(f"{P}dropped")))
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept_text(text_or_empty("row", "text"), F.col("dropped")))
+    return out.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,17 +1,19 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Signatures. Each shingle of five words sends a Poisson process of its weight's rate:
+Signatures. Each shingle of five words weighs its bytes (words joined by one space), so long words
+count for more than short ones, and sends a Poisson process of its weight's rate:
 arrivals at exponential gaps, each to a random register; a register keeps its earliest
 arrival. A shingle stops as soon as its next arrival comes later than all registers'
 (early termination). The share of equal registers estimates the probability Jaccard
-similarity of two documents. All weights are 1 here, however often a text repeats a
-shingle: then it is the Jaccard similarity of the sets, which is what links are verified by.
+similarity of two documents: the sum over common shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). A
+weight is the shingle's own, the same in every text and however often a text repeats it, so this is the weight of the common
+shingles over the weight of all, which is what links are verified by, exactly; equal sets have 1.
 
 Classes. Exact copies are collapsed first (summed per task before the shuffle). Of the
 remaining texts, those that agree in a band of registers meet in a bucket. No bucket is
 expanded into pairs: in each round one member of a bucket is its star, and every text is
 verified against one of its buckets' stars, their shingle sets compared exactly; verified
-links (Jaccard of ``SIMILARITY`` or more) join components. After ``ROUNDS`` rounds only members of one
+links (probability Jaccard of ``SIMILARITY`` or more) join components. After ``ROUNDS`` rounds only members of one
 bucket that are still in different components are left. In small buckets their pairs are
 verified; in large ones they meet in blocks of bounded size, the largest component's members
 with the others only, where the shared shingles of every pair are counted on the spot and
@@ -46,25 +48,29 @@ ROUNDS = 3
 SMALL_BUCKET = 12
 #: Shingles of other texts that are compared with one text at once.
 STRETCH = 1 << 20
-BLOCK_ROWS = 2000
+BLOCK_ROWS, BLOCK_BYTES = 2000, 16 << 20
 #: Texts verified against one star in one task; a star with more is dealt over several.
 STAR_ROWS = 2000
 _U = np.uint64
 
 
 def shingle_sets(piece: B.Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingles of each row (sorted 64-bit hashes) and how often each occurs."""
+    """Distinct shingles of each row (sorted 64-bit hashes) and their weights."""
     starts, ends, before = piece.words(B.not_space_table())
     words = B.span_hashes(piece.buf, starts, ends)
     grams = B.window_hashes(words, SHINGLE)
+    # the bytes of a row of words: a sum of their lengths, and a space between each two
+    total = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts + 1, out=total[1:])
     for lo, hi in zip(before.tolist(), before[1:].tolist(), strict=False):
-        if hi == lo:
-            own = grams[:0]
-        elif hi - lo < SHINGLE:
-            own = B.window_hashes(words[lo:hi], hi - lo)
-        else:
-            own = grams[lo : hi - SHINGLE + 1]
-        yield np.unique(own, return_counts=True)
+        n = min(SHINGLE, hi - lo)
+        if not n:
+            yield grams[:0], total[:0]
+            continue
+        own = B.window_hashes(words[lo:hi], n) if n < SHINGLE else grams[lo : hi - SHINGLE + 1]
+        weights = total[lo + n : hi + 1] - total[lo : hi + 1 - n] - 1
+        own, first = np.unique(own, return_index=True)
+        yield own, weights[first]
 
 
 def signatures(sets: list[np.ndarray], weights: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -101,10 +107,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in B.slices(batch.column(4), 1 << 20):
             found = list(shingle_sets(piece))
             full = [i for i, (s, _) in enumerate(found) if len(s)]
-            signed = signatures([found[i][0] for i in full], [np.ones(len(found[i][0])) for i in full])
+            signed = signatures([found[i][0] for i in full], [found[i][1].astype(np.float64) for i in full])
             which = np.array(full, np.int64) + piece.lo
             columns = [batch.column(i).take(pa.array(which)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed], pa.binary())], [*KEY, "h", "signature"])
+            sizes = (piece.offsets[1:] - piece.offsets[:-1])[full]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed], pa.binary()), pa.array(sizes, pa.int64())], [*KEY, "h", "signature", "bytes"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,27 +124,33 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(ROWS_A_BAND):
             keys = B.mix(keys * B.STEP + signed[:, :, i].astype(_U))
         band = np.tile(np.arange(BANDS, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band), pa.array(keys.ravel().view(np.int64))], ["id", "band", "bucket"])
+        id_, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(id_), pa.array(band), pa.array(keys.ravel().view(np.int64)), pa.array(size)], ["id", "band", "bucket", "bytes"])
+
+
+Weighted = tuple[np.ndarray, np.ndarray]
 
 
-def similar(one: np.ndarray, two: np.ndarray) -> bool:
-    """Whether two sorted sets' Jaccard similarity reaches the threshold."""
-    if min(len(one), len(two)) < SIMILARITY * max(len(one), len(two)):
+def similar(one: Weighted, two: Weighted) -> bool:
+    """Whether two sorted sets' probability Jaccard similarity reaches the threshold."""
+    (a, x), (b, y) = one, two
+    own, other = int(x.sum()), int(y.sum())
+    if min(own, other) < SIMILARITY * max(own, other) or not own:
         return False
-    at = np.searchsorted(one, two)
-    at[at == len(one)] = 0
-    both = int((one[at] == two).sum()) if len(one) else 0
-    return both >= SIMILARITY * (len(one) + len(two) - both) - 1e-9
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int(y[a[at] == b].sum())
+    return both >= SIMILARITY * (own + other - both) - 1e-9
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by star, the star's own text first; streams the others against it."""
-    star, own = None, np.zeros(0, _U)
+    star, own = None, (np.zeros(0, _U), np.zeros(0, np.int64))
     for batch in batches:
         stars, salts, ids = (batch.column(i).to_pylist() for i in range(3))
         pairs = []
         for piece in B.slices(batch.column(3)):
-            for i, (have, _) in enumerate(shingle_sets(piece), piece.lo):
+            for i, have in enumerate(shingle_sets(piece), piece.lo):
                 if ids[i] == stars[i]:
                     star, own = (stars[i], salts[i]), have
                     continue
@@ -217,21 +230,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join the components of a large bucket's members: as many as it takes, never all pairs that are similar.
 
-    Every pair of different components is decided by its exact count of shared shingles; only set sizes that rule a pair out skip it.
+    Every pair of different components is decided by the exact weight of its shared shingles; only whole weights that rule a pair out skip it.
     """
     for rows in _groups(batches):
-        sets = [s for piece in B.slices(pa.array([r[8] for r in rows], pa.large_string())) for s, _ in shingle_sets(piece)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = [s for piece in B.slices(pa.array([r[8] for r in rows], pa.large_string())) for s in shingle_sets(piece)]
+        sizes, whole = np.array([len(s) for s, _ in sets], np.int64), np.array([w.sum() for _, w in sets], np.int64)
+        known, codes = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
         own = np.split(codes.astype(np.int32), np.cumsum(sizes)[:-1])
-        mark, labels, links = np.zeros(len(known), np.uint8), _labels(rows), []
+        mark, labels, links = np.zeros(len(known), np.int64), _labels(rows), []
         for i, others in _candidates(rows, labels):
-            near = others[np.minimum(sizes[others], sizes[i]) >= SIMILARITY * np.maximum(sizes[others], sizes[i])]
-            mark[own[i]] = 1
+            near = others[np.minimum(whole[others], whole[i]) >= SIMILARITY * np.maximum(whole[others], whole[i])]
+            mark[own[i]] = sets[i][1]
             for lo, hi in _stretches(sizes[near]):
                 part = near[lo:hi]
                 both = np.add.reduceat(mark[np.concatenate([own[j] for j in part.tolist()])], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
-                for j in part[both >= SIMILARITY * (sizes[i] + sizes[part] - both) - 1e-9].tolist():
+                for j in part[both >= SIMILARITY * (whole[i] + whole[part] - both) - 1e-9].tolist():
                     if labels[i] != labels[j]:
                         labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
                         links.append((rows[i][5], rows[j][5]))
@@ -258,13 +271,15 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt over blocks of the bucket: a row for each pair of blocks that has to meet.
 
     A bucket's largest component needs no comparison within itself, so its members meet the others only:
-    with n members, r of which are not in that component, r / ``BLOCK_ROWS`` times n / ``BLOCK_ROWS`` pairs of blocks.
+    with n members, r of which are not in that component, r / ``BLOCK_ROWS`` times n / ``BLOCK_ROWS`` pairs of blocks, or as
+    many as ``BLOCK_BYTES`` of text a block make.
     """
     seen = members.join(labels, "id")
-    sizes = seen.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
-    open_ = open_.select("bucket", "size", F.col("most.label").alias("main"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("size") - F.col("most.n")).alias("rests"))
+    sizes = seen.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    most, rest = blocks(F.col("most.n"), F.col("most.bytes")), blocks(F.col("size") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    open_ = open_.select("bucket", "size", F.col("most.label").alias("main"), most.alias("mains"), rest.alias("rests"))
     rows = seen.join(open_, "bucket")
     is_main, spread = F.col("label") == F.col("main"), F.xxhash64("id")
     block = F.when(is_main, F.col("rests") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "rests")).cast("int")
@@ -274,8 +289,8 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(ws: Workspace, texts_of: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, label) of the representatives that share a bucket with another one. reps: id, k, t, u, signature; texts_of: k, t, u, text."""
-    banded = reps.select("id", "signature").mapInArrow(_bands, "id long, band int, bucket long")
+    """(id, label) of the representatives that share a bucket with another one. reps: id, k, t, u, signature, bytes; texts_of: k, t, u, text."""
+    banded = reps.select("id", "signature", "bytes").mapInArrow(_bands, "id long, band int, bucket long, bytes long")
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = ws.keep(banded.join(sizes, "bucket"), "buckets")
     labels = ws.keep(members.select("id").distinct().withColumn("label", F.col("id")), "labels")
@@ -303,8 +318,8 @@ def _classed(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(k, t, u, doc_id, text, h) of each row; and of each text with shingles its hash h and its class's least document (ck, ct, cu)."""
     ws, base = Workspace(docs.sparkSession), keyed(docs)
     hashed = base.withColumn("h", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    signed = hashed.select(*KEY, "h", "text").mapInArrow(_signed, "k long, t long, u long, h binary, signature binary")
-    firsts = signed.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("signature").alias("signature"))
+    signed = hashed.select(*KEY, "h", "text").mapInArrow(_signed, "k long, t long, u long, h binary, signature binary, bytes long")
+    firsts = signed.groupBy("h").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("signature").alias("signature"), F.first("bytes").alias("bytes"))
     reps = ws.keep(firsts.withColumn("id", F.monotonically_increasing_id()), "reps")
     labels = components(ws, base.select(*KEY, "text"), reps, rounds)
     named = reps.select("id", "h", *KEY).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -323,9 +338,10 @@ def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with their own columns, of each class the row with the least doc_id; rows without shingles stay."""
     hashed, named = _classed(docs, rounds)
-    firsts = named.select(*[F.col(f"c{c}").alias(f"__near_{c}") for c in KEY]).distinct()
-    keys = docs.withColumns({f"__near_own_{c}": x for c, x in zip(KEY, document_key(), strict=True)})
-    blank = F.col("text").isNull() | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == "")
-    kept = keys.where(~blank).join(firsts, [F.col(f"__near_own_{c}") == F.col(f"__near_{c}") for c in KEY], "left_semi")
-    kept = kept.dropDuplicates([f"__near_own_{c}" for c in KEY])
-    return kept.unionByName(keys.where(blank)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = named.select(*[F.col(f"c{c}").alias(c) for c in KEY]).distinct()
+    # the table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *document_key())
+    text = F.col("row.text")
+    blank = text.isNull() | (F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == "")
+    kept = rows.where(~blank).join(firsts, KEY, "left_semi").dropDuplicates(KEY)
+    return kept.unionByName(rows.where(blank)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

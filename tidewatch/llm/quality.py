@@ -119,7 +119,9 @@ def assess(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
 def filter_documents(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
     """``docs`` with their own columns, without the documents that the base rules or their host reject."""
     ws = Workspace(docs.sparkSession)
-    rows = ws.keep(measures(docs, docs.columns), "measures")
+    # the table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "text")
+    rows = ws.keep(measures(packed, ["row", "source"]), "measures")
     bad = ws.keep(rejected_hosts(rows, host_excess).withColumnRenamed("host", f"{P}host"), "hosts")
     kept = rows.where(~F.col(f"{P}base_failed"))
-    return kept.join(bad, kept["source"] == bad[f"{P}host"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(bad, kept["source"] == bad[f"{P}host"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

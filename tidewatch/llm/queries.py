@@ -38,9 +38,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.with_bitmaps(docs)
-    dropped = F.col("__line_dropped")
-    n_lines = F.length(text_or_empty("text")) - F.length(F.replace(text_or_empty("text"), F.lit("\n"), F.lit(""))) + 1
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("__line_n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(linededup.kept_text(text_or_empty("text"), dropped), 256).alias("kept_sha256"))
+    text = text_or_empty("row", "text")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(linededup.kept_text(text, F.col("dropped")), 256).alias("kept_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(planted)
     out = chat.format_conversations(turns)
+    out = out.withColumn("loss_text", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
     digest = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
