@@ -12,19 +12,20 @@ from ..operators import order
 from ..operators import sampling as Z
 from .staging import staged
 
-#: Values of a text column that may get a column each.
+#: Values of a text column that may get a column each without being named; more are an error, never left out.
 MOST_VALUES = 1000
 
 # The columns of the KDD-99 connection records, in order.
 KDD_TEXT = ["protocol_type", "service", "flag"]
-KDD_COLUMNS = (
-    "duration protocol_type service flag src_bytes dst_bytes land wrong_fragment urgent hot num_failed_logins logged_in "
-    "num_compromised root_shell su_attempted num_root num_file_creations num_shells num_access_files num_outbound_cmds "
-    "is_host_login is_guest_login count srv_count serror_rate srv_serror_rate rerror_rate srv_rerror_rate same_srv_rate "
-    "diff_srv_rate srv_diff_host_rate dst_host_count dst_host_srv_count dst_host_same_srv_rate dst_host_diff_srv_rate "
-    "dst_host_same_src_port_rate dst_host_srv_diff_host_rate dst_host_serror_rate dst_host_srv_serror_rate "
-    "dst_host_rerror_rate dst_host_srv_rerror_rate"
-).split()
+KDD_COLUMNS = [
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land", "wrong_fragment", "urgent", "hot",
+    "num_failed_logins", "logged_in", "num_compromised", "root_shell", "su_attempted", "num_root", "num_file_creations",
+    "num_shells", "num_access_files", "num_outbound_cmds", "is_host_login", "is_guest_login", "count", "srv_count", "serror_rate",
+    "srv_serror_rate", "rerror_rate", "srv_rerror_rate", "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate", "dst_host_count",
+    "dst_host_srv_count", "dst_host_same_srv_rate", "dst_host_diff_srv_rate", "dst_host_same_src_port_rate",
+    "dst_host_srv_diff_host_rate", "dst_host_serror_rate", "dst_host_srv_serror_rate", "dst_host_rerror_rate",
+    "dst_host_srv_rerror_rate",
+]
 
 
 def _kdd_schema(*more: str) -> str:
@@ -42,12 +43,12 @@ def read_kdd(spark: SparkSession, path: str, sample_size: int | None = None) ->
 def prepare_kdd(df: DataFrame, values: dict[str, list[str]] | None = None) -> DataFrame:
     """Features of KDD records: one-hot text columns, logarithms, byte ratio, error sum, diversity and connection rate; numbers standardised.
 
-    ``values``: the values that get a column each, by text column; those found in ``df``, where not given.
+    ``values``: the values that get a column each, by text column; all those found in ``df``, where not given
+    (``ValueError`` where they are more than ``MOST_VALUES``: a table that wide has to be asked for by name).
     """
     hot = {}
     for c in KDD_TEXT:
-        own = (values or {}).get(c) or sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_VALUES).collect())
-        hot |= X.one_hot(c, own)
+        hot |= X.one_hot(c, (values or {}).get(c) or _values(df, c))
     logs = {f"{c}_log": F.log1p(c) for c in ("duration", "src_bytes", "dst_bytes", "count", "srv_count")}
     out = df.withColumns(hot | logs).drop(*KDD_TEXT)
     numbers = [c for c in KDD_COLUMNS if c not in KDD_TEXT] + list(logs)
@@ -55,6 +56,13 @@ def prepare_kdd(df: DataFrame, values: dict[str, list[str]] | None = None) -> Da
     return out.withColumns({"bytes_ratio": X.byte_ratios()["bytes_ratio"], "error_rate_sum": F.col("serror_rate") + F.col("rerror_rate"), "service_diversity": (F.col("diff_srv_rate") + F.col("dst_host_diff_srv_rate")) / 2, "connection_rate": X.connection_rate()})
 
 
+def _values(df: DataFrame, column: str) -> list[str]:
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"{column} has over {MOST_VALUES} values: name those that get a column each")
+    return sorted(r[0] for r in found)
+
+
 def load_kdd(spark: SparkSession, path: str, sample_size: int | None = 20_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test part (70 and 30 per cent of each class) of prepared KDD records."""
     rows = staged(prepare_kdd(read_kdd(spark, path, sample_size)).withColumn("row_id", F.monotonically_increasing_id()), "kdd")
