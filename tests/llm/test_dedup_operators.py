@@ -100,7 +100,7 @@ def test_repeats_of_a_shard_have_all_their_occurrences():
     lefts, rights = [t[:5][::-1].encode() for t in texts], [t[5:].encode() for t in texts]
     found = {(left, right): sorted(m) for left, right, m in suffixes.maximal_repeats(lefts, rights, 6)}
     assert found == {(4, 5): [0, 1], (5, 3): [1, 2], (4, 3): [0, 1, 2]}
-    assert suffixes.stretches(lefts, rights, 6) == [(4, 5), (5, 5), (5, 3)]
+    assert suffixes.cover(lefts, rights, 6) == [(4, 5), (5, 5), (5, 3)]
     assert [x[:2] for x in suffixes.maximal_repeats(lefts, rights, 6, low=5)] == [(5, 3)]
 
 
@@ -134,7 +134,27 @@ def test_repeats_of_a_shard_equal_brute_force():
                             expected[(lefts[i][:left], rights[i][:right])] = own
         got = {(lefts[m[0]][:left], rights[m[0]][:right]): sorted(m) for left, right, m in suffixes.maximal_repeats(lefts, rights, 4)}
         assert got == expected
-        assert suffixes.stretches(lefts, rights, 4) == cover
+        assert suffixes.cover(lefts, rights, 4) == cover
+
+
+@pytest.mark.parametrize("most", [3, 30])
+def test_repeats_that_cover_are_repeats_and_cover_all(monkeypatch, most):
+    """What large shards list: some of all maximal repeats, each with every occurrence, that together cover what all do."""
+    import random
+
+    rnd = random.Random(most)
+    for _ in range(80):
+        lefts, rights = _contexts(rnd, rnd.randint(2, 40))
+        lefts, rights = [x[:most] for x in lefts], [x[: most + 1] for x in rights]
+        low = rnd.randint(0, 2)
+        high = low + rnd.choice((0, 1, 30))
+        monkeypatch.setattr(suffixes, "LISTED", 1000)
+        every, whole = {(a, b, *sorted(m)) for a, b, m in suffixes.maximal_repeats(lefts, rights, 4, low, high)}, suffixes.cover(lefts, rights, 4, low, high)
+        monkeypatch.setattr(suffixes, "LISTED", 1)
+        some = [(a, b, *sorted(m)) for a, b, m in suffixes.covering_repeats(lefts, rights, 4, low, high)]
+        assert len(some) == len(set(some)) and set(some) <= every
+        if high - low > 20 and not low:
+            assert suffixes.cover(lefts, rights, 4, low, high) == whole
 
 
 @pytest.mark.parametrize("shard", [20_000, 2, 0])

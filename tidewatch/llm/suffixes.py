@@ -19,7 +19,9 @@ low + step - 1 bytes to the left of the anchor all hold the string of low bytes
 Step falls until shards fit; when it is 1 the string is all of the ``MIN_BYTES`` bytes. Suffixes that share
 such a string are streamed in the order of their right contexts and not held: a repeat is a range of ranks.
 
-``groups`` gives the repeats with every occurrence, ``dedup`` only what they cover. A repeat goes as far as
+``groups`` gives the repeats with every occurrence. ``dedup`` removes what the groups cover: in a large shard only groups
+are listed that cover more than those within deeper intervals do, and a task adds up its groups' occurrences by suffix
+before anything is shuffled. A repeat goes as far as
 the windows of one anchor do: one that spans several anchors comes as one group for each of them, all
 holding their part of it.
 
@@ -196,50 +198,86 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int, low: in
                     yield left, depth, members
 
 
-def stretches(lefts: list[bytes], rights: list[bytes], least: int, low: int = 0, high: int = 1 << 30) -> list[tuple[int, int] | None]:
-    """How far any maximal repeat of each suffix goes to either side: all hold the anchor, so that is what they cover.
+class _Order:
+    """Left contexts in sorted order: how far any two, or all of a range, agree from the anchor leftwards."""
 
-    The same walk without listing occurrences. Where two children of an interval meet, each member of the smaller is compared
-    with its neighbours in the order of left contexts, which agree with it furthest; the smaller joins the larger.
-    """
-    n = len(rights)
-    found: list[tuple[int, int] | None] = [None] * n
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    rank = [0] * n
-    for r, i in enumerate(by_left):
-        rank[i] = r
+    def __init__(self, lefts: list[bytes]):
+        self.by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
+        self.rank = np.empty(len(lefts), np.int64)
+        self.rank[self.by_left] = np.arange(len(lefts))
+        beside = [common_prefix(lefts[a], lefts[b]) for a, b in zip(self.by_left, self.by_left[1:], strict=False)]
+        # levels[i][r]: the least of beside[r : r + 2^i]
+        self.levels = [np.array(beside, np.int64)]
+        while 2 << len(self.levels) - 1 <= len(beside):
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def common(self, x: int, y: int) -> int:
+        """What the contexts of ranks x < y have in common."""
+        i = (y - x).bit_length() - 1
+        return int(min(self.levels[i][x], self.levels[i][y - (1 << i)]))
+
+    def interval(self, x: int, depth: int) -> tuple[int, int]:
+        """The ranks around x whose contexts agree with its own in ``depth`` bytes."""
+        lo = hi = x
+        for i in range(len(self.levels) - 1, -1, -1):
+            step, level = 1 << i, self.levels[i]
+            while lo >= step and level[lo - step] >= depth:
+                lo -= step
+            while hi + step <= len(self.rank) - 1 and level[hi] >= depth:
+                hi += step
+        return lo, hi
 
-    def meet(x: int, y: int, depth: int) -> None:
-        i, j = by_left[x], by_left[y]
-        left = min(common_prefix(lefts[i], lefts[j]), high)
-        if left + depth >= least and left >= low:
-            for m in (i, j):
-                found[m] = (max(left, found[m][0]), max(depth, found[m][1])) if found[m] else (left, depth)
 
-    held: dict[int, list[int]] = {}  # of closed intervals, by their first member: members' ranks in order
+#: Shards of no more suffixes list all their repeats; larger ones those that cover something new, each with all its occurrences.
+LISTED = 24
+
+
+def covering_repeats(lefts: list[bytes], rights: list[bytes], least: int, low: int = 0, high: int = 1 << 30) -> Iterator[tuple[int, int, list[int]]]:
+    """Of the maximal repeats those that cover what deeper ones don't, each with all its occurrences.
+
+    The same walk: where children of a right interval meet, each member of all but the largest asks for the smallest interval
+    of left contexts that holds a member of another child. Left-extension diversity holds there, since contexts
+    agree in no more bytes than that, and every larger interval of left contexts adds shorter repeats of the same members only.
+    """
+    n = len(rights)
+    if n <= LISTED:
+        yield from maximal_repeats(lefts, rights, least, low, high)
+        return
+    order = _Order(lefts)
+    held: dict[int, np.ndarray] = {}  # of closed intervals, by their first member: members' ranks in order
     for depth, children in intervals(rights, sorted(range(n), key=rights.__getitem__)):
-        parts = sorted((held.pop(c[0], None) or sorted(rank[i] for i in c) for c in children), key=len)
-        large = parts.pop()
-        for small in parts:
-            for x in small:
-                at = bisect_left(large, x)
-                if at:
-                    meet(x, large[at - 1], depth)
-                if at < len(large):
-                    meet(x, large[at], depth)
-                large.insert(at, x)
+        parts = sorted((held.pop(c[0]) if c[0] in held else np.sort(order.rank[c]) for c in children), key=len)
+        large, asked = parts.pop(), set()
+        while parts:
+            small = parts.pop()
+            for x, at in zip(small.tolist(), np.searchsorted(large, small).tolist(), strict=True):
+                left = max(order.common(int(large[at - 1]), x) if at else -1, order.common(x, int(large[at])) if at < len(large) else -1)
+                if left + depth >= least and low <= left <= high:
+                    asked.add((left, *order.interval(x, left)))
+            large = np.sort(np.concatenate([large, small]), kind="stable")
+        for left, lo, hi in asked:
+            yield left, depth, [order.by_left[r] for r in large[np.searchsorted(large, lo) : np.searchsorted(large, hi, side="right")].tolist()]
         held[children[0][0]] = large
-    return found
 
 
-def _shard(rows: list[tuple], least: int, step: int, cover: bool) -> Iterator[tuple]:
-    """What a shard's suffixes have in common, as rows of FOUND; ``cover``: one row a suffix, without a name."""
+def cover(lefts: list[bytes], rights: list[bytes], least: int, low: int = 0, high: int = 1 << 30) -> list[tuple[int, int] | None]:
+    """How far the repeats of each suffix go to either side: all hold the anchor, so that is what they cover."""
+    left, right = np.full(len(rights), -1, np.int64), np.full(len(rights), -1, np.int64)
+    for to_left, to_right, members in covering_repeats(lefts, rights, least, low, high):
+        own = np.array(members)
+        left[own], right[own] = np.maximum(left[own], to_left), np.maximum(right[own], to_right)
+    return [(a, b) if b >= 0 else None for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+
+
+def _shard(rows: list[tuple], least: int, step: int, spans: bool) -> Iterator[tuple]:
+    """The repeats of a shard's suffixes, as rows of FOUND; ``spans``: what they cover, one row a suffix, without a name."""
     if len(rows) < 2:
         return
     lefts, rights, low = [r[6] for r in rows], [r[7] for r in rows], rows[0][1]
     high = low + step - 1
-    if cover:
-        for r, span in zip(rows, stretches(lefts, rights, least, low, high), strict=True):
+    if spans:
+        for r, span in zip(rows, cover(lefts, rights, least, low, high), strict=True):
             if span:
                 yield None, *r[2:6], r[5] - span[0], r[5] + span[1]
         return
@@ -264,28 +302,28 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, FOUND_NAMES, _FOUND_TYPES)
 
 
-def _walk(least: int, step: int, cover: bool):
+def _walk(least: int, step: int, spans: bool):
     """Suffixes sorted by shard (h, low), one shard held at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = groupby(_rows(batches), key=itemgetter(0, 1))
-        yield from _batches((*x, None, None, None, None) for _, rows in shards for x in _shard(list(rows), least, step, cover))
+        yield from _batches((*x, None, None, None, None) for _, rows in shards for x in _shard(list(rows), least, step, spans))
 
     return each
 
 
-def _stream(least: int, cover: bool):
+def _stream(least: int, spans: bool):
     """Suffixes sorted by shard and right context, which share all of a string of ``least`` bytes: the stack scan without holding any.
 
     All suffixes agree in the ``low`` bytes to the left, so one more byte tells whether they go on (left-extension diversity: a set of
-    two is enough). A row for each suffix with its rank, and one for each maximal repeat with the ranks it spans; ``cover``: the
+    two is enough). A row for each suffix with its rank, and one for each maximal repeat with the ranks it spans; ``spans``: the
     string of each suffix that isn't alone.
     """
 
-    def spans(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def shard(rows: Iterator[tuple]) -> Iterator[tuple]:
         h, low, *key, p, left, right = first = next(rows)
         at = lambda r: (None, *r[2:6], r[5] - low, r[5] + least - low, None, None, None, None)
-        if cover:
+        if spans:
             for i, row in enumerate(rows):
                 if not i:
                     yield at(first)
@@ -318,7 +356,7 @@ def _stream(least: int, cover: bool):
         yield from close(-1, beside, rank)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(x for _, rows in groupby(_rows(batches), key=itemgetter(0, 1)) for x in spans(rows))
+        yield from _batches(x for _, rows in groupby(_rows(batches), key=itemgetter(0, 1)) for x in shard(rows))
 
     return each
 
@@ -356,25 +394,25 @@ class Repeats:
         """Runs that another run equals: their class (r, s, the digest of their bytes), document and windows."""
         return self.runs.where(F.col("kind") == A.SETTLED).select("h", "r", "s", *KEY, "p", "a", (F.col("b") + self.min_bytes).alias("b"))
 
-    def _walked(self, suffixes: DataFrame, step: int, cover: bool) -> DataFrame:
+    def _walked(self, suffixes: DataFrame, step: int, spans: bool) -> DataFrame:
         ready = suffixes.repartition(partitions_for(self.base, 2), "h", "low")
         if step > 1:
-            return ready.sortWithinPartitions("h", "low").mapInArrow(_walk(self.min_bytes, step, cover), FOUND).select(*FOUND_NAMES[:7])
-        found = ready.sortWithinPartitions("h", "low", "right").mapInArrow(_stream(self.min_bytes, cover), FOUND)
-        if cover:
+            return ready.sortWithinPartitions("h", "low").mapInArrow(_walk(self.min_bytes, step, spans), FOUND).select(*FOUND_NAMES[:7])
+        found = ready.sortWithinPartitions("h", "low", "right").mapInArrow(_stream(self.min_bytes, spans), FOUND)
+        if spans:
             return found.select(*FOUND_NAMES[:7])
         found = self.ws.keep(found, "suffix_ranks")
         spans = found.where("last is not null").select("repeat", "h", "low", F.col("start").alias("left"), F.col("end").alias("right"), F.explode(F.sequence("rank", "last")).alias("rank"))
         members = found.where("last is null").select("h", "low", "rank", *KEY, "p")
         return spans.join(members, ["h", "low", "rank"]).select("repeat", *KEY, "p", (F.col("p") - F.col("left")).alias("start"), (F.col("p") + F.col("right")).alias("end"))
 
-    def trees(self, *, cover: bool) -> DataFrame:
-        """Rows of FOUND, of the first suffix of each class; ``cover``: without names."""
+    def trees(self, *, spans: bool) -> DataFrame:
+        """Rows of FOUND, of the first suffix of each class; ``spans``: what they cover, without names."""
         suffixes = lambda opened: self.base.join(A.by_document(opened, "h", "a", "b", "p"), KEY).mapInArrow(_suffixes(self.min_bytes), SUFFIXES)
         opened = self.runs.where(F.col("kind") == A.OPEN).select("h", *KEY, "a", "b", "p")
         crowded = self.ws.keep(opened.groupBy("h").count().where(F.col("count") > self.shard).select("h"), "suffix_crowded")
         step = 8 ** math.ceil(math.log(self.reach + 1, 8))  # all left lengths; an eighth at each further level
-        found = self._walked(suffixes(opened.join(crowded, "h", "left_anti")), step, cover)
+        found = self._walked(suffixes(opened.join(crowded, "h", "left_anti")), step, spans)
         if crowded.isEmpty():
             return found
         rows = suffixes(opened.join(crowded, "h", "left_semi"))
@@ -382,9 +420,9 @@ class Repeats:
             old, step = step, step // 8
             rows = self.ws.keep(rows.mapInArrow(_split(old, step, self.min_bytes, self.seed_bytes), SUFFIXES), f"suffix_split_{step}")
             if step == 1:
-                return found.unionByName(self._walked(rows, step, cover))
+                return found.unionByName(self._walked(rows, step, spans))
             crowded = self.ws.keep(rows.groupBy("h", "low").count().where(F.col("count") > self.shard).select("h", "low"), f"suffix_crowded_{step}")
-            found = found.unionByName(self._walked(rows.join(crowded, ["h", "low"], "left_anti").select(*rows.columns), step, cover))
+            found = found.unionByName(self._walked(rows.join(crowded, ["h", "low"], "left_anti").select(*rows.columns), step, spans))
             if crowded.isEmpty():
                 return found
             rows = rows.join(crowded, ["h", "low"], "left_semi").select(*rows.columns)
@@ -405,7 +443,7 @@ def groups(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_B
     own = Repeats(base, min_bytes, seed_bytes, shard)
     places, leaf = [*KEY, "p"], ["h", "r", "s"]
     equal = own.equal_runs()
-    found = own.ws.keep(own.trees(cover=False), "suffix_found")
+    found = own.ws.keep(own.trees(spans=False), "suffix_found")
     # A tree holds the first suffix of each class: the others of its class are occurrences of the same repeats.
     heads = own.runs.where(F.col("kind") == A.OPEN).select(*leaf, *places)
     members = heads.withColumnsRenamed({c: f"x{c}" for c in places}).join(equal.select(*leaf, *places), leaf)
@@ -423,5 +461,5 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BY
     """Per document row: its bytes, the byte runs that occur elsewhere too, and what is left without them."""
     base = compact(keyed(docs))
     own = Repeats(base, min_bytes, seed_bytes, shard)
-    spans = own.equal_runs().select(*KEY, "a", "b").unionByName(own.trees(cover=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
+    spans = own.equal_runs().select(*KEY, "a", "b").unionByName(own.trees(spans=True).select(*KEY, F.col("start").alias("a"), F.col("end").alias("b")))
     return base.join(A.by_document(spans, "a", "b"), KEY, "left").mapInArrow(_apply, RESULT)
