@@ -111,7 +111,8 @@ def test_chunks_are_reused_and_repaired():
     before = own.encoded_bytes
     own.encode(b"another start " + passage)
     assert own.encoded_bytes - before < 3000 < len(passage)
-    cuts, joints = bpe.plan(b"one " + passage)
+    buf = np.frombuffer(b"one " + passage, np.uint8)
+    cuts, joints = bpe.plan(buf, own.spans.starts(buf))
     assert len(cuts) > 5
     # A joint whose words come out in another way makes its two chunks one.
     own._between, keep = (lambda ids, ends, a, b, f=own._between: None if b - a < 20 and own.repaired < 3 else f(ids, ends, a, b)), own._between
@@ -119,6 +120,55 @@ def test_chunks_are_reused_and_repaired():
     own._between = keep
 
 
+def _scripts():
+    rnd = random.Random(9)
+    words = lambda letters, n, sep=" ": sep.join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(600))
+    return {
+        "russian": words("абвгдежзийклмнопрстуфхцчшщъыьэюя", 6000),
+        "arabic": words("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", 6000),
+        "chinese": "。".join(words(han, 12, "") for _ in range(400)),
+        "japanese": words("あいうえおかきくけこさしすせそアイウエオ日本語、", 5000, ""),
+        "code": "".join(f"function f{rnd.randrange(999)}(a,b){{return a[{rnd.randrange(99)}]*b-{rnd.randrange(9999)};}}" for _ in range(1500)),
+        "mixed": " ".join(words("абв", 1, "") + words(han, 3, "") + "'s  \u00a0x\u3000" + words("abcü", 3, "-") for _ in range(900)),
+    }
+
+
+@pytest.mark.parametrize("name", ["russian", "arabic", "chinese", "japanese", "code", "mixed"])
+def test_chunks_are_reused_in_any_script(tokenizer, name):
+    own, text = bpe.Encoder(bpe.vocabulary_path()), _scripts()[name]
+    passage = text.encode()
+    expected = tokenizer.encode("head " + text, add_special_tokens=False).ids
+    assert own.encode(b"head " + passage).tolist() == expected
+    before = own.encoded_bytes
+    assert own.encode(b"another start. " + passage + b" end").tolist() == tokenizer.encode(f"another start. {text} end", add_special_tokens=False).ids
+    assert own.encoded_bytes - before < 0.1 * len(passage) and len(passage) > 50_000
+
+
+def test_no_token_spans_bare_places(tokenizer):
+    """At places called safe, a text's ids are those of its two parts, whatever stands around."""
+    own, rnd = bpe.Encoder(bpe.vocabulary_path()), random.Random(12)
+    letters = "ab 1-.'s日本語の字é\u00a0\u3000я\U0001f600(){};=<"
+    for _ in range(300):
+        text = "".join(rnd.choice(letters) for _ in range(400)).encode()
+        buf = np.frombuffer(text, np.uint8)
+        seen = bpe.visible(buf)
+        safe = np.sort(np.r_[bpe.word_starts(buf, seen), own.spans.bare(buf, seen, 0, len(buf))])
+        assert len(safe) > 20
+        cuts = [0, *safe.tolist(), len(text)]
+        parts = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in own._ids(text[a:b]).tolist()]
+        assert parts == tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_a_long_text_without_spaces_keeps_the_table(tokenizer):
+    own = bpe.Encoder(bpe.vocabulary_path())
+    own.encode(("some words to keep " * 400).encode())
+    held = dict(own.cache)
+    han = _scripts()["chinese"]
+    assert own.encode(("x" * 2_000_000 + han).encode()).tolist() == tokenizer.encode("x" * 2_000_000 + han, add_special_tokens=False).ids
+    assert held.keys() <= own.cache.keys()
+
+
 # Chat
 
 

@@ -5,10 +5,11 @@ texts that share a passage. A worker encodes each chunk it meets once and keeps
 answer in a bounded table, for all its documents and tasks. The joints between chunks
 are then repaired: a stretch around each cut, two words to either side, is encoded anew,
 and its outer words must come out just as they did in their chunks. If they don't, the
-cut is dropped and the two chunks are encoded as one, until all joints agree. Words are
-bounded at single spaces between a visible character and a letter, where the splitter
-of byte-level vocabularies begins a word whatever stands around it; a text without such
-places, or one that spells an added token, is one chunk.
+cut is dropped and the two chunks are encoded as one, until all joints agree. Words of any script
+begin at single spaces between visible characters, where the splitter of byte-level vocabularies
+begins a word whatever stands around it. Where a stretch has no such spaces (Chinese, say, or packed code), they begin
+at places that no token spans: two visible characters, no apostrophe, of which no token of the vocabulary holds the
+bytes on both sides, so no merge crosses. A text without either (one letter repeated), or one that spells an added token, is one chunk.
 
 The table is each Python worker's own. One for the whole cluster would need every chunk
 and its ids in a shuffle, more than the text itself.
@@ -80,21 +81,75 @@ def _step(buf: np.ndarray, last: int) -> int:
     return c
 
 
-def safe_starts(buf: np.ndarray) -> np.ndarray:
-    """Where a word surely begins: at a single space between a visible ASCII character and an ASCII letter."""
-    if len(buf) < 3:
-        return np.zeros(0, np.int64)
-    mid, left, right = buf[1:-1], buf[:-2], buf[2:] | 0x20
-    return np.flatnonzero((mid == 0x20) & (left > 0x20) & (left < 0x7F) & (right >= 0x61) & (right <= 0x7A)) + 1
-
-
-def plan(text: bytes) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+#: White space beyond ASCII that the splitter knows, by its UTF-8 bytes (fixed by Unicode).
+_WIDE_SPACES = ["\u0085", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+#: A stretch without word starts of so many bytes is searched for places that no token spans.
+BARE_BYTES = 256
+
+
+def visible(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to characters that aren't white space or controls; of white space beyond ASCII no byte does."""
+    out = (buf > 0x20) & (buf != 0x7F)
+    leads = np.flatnonzero((buf == 0xC2) | (buf == 0xE1) | (buf == 0xE2) | (buf == 0xE3))
+    for space in _WIDE_SPACES:
+        code = np.frombuffer(space.encode(), np.uint8)
+        at = leads[leads + len(code) <= len(buf)]
+        for i, x in enumerate(code):
+            at = at[buf[at + i] == x]
+        for i in range(len(code)):
+            out[at + i] = False
+    return out
+
+
+def word_starts(buf: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Single spaces between visible characters."""
+    return np.flatnonzero((buf[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
+
+
+class Spans:
+    """Which places tokens of a vocabulary can span."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in tokens:
+            if len(t) == 2:
+                self.pairs[t[0] << 8 | t[1]] = True
+            for i in range(len(t) - 2):
+                self.triples[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
+
+    def bare(self, buf: np.ndarray, seen: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Places in (lo, hi), two bytes from the ends of the text at least, that none spans."""
+        at = np.arange(max(lo + 1, 2), min(hi, len(buf) - 1))
+        left, right = buf[at - 1], buf[at]
+        at = at[seen[at - 1] & seen[at] & ((right & 0xC0) != 0x80) & (left != 0x27) & (right != 0x27)]
+        a, b, c, d = (buf[at + i].astype(np.int32) for i in (-2, -1, 0, 1))
+        return at[~(self.pairs[b << 8 | c] | self.triples[a << 16 | b << 8 | c] | self.triples[b << 16 | c << 8 | d])]
+
+    def starts(self, buf: np.ndarray) -> np.ndarray:
+        """Where words surely begin. Memory: a few arrays as long as ``SLICE_BYTES``, besides what is found."""
+        found = []
+        for lo in range(0, len(buf), B.SLICE_BYTES):
+            part = buf[max(0, lo - 4) : lo + B.SLICE_BYTES + 4]
+            base = max(0, lo - 4)
+            if len(part) < 3:
+                continue
+            seen = visible(part)
+            own = word_starts(part, seen)
+            edges = np.r_[0, own, len(part)]
+            gaps = np.flatnonzero(np.diff(edges) > BARE_BYTES)
+            own = np.sort(np.concatenate([own, *(self.bare(part, seen, int(edges[g]), int(edges[g + 1])) for g in gaps.tolist())])) + base
+            found.append(own[(own >= lo) & (own < lo + B.SLICE_BYTES)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+Joint = tuple[int, int, int, int]
+
+
+def plan(buf: np.ndarray, safe: np.ndarray) -> tuple[list[int], list[Joint]]:
     """Cuts, and for each cut the joint to encode anew: (start, its first word's end, its last word's start, end).
 
-    A cut is left out where its joint would not fit between those of its neighbours.
+    ``safe``: where words surely begin. A cut is left out where its joint would not fit between those of its neighbours.
     """
-    buf = np.frombuffer(text, np.uint8)
-    safe = safe_starts(buf)
     cuts, joints, last = [], [], 0
     ends = np.array(cut_points(buf)[:-1], np.int64)
     for c, i in zip(ends.tolist(), np.searchsorted(safe, ends).tolist(), strict=True):
@@ -132,6 +187,7 @@ class Encoder:
         self.lengths = np.array([len(x) for x in parts], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.spans = Spans(parts)
         self.fast = None
         if _ordered(path, vocab):
             ranks = {parts[i]: i for i in vocab.values() if i not in added}
@@ -152,8 +208,11 @@ class Encoder:
             self.reused_bytes += len(text)
             self.cache.move_to_end(text)
             return ids
-        ids = self.cache[text] = self._ids(text)
+        ids = self._ids(text)
         self.encoded_bytes += len(text)
+        if len(text) > CACHE_BYTES >> 6:
+            return ids  # not worth what the table would lose for it
+        self.cache[text] = ids
         self.held += len(text) + ids.nbytes + 300
         while self.held > CACHE_BYTES:
             old, gone = self.cache.popitem(last=False)
@@ -170,39 +229,45 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if any(a in text for a in self.added):
             return self._ids(text)
-        cuts, joints = plan(text)
-        while True:
-            out, wrong = self._try(text, cuts, joints)
-            if wrong is None:
-                return out
-            # No agreement at this joint: its two chunks are encoded as one.
-            self.repaired += 1
-            del cuts[wrong], joints[wrong]
-
-    def _try(self, text: bytes, cuts: list[int], joints: list[tuple[int, int, int, int]]) -> tuple[np.ndarray | None, int | None]:
+        buf = np.frombuffer(text, np.uint8)
+        cuts, joints = plan(buf, self.spans.starts(buf))
         bounds = [0, *cuts, len(text)]
-        out, begin = [], 0  # begin: up to where the ids are in ``out``
-        chunks = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            ids = self.chunk(text[a:b])
-            ends = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(self.lengths[ids], out=ends[1:])
-            chunks.append((a, ids, ends))
-        for k, (u, first, last, v) in enumerate(joints):
-            (a, ids, ends), (b, next_ids, next_ends) = chunks[k], chunks[k + 1]
-            middle = self._between(ids, ends, begin - a, u - a)
-            word, next_word = self._between(ids, ends, u - a, first - a), self._between(next_ids, next_ends, last - b, v - b)
-            new = self.chunk(text[u:v])
-            # Agreement: the words at both ends of the joint come out as they did in their chunks.
-            if middle is None or word is None or next_word is None or not np.array_equal(new[: len(word)], word) or not np.array_equal(new[len(new) - len(next_word) :], next_word):
-                return None, k
-            out += [middle, new]
-            begin = v
-        a, ids, ends = chunks[-1]
-        rest = self._between(ids, ends, begin - a, len(text) - a)
-        if rest is None:
-            return (None, len(joints) - 1) if joints else (ids, None)
-        return np.concatenate([*out, rest]), None
+        # What is settled: (the chunk's begin, its ids, their ends) of each chunk, and between each two the joint and its ids.
+        chunks, agreed = [self._chunk(text, bounds[0], bounds[1])], []
+        for joint, a, b in zip(joints, bounds[1:], bounds[2:], strict=False):
+            chunks.append(self._chunk(text, a, b))
+            new = self._agree(text, joint, chunks[-2], chunks[-1])
+            while new is None:
+                # No agreement at this joint: its two chunks are encoded as one, which the joint before has to agree with in turn.
+                self.repaired += 1
+                chunks[-2:] = [self._chunk(text, chunks[-2][0], b)]
+                if not agreed:
+                    break
+                joint, _ = agreed.pop()
+                new = self._agree(text, joint, chunks[-2], chunks[-1])
+            if new is not None:
+                agreed.append((joint, new))
+        out, begin = [], 0
+        for (at, ids, ends), (joint, new) in zip(chunks, agreed, strict=False):
+            out += [ids[np.searchsorted(ends, begin - at) : np.searchsorted(ends, joint[0] - at)], new]
+            begin = joint[3]
+        at, ids, ends = chunks[-1]
+        return np.concatenate([*out, ids[np.searchsorted(ends, begin - at) :]])
+
+    def _chunk(self, text: bytes, a: int, b: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ids = self.chunk(text[a:b])
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.lengths[ids], out=ends[1:])
+        return a, ids, ends
+
+    def _agree(self, text: bytes, joint: Joint, one: tuple, two: tuple) -> np.ndarray | None:
+        """The ids of a joint, if the words at both its ends come out as they did in their chunks."""
+        (a, ids, ends), (b, next_ids, next_ends), (u, first, last, v) = one, two, joint
+        word, next_word = self._between(ids, ends, u - a, first - a), self._between(next_ids, next_ends, last - b, v - b)
+        if word is None or next_word is None:
+            return None
+        new = self.chunk(text[u:v])
+        return new if np.array_equal(new[: len(word)], word) and np.array_equal(new[len(new) - len(next_word) :], next_word) else None
 
     def decode(self, ids: np.ndarray) -> str:
         n = self.lengths[ids]
