@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators import ordered
+
 # Patterns, matched without regard to case.
 CRITICAL = [
     r"OR 1=1", r"OR '1'='1'", r"--", r"#", r"UNION SELECT", r"; DROP", r"xp_cmdshell", r"WAITFOR DELAY",
@@ -133,7 +135,10 @@ def adaptive_threshold(df: DataFrame, score: str, partition: list[str], order: l
 
     Sorted scores are parted at gaps over .15: with a gap, the middle between the first group's
     largest and the last group's least score; without, mean + 2 deviations; kept in [.4, .8].
+    Without a partition the history is the whole table's, in ranges.
     """
+    if not partition:
+        return ordered.over_ranges(df, order, history, 0, lambda rows, own: adaptive_threshold(rows, score, own, order, base, history))
     frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-history, -1)
     h = F.col("__h")
     gaps = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - 1, F.lit(1))), lambda i: F.get(h, i) - F.get(h, i - 1) > 0.15)
@@ -280,7 +285,7 @@ def detect(df: DataFrame, base: float = 0.5, history: list[str] | None = None, t
     """Scores, threshold, labels, attack type, threat level and techniques for (row_id, ts, ip, query).
 
     Columns ml_score and advanced_score count where they are there (``models.with_text_scores`` adds them). ``history``: what a
-    threshold's history is kept by (["ip"]; [] is one history, in one task). ``tokens``: findings among a text's tokens raise its pattern score to .8.
+    threshold's history is kept by (["ip"]; [] is one history of all rows). ``tokens``: findings among a text's tokens raise its pattern score to .8.
     """
     rows = df.withColumn("decoded", decoded(F.col("query")))
     score = F.greatest(pattern_score(F.col("query")), pattern_score(F.col("decoded")))

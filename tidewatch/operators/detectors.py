@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import features as X
 from ..sources.staging import staged
 from . import models as M
-from . import order
+from . import order, ordered
 from . import profiles as P
 
 DOS_FEATURES = ["connection_count", "bytes_per_second", "traffic_intensity", "syn_flag", "icmp_flag", "udp_flag"]
@@ -48,16 +48,30 @@ def dos_score(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def transitions(df: DataFrame, state: Column, partition: list[str], order: list[str], min_freq: int = 5) -> DataFrame:
-    """state, next_state, n, p. A transition seen fewer than ``min_freq`` times has probability 0."""
-    by = Window.partitionBy(*partition).orderBy(*order)
-    pairs = df.select(state.alias("state"), F.lead(state).over(by).alias("next_state")).where("next_state is not null")
+    """state, next_state, n, p. A transition seen fewer than ``min_freq`` times has probability 0.
+
+    Without a partition the order is the whole table's, in ranges.
+    """
+    pairs = followed(df.withColumn("state", state), F.col("state"), partition, order, "next_state").where("next_state is not null")
     counts = pairs.groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("state"))
     return counts.withColumn("p", F.when(F.col("n") >= min_freq, share).otherwise(0.0))
 
 
+def followed(df: DataFrame, state: Column, partition: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the next row's state."""
+    if partition:
+        return df.select(*df.columns, F.lead(state).over(Window.partitionBy(*partition).orderBy(*order)).alias(name))
+    return ordered.over_ranges(df, order, 0, 1, lambda rows, own: followed(rows, state, own, order, name))
+
+
 def sequence_scores(df: DataFrame, model: DataFrame, state: Column, partition: list[str], order: list[str], length: int = 10) -> DataFrame:
-    """Mean -log(p / least p) of the transitions in the window of ``length`` rows that begins here; unseen ones count 10."""
+    """Mean -log(p / least p) of the transitions in the window of ``length`` rows that begins here; unseen ones count 10.
+
+    Without a partition the order is the whole table's, in ranges.
+    """
+    if not partition:
+        return ordered.over_ranges(df, order, 0, length, lambda rows, own: sequence_scores(rows, model, state, own, order, length))
     by = Window.partitionBy(*partition).orderBy(*order)
     least = model.where("p > 0").agg(F.coalesce(F.min("p"), F.lit(0.001)).alias("__least"))
     rows = df.withColumn("__state", state).withColumn("__next", F.lead(state).over(by))

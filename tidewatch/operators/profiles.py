@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.staging import staged
-from . import order
+from . import order, ordered
 
 EPSILON = 1e-10
 SENSITIVITY = {"low": 2.0, "medium": 3.0, "high": 4.0}
@@ -159,8 +159,10 @@ def collective_spikes(df: DataFrame, features: list[str], partition: list[str],
     the window's mean step adds its excess to the rows at both its ends.
 
     The means of the windows that a step belongs to are gathered by a frame of at most width - 1 rows, so each
-    partition is streamed once, whatever its length.
+    partition is streamed once, whatever its length. Without a partition the order is the whole table's, in ranges.
     """
+    if not partition:
+        return ordered.over_ranges(df, order, width, width, lambda rows, own: collective_spikes(rows, features, own, order, width))
     by = Window.partitionBy(*partition).orderBy(*order)
     total = F.lit(0.0)
     for f in features:

@@ -86,15 +86,16 @@ ORACLE["q_statistical_score"] = _score("statistical_score", "'all'", 1, 2.0)
 ORACLE["q_contextual_score"] = _score("contextual_score", "protocol || '|' || dst_port", 10, 1.5)
 
 
-def _spikes(f: str, out: str) -> str:
-    """A row per event with its share of the spikes of ``f``, window by window."""
-    return f"""{out}_o AS (SELECT row_id, src_ip, {f}, row_number() OVER w AS r, abs({f} - lag({f}) OVER w) AS d FROM net WINDOW w AS (PARTITION BY src_ip ORDER BY timestamp, row_id)),
-{out}_w AS (SELECT a.src_ip, a.r AS e, avg(b.d) AS m FROM {out}_o a JOIN {out}_o b ON a.src_ip = b.src_ip AND b.r BETWEEN a.r - 8 AND a.r GROUP BY ALL HAVING count(b.d) = 9),
-{out}_h AS (SELECT o.src_ip, o.r, sum(o.d / (m + 1e-10) - 3) AS h FROM {out}_o o JOIN {out}_w w ON o.src_ip = w.src_ip AND w.e BETWEEN o.r AND o.r + 8 WHERE m <> 0 AND o.d > 3 * m GROUP BY ALL),
-{out} AS (SELECT o.row_id, coalesce(a.h, 0) + coalesce(b.h, 0) AS s FROM {out}_o o LEFT JOIN {out}_h a ON o.src_ip = a.src_ip AND o.r = a.r LEFT JOIN {out}_h b ON o.src_ip = b.src_ip AND o.r + 1 = b.r)"""
+def _spikes(f: str, out: str, part: str = "src_ip") -> str:
+    """A row per event with its share of the spikes of ``f``, window by window, in the order of each ``part``."""
+    return f"""{out}_o AS (SELECT row_id, {part} AS g, {f}, row_number() OVER w AS r, abs({f} - lag({f}) OVER w) AS d FROM net WINDOW w AS (PARTITION BY {part} ORDER BY timestamp, row_id)),
+{out}_w AS (SELECT a.g, a.r AS e, avg(b.d) AS m FROM {out}_o a JOIN {out}_o b ON a.g = b.g AND b.r BETWEEN a.r - 8 AND a.r GROUP BY ALL HAVING count(b.d) = 9),
+{out}_h AS (SELECT o.g, o.r, sum(o.d / (m + 1e-10) - 3) AS h FROM {out}_o o JOIN {out}_w w ON o.g = w.g AND w.e BETWEEN o.r AND o.r + 8 WHERE m <> 0 AND o.d > 3 * m GROUP BY ALL),
+{out} AS (SELECT o.row_id, coalesce(a.h, 0) + coalesce(b.h, 0) AS s FROM {out}_o o LEFT JOIN {out}_h a ON o.g = a.g AND o.r = a.r LEFT JOIN {out}_h b ON o.g = b.g AND o.r + 1 = b.r)"""
 
 
 ORACLE["q_collective_spikes"] = f"WITH {NET}, {_spikes('bytes', 'c')} SELECT row_id, round(s, 6) AS collective_score FROM c"
+ORACLE["q_whole_spikes"] = f"WITH {NET}, {_spikes('bytes', 'c', '1')} SELECT row_id, round(s, 6) AS collective_score FROM c"
 
 
 def _adaptive() -> str:
@@ -126,10 +127,18 @@ m AS (SELECT *, CASE WHEN n >= {least} THEN n / sum(n) OVER (PARTITION BY state)
 ORACLE["q_transition_probs"] = f"WITH {NET}, {_transitions('net', 'service', 'src_ip', 'timestamp, row_id', 5)} SELECT state, next_state, n, round(p, 6) AS p FROM m"
 ORACLE["q_order_transitions"] = f"WITH {_transitions('orders', chr(39).join(['o_orderstatus || ', '_', ' || o_orderpriority']), 'o_custkey', 'o_orderdate, o_orderkey', 2)} SELECT state, next_state, n, round(p, 6) AS p FROM m"
 _STATE = "service || '_' || protocol"
-ORACLE["q_sequence_score"] = f"""WITH {NET}, {_transitions('net', _STATE, 'src_ip', 'timestamp, row_id', 5)},
-x AS (SELECT row_id, src_ip, timestamp, {_STATE} AS state, lead({_STATE}) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id) AS nx FROM net),
+ORACLE["q_whole_transitions"] = f"WITH {NET}, {_transitions('net', 'service', '1', 'timestamp, row_id', 5)} SELECT state, next_state, n, round(p, 6) AS p FROM m"
+
+
+def _sequence_score(part: str) -> str:
+    return f"""WITH {NET}, {_transitions('net', _STATE, part, 'timestamp, row_id', 5)},
+x AS (SELECT row_id, {part} AS g, timestamp, {_STATE} AS state, lead({_STATE}) OVER (PARTITION BY {part} ORDER BY timestamp, row_id) AS nx FROM net),
 y AS (SELECT x.*, CASE WHEN nx IS NULL THEN NULL WHEN p > 0 THEN -ln(p / (SELECT min(p) FROM m WHERE p > 0)) ELSE 10 END AS step FROM x LEFT JOIN m ON x.state = m.state AND x.nx = m.next_state)
-SELECT row_id, round(coalesce(avg(step) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), 0), 6) AS raw_score FROM y"""
+SELECT row_id, round(coalesce(avg(step) OVER (PARTITION BY g ORDER BY timestamp, row_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), 0), 6) AS raw_score FROM y"""
+
+
+ORACLE["q_sequence_score"] = _sequence_score("src_ip")
+ORACLE["q_whole_sequence_score"] = _sequence_score("1")
 _DOS = ["connection_count", "bytes_per_second", "traffic_intensity", "syn_flag", "icmp_flag", "udp_flag"]
 ORACLE["q_dos_detect"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY service, {_BUCKET % 21600}) AS connection_count FROM net),
 f AS (SELECT *, bytes / (duration + 0.1) AS bytes_per_second, (connection_count * packets)::DOUBLE AS traffic_intensity, (flag = 'S0')::INT AS syn_flag, (protocol = 'icmp')::INT AS icmp_flag, (protocol = 'udp')::INT AS udp_flag FROM c),
@@ -156,10 +165,17 @@ _COMPLEX = (
     + " + regexp_matches(query, '(?i)\\([^()]*SELECT[^()]*\\)')::INT * 5 + 2 * len(regexp_extract_all(query, '(?i)\\bAND\\b|\\bOR\\b')) + 2 * len(regexp_extract_all(query, '\\b\\w+\\s*\\(')) + length(query) / 50.0"
 )
 ORACLE["q_sqli_complexity"] = f"WITH {TEXT} SELECT row_id, round(({_COMPLEX})::DOUBLE, 6) AS complexity FROM txt"
-ORACLE["q_sqli_adaptive_threshold"] = f"""WITH {TEXT}, s AS (SELECT row_id, ip, ts, ({_PS})::DOUBLE AS score FROM txt),
-h AS (SELECT row_id, list_sort(list(score) OVER w) AS h, avg(score) OVER w AS m, stddev_pop(score) OVER w AS d FROM s WINDOW w AS (PARTITION BY ip ORDER BY ts, row_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
+
+
+def _history(part: str) -> str:
+    return f"""WITH {TEXT}, s AS (SELECT row_id, {part} AS g, ts, ({_PS})::DOUBLE AS score FROM txt),
+h AS (SELECT row_id, list_sort(list(score) OVER w) AS h, avg(score) OVER w AS m, stddev_pop(score) OVER w AS d FROM s WINDOW w AS (PARTITION BY g ORDER BY ts, row_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, list_filter(range(2, len(h) + 1), lambda i: h[i] - h[i - 1] > 0.15) AS g FROM h)
 SELECT row_id, round(CASE WHEN coalesce(len(h), 0) > 10 THEN least(0.8, greatest(0.4, CASE WHEN len(g) > 0 THEN (h[g[1] - 1] + h[g[len(g)]]) / 2 ELSE m + 2 * d END)) ELSE 0.5 END, 6) AS threshold FROM g"""
+
+
+ORACLE["q_sqli_adaptive_threshold"] = _history("ip")
+ORACLE["q_sqli_whole_history"] = _history("1")
 _RECON = " + ".join(f"{_match(p)}::INT" for p in S.RECON)
 _VALUE = r"TRY_CAST(nullif(regexp_extract(query, '(?is)\bWHERE\b.*?\b(\d+)\b', 1), '') AS BIGINT)"
 _SCAN = "(len(%(v)s) >= 3 AND (list_min(list_transform(range(2, len(%(v)s) + 1), lambda i: %(v)s[i] - %(v)s[i - 1])) >= 0 OR list_max(list_transform(range(2, len(%(v)s) + 1), lambda i: %(v)s[i] - %(v)s[i - 1])) <= 0))"

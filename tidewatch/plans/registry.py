@@ -622,3 +622,28 @@ def q_sqli_differences(spark: SparkSession, sf: str) -> DataFrame:
 def q_feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     out = X.adaptive_pipeline(views.net(spark, sf), BASE, "src_ip", 86400)
     return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))
+
+
+# One order of the whole table: windows by ranges with a halo.
+
+
+@query
+def q_whole_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return P.collective_spikes(views.net(spark, sf), ["bytes"], [], ["timestamp", "row_id"]).select("row_id", *r6("collective_score"))
+
+
+@query
+def q_whole_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return D.transitions(views.net(spark, sf), F.col("service"), [], ["timestamp", "row_id"]).select("state", "next_state", "n", *r6("p"))
+
+
+@query
+def q_whole_sequence_score(spark: SparkSession, sf: str) -> DataFrame:
+    net, state, order = views.net(spark, sf), F.concat_ws("_", "service", "protocol"), ["timestamp", "row_id"]
+    return D.sequence_scores(net, D.transitions(net, state, [], order), state, [], order).select("row_id", *r6("raw_score"))
+
+
+@query
+def q_sqli_whole_history(spark: SparkSession, sf: str) -> DataFrame:
+    scored = views.sqltext(spark, sf).withColumn("score", S.pattern_score(F.col("query")))
+    return S.adaptive_threshold(scored, "score", [], ["ts", "row_id"]).select("row_id", *r6("threshold"))
