@@ -39,3 +39,62 @@ def test_pulls_reach_over_short_ranges():
 def test_names_in_use_are_refused(spark):
     with pytest.raises(ValueError, match="__range"):
         ordered.over_ranges(spark.range(3).withColumn("__range", F.lit(1)), ["id"], 1, 1, lambda f, p: f)
+
+
+def _jobs(spark, run):
+    """What ``run`` returns, and how many passes (queries) it made Spark run."""
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = seen.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, seen.executionsCount() - before
+
+
+@pytest.mark.parametrize("most", [100_000, 500, 20])
+def test_quantiles_of_many_columns_share_their_passes(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(most)
+    n = 20_000
+    table = {"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float), "c": rng.exponential(size=n).round(2), "d": np.arange(n) * 1.0, "e": np.zeros(n), "f": np.where(rng.random(n) < 0.9, 3.0, rng.random(n))}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in table.values()), strict=True)), ", ".join(f"{c} double" for c in table)).withColumn("g", F.lit(None).cast("double"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    from tidewatch.operators import order
+
+    got, passes = _jobs(spark, lambda: order.quantiles(df, {c: F.col(c) for c in [*table, "g"]}, shares, most))
+    for c, v in table.items():
+        assert np.allclose(got[c], np.quantile(v, shares)), c
+    assert got["g"] == [None] * 6 and passes <= 3
+
+
+def test_wide_brackets_are_narrowed(spark, monkeypatch):
+    import numpy as np
+
+    from tidewatch.operators import order
+
+    monkeypatch.setattr(order, "ACCURACY", 20)
+    x = np.random.default_rng(3).normal(size=30_000)
+    df = spark.createDataFrame([(float(v), float(-v)) for v in x], "x double, y double")
+    got, passes = _jobs(spark, lambda: order.quantiles(df, {"x": F.col("x"), "y": F.col("y")}, [0.3, 0.9], 200))
+    assert np.allclose(got["x"], np.quantile(x, [0.3, 0.9])) and np.allclose(got["y"], np.quantile(-x, [0.3, 0.9])) and 4 < passes < 10
+
+
+def test_profiles_of_groups_of_any_size(spark, monkeypatch):
+    import numpy as np
+
+    from tidewatch.operators import order
+    from tidewatch.operators import profiles as P
+
+    monkeypatch.setattr(order, "ACCURACY", 50)
+    monkeypatch.setattr(order, "MOST", 600)
+    rng = np.random.default_rng(8)
+    rows = [(["big", "tie", None][min(i % 10, 2) if i < 5000 else 0], float(v), float(i % 3)) for i, v in enumerate(rng.normal(size=9000))] + [("one", 4.0, None), ("two", 1.0, 2.0), ("two", 2.0, 2.0)]
+    got = {(r.key, r.feature): r for r in P.profile(spark.createDataFrame(rows, "k string, x double, y double"), "c", ["k"], ["x", "y"]).collect()}
+    for key in ("big", "tie", None, "one", "two"):
+        for i, feature in ((1, "x"), (2, "y")):
+            own = [r[i] for r in rows if r[0] == key and r[i] is not None]
+            if not own:
+                assert (key, feature) not in got
+                continue
+            r = got[key or "null", feature]
+            assert r.n == len(own) and np.allclose([r.q1, r.median, r.q3, r.min, r.max, r.mean], [*np.quantile(own, [0.25, 0.5, 0.75]), min(own), max(own), np.mean(own)])

@@ -28,21 +28,25 @@ def support(df: DataFrame) -> int:
 
 
 def profile(df: DataFrame, context: str, keys: list[str], features: list[str], min_rows: int = 1) -> DataFrame:
-    """One row per key and feature: one pass and one shuffle for all features of a context.
+    """One row per key and feature, for groups of any size.
 
-    Quartiles are exact. A group's values fit one buffer up to ``order.MOST`` rows a group; where a group is larger,
-    all are counted by value first and picked by rank over ranges.
+    The first pass gives plain statistics and, from sketches, a bracket for each quartile; it is written once. The second gives exact
+    quartiles: of groups up to ``order.MOST`` values in one buffer each, of larger ones from what lies inside their brackets.
     """
     long = unpivoted(df, keys, features).where("x is not null").select(_key(keys).alias("key"), "feature", "x")
-    shares = [0.25, 0.5, 0.75]
+    shares, own = [0.25, 0.5, 0.75], ["key", "feature"]
     plain = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
-    large = long.groupBy("key", "feature").count().agg(F.max("count")).first()[0] or 0
-    if large <= order.MOST:
-        stats = long.groupBy("key", "feature").agg(*plain, F.percentile("x", F.array(*[F.lit(x) for x in shares])).alias("q"))
-    else:
-        stats = long.groupBy("key", "feature").agg(*plain).join(order.grouped_quantiles(long, ["key", "feature"], "x", shares), ["key", "feature"])
+    stats = staged(long.groupBy(*own).agg(*plain, order.grouped_brackets("x", shares).alias("edges")).where(F.col("n") >= min_rows), "profile")
+    least, most = stats.agg(F.min("n"), F.max("n")).first()
+    large, parts = F.col("n") > order.MOST, []
+    if least is None or least <= order.MOST:
+        few = long if most is None or most <= order.MOST else long.join(stats.where(~large).select(*own), own, "left_semi")
+        parts.append(few.groupBy(*own).agg(F.percentile("x", F.array(*[F.lit(x) for x in shares])).alias("q")))
+    if most is not None and most > order.MOST:
+        parts.append(order.grouped_quantiles(long, own, "x", shares, stats.where(large)))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     q = [F.get("q", F.lit(i)) for i in range(3)]
-    return stats.where(F.col("n") >= min_rows).select(F.lit(context).alias("context"), "key", "feature", "n", "mean", "std", q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "min", "max")
+    return stats.join(found, own).select(F.lit(context).alias("context"), "key", "feature", "n", "mean", "std", q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "min", "max")
 
 
 def profile_counts(profiles: DataFrame) -> DataFrame:
