@@ -83,21 +83,26 @@ def _step(buf: np.ndarray, last: int) -> int:
 
 #: White space beyond ASCII that the splitter knows, by its UTF-8 bytes (fixed by Unicode).
 _WIDE_SPACES = ["\u0085", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+_WIDE = {n: np.array([int.from_bytes(x.encode(), "big") for x in _WIDE_SPACES if len(x.encode()) == n]) for n in (2, 3)}
+_LEADS = np.zeros(256, bool)
+_LEADS[[x.encode()[0] for x in _WIDE_SPACES]] = True
+_SHOWN = np.ones(256, bool)
+_SHOWN[:0x21] = _SHOWN[0x7F] = False
 #: A stretch without word starts of so many bytes is searched for places that no token spans.
 BARE_BYTES = 256
 
 
 def visible(buf: np.ndarray) -> np.ndarray:
     """Which bytes belong to characters that aren't white space or controls; of white space beyond ASCII no byte does."""
-    out = (buf > 0x20) & (buf != 0x7F)
-    leads = np.flatnonzero((buf == 0xC2) | (buf == 0xE1) | (buf == 0xE2) | (buf == 0xE3))
-    for space in _WIDE_SPACES:
-        code = np.frombuffer(space.encode(), np.uint8)
-        at = leads[leads + len(code) <= len(buf)]
-        for i, x in enumerate(code):
-            at = at[buf[at + i] == x]
-        for i in range(len(code)):
-            out[at + i] = False
+    out = _SHOWN[buf]
+    leads = np.flatnonzero(_LEADS[buf])
+    if len(leads):
+        wide = np.r_[buf, np.zeros(2, np.uint8)].astype(np.int32)
+        pair = wide[leads] << 8 | wide[leads + 1]
+        for n, code in ((2, pair), (3, pair << 8 | wide[leads + 2])):
+            at = leads[np.isin(code, _WIDE[n])]
+            for i in range(n):
+                out[at + i] = False
     return out
 
 
@@ -137,7 +142,11 @@ class Spans:
             own = word_starts(part, seen)
             edges = np.r_[0, own, len(part)]
             gaps = np.flatnonzero(np.diff(edges) > BARE_BYTES)
-            own = np.sort(np.concatenate([own, *(self.bare(part, seen, int(edges[g]), int(edges[g + 1])) for g in gaps.tolist())])) + base
+            if len(gaps):
+                own = np.sort(np.concatenate([own, *(self.bare(part, seen, int(edges[g]), int(edges[g + 1])) for g in gaps.tolist())]))
+            if len(part) == len(buf):
+                return own
+            own = own + base
             found.append(own[(own >= lo) & (own < lo + B.SLICE_BYTES)])
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
