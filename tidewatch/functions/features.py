@@ -149,11 +149,20 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return standardised_by(df, df, columns)
 
 
+def scale_of(train: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with each column's mean and population deviation."""
+    return train.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+
+
+def scaled_by(df: DataFrame, scale: DataFrame, columns: list[str]) -> DataFrame:
+    """``standardised`` with a row of ``scale_of``."""
+    at = lambda c: F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")), F.lit(0.0))
+    return df.crossJoin(F.broadcast(scale)).withColumns({c: at(c) for c in columns}).drop(*scale.columns)
+
+
 def standardised_by(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """``standardised`` with the means and deviations of ``train``."""
-    stats = train.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scale = lambda c: F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")), F.lit(0.0))
-    return df.crossJoin(F.broadcast(stats)).withColumns({c: scale(c) for c in columns}).drop(*stats.columns)
+    return scaled_by(df, scale_of(train, columns), columns)
 
 
 def quintile(df: DataFrame, column: str, name: str, parts: int = 5) -> DataFrame:

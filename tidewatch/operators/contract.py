@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..functions import sqltext as S
 from ..sources.staging import staged
+from . import components as K
 from . import detectors as D
 from . import ensemble as E
 from . import evaluate as V
@@ -119,12 +120,19 @@ class ForestDetector(Detector):
     """An isolation forest whose threshold comes from the training frame, so scores compare across frames.
 
     With ``best_f1`` and labels, the threshold is the one of 100 between the training scores' extremes that has the best F1. With ``tune``, trees,
-    share of features and contamination are those of ``tuning.forest_grid`` with the best F1. ``scale``: features are standardised by the training frame.
+    share of features and contamination are those of ``tuning.forest_grid`` with the best F1 (``auto``: scores over .5). ``scale``: features are
+    standardised by the training frame. ``components``: the forest works on the principal components that explain this share of the
+    training frame's variance; the projection is a table of the detector's state, fitted once and applied to every frame.
     """
 
     kind = "forest"
 
+    def _features(self) -> list[str]:
+        return K.names(self.state["projection"]) if "projection" in self.state else self.options["features"]
+
     def _rows(self, df: DataFrame) -> DataFrame:
+        if "projection" in self.state:
+            return K.project(df, self.state["projection"])
         if "scale" not in self.state:
             return df
         stats, features = self.state["scale"], self.options["features"]
@@ -133,25 +141,29 @@ class ForestDetector(Detector):
 
     def fit(self, df: DataFrame) -> Detector:
         features, labelled = self.options["features"], "is_anomaly" in df.columns
-        if self.options.get("scale"):
+        if self.options.get("components"):
+            self.state["projection"] = K.fit_projection(df, features, self.options["components"])
+        elif self.options.get("scale"):
             deviation = lambda c: F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c))
             self.state["scale"] = staged(df.agg(*[x for c in features for x in (F.avg(c).alias(f"__m_{c}"), deviation(c).alias(f"__s_{c}"))]), "scale")
-        rows = self._rows(df)
+        rows, features = self._rows(df), self._features()
         if self.options.get("tune") and labelled:
             best = U.forest_grid(rows, features, **self.options.get("grid", {})).first()
-            self.options |= {"trees": best.trees, "features": features[: max(1, round(best.feature_share * len(features)))], "contamination": best.contamination}
-            features = self.options["features"]
-        nodes = staged(M.fit_isolation_forest(rows, features, self.options.get("trees", 100), seed=self.options.get("seed", 42)), "nodes")
+            self.options |= {"trees": best.trees, "feature_share": best.feature_share, "contamination": best.contamination if best.contamination == "auto" else float(best.contamination)}
+        nodes = staged(M.fit_isolation_forest(rows, features, self.options.get("trees", 100), seed=self.options.get("seed", 42), feature_share=self.options.get("feature_share", 1.0)), "nodes")
         scored = staged(M.score_isolation_forest(rows, nodes, features), "scores")
         if self.options.get("best_f1") and labelled:
             limit = U.best_threshold(scored, "anomaly_score")
+        elif self.options.get("contamination") == "auto":
+            limit = 0.5
         else:
             limit = order.quantile(scored, "anomaly_score", 1 - self.options.get("contamination", 0.05))
         self.state |= {"nodes": nodes, "limit": df.sparkSession.createDataFrame([(limit,)], "threshold double")}
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = M.score_isolation_forest(self._rows(df), self.state["nodes"], self.options["features"])
+        rows = self._rows(df)
+        scored = M.score_isolation_forest(rows, self.state["nodes"], self._features()).drop(*(self._features() if "projection" in self.state else ()))
         return scored.crossJoin(F.broadcast(self.state["limit"])).withColumn("predicted_anomaly", F.coalesce((F.col("anomaly_score") >= F.col("threshold")).cast("int"), F.lit(0))).drop("threshold")
 
 
@@ -232,23 +244,45 @@ class EnsembleDetector(Detector):
 
 
 class AdaptiveDetector(Detector):
-    """Profiles of the training frame's normal rows, kept as a table; statistical, contextual and collective scores of any frame against them."""
+    """Profiles of the training frame's normal rows, kept as a table; statistical, contextual and collective scores of any frame against them.
+
+    ``models``: the forest and the factor are fitted and kept as well, and the density noise is the predicted frame's own; without
+    them their share of the weights adds nothing. ``weights``, ``sensitivity`` and ``improved``: the mix of scores, how far a row must be from a
+    profile, and whether the second published set of both holds where they aren't given.
+    """
 
     kind = "adaptive"
 
+    def _sigmas(self) -> float:
+        scale = D.IMPROVED_SENSITIVITY if self.options.get("improved") else P.SENSITIVITY
+        return scale[self.options.get("sensitivity", "medium")]
+
+    def _weights(self) -> dict[str, float]:
+        given = self.options.get("weights") or (D.IMPROVED_WEIGHTS if self.options.get("improved") else D.WEIGHTS)
+        return {c: w for c, w in given.items() if c != "ml_score" or self.options.get("models")}
+
+    def _mix(self) -> str:
+        return "share" if self.options.get("improved") else "sum"
+
     def fit(self, df: DataFrame) -> Detector:
-        rows = df.withColumns(X.temporal(F.col("timestamp")))
-        self.state["moments"] = D.normal_moments(rows, self.options["features"], self.options.get("min_rows"))
+        rows, features = df.withColumns(X.temporal(F.col("timestamp"))), self.options["features"]
+        self.state["moments"] = D.normal_moments(rows, features, self.options.get("min_rows"))
+        if self.options.get("models"):
+            normal = df.where("is_anomaly = 0") if "is_anomaly" in df.columns else df
+            self.state |= D.fit_ml(normal, features, self.options.get("key", "row_id"), self.options.get("trees", 100), self.options.get("neighbours", 20))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        rows = df.withColumns(X.temporal(F.col("timestamp")))
-        raw = D.profile_scores(rows, self.state["moments"], self.options["features"], P.SENSITIVITY[self.options.get("sensitivity", "medium")])
-        return D.combined(raw, {c: w for c, w in D.WEIGHTS.items() if c != "ml_score"})
+        rows, features = df.withColumns(X.temporal(F.col("timestamp"))), self.options["features"]
+        raw = D.profile_scores(rows, self.state["moments"], features, self._sigmas())
+        if self.options.get("models"):
+            tables = {t: self.state[t] for t in ("scale", "nodes", "factor")}
+            raw = staged(D.score_ml(raw, tables, features, self.options.get("key", "row_id"), self._mix(), self.options.get("eps", 0.5), self.options.get("neighbours", 20)), "adaptive_models")
+        return D.combined(raw, self._weights())
 
 
 #: Detectors as published scripts set them up.
-PRESETS = {"standard_forest": ("forest", {"contamination": 0.2}), "improved_forest": ("forest", {"contamination": 0.2, "scale": True, "best_f1": True}), "factor": ("factor", {"contamination": 0.1})}
+PRESETS = {"enhanced_forest": ("forest", {"components": 0.95, "best_f1": True}), "standard_forest": ("forest", {"contamination": 0.2}), "improved_forest": ("forest", {"contamination": 0.2, "scale": True, "best_f1": True}), "factor": ("factor", {"contamination": 0.1})}
 
 
 def preset(name: str, features: list[str], **options) -> Detector:
@@ -261,18 +295,6 @@ for _c in (DosDetector, SequenceDetector, ProfileDetector, ForestDetector, Facto
 
 
 def reduced(df: DataFrame, features: list[str], variance: float = 0.95) -> tuple[DataFrame, list[str]]:
-    """Standardised features turned into as many principal components as explain the share of variance: columns pc_0, pc_1, ..."""
-    scaled = X.standardised(df, features).withColumn("__x", F.array(*features))
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    ready = scaled.withColumn("__v", array_to_vector("__x"))
-    model = PCA(k=len(features), inputCol="__v", outputCol="__pc").fit(ready)
-    total, k = 0.0, 0
-    for share in model.explainedVariance.toArray():
-        total, k = total + float(share), k + 1
-        if total >= variance:
-            break
-    out = model.transform(ready).withColumn("__a", vector_to_array("__pc"))
-    names = [f"pc_{i}" for i in range(k)]
-    return out.withColumns({n: F.col("__a")[i] for i, n in enumerate(names)}).drop("__x", "__v", "__pc", "__a"), names
+    """``df`` with as many principal components of its standardised features as explain the share of variance: columns pc_0, pc_1, ..."""
+    projection = K.fit_projection(df, features, variance)
+    return K.project(df, projection), K.names(projection)

@@ -130,16 +130,24 @@ def adaptive_scores(df: DataFrame, features: list[str], sigmas: float = 3.0, nor
     return profile_scores(rows, normal_moments(rows if normal_only else rows.drop("is_anomaly"), features, min_rows), features, sigmas)
 
 
-def ml_scores(df: DataFrame, train: DataFrame, features: list[str], key: str = "row_id", mix: str = "sum", trees: int = 100, eps: float = 0.5, neighbours: int = 20) -> DataFrame:
-    """``df`` with ml_score: scaled isolation forest and local outlier factor against ``train``, and density noise of ``df`` itself.
+def fit_ml(train: DataFrame, features: list[str], key: str = "row_id", trees: int = 100, neighbours: int = 20) -> dict[str, DataFrame]:
+    """What ``score_ml`` needs of a training frame, as tables: its scale (a row), the forest's nodes, and the factor's points with their densities."""
+    scale = staged(X.scale_of(train, features), "scale")
+    own = X.scaled_by(train, scale, features)
+    nodes = staged(M.fit_isolation_forest(own, features, trees, key=key), "nodes")
+    return {"scale": scale, "nodes": nodes, "factor": M.fit_local_outlier_factor(own.select(F.col(key).alias("key"), F.array(*features).alias("v")), "v", "key", neighbours)}
+
+
+def score_ml(df: DataFrame, tables: dict[str, DataFrame], features: list[str], key: str = "row_id", mix: str = "sum", eps: float = 0.5, neighbours: int = 20) -> DataFrame:
+    """``df`` with ml_score: scaled isolation forest and local outlier factor as fitted, and density noise of ``df`` itself.
 
-    Features are standardised by ``train`` for the forest and the factor, by ``df`` for the noise.
+    Features are standardised by the training frame for the forest and the factor, by ``df`` for the noise.
     """
     w_forest, w_factor, w_noise = MODEL_MIXES[mix]
-    scaled, own = X.standardised_by(df, train, features), X.standardised_by(train, train, features)
-    forest = staged(M.score_isolation_forest(scaled, M.fit_isolation_forest(own, features, trees), features).withColumnRenamed("anomaly_score", "__forest"), "forest")
-    vectors = lambda rows: rows.select(F.col(key).alias("key"), F.array(*features).alias("v"))
-    factor = staged(M.local_outlier_factor(vectors(scaled), vectors(own), "v", "key", neighbours).select(F.col("key").alias(key), F.col("anomaly_score").alias("__factor")), "factor")
+    scaled = X.scaled_by(df, tables["scale"], features)
+    forest = staged(M.score_isolation_forest(scaled, tables["nodes"], features).withColumnRenamed("anomaly_score", "__forest"), "forest")
+    asked = scaled.select(F.col(key).alias("key"), F.array(*features).alias("v"))
+    factor = staged(M.score_local_outlier_factor(asked, tables["factor"], "v", "key", neighbours).select(F.col("key").alias(key), F.col("anomaly_score").alias("__factor")), "factor")
     noise = M.density_noise(X.standardised_by(df, df, features), key, features, eps).select(F.col("key").alias(key), F.col("noise").alias("__noise"))
     found = {**P.bounds(forest, {"f": F.col("__forest")}), **P.bounds(factor, {"l": F.col("__factor")})}
     both = forest.select(key, "__forest").join(factor, key).join(noise, key)
@@ -147,6 +155,11 @@ def ml_scores(df: DataFrame, train: DataFrame, features: list[str], key: str = "
     return df.join(both.select(key, score.alias("ml_score")), key)
 
 
+def ml_scores(df: DataFrame, train: DataFrame, features: list[str], key: str = "row_id", mix: str = "sum", trees: int = 100, eps: float = 0.5, neighbours: int = 20) -> DataFrame:
+    """``fit_ml`` on one frame and ``score_ml`` of another."""
+    return score_ml(df, fit_ml(train, features, key, trees, neighbours), features, key, mix, eps, neighbours)
+
+
 def combined(raw: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Scores scaled to 0..1, their weighted sum scaled again, a label from min(95th percentile, .7) on, and the leading score's type."""
     scores = list(weights)

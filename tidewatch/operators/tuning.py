@@ -58,26 +58,30 @@ def best_threshold(df: DataFrame, score: str, label: str = "is_anomaly", steps:
     return float(grid[max(range(steps), key=lambda i: 2 * row[f"tp{i}"] / max(1, row[f"tp{i}"] + row[f"fp{i}"] + (row.p or 0)))])
 
 
-def forest_grid(df: DataFrame, features: list[str], key: str = "row_id", trees: tuple[int, ...] = (50, 100, 200), feature_shares: tuple[float, ...] = (0.5, 0.75, 1.0), contaminations: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2), folds: int = 3, label: str = "is_anomaly", seed: int = 42) -> DataFrame:
-    """trees, feature_share, contamination and mean F1 over folds (by hash of ``key``), best first; all contaminations share a fold's forest and scores."""
+def forest_grid(df: DataFrame, features: list[str], key: str = "row_id", trees: tuple[int, ...] = (50, 100, 200), feature_shares: tuple[float, ...] = (0.5, 0.75, 1.0), contaminations: tuple[float | str, ...] = (0.01, 0.05, 0.1, 0.2, "auto"), folds: int = 3, label: str = "is_anomaly", seed: int = 42) -> DataFrame:
+    """trees, feature_share, contamination and mean F1 over folds (by hash of ``key``), best first; all contaminations share a fold's forest and scores.
+
+    A tree draws the share of the features for itself. Contamination ``auto`` flags scores over .5, whatever the training scores are.
+    """
     from . import models as M
     from . import sampling as Z
 
     rows, fold = [], Z.bucket(key, folds, seed)
     for n in trees:
         for share in feature_shares:
-            own = features[: max(1, round(share * len(features)))]
             for i in range(folds):
-                nodes = M.fit_isolation_forest(df.where(fold != i), own, n, seed=seed)
-                scored = staged(M.score_isolation_forest(df.withColumn("__fold", fold), nodes, own).select("__fold", label, "anomaly_score"), "grid")
-                limits = order.quantiles(scored.where(F.col("__fold") != i), {"s": F.col("anomaly_score")}, [1 - c for c in contaminations])["s"]
+                nodes = M.fit_isolation_forest(df.where(fold != i), features, n, seed=seed, feature_share=share)
+                scored = staged(M.score_isolation_forest(df.withColumn("__fold", fold), nodes, features).select("__fold", label, "anomaly_score"), "grid")
+                shares = [1 - c for c in contaminations if c != "auto"]
+                given = iter(order.quantiles(scored.where(F.col("__fold") != i), {"s": F.col("anomaly_score")}, shares)["s"] if shares else ())
+                limits = [0.5 if c == "auto" else next(given) for c in contaminations]
                 test = scored.where(F.col("__fold") == i)
                 cells = [F.count(F.when(hit, 1)) for t in limits for hit in ((F.col("anomaly_score") > F.lit(t)) & (F.col(label) == 1), F.col("anomaly_score") > F.lit(t))]
                 found = test.agg(F.sum(label), *cells).first()
                 for j, c in enumerate(contaminations):
                     tp, flagged = found[1 + 2 * j], found[2 + 2 * j]
-                    rows.append((n, share, c, 2.0 * tp / max(1, flagged + (found[0] or 0))))
-    out = df.sparkSession.createDataFrame(rows, "trees int, feature_share double, contamination double, f1 double")
+                    rows.append((n, share, str(c), 2.0 * tp / max(1, flagged + (found[0] or 0))))
+    out = df.sparkSession.createDataFrame(rows, "trees int, feature_share double, contamination string, f1 double")
     return out.groupBy("trees", "feature_share", "contamination").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "trees", "feature_share", "contamination")
 
 
