@@ -214,7 +214,7 @@ def test_substrings_of_many_shapes(make):
 
 def _op6(docs):
     out = linededup.with_bitmaps(docs.select("doc_id", "text"))
-    return rows_of(out.select("row.doc_id", F.coalesce("n_dropped", F.lit(0)), linededup.kept_text(F.coalesce("row.text", F.lit("")), F.col("dropped"))))
+    return rows_of(out.select("c0", F.coalesce("n_dropped", F.lit(0)), linededup.kept_text(F.coalesce("c1", F.lit("")), F.col("dropped"))))
 
 
 def test_lines_equal_brute_force(make, corpus):

@@ -59,9 +59,14 @@ def compact(base: DataFrame) -> DataFrame:
     return base.withColumns({"t": F.lit(0).cast("long"), "u": F.lit(0).cast("long")}) if spread.isEmpty() else base
 
 
-def text_or_empty(*names: str) -> Column:
-    """A text column, or a field of a struct."""
-    return F.coalesce(F.col(".".join(f"`{n}`" for n in names)), F.lit(""))
+def text_or_empty(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ... and these names by the old ones: then no name of a table meets one that an operator uses."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def partitions_for(df: DataFrame, growth: float = 1.0) -> int:

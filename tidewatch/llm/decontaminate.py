@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import KEY, Workspace, keyed, text_or_empty
+from .common import KEY, Workspace, keyed, numbered, text_or_empty
 from .substrings import united
 
 NGRAM = 10
@@ -174,7 +174,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", ngram
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
     where, names = docs.columns.index("text"), docs.columns
-    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots in them can't go to the workers
+    docs, _ = numbered(docs)  # names with dots in them can't go to the workers
     n, blocks = _blocks(benchmark, ngram, block_bytes)
     ws = Workspace(docs.sparkSession) if n > 1 else None
     for i, block in enumerate(blocks):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import KEY, WS, Workspace, document_key, partitions_for, text_or_empty
+from .common import KEY, WS, Workspace, document_key, numbered, partitions_for, text_or_empty
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -74,18 +74,15 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``row`` (the columns of ``docs``), n_dropped and dropped (null: all lines are kept).
-
-    The table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here.
-    """
+    """The columns of ``docs`` as c0, c1, ..., n_dropped and dropped (null: all lines are kept)."""
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    maps = bitmaps(plain, min_chars, min_docs)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *document_key())
-    return own.join(maps, KEY, "left").select("row", "n_dropped", "dropped")
+    own, names = numbered(docs)
+    keyed = own.select("*", *document_key(names["doc_id"], names["text"]))
+    return keyed.join(bitmaps(plain, min_chars, min_docs), KEY, "left").drop(*KEY)
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with their own columns, ``text`` without the dropped lines; a document that loses none keeps its text as it is."""
-    out = with_bitmaps(docs, min_chars, min_docs)
-    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept_text(text_or_empty("row", "text"), F.col("dropped")))
-    return out.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    out, where = with_bitmaps(docs, min_chars, min_docs), f"c{docs.columns.index('text')}"
+    text = F.when(F.col("dropped").isNull(), F.col(where)).otherwise(kept_text(text_or_empty(where), F.col("dropped")))
+    return out.withColumn(where, text).drop("n_dropped", "dropped").toDF(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import KEY, NULL_KEY, Workspace, document_key, keyed, partitions_for
+from .common import KEY, NULL_KEY, Workspace, document_key, keyed, numbered, partitions_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -339,9 +339,8 @@ def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with their own columns, of each class the row with the least doc_id; rows without shingles stay."""
     hashed, named = _classed(docs, rounds)
     firsts = named.select(*[F.col(f"c{c}").alias(c) for c in KEY]).distinct()
-    # the table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *document_key())
-    text = F.col("row.text")
+    own, names = numbered(docs)
+    rows, text = own.select("*", *document_key(names["doc_id"], names["text"])), F.col(names["text"])
     blank = text.isNull() | (F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == "")
     kept = rows.where(~blank).join(firsts, KEY, "left_semi").dropDuplicates(KEY)
-    return kept.unionByName(rows.where(blank)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(rows.where(blank)).drop(*KEY).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CLASS, Workspace, text_or_empty
+from .common import WS, WS_CLASS, Workspace, numbered, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -38,14 +38,14 @@ def window_keys(words: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
+def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``docs``' columns ``keep`` and the measures, named with the prefix ``__quality_``.
 
     Windows that repeat are counted first (a hash set); only texts that have any sort
     (hash, position) pairs, in which equal neighbours are the repeats.
     """
-    words = F.filter(F.split(text_or_empty("text"), f"{WS_CLASS}+"), lambda w: w != "")
-    a = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty("text").alias(f"{P}text"), words.alias(f"{P}words"))
+    words = F.filter(F.split(text_or_empty(text), f"{WS_CLASS}+"), lambda w: w != "")
+    a = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias(f"{P}text"), words.alias(f"{P}words"))
     w = F.col(f"{P}words")
     symbols = F.length(F.regexp_replace(f"{P}text", "[^#*$%&|<>]+", ""))
     lines = F.filter(F.split(f"{P}text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
@@ -100,9 +100,9 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failures", shrunken.alias("rate"), m.alias("corpus_rate"))
 
 
-def rejected_hosts(rows: DataFrame, host_excess: float) -> DataFrame:
+def rejected_hosts(rows: DataFrame, host_excess: float, source: str = "source") -> DataFrame:
     m = F.col("corpus_rate")
-    return host_rates(rows, "source", f"{P}base_failed").where(F.col("rate") > m + host_excess * (1 - m)).select("host")
+    return host_rates(rows, source, f"{P}base_failed").where(F.col("rate") > m + host_excess * (1 - m)).select("host")
 
 
 def assess(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
@@ -119,9 +119,8 @@ def assess(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
 def filter_documents(docs: DataFrame, host_excess: float = HOST_EXCESS) -> DataFrame:
     """``docs`` with their own columns, without the documents that the base rules or their host reject."""
     ws = Workspace(docs.sparkSession)
-    # the table's own columns are one struct meanwhile, so that no name of theirs meets one that is used here
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "text")
-    rows = ws.keep(measures(packed, ["row", "source"]), "measures")
-    bad = ws.keep(rejected_hosts(rows, host_excess).withColumnRenamed("host", f"{P}host"), "hosts")
+    own, names = numbered(docs)
+    rows = ws.keep(measures(own, own.columns, names["text"]), "measures")
+    bad = ws.keep(rejected_hosts(rows, host_excess, names["source"]), "hosts")
     kept = rows.where(~F.col(f"{P}base_failed"))
-    return kept.join(bad, kept["source"] == bad[f"{P}host"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.join(bad, kept[names["source"]] == bad["host"], "left_anti").select(*own.columns).toDF(*docs.columns)

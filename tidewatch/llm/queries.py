@@ -38,9 +38,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.with_bitmaps(docs)
-    text = text_or_empty("row", "text")
+    text = text_or_empty("c1")
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(linededup.kept_text(text, F.col("dropped")), 256).alias("kept_sha256"))
+    return out.select(F.col("c0").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(linededup.kept_text(text, F.col("dropped")), 256).alias("kept_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
