@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import features as X
 from tidewatch.functions import sqltext as S
+from tidewatch.functions import sqltokens as K
 from tidewatch.operators import detectors as D
 from tidewatch.operators import ensemble as E
 from tidewatch.operators import evaluate as V
@@ -191,7 +192,7 @@ def test_samples_and_splits(spark):
 
 def test_tokens_and_findings(spark):
     texts = {"SELECT a FROM t WHERE b = 1 OR 1=1": ["boolean"], "x UNION ALL SELECT y": ["union"], "SELECT SLEEP(5)": ["time"], "a; DROP TABLE t": ["destructive"], "SELECT 'or true' FROM t": [], "": []}
-    out = frame(spark, [(t,) for t in texts], "q string").withColumn("tokens", S.tokens_udf("q")).select("q", S.token_findings(F.col("tokens")).alias("f"))
+    out = frame(spark, [(t,) for t in texts], "q string").withColumn("tokens", K.tokens(F.col("q"))).select("q", K.findings(F.col("tokens")).alias("f"))
     assert {r.q: r.f for r in out.collect()} == texts
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 import urllib.parse
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators import ordered
+from . import sqltokens as K
+from .sqltokens import KEYWORDS
 
 # Patterns, matched without regard to case.
 CRITICAL = [
@@ -193,14 +194,6 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/
 _PART = r"(?:'([^']*)'|\"([^\"]*)\")"
 #: Joined strings of either quote: with a sign between them, as arguments, or as a method.
 _JOINS = [re.compile(p, re.I) for p in (rf"{_PART}\s*(?:\+|\|\|)\s*{_PART}", rf"CONCAT\s*\(\s*{_PART}\s*,\s*{_PART}\s*\)", rf"{_PART}\s*\.\s*concat\s*\(\s*{_PART}\s*\)")]
-# Keywords, in the order in which tokens are recognised.
-KEYWORDS = (
-    "SELECT FROM WHERE INSERT UPDATE DELETE DROP CREATE ALTER UNION JOIN HAVING GROUP ORDER BY LIMIT PROCEDURE EXEC EXECUTE WAITFOR DELAY "
-    "BENCHMARK INTO VALUES TABLE DATABASE COLUMN INDEX CONSTRAINT VIEW FUNCTION TRIGGER SCHEMA GRANT REVOKE COMMIT ROLLBACK SAVEPOINT "
-    "TRANSACTION SET DECLARE CASE WHEN THEN ELSE END AND OR NOT EXISTS BETWEEN LIKE IN IS NULL TRUE FALSE PRIMARY FOREIGN KEY REFERENCES "
-    "INNER OUTER LEFT RIGHT FULL CROSS NATURAL ON USING COUNT SUM AVG MIN MAX DISTINCT ALL EXCEPT INTERSECT ANY SOME FOR OFFSET FETCH "
-    "FIRST NEXT ONLY WITH"
-).split()
 _KEYWORD = re.compile(r"\b(?:" + "|".join(KEYWORDS) + r")\b", re.I)
 _NOTES = re.compile(r"--[^\n]*|#[^\n]*|/\*.*?\*/", re.S)
 
@@ -214,6 +207,14 @@ def _from_base64(match: re.Match) -> str:
     return text if text.isprintable() and re.search(r"[^A-Za-z0-9]", text) else match[0]
 
 
+_LIST = re.compile(rf"\[\s*({_PART}(?:\s*,\s*{_PART})*)\s*\]\s*\.\s*join\s*\(\s*(?:''|\"\")\s*\)", re.I)
+
+
+def _list_joined(match: re.Match) -> str:
+    """A list of quoted parts that is joined by nothing, in single quotes."""
+    return "'" + "".join(one or two for one, two in re.findall(_PART, match[1])) + "'"
+
+
 def _joined(match: re.Match) -> str:
     """Two quoted parts as one, in the first one's quotes."""
     one, other, two, more = match.groups()
@@ -236,7 +237,7 @@ def _decoded(text: str) -> str:
         text = _BASE64.sub(_from_base64, text)
         text = _CHAR.sub(lambda m: f"'{chr(int(m[1]))}'" if int(m[1]) < 128 else m[0], text)
         for _ in range(10):
-            joined = text
+            joined = _LIST.sub(_list_joined, text)
             for rule in _JOINS:
                 joined = rule.sub(_joined, joined)
             if joined == text:
@@ -256,10 +257,11 @@ def decode_udf(texts: pd.Series) -> pd.Series:
 
 
 def decoded(text: Column) -> Column:
-    """The decoded text; rows without any sign of obfuscation never reach Python."""
-    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|['\"]\s*(?:\+|\|\||\.)\s*|(?i:concat)|[\t\n]|[A-Za-z0-9+/]{12,}|[A-Za-z0-9+/]{6,}=")
-    mixed = text.rlike(r"\b(?i:" + "|".join(KEYWORDS) + r")\b") & (F.upper(text) != text) & text.rlike(r"\b(?!(?:" + "|".join(KEYWORDS) + r")\b)(?i:" + "|".join(KEYWORDS) + r")\b")
-    return F.when(signs | mixed, decode_udf(text)).otherwise(text)
+    """The decoded text. Texts without any sign of obfuscation stay as they are: Python gets a null for them and gives it back at once."""
+    words = "|".join(KEYWORDS)
+    signs = text.rlike(r"%|0x|\\u|(?i:char\()|--|#|/\*|\s\s|['\"]\s*(?:\+|\|\||\.)\s*|(?i:concat)|\]\s*\.\s*(?i:join)|[\t\n]|[A-Za-z0-9+/]{12,}|[A-Za-z0-9+/]{6,}=")
+    mixed = (F.upper(text) != text) & text.rlike(rf"\b(?!(?:{words})\b)(?i:{words})\b")
+    return F.coalesce(decode_udf(F.when(signs | mixed, text)), text)
 
 
 def combine(pattern: Column, model: Column, advanced: Column) -> Column:
@@ -284,13 +286,13 @@ def techniques(text: Column) -> Column:
 def detect(df: DataFrame, base: float = 0.5, history: list[str] | None = None, tokens: bool = False) -> DataFrame:
     """Scores, threshold, labels, attack type, threat level and techniques for (row_id, ts, ip, query).
 
-    Columns ml_score and advanced_score count where they are there (``models.with_text_scores`` adds them). ``history``: what a
+    Columns ml_score and advanced_score count where they are there (``models.TextModels.score`` adds them). ``history``: what a
     threshold's history is kept by (["ip"]; [] is one history of all rows). ``tokens``: findings among a text's tokens raise its pattern score to .8.
     """
     rows = df.withColumn("decoded", decoded(F.col("query")))
     score = F.greatest(pattern_score(F.col("query")), pattern_score(F.col("decoded")))
     if tokens:
-        rows = rows.withColumn("__tokens", tokens_udf("decoded")).withColumn("token_findings", token_findings(F.col("__tokens"))).drop("__tokens")
+        rows = rows.withColumn("__tokens", K.tokens(F.col("decoded"))).withColumn("token_findings", K.findings(F.col("__tokens"))).drop("__tokens")
         score = F.when(F.size("token_findings") > 0, F.greatest(score, F.lit(0.8))).otherwise(score)
     rows = context_score(rows.withColumn("pattern_score", score))
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
@@ -336,15 +338,16 @@ def sources(pattern: Column, model: Column, advanced: Column, context: Column, t
     return F.array_join(F.array_compact(F.array(*[F.when(hit, name) for name, hit in parts.items()])), ",")
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity_udf(one: pd.Series, two: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts (twice the matches by the sum of lengths)."""
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(one, two, strict=True)], dtype="float64")
+def similarity(one: Column, two: Column) -> Column:
+    """Share of common letter triples of two texts (twice the common ones by the sum of both): 1 for equal texts, linear in their length."""
+    triples = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))
+    a, b = triples(one), triples(two)
+    return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
 def differences(text: Column, decoded_text: Column) -> Column:
     """What was decoded: the techniques found, or, where there is none, how far the texts are apart."""
-    found, ratio = techniques(text), similarity_udf(text, decoded_text)
+    found, ratio = techniques(text), similarity(text, decoded_text)
     apart = F.when(ratio < 0.5, "very different").when(ratio < 0.9, "somewhat different").otherwise("almost equal")
     return F.when(text == decoded_text, None).when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(apart)
 
@@ -358,12 +361,21 @@ def detect_and_explain(df: DataFrame, base: float = 0.5) -> DataFrame:
     return rows.withColumns({"explanation": F.when(hit, text), "recommendation": recommendation(F.col("attack_type"))})
 
 
+#: The condition of a query, as far as what comes after it, and its first comparison with a string or a number.
+_CONDITION = r"(?i)\bWHERE\b.*?(?:\bORDER BY\b|\bGROUP BY\b|\bHAVING\b|$)"
+_COMPARISON = r"^([\s\S]*?\b\w+\s*=\s*)(?:['\"][\w@.]+['\"]|\d+)([\s\S]*)$"
+_SELECTED = r"(?i)\bSELECT\b.*?\bFROM\b"
+
+
 def synthetic_injections(df: DataFrame, text: str = "query") -> DataFrame:
-    """Attacks made of plain queries with a condition: an always-true condition, and a union over as many columns as are selected."""
-    plain = df.where(F.col(text).rlike(r"(?i)^SELECT .* WHERE \w+ = "))
-    true = F.regexp_replace(F.col(text), r"(?i)WHERE (\w+) = (\S+)", "WHERE $1 = $2 OR 1=1")
-    commas = F.length(F.regexp_extract(F.col(text), r"(?i)^SELECT (.*?) FROM", 1)) - F.length(F.replace(F.regexp_extract(F.col(text), r"(?i)^SELECT (.*?) FROM", 1), F.lit(","), F.lit("")))
-    union = F.concat(F.col(text), F.lit(" UNION SELECT "), F.array_join(F.array_repeat(F.lit("NULL"), commas + 1), ", "))
+    """Attacks made of plain queries with a condition: an always-true one in place of the first compared value, and a union over as many columns as are selected."""
+    own = F.col(text)
+    plain = df.where(own.rlike(_SELECTED) & own.rlike(_CONDITION))
+    condition = F.regexp_extract(own, _CONDITION, 0)
+    true = F.replace(own, condition, F.regexp_replace(condition, _COMPARISON, "$1' OR 1=1 --$2"))
+    selected = F.regexp_extract(own, _SELECTED, 0)
+    commas = F.length(selected) - F.length(F.replace(selected, F.lit(","), F.lit("")))
+    union = F.concat(own, F.lit(" UNION SELECT "), F.array_join(F.array_repeat(F.lit("1"), commas + 1), ","), F.lit(" --"))
     return plain.withColumn("made", F.explode(F.array(F.struct(F.lit("boolean").alias("kind"), true.alias("attack")), F.struct(F.lit("union").alias("kind"), union.alias("attack")))))
 
 
@@ -382,29 +394,3 @@ def attack_texts(df: DataFrame, text: str = "query") -> DataFrame:
     """All attacks to learn from (column ``text``): the fixed ones and those made of plain queries."""
     fixed = df.sparkSession.createDataFrame([(x,) for x in ATTACK_TEXTS], f"`{text}` string")
     return fixed.unionByName(synthetic_injections(df, text).select(F.col("made.attack").alias(text)))
-
-
-_TOKEN = re.compile(
-    r"(?P<space>\s+)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<comment>--[^\n]*|#[^\n]*|/\*.*?\*/)|(?P<number>\d+(?:\.\d+)?)|(?P<keyword>\b(?i:" + "|".join(KEYWORDS) + r")\b)|(?P<identifier>[A-Za-z_@][\w@$]*)|(?P<operator><=|>=|<>|!=|\|\||&&|<<|>>|[-=<>+*/%^&|~!])|(?P<other>.)",
-    re.S,
-)
-TOKENS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
-
-
-@F.pandas_udf(TOKENS)
-def tokens_udf(texts: pd.Series) -> pd.Series:
-    """Tokens without white space, keywords and identifiers in upper case; each distinct text of a batch is split once."""
-    words = ("keyword", "identifier")
-    split = lambda t: [{"type": m.lastgroup, "value": m[0].upper() if m.lastgroup in words else m[0]} for m in _TOKEN.finditer(t) if m.lastgroup != "space"]
-    known = {t: split(t) for t in texts.dropna().unique()}
-    return texts.map(lambda t: None if t is None else known[t])
-
-
-def token_findings(tokens: Column) -> Column:
-    """Kinds of suspicious neighbours among the tokens: expressions over the array."""
-    at = lambda i, k: F.get(tokens, i + k)
-    places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 3, F.lit(0)))
-    word = lambda i, k, *w: at(i, k)["type"].isin("keyword", "identifier") & at(i, k)["value"].isin(*w)
-    true = lambda i: word(i, 0, "OR") & ((at(i, 1)["type"].isin("number", "string") & (at(i, 2)["value"] == "=")) | word(i, 1, "TRUE"))
-    rules = {"boolean": true, "union": lambda i: word(i, 0, "UNION") & (word(i, 1, "SELECT") | (word(i, 1, "ALL") & word(i, 2, "SELECT"))), "time": lambda i: word(i, 0, "SLEEP", "WAITFOR", "BENCHMARK"), "destructive": lambda i: word(i, 0, "DROP"), "command_exec": lambda i: word(i, 0, "XP_CMDSHELL", "CMDSHELL")}
-    return F.array_compact(F.array(*[F.when(F.exists(places, f), name) for name, f in rules.items()]))

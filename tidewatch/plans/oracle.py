@@ -252,9 +252,41 @@ SELECT weights::BIGINT AS weights, threshold, tp, fp, tn, fn, {_rate('f1')} FROM
 ORACLE["q_cascade"] = f"WITH {_SCORED} SELECT row_id, round(least(score_volume, score_port), 6) AS fused_score, (anomaly_volume * anomaly_port)::BIGINT AS fused_anomaly FROM s"
 ORACLE["q_top_states"] = f"""WITH {_transitions('orders', chr(39).join(['o_orderstatus || ', '_', ' || o_orderpriority']), 'o_custkey', 'o_orderdate, o_orderkey', 2)},
 e AS (SELECT state FROM m WHERE p > 0.01 UNION ALL SELECT next_state FROM m WHERE p > 0.01) SELECT state, count(*)::BIGINT AS degree FROM e GROUP BY state ORDER BY degree DESC, state LIMIT 15"""
-ORACLE["q_sqli_synthetic"] = f"""WITH {TEXT}, p AS (SELECT row_id, query, regexp_extract(query, '(?i)^SELECT (.*?) FROM', 1) AS cols FROM txt WHERE regexp_matches(query, '(?i)^SELECT .* WHERE \\w+ = '))
-SELECT row_id, 'boolean' AS kind, regexp_replace(query, '(?i)WHERE (\\w+) = (\\S+)', 'WHERE \\1 = \\2 OR 1=1', 'g') AS attack FROM p
-UNION ALL SELECT row_id, 'union', query || ' UNION SELECT NULL' || repeat(', NULL', (length(cols) - length(replace(cols, ',', '')))::INT) FROM p"""
+_WHERE = r"(?i)\bWHERE\b.*?(?:\bORDER BY\b|\bGROUP BY\b|\bHAVING\b|$)"
+_FIRST = r"""\b\w+\s*=\s*(?:['"][\w@.]+['"]|\d+)"""
+ORACLE["q_sqli_synthetic"] = f"""WITH {TEXT}, p AS (SELECT row_id, query, regexp_extract(query, '(?i)\\bSELECT\\b.*?\\bFROM\\b') AS cols, regexp_extract(query, {_q(_WHERE)}) AS cond FROM txt),
+a AS (SELECT *, regexp_extract(cond, {_q(_FIRST)}) AS cmp FROM p WHERE cols <> '' AND cond <> ''),
+b AS (SELECT *, instr(cond, cmp) AS a, regexp_extract(cmp, '^\\w+\\s*=\\s*') AS head FROM a)
+SELECT row_id, 'boolean' AS kind, CASE WHEN cmp = '' THEN query ELSE replace(query, cond, cond[1:a - 1] || head || ''' OR 1=1 --' || cond[a + length(cmp):]) END AS attack FROM b
+UNION ALL SELECT row_id, 'union', query || ' UNION SELECT ' || array_to_string(list_transform(range(0, length(cols) - length(replace(cols, ',', '')) + 1), lambda x: '1'), ',') || ' --' FROM b"""
+# Tokens: the longest words of a rule first, white space left out; their kinds by their first letters.
+_WORDS = "('" + "','".join("SELECT FROM WHERE INSERT UPDATE DELETE DROP CREATE ALTER UNION JOIN HAVING GROUP ORDER BY LIMIT PROCEDURE EXEC EXECUTE WAITFOR DELAY BENCHMARK INTO VALUES TABLE DATABASE COLUMN INDEX CONSTRAINT VIEW FUNCTION TRIGGER SCHEMA GRANT REVOKE COMMIT ROLLBACK SAVEPOINT TRANSACTION SET DECLARE CASE WHEN THEN ELSE END AND OR NOT EXISTS BETWEEN LIKE IN IS NULL TRUE FALSE PRIMARY FOREIGN KEY REFERENCES INNER OUTER LEFT RIGHT FULL CROSS NATURAL ON USING COUNT SUM AVG MIN MAX DISTINCT ALL EXCEPT INTERSECT ANY SOME FOR OFFSET FETCH FIRST NEXT ONLY WITH".split()) + "')"
+_SPLIT = r"""'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|#[^\n]*|/\*(?s:.*?)\*/|[0-9]+(?:\.[0-9]+)?|[A-Za-z_@][A-Za-z0-9_@$]*|<=|>=|<>|!=|\|\||&&|<<|>>|[^ \t\n\x0B\f\r]"""
+_KIND = f"""CASE WHEN v[1] IN ('''', '"', '`') AND length(v) > 1 THEN 'string' WHEN regexp_matches(v, '^(--|#|/\\*)') THEN 'comment' WHEN regexp_matches(v, '^[0-9]') THEN 'number' WHEN upper(v) IN {_WORDS} THEN 'keyword'
+  WHEN regexp_matches(v, '^[A-Za-z_@]') THEN 'identifier' WHEN regexp_full_match(v, '<=|>=|<>|!=|\\|\\||&&|<<|>>|[-=<>+*/%^&|~!]') THEN 'operator' ELSE 'other' END"""
+
+
+def _tokens(source: str, keys: str, score: str = "") -> str:
+    """Tokens as rows with the three after each; what a rule finds at any of them."""
+    rules = {
+        "boolean": "v = 'OR' AND k = 'keyword' AND ((k1 = 'number' AND v2 = '=') OR (k1 = 'keyword' AND v1 = 'TRUE') OR (k1 = 'string' AND v2 = '=' AND k3 = 'string'))",
+        "union": "v = 'UNION' AND ((v1 = 'SELECT') OR (v1 = 'ALL' AND v2 = 'SELECT'))",
+        "time": "v IN ('SLEEP', 'WAITFOR', 'BENCHMARK')",
+        "destructive": "v = 'DROP'",
+        "command_exec": "k = 'identifier' AND contains(v, 'CMDSHELL')",
+    }
+    found = ", ".join(f"bool_or(coalesce(k2 IS NOT NULL AND ({r}), false)) AS f_{n}" for n, r in rules.items())
+    listed = "concat_ws(',', " + ", ".join(f"CASE WHEN f_{n} THEN '{n}' END" for n in rules) + ")"
+    return f"""src AS ({source}), x AS (SELECT {keys}, unnest(regexp_extract_all(coalesce(t, ''), {_q(_SPLIT)})) AS v, generate_subscripts(regexp_extract_all(coalesce(t, ''), {_q(_SPLIT)}), 1) AS i FROM src),
+y AS (SELECT {keys}, i, {_KIND} AS k, v FROM x), z AS (SELECT {keys}, i, k, CASE WHEN k IN ('keyword', 'identifier') THEN upper(v) ELSE v END AS v FROM y),
+n AS (SELECT *, lead(k) OVER w AS k1, lead(v) OVER w AS v1, lead(k, 2) OVER w AS k2, lead(v, 2) OVER w AS v2, lead(k, 3) OVER w AS k3 FROM z WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
+g AS (SELECT {keys}, count(*)::BIGINT AS n_tokens, string_agg(k || ' ' || v, chr(10) ORDER BY i) AS listed, {found} FROM n GROUP BY {keys})
+SELECT {', '.join('src.' + k.strip() for k in keys.split(','))}, coalesce(n_tokens, 0) AS n_tokens, sha256(coalesce(listed, '')) AS tokens, coalesce({listed}, '') AS findings{score} FROM src LEFT JOIN g USING ({keys})"""
+
+
+_TEXTS = "SELECT 'documents' AS kind, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages"
+ORACLE["q_sqli_tokens"] = f"WITH {TEXT}, {_tokens('SELECT row_id, query AS t FROM txt', 'row_id')}"
+ORACLE["q_sqli_text_tokens"] = f"WITH {_tokens(_TEXTS, 'kind, id', ', CASE WHEN t IS NULL THEN 0 ELSE ' + _PS.replace('query', 't') + ' END::DOUBLE AS pattern_score')}"
 ORACLE["q_sqli_advice"] = f"""WITH {TEXT}, k AS (SELECT CASE {_KINDS} ELSE 'generic_injection' END AS attack_type FROM txt)
 SELECT attack_type, CASE attack_type {' '.join(f"WHEN '{k}' THEN {_q(v)}" for k, v in S.ADVICE.items())} ELSE {_q(S.DEFAULT_ADVICE)} END AS recommendation, count(*)::BIGINT AS n FROM k GROUP BY ALL"""
 ORACLE["q_customer_distribution"] = _profile("customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "r_name || '|' || n_name", ["c_acctbal"], 1, "")

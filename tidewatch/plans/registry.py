@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import sqltext as S
+from ..functions import sqltokens as K
 from ..operators import detectors as D
 from ..operators import ensemble as E
 from ..operators import evaluate as V
@@ -424,8 +425,21 @@ def q_sqli_explain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_sqli_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.sqltext(spark, sf).select("row_id", S.tokens_udf("query").alias("tokens"))
-    return rows.select("row_id", F.size("tokens").alias("n_tokens"), S.token_findings(F.col("tokens")).alias("findings"))
+    rows = views.sqltext(spark, sf).select("row_id", K.tokens(F.col("query")).alias("own"))
+    return rows.select("row_id", F.size("own").cast("long").alias("n_tokens"), token_text(F.col("own")).alias("tokens"), F.array_join(K.findings(F.col("own")), ",").alias("findings"))
+
+
+def token_text(tokens: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(tokens, lambda t: F.concat(t["type"], F.lit(" "), t["value"])), "\n"), 256)
+
+
+@query
+def q_sqli_text_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens, findings and rule scores of whole documents and pages."""
+    docs = views.table(spark, sf, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    pages = views.table(spark, sf, "pages").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t"))
+    rows = docs.unionByName(pages).withColumn("own", K.tokens(F.coalesce("t", F.lit(""))))
+    return rows.select("kind", "id", F.size("own").cast("long").alias("n_tokens"), token_text(F.col("own")).alias("tokens"), F.array_join(K.findings(F.col("own")), ",").alias("findings"), S.pattern_score(F.col("t")).alias("pattern_score"))
 
 
 @query
