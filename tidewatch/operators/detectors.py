@@ -245,6 +245,27 @@ def dominant_type(df: DataFrame, weights: dict[str, float], least: float = 0.3)
     return df.withColumn("dominant", F.when(total <= 0, "none").when(top / total >= least, name).otherwise("mixed"))
 
 
+def top_sequences(scored: DataFrame, score: str, state: Column, order_by: list[str], k: int = 10, length: int = 10, shown: int = 5, width: int = 30) -> DataFrame:
+    """rank, position, score and sequence of the ``k`` highest scores (ties: first in order): the states around each, half of ``length`` to either side.
+
+    Positions are those of one order over the table, counted by ranges; only the places around the best are joined back, k times (length + 1) at
+    most. A sequence of over ``shown`` states is its first and last two, a text of over ``width`` letters is cut; columns ``around`` and ``states`` have all.
+    """
+    rows = scored.select(F.struct(*order_by).alias("__o"), F.col(score).alias("__score"), state.cast("string").alias("__state"), F.lit(1).alias("__one"))
+    placed = staged(order.running(rows, [], "__o", ["__one"]).select(F.col("before___one").alias("position"), "__score", "__state"), "positions")
+    best = placed.where("__score is not null").orderBy(F.desc("__score"), "position").limit(k)
+    best = staged(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__score"), "position"))).select("rank", "position", F.col("__score").alias("score")), "best")  # k rows
+    half = length // 2
+    places = best.select("rank", F.explode(F.sequence(F.col("position") - half, F.col("position") + half)).alias("position"))
+    around = places.join(placed.select("position", "__state"), "position").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("__state", F.lit("null")).alias("state")))).alias("x"))
+    states = F.transform("x", lambda s: s["state"])
+    dots = F.array(F.lit("..."))
+    short = F.when(F.size(states) > shown, F.concat(F.slice(states, 1, 2), dots, F.slice(states, -2, 2))).otherwise(states)
+    text = F.array_join(short, " -> ")
+    cut = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+    return best.join(around, "rank").select("rank", "position", "score", cut.alias("sequence"), F.array_join(states, " -> ").alias("around"), F.size(states).alias("states"))
+
+
 def sequence_statistics(model: DataFrame) -> DataFrame:
     """One row about a transition table: states, edges, edges with a probability, and the least and mean probability."""
     return model.agg(F.count_distinct("state").alias("states"), F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("p") > 0, 1)).alias("likely"), F.min(F.when(F.col("p") > 0, F.col("p"))).alias("least_p"), F.avg(F.when(F.col("p") > 0, F.col("p"))).alias("mean_p"))

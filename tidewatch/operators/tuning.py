@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 from . import evaluate as V
 from . import order
+from . import profiles as P
 
 
 def informative_weights(df: DataFrame, scores: list[str], label: str | None = None, base: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
@@ -85,6 +86,41 @@ def forest_grid(df: DataFrame, features: list[str], key: str = "row_id", trees:
     return out.groupBy("trees", "feature_share", "contamination").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "trees", "feature_share", "contamination")
 
 
+#: Percentiles, caps and weights of the published search.
+PERCENTILES, CAPS = (90, 93, 95, 97, 99), (0.6, 0.65, 0.7, 0.75, 0.8)
+SCORE_WEIGHTS = [
+    {"statistical_score": 0.3, "contextual_score": 0.4, "ml_score": 0.25, "collective_score": 0.05},
+    {"statistical_score": 0.4, "contextual_score": 0.3, "ml_score": 0.2, "collective_score": 0.1},
+    {"statistical_score": 0.25, "contextual_score": 0.25, "ml_score": 0.4, "collective_score": 0.1},
+    {"statistical_score": 0.3, "contextual_score": 0.3, "ml_score": 0.3, "collective_score": 0.1},
+]
+
+
+def detector_grid(raw: DataFrame, weights: list[dict[str, float]] = SCORE_WEIGHTS, percentiles: tuple[float, ...] = PERCENTILES, caps: tuple[float, ...] = CAPS, label: str = "is_anomaly") -> DataFrame:
+    """weights (their number), percentile, cap, threshold and metrics of every combination, from raw scores that are made once.
+
+    As the adaptive detector does: scores are scaled to 0..1, weighed, summed and scaled again; rows from min(percentile, cap) on are flagged, none where
+    all sums are equal. Bounds take two passes, all percentiles of all weights the passes of ``order.quantiles``, and all counts one; a score that the frame lacks counts as 0.
+    """
+    scores = sorted({c for w in weights for c in w} & set(raw.columns))
+    found = P.bounds(raw, {c: F.col(c) for c in scores})
+    rows = raw.select(label, *[P.scaled(F.col(c), *found[c]).alias(c) for c in scores])
+    sums = [sum((F.col(c) * w.get(c, 0.0) for c in scores), F.lit(0.0)) for w in weights]
+    ends = P.bounds(rows, {f"w{i}": s for i, s in enumerate(sums)})
+    fused = staged(rows.select(label, *[P.scaled(s, *ends[f"w{i}"]).alias(f"w{i}") for i, s in enumerate(sums)]), "grid")
+    limits = order.quantiles(fused, {f"w{i}": F.col(f"w{i}") for i in range(len(weights))}, [p / 100 for p in percentiles])
+    combinations = [(i, float(p), float(cap), min(limits[f"w{i}"][j], cap) if limits[f"w{i}"][j] is not None else None) for i in range(len(weights)) for j, p in enumerate(percentiles) for cap in caps]
+    hit = lambda i, t: (F.col(f"w{i}") >= t) if t is not None and ends[f"w{i}"][1] > ends[f"w{i}"][0] else F.lit(False)
+    cells = [F.count(F.when(flag & (F.col(label) == y), 1)).alias(f"{n}_{cell}") for n, (i, _, _, t) in enumerate(combinations) for cell, flag, y in (("tp", hit(i, t), 1), ("fp", hit(i, t), 0), ("tn", ~hit(i, t), 0), ("fn", ~hit(i, t), 1))]
+    each = [F.struct(F.lit(i).alias("weights"), F.lit(p).alias("percentile"), F.lit(cap).alias("cap"), F.lit(t).cast("double").alias("threshold"), *[F.col(f"{n}_{c}").alias(c) for c in ("tp", "fp", "tn", "fn")]) for n, (i, p, cap, t) in enumerate(combinations)]
+    return V.with_rates(fused.agg(*cells).select(F.inline(F.array(*each))))
+
+
+def best_of_grid(grid: DataFrame) -> DataFrame:
+    """The combination with the best F1, the first of equals in the grid's order."""
+    return grid.orderBy(F.desc_nulls_last("f1"), "percentile", "cap", "weights").limit(1)
+
+
 def weight_grid(df: DataFrame, scores: list[str], weights: list[tuple[float, ...]], thresholds: list[float], label: str = "is_anomaly") -> DataFrame:
     """Metrics of every combination of weights and threshold, in one pass over the scores."""
     cells = []

@@ -355,3 +355,16 @@ h AS (SELECT *, {_mm('a')} / 2 + {_mm('b')} / 2 AS x, bytes / (duration + 0.1) A
 SELECT row_id, round(x, 6) AS anomaly_score, hit::BIGINT AS predicted_anomaly, CASE WHEN NOT hit THEN 'Normal' WHEN a > 0 THEN CASE WHEN udp_flag = 1 THEN 'UDP Flood' WHEN icmp_flag = 1 THEN 'ICMP Flood' WHEN syn_flag = 1 THEN 'SYN Flood' ELSE 'Generic DoS' END
   WHEN v > (SELECT quantile_cont(v, 0.99) FROM h) THEN 'Volume Anomaly' WHEN dst_port IN {_in(X.SUSPICIOUS_PORTS)} THEN 'Unusual Port' WHEN packets <= 3 AND duration < 0.5 THEN 'Port Scan' WHEN NOT (hour(timestamp) BETWEEN 8 AND 18 AND isodow(timestamp) < 6) THEN 'Unusual Time'
   WHEN steps THEN 'Sequence Anomaly' ELSE 'Unknown Anomaly' END AS anomaly_type FROM i"""
+_GRID = [(0.3, 0.4, 0.05), (0.4, 0.3, 0.1), (0.25, 0.25, 0.1), (0.3, 0.3, 0.1)]
+ORACLE["q_detector_grid"] = f"""WITH {_SCORED}, z AS (SELECT is_anomaly AS y, {_mm('score_volume')} AS va, {_mm('score_duration')} AS vb, {_mm('score_port')} AS vc FROM s),
+w AS (SELECT y, weights, vc * c + vb * b + va * a AS x FROM z, (VALUES {', '.join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(_GRID))}) t(weights, a, b, c)),
+f AS (SELECT y, weights, coalesce((x - min(x) OVER p) / nullif(max(x) OVER p - min(x) OVER p, 0), 0) AS x FROM w WINDOW p AS (PARTITION BY weights)),
+l AS (SELECT weights, unnest([90.0::DOUBLE, 95, 99]) AS percentile, unnest(quantile_cont(x, [0.9, 0.95, 0.99])) AS t FROM f GROUP BY weights),
+q AS (SELECT weights, percentile, cap, least(t, cap) AS threshold FROM l, (SELECT unnest([0.6::DOUBLE, 0.8]) AS cap)),
+g AS (SELECT q.weights, percentile, cap, threshold, {_CELLS % {'p': 'x >= threshold'}} FROM f JOIN q ON f.weights = q.weights GROUP BY ALL)
+SELECT weights::BIGINT AS weights, percentile, cap, round(threshold, 6) AS threshold, tp, fp, tn, fn, {_rate('f1')} FROM g"""
+ORACLE["q_top_sequences"] = f"""WITH {NET}, o AS (SELECT row_number() OVER (ORDER BY timestamp, row_id) - 1 AS position, bytes AS score, service FROM net),
+k AS (SELECT row_number() OVER (ORDER BY score DESC, position) AS rank, * FROM o WHERE score IS NOT NULL ORDER BY score DESC, position LIMIT 10),
+s AS (SELECT k.rank, k.position, k.score, list(o.service ORDER BY o.position) AS st FROM k JOIN o ON o.position BETWEEN k.position - 5 AND k.position + 5 GROUP BY ALL),
+t AS (SELECT *, array_to_string(CASE WHEN len(st) > 5 THEN [st[1], st[2], '...', st[len(st) - 1], st[len(st)]] ELSE st END, ' -> ') AS txt FROM s)
+SELECT rank::BIGINT AS rank, position::BIGINT AS position, round(score, 6) AS score, CASE WHEN length(txt) > 30 THEN txt[1:27] || '...' ELSE txt END AS sequence, array_to_string(st, ' -> ') AS around, len(st)::BIGINT AS states FROM t"""

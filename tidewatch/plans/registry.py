@@ -638,6 +638,21 @@ def q_feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))
 
 
+@query
+def q_detector_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles, caps and weights of three scores, all from one frame of scores."""
+    rows = scored(spark, sf).select("is_anomaly", F.col("score_volume").alias("statistical_score"), F.col("score_duration").alias("contextual_score"), F.col("score_port").alias("collective_score"))
+    grid = U.detector_grid(rows, percentiles=(90, 95, 99), caps=(0.6, 0.8))
+    return grid.select(F.col("weights").cast("long").alias("weights"), "percentile", "cap", "tp", "fp", "tn", "fn", *r6("threshold", "f1"))
+
+
+@query
+def q_top_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Services around the rows of most bytes, in the order of the whole table."""
+    out = D.top_sequences(views.net(spark, sf), "bytes", F.col("service"), ["timestamp", "row_id"], 10, 10)
+    return out.select(F.col("rank").cast("long").alias("rank"), "position", *r6("score"), "sequence", "around", F.col("states").cast("long").alias("states"))
+
+
 # One order of the whole table: windows by ranges with a halo.
 
 
