@@ -55,6 +55,47 @@ def test_substrings_equal_brute_force(make, corpus):
     assert _op3(make(corpus)) == brute.substrings(corpus)
 
 
+@pytest.fixture
+def all_hot(monkeypatch):
+    from tidewatch.llm import anchors
+
+    monkeypatch.setattr(anchors, "SAMPLE", 1)
+    monkeypatch.setattr(anchors, "LEAST_HOT", 2)
+
+
+@pytest.mark.parametrize("runs", [1, 3, 500])
+def test_hot_anchors_change_nothing(make, corpus, all_hot, runs):
+    """Anchors dealt over tasks, and their runs, however few: the same result."""
+    assert _op3(make(corpus), runs=runs) == brute.substrings(corpus)
+    if runs == 3:
+        assert _op4(make(corpus)) == brute.suffixes(corpus)
+
+
+def test_a_hot_anchor_is_dealt_over_tasks(spark, make, monkeypatch):
+    """A third of all documents share a passage and differ around it: the runs of its anchors are dealt over tasks, a few and the first in each."""
+    import random
+
+    from tidewatch.llm import anchors
+    from tidewatch.llm.common import compact, keyed
+
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    seed = [f"zz{i}" for i in range(30)]
+    rows = [(i, " ".join([word() for _ in range(30)] + ((seed[:12] + [word() for _ in range(8)]) if i % 3 == 0 else []) + [word() for _ in range(20)])) for i in range(240)]
+    monkeypatch.setattr(anchors, "SAMPLE", 4)
+    monkeypatch.setattr(anchors, "LEAST_HOT", 8)
+    base, seeds = compact(keyed(make(rows))), substrings._seeds(20, 6)
+    hot = anchors.hot_anchors(base, seeds)
+    assert 0 < len(hot) < 8
+    first = anchors.settle(base.mapInArrow(seeds, anchors.ROWS), later=True, growth=3, hot=hot)
+    parts = anchors.dealt(first.where(F.col("kind") == anchors.OPEN), hot, 5).where(F.col("h").isin(hot)).select("h", F.explode("parts").alias("part"))
+    sizes = parts.groupBy("h", "part").count()
+    total = {r.h: r.n for r in sizes.groupBy("h").agg(F.sum("count").alias("n")).collect()}
+    most = {r.h: r.n for r in sizes.groupBy("h").agg(F.max("count").alias("n")).collect()}
+    assert max(total.values()) >= 40 and all(most[h] <= max(0.1 * n, 14) for h, n in total.items())
+    assert _op3(make(rows), runs=5) == brute.substrings(rows)
+
+
 def test_substrings_of_repeats_in_one_text(make):
     rows = [(1, "a b " * 40), (2, "c " * 25), (3, " ".join(map(str, range(60))) + " " + " ".join(map(str, range(60))))]
     assert _op3(make(rows)) == brute.substrings(rows)

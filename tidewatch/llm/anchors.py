@@ -132,7 +132,7 @@ def _classes(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     return new, same
 
 
-def _settle(later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settle(later: bool, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Stream rows sorted by h, r, s and document. Memory: a batch and the first row of the class at hand."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +167,8 @@ def _settle(later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 group = np.flatnonzero(of)
                 classes = np.diff(np.r_[group, len(of)])
                 classes[0] += many
+                # a hot anchor's classes are dealt over tasks, none of which knows whether there are others
+                classes = np.where(np.isin(heads["h"][group], hot), 2, classes)
                 wide = np.repeat(classes > 1, np.diff(np.r_[group, len(of)]))
                 show = wide.copy()
                 show[0] &= not opened
@@ -183,14 +185,42 @@ def _settle(later: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return each
 
 
-def settle(seeds: DataFrame, *, later: bool, growth: float, like: DataFrame | None = None) -> DataFrame:
+def hot_anchors(base: DataFrame, seeds: Callable) -> list[int]:
+    """Anchors that hold a large share of all runs, at most ``MOST_HOT``: estimated from one document in ``SAMPLE``.
+
+    They are dealt over tasks by what surrounds them. An estimate that is off costs balance and nothing else: results are the same whatever is hot.
+    """
+    drawn = base.where(F.pmod(F.xxhash64(F.lit(11), *KEY), F.lit(SAMPLE)) == 0).mapInArrow(seeds, ROWS)
+    runs = F.sum("n").alias("n")
+    most = drawn.where(F.col("kind") == SEED).groupBy("h").agg(runs).where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    return [r.h for r in most]
+
+
+#: One document in so many is drawn to find hot anchors; runs of one anchor among these that make it hot; hot anchors; tasks that each is dealt over.
+SAMPLE, LEAST_HOT, MOST_HOT, DEALT = 64, 50, 1000, 64
+
+
+def settle(seeds: DataFrame, *, later: bool, growth: float, like: DataFrame | None = None, hot: list[int] = ()) -> DataFrame:
     """SETTLED rows (repeats in all their windows) and OPEN rows (one of each class of an anchor that has several).
 
-    ``later``: a class's first run isn't settled by the others. ``like``: the frame whose size times ``growth`` the seeds have.
+    ``later``: a class's first run isn't settled by the others. ``like``: the frame whose size times ``growth`` the seeds have. ``hot``: anchors whose
+    classes are dealt over tasks, all of them OPEN.
     """
     n = partitions_for(seeds if like is None else like, growth)
-    ready = seeds.repartition(n, "h").sortWithinPartitions("h", "r", "s", *KEY, "a")
-    return ready.mapInArrow(_settle(later), ROWS)
+    deal = F.when(F.col("h").isin(list(hot)), F.pmod("r", F.lit(DEALT))).otherwise(F.lit(0)) if hot else F.lit(0)
+    ready = seeds.repartition(n, "h", deal).sortWithinPartitions("h", "r", "s", *KEY, "a")
+    return ready.mapInArrow(_settle(later, np.array(sorted(hot), np.int64)), ROWS)
+
+
+def dealt(opened: DataFrame, hot: list[int], runs: int) -> DataFrame:
+    """OPEN rows with ``parts``: the tasks that read them. A hot anchor of over ``runs`` rows is dealt over several, and its first row is in each."""
+    if not hot:
+        return opened.withColumn("parts", F.array(F.lit(0)))
+    own = F.struct(*KEY, "p")
+    sizes = opened.where(F.col("h").isin(list(hot))).groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min(own).alias("first"))
+    sizes = sizes.where(F.col("rows") > runs).select("h", F.ceil(F.col("rows") / runs).cast("int").alias("tasks"), "first")
+    spread = F.when(F.col("tasks").isNull(), F.array(F.lit(0))).when(own == F.col("first"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64(*KEY, "p"), "tasks").cast("int")))
+    return opened.join(F.broadcast(sizes), "h", "left").withColumn("parts", spread).drop("tasks", "first")  # MOST_HOT rows at most
 
 
 def by_document(rows: DataFrame, *columns: str) -> DataFrame:

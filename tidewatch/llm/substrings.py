@@ -8,7 +8,7 @@ its words.
 Extension: an anchor's runs are streamed in order, and each is laid beside the first (least document, then least
 position) and compared with it word by word, to both sides of the seed as far as they agree; stretches of
 ``MIN_WORDS`` words or more are repeats. So a hot anchor costs as many comparisons as it has runs, not their
-square. Windows of a run that differ from the first run's may still repeat a third one. They are the
+square, and these are dealt over tasks, ``RUNS`` each. Windows of a run that differ from the first run's may still repeat a third one. They are the
 seeds of a second round, each by the digest of its own words. A window that equals the first run's
 is settled there, and no other is, so no pair among the rest is missed.
 
@@ -39,7 +39,9 @@ from .common import KEY, Workspace, compact, keyed, partitions_for, release
 
 MIN_WORDS = 20
 SEED_WORDS = 6
-CONTEXTS = "h long, k long, t long, u long, a int, p int, words binary"
+CONTEXTS = "h long, part int, k long, t long, u long, a int, p int, words binary"
+#: Runs of one anchor that one task lays beside the first; an anchor with more is dealt over several tasks, each with the first run.
+RUNS = 500
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 
 
@@ -69,8 +71,8 @@ def _seeds(min_words: int, seed_words: int):
 
 
 def _contexts(min_words: int):
-    """The words that each open run's windows hold, one space between them."""
-    types = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
+    """The words that each open run's windows hold, one space between them: a row for each task that reads them."""
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.binary()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +81,9 @@ def _contexts(min_words: int):
                 for i in range(piece.lo, piece.hi):
                     words = piece.buf[piece.offsets[i - piece.lo] : piece.offsets[i - piece.lo + 1]].tobytes().split()
                     key = [batch.column(c)[i].as_py() for c in range(3)]
-                    rows += [(x["h"], *key, x["a"], x["p"], b" ".join(words[x["a"] : x["b"] + min_words])) for x in batch.column(5)[i].as_py()]
+                    rows += [(x["h"], part, *key, x["a"], x["p"], b" ".join(words[x["a"] : x["b"] + min_words])) for x in batch.column(5)[i].as_py() for part in x["parts"]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", *KEY, "a", "p", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", "part", *KEY, "a", "p", "words"])
                     rows = []
 
     return each
@@ -99,16 +101,16 @@ def extended(own: list[bytes], other: list[bytes], shift: int, least: int) -> tu
 
 
 def _extend(min_words: int):
-    """Contexts sorted by h and document, each beside the first of its h: spans that agree, and the windows that don't as seeds of their own."""
+    """Contexts sorted by h, part and document, each beside the first of its h: spans that agree, and the windows that don't as seeds of their own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, seed = None, [], 0
         for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             rows: list[tuple] = []
-            for h, k, t, u, a, p, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, part, k, t, u, a, p, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = text.split(b" ")
-                if h != at:
-                    at, first, seed = h, own, p - a
+                if (h, part) != at:
+                    at, first, seed = (h, part), own, p - a
                     continue
                 starts, ends = (x.tolist() for x in extended(own, first, p - a - seed, min_words))
                 rows += [(A.SETTLED, 0, 0, 0, k, t, u, a + s, a + e - min_words, p, 1) for s, e in zip(starts, ends, strict=True)]
@@ -155,14 +157,16 @@ def united(spans) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, runs: int = RUNS) -> DataFrame:
     """Per document row: its words, the maximal repeats removed from it (word positions) and the kept text, words joined by a space."""
     base, ws = compact(keyed(docs)), Workspace(docs.sparkSession)
-    first = ws.keep(A.settle(base.mapInArrow(_seeds(min_words, seed_words), A.ROWS), later=True, growth=3), "substring_seeds")
+    seeds = _seeds(min_words, seed_words)
+    hot = A.hot_anchors(base, seeds)
+    first = ws.keep(A.settle(base.mapInArrow(seeds, A.ROWS), later=True, growth=3, hot=hot), "substring_seeds")
     release(docs.sparkSession)
-    opened = A.by_document(first.where(F.col("kind") == A.OPEN), "a", "b", "p", "h")
+    opened = A.by_document(A.dealt(first.where(F.col("kind") == A.OPEN), hot, runs), "a", "b", "p", "h", "parts")
     contexts = base.join(opened, KEY).mapInArrow(_contexts(min_words), CONTEXTS)
-    ready = contexts.repartition(partitions_for(base), "h").sortWithinPartitions("h", *KEY, "p")
+    ready = contexts.repartition(partitions_for(base), "h", "part").sortWithinPartitions("h", "part", *KEY, "p")
     second = ws.keep(A.settle(ready.mapInArrow(_extend(min_words), A.ROWS), later=True, growth=1, like=base), "substring_windows")
     release(docs.sparkSession)
     repeats = first.unionByName(second).where(F.col("kind") == A.SETTLED).select(*KEY, "a", (F.col("b") + min_words).alias("b"))

@@ -387,7 +387,9 @@ class Repeats:
     def __init__(self, base: DataFrame, min_bytes: int, seed_bytes: int, shard: int):
         self.base, self.min_bytes, self.seed_bytes, self.shard = base, min_bytes, seed_bytes, shard
         self.ws, self.reach = Workspace(base.sparkSession), min_bytes - seed_bytes
-        self.runs = self.ws.keep(A.settle(base.mapInArrow(_seeds(min_bytes, seed_bytes), A.ROWS), later=False, growth=1.5), "suffix_runs")
+        seeds = _seeds(min_bytes, seed_bytes)
+        hot = A.hot_anchors(base, seeds)
+        self.runs = self.ws.keep(A.settle(base.mapInArrow(seeds, A.ROWS), later=False, growth=1.5, hot=hot), "suffix_runs")
         release(base.sparkSession)
 
     def equal_runs(self) -> DataFrame:
