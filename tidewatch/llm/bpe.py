@@ -25,6 +25,7 @@ import json
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -181,30 +182,39 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content.encode() for t in added.values()]
-        letters = _byte_letters()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        parts = [b""] * (max(vocab.values()) + 1)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, added = path, {t["id"]: t["content"] for t in spec.get("added_tokens") or ()}
+        self.added = [t.encode() for t in added.values()]
+        letters, vocab = _byte_letters(), spec["model"]["vocab"]
+        parts = [b""] * (max([*vocab.values(), *added]) + 1)
         for token, i in vocab.items():
-            parts[i] = added[i].content.encode() if i in added else bytes(letters[c] for c in token)
+            parts[i] = b"" if i in added else bytes(letters[c] for c in token)
+        for i, token in added.items():
+            parts[i] = token.encode()
         self.lengths = np.array([len(x) for x in parts], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.spans = Spans(parts)
         self.fast = None
-        if _ordered(path, vocab):
+        if _ordered(spec):
             ranks = {parts[i]: i for i in vocab.values() if i not in added}
             self.fast = tiktoken.Encoding("chunks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.held = 0
         self.encoded_bytes = self.reused_bytes = self.repaired = 0
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     def _ids(self, text: bytes) -> np.ndarray:
         if self.fast is None or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -285,15 +295,13 @@ class Encoder:
         return self.bytes[at].tobytes().decode("utf-8", errors="replace")
 
 
-def _ordered(path: str, vocab: dict[str, int]) -> bool:
-    """Whether a file's splitter is the usual byte-level one and its merged tokens' ids follow the order of the merges."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def _ordered(spec: dict) -> bool:
+    """Whether a vocabulary's splitter is the usual byte-level one and its merged tokens' ids follow the order of the merges."""
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model["type"] == "BPE"
     if not plain or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
         return False
-    ids = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     return all(a < b for a, b in zip(ids, ids[1:], strict=False)) and (not ids or ids[0] >= 256)
 
 

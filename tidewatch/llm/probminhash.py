@@ -48,7 +48,7 @@ ROUNDS = 3
 SMALL_BUCKET = 12
 #: Shingles of other texts that are compared with one text at once.
 STRETCH = 1 << 20
-BLOCK_ROWS, BLOCK_BYTES = 2000, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2000, 4 << 20
 #: Texts verified against one star in one task; a star with more is dealt over several.
 STAR_ROWS = 2000
 _U = np.uint64
@@ -233,14 +233,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Every pair of different components is decided by the exact weight of its shared shingles; only whole weights that rule a pair out skip it.
     """
     for rows in _groups(batches):
-        sets = [s for piece in B.slices(pa.array([r[8] for r in rows], pa.large_string())) for s in shingle_sets(piece)]
-        sizes, whole = np.array([len(s) for s, _ in sets], np.int64), np.array([w.sum() for _, w in sets], np.int64)
-        known, codes = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+        sets = [(s, w.astype(np.int32)) for piece in B.slices(pa.array([r[8] for r in rows], pa.large_string())) for s, w in shingle_sets(piece)]
+        sizes, whole = np.array([len(s) for s, _ in sets], np.int64), np.array([w.sum(dtype=np.int64) for _, w in sets], np.int64)
+        known, first, codes = np.unique(np.concatenate([s for s, _ in sets]), return_index=True, return_inverse=True)
+        weight = np.concatenate([w for _, w in sets])[first]  # a shingle weighs the same in every set
         own = np.split(codes.astype(np.int32), np.cumsum(sizes)[:-1])
-        mark, labels, links = np.zeros(len(known), np.int64), _labels(rows), []
+        del sets, first, codes
+        mark, labels, links = np.zeros(len(known), np.int32), _labels(rows), []
         for i, others in _candidates(rows, labels):
             near = others[np.minimum(whole[others], whole[i]) >= SIMILARITY * np.maximum(whole[others], whole[i])]
-            mark[own[i]] = sets[i][1]
+            mark[own[i]] = weight[own[i]]
             for lo, hi in _stretches(sizes[near]):
                 part = near[lo:hi]
                 both = np.add.reduceat(mark[np.concatenate([own[j] for j in part.tolist()])], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
