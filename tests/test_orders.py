@@ -98,3 +98,27 @@ def test_profiles_of_groups_of_any_size(spark, monkeypatch):
                 continue
             r = got[key or "null", feature]
             assert r.n == len(own) and np.allclose([r.q1, r.median, r.q3, r.min, r.max, r.mean], [*np.quantile(own, [0.25, 0.5, 0.75]), min(own), max(own), np.mean(own)])
+
+
+@pytest.mark.parametrize(("dims", "eps"), [(2, 0.2), (5, 0.9), (12, 2.5)])
+def test_metric_noise_equals_brute_force(spark, monkeypatch, dims, eps):
+    """Also with many small cells and chunks, and as the grid gives it in two dimensions."""
+    import numpy as np
+
+    from tidewatch.operators import models as M
+
+    monkeypatch.setattr(M, "CHUNK", 40)
+    rng = np.random.default_rng(dims)
+    x = np.r_[rng.normal(size=(500, dims)) * 0.6, rng.normal(size=(150, dims)) * 3, np.repeat(rng.normal(size=(1, dims)), 60, axis=0)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    dense = d.sum(axis=1) >= 5
+    expected = {i: int(not dense[i] and not (d[i] & dense).any()) for i in range(len(x))}
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"f{i} double" for i in range(dims)))
+    vectors = df.select("row_id", F.array(*[f"f{i}" for i in range(dims)]).alias("v"))
+    assert {r.key: r.noise for r in M.metric_noise(vectors, "row_id", "v", eps).collect()} == expected and 0 < sum(expected.values()) < len(x)
+    if dims != 2:
+        return
+    assert {r.key: r.noise for r in M.density_noise(df, "row_id", ["f0", "f1"], eps).collect()} == expected
+    odd = spark.createDataFrame([(1, None), (2, [0.0])], "row_id long, v array<double>")
+    assert {r.key: r.noise for r in M.metric_noise(odd, "row_id", "v", 1.0, 1).collect()} == {1: 1, 2: 0}
+    assert M.metric_noise(odd.limit(0), "row_id", "v").count() == 0

@@ -368,3 +368,6 @@ k AS (SELECT row_number() OVER (ORDER BY score DESC, position) AS rank, * FROM o
 s AS (SELECT k.rank, k.position, k.score, list(o.service ORDER BY o.position) AS st FROM k JOIN o ON o.position BETWEEN k.position - 5 AND k.position + 5 GROUP BY ALL),
 t AS (SELECT *, array_to_string(CASE WHEN len(st) > 5 THEN [st[1], st[2], '...', st[len(st) - 1], st[len(st)]] ELSE st END, ' -> ') AS txt FROM s)
 SELECT rank::BIGINT AS rank, position::BIGINT AS position, round(score, 6) AS score, CASE WHEN length(txt) > 30 THEN txt[1:27] || '...' ELSE txt END AS sequence, array_to_string(st, ' -> ') AS around, len(st)::BIGINT AS states FROM t"""
+ORACLE["q_vector_noise"] = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.0),
+d AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 5), f AS (SELECT a FROM d UNION SELECT p.a FROM p JOIN d ON p.b = d.a)
+SELECT vec_id, (vec_id NOT IN (SELECT a FROM f))::BIGINT AS noise FROM embeddings"""

@@ -638,6 +638,13 @@ def q_feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))
 
 
+@query
+def q_vector_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Density noise of embeddings: a neighbourhood of fixed radius in 64 dimensions."""
+    rows = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return M.metric_noise(rows, "vec_id", "embedding", 1.0, 5).select(F.col("key").alias("vec_id"), F.col("noise").cast("long").alias("noise"))
+
+
 @query
 def q_detector_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles, caps and weights of three scores, all from one frame of scores."""
