@@ -251,9 +251,9 @@ def _decoded(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def decode_udf(texts: pd.Series) -> pd.Series:
-    """Texts repeat a lot: each distinct one of a batch is decoded once."""
+    """Texts repeat a lot: each distinct one of a batch is decoded once; nulls stay nulls."""
     known = {t: _decoded(t) for t in texts.dropna().unique()}
-    return texts.map(known).where(texts.notna(), None)
+    return pd.Series([known.get(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
 
 def decoded(text: Column) -> Column:

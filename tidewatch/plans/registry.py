@@ -264,7 +264,8 @@ def q_adaptive_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_stacking(spark: SparkSession, sf: str) -> DataFrame:
-    return fused(E.stacking(scored(spark, sf), WEIGHTS))
+    """Scores of rows that the model hasn't learned from."""
+    return fused(E.stacking(scored(spark, sf), WEIGHTS, key="row_id").where("not in_training"))
 
 
 @query
@@ -339,9 +340,13 @@ def q_principal_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_text_forest(spark: SparkSession, sf: str) -> DataFrame:
-    text = views.sqltext(spark, sf)
-    hit = S.any_hit(F.col("query"), S.CRITICAL)
-    return M.score_text(M.text_forest(text.where(~hit), text.where(hit)), text.select("query").distinct())
+    """Toxic documents from character n-grams: learnt from seven in ten labelled documents, scores for all others, labelled or not."""
+    docs = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    drawn = views.table(spark, sf, "labels").where(Z.bucket("doc_id") < 700).select("doc_id", "toxic")
+    train = docs.join(drawn, "doc_id")
+    model = M.text_forest(train.where("toxic = 0"), train.where("toxic = 1"), "text", 3)
+    rest = docs.join(drawn, "doc_id", "left_anti")
+    return rest.join(M.score_text(model, rest.select("text").distinct(), "text", 3), "text").select("doc_id", "anomaly_score")
 
 
 @query
@@ -548,7 +553,7 @@ def q_f1_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_forest_stacking(spark: SparkSession, sf: str) -> DataFrame:
-    return fused(E.stacking(scored(spark, sf), WEIGHTS, key="row_id", model="forest"))
+    return fused(E.stacking(scored(spark, sf), WEIGHTS, key="row_id", model="forest").where("not in_training"))
 
 
 @query
@@ -619,10 +624,10 @@ def q_sqli_combine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_sqli_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Detection with both models' scores."""
+    """Detection with both models' scores: learned from seven in ten queries, applied to the others."""
     text = views.sqltext(spark, sf)
-    models = M.TextModels.fit(text, trees=20)
-    return S.detect(models.score(text)).select("row_id", "ml_score", "advanced_score", "anomaly_score", "threshold", "predicted_anomaly", "attack_type", "detected_by")
+    models = M.TextModels.fit(text.where(Z.bucket("row_id") < 700), trees=20)
+    return S.detect(models.score(text.where(Z.bucket("row_id") >= 700))).select("row_id", "ml_score", "advanced_score", "anomaly_score", "threshold", "predicted_anomaly", "attack_type", "detected_by")
 
 
 @query
