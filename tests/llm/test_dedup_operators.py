@@ -24,6 +24,18 @@ def test_decontamination_equals_brute_force(spark, make, corpus, items, block_by
     assert _op1(make(corpus), bench, block_bytes=block_bytes) == brute.decontaminate(corpus, items)
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 50])
+def test_long_items_go_in_stretches(spark, make, corpus, items, monkeypatch, stretch):
+    """A benchmark in blocks whose items are cut into stretches has the windows, items and hits that it has as a whole."""
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+    long = [*items, (20, " ".join(w for _, t in corpus[20:24] for w in t.split()[:40]))]
+    bench = spark.createDataFrame(long, "item_id long, text string")
+    _, blocks = decontaminate._blocks(bench, 10, 200)
+    sizes = [sum(len(texts) for _, texts, _, _ in w.by_length.values()) for w in blocks]
+    assert len(sizes) > 4 and (stretch > 3 or max(sizes) < sum(sizes) / 2)
+    assert _op1(make(corpus), bench, block_bytes=200) == brute.decontaminate(corpus, long)
+
+
 def test_decontamination_removes(spark, make, corpus, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute.decontaminate(corpus, items)

@@ -3,8 +3,9 @@
 The benchmark's normalised windows are hashed and sent to every task; a task hashes
 the windows of its documents, looks them up, and compares each hit word for word
 with the benchmark's own words before it counts. The benchmark is small by nature,
-but that is checked: one of more than ``block_bytes`` is dealt into blocks by item,
-each built, broadcast, scanned for and destroyed in turn, and the hits of the blocks are then united.
+but that is checked: one of more than ``block_bytes`` is dealt into blocks of items, a long item in stretches of
+``STRETCH`` windows, so that no block is larger for a long item. Each block is built, broadcast, scanned for and
+destroyed in turn, and the hits of the blocks are then united.
 
 Defined results: a null or empty text has no words and no hits; an item without words
 has no window; items that share an id are one item, and a null item id counts as the
@@ -34,6 +35,8 @@ NGRAM = 10
 BLOCK_BYTES = 4 << 20
 HITS = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 _FILTER_BITS = 20
+#: Windows of a stretch: neighbouring stretches of an item share all but one word of a window.
+STRETCH = 10_000
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -98,15 +101,38 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _stretches(ngram: int, windows: int):
+    """Items in stretches of so many windows; one of fewer stays as it is."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(0).to_pylist()
+            for piece in B.slices(batch.column(1)):
+                low = np.frombuffer(piece.buf.tobytes().translate(B.LOWER), np.uint8)
+                starts, ends, before = B.Slice(piece.lo, piece.hi, low, piece.offsets).words(B.letter_digit_table())
+                rows = []
+                for r in range(len(before) - 1):
+                    lo, hi = int(before[r]), int(before[r + 1])
+                    for i in range(lo, max(lo + 1, hi - ngram + 1) if hi > lo else lo, windows):
+                        last = min(i + windows + ngram - 1, hi) - 1
+                        rows.append((items[piece.lo + r], low[starts[i] : ends[last]].tobytes().decode()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["item", "text"])
+
+    return each
+
+
 def _blocks(benchmark: DataFrame, ngram: int, block_bytes: int) -> tuple[int, Iterator[Windows]]:
     """How many blocks there are, and the windows of each, built one at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_or_empty("text").alias("text")).where("text <> ''")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
+    if n > 1:
+        items = items.mapInArrow(_stretches(ngram, STRETCH), "item string, text string")
 
     def each() -> Iterator[Windows]:
         for i in range(n):
-            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
             yield Windows([(r.item, r.text) for r in part.toLocalIterator()], ngram)
 
     return n, each()

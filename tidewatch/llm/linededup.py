@@ -4,7 +4,7 @@ Lines that are long enough leave their document as (hash, document, position). T
 hashes are range-partitioned with a salt taken from the document, and each partition
 is sorted by hash, salt, document (largest first) and position; a running window then
 streams the first occurrence for each hash and salt and counts its documents. A key
-held by a third of all documents is so spread over ``SALTS`` ranges; the few rows that
+held by a third of all documents is so spread over as many ranges as there are partitions; the few rows that
 are left for it are summed by hash. What a document gets back is a sparse bitmap: 64
 lines a word, only words that drop a line are kept.
 
@@ -45,8 +45,9 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """Keys of at least ``min_docs`` documents and the largest document that holds each."""
-    salted = lines.select("h1", "h2", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt"), "k", "pos")
-    ranged = salted.repartitionByRange(partitions_for(lines), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("k"), "pos")
+    n = partitions_for(lines)
+    salted = lines.select("h1", "h2", F.pmod(F.xxhash64("k"), F.lit(max(SALTS, n))).alias("salt"), "k", "pos")
+    ranged = salted.repartitionByRange(n, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("k"), "pos")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("k"))
     before = F.lag("k").over(stream)
     firsts = ranged.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("k")))
