@@ -122,3 +122,17 @@ def test_metric_noise_equals_brute_force(spark, monkeypatch, dims, eps):
     odd = spark.createDataFrame([(1, None), (2, [0.0])], "row_id long, v array<double>")
     assert {r.key: r.noise for r in M.metric_noise(odd, "row_id", "v", 1.0, 1).collect()} == {1: 1, 2: 0}
     assert M.metric_noise(odd.limit(0), "row_id", "v").count() == 0
+
+
+def test_scratch_is_cleared(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from tidewatch.sources import staging
+
+    staging.clear(spark)
+    own = staging.Workspace(spark)
+    table = own.keep(spark.range(5), "x")
+    folder = urlparse(own.path).path
+    assert table.count() == 5 and os.path.isdir(folder)
+    assert staging.clear(spark) == 1 and not os.path.exists(folder) and staging.clear(spark) == 0

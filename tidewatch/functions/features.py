@@ -96,9 +96,21 @@ def positions(df: DataFrame, order: list[str], seconds: int = 10, start: str = "
 
 
 def adaptive_pipeline(df: DataFrame, features: list[str], key: str = "src_ip", seconds: int = 60) -> DataFrame:
-    """The adaptive detector's features in one go: temporal, network (counts, rates, flags of ports and protocols), and scaled numeric columns."""
+    """The adaptive detector's features in one go: temporal, network (counts, rates, flags of ports and protocols), derived and scaled numeric columns.
+
+    Derived ones are those whose columns the frame has: byte ratio and total, connection rate, error sum, diversity; and is_dos_like, a
+    count over the 95th percentile of all counts, which is selected first. ``categorise`` tells the result's numeric columns from the others.
+    """
+    from ..operators import order
+    from ..sources.staging import staged
+
+    own = set(df.columns)
     out = df.withColumns(temporal(F.col("timestamp")))
     out = window_counts(out, key, seconds).withColumns(rates())
+    derived = (byte_ratios() if {"src_bytes", "dst_bytes"} <= own else {}) | ({"connection_rate": connection_rate()} if {"count", "srv_count"} <= own else {})
+    out = staged(out.withColumns(derived | error_rates(df.columns)), "pipeline")
+    crowd = order.quantile(out, "connection_count", 0.95)
+    out = out.withColumn("is_dos_like", F.coalesce((F.col("connection_count") > F.lit(crowd)).cast("int"), F.lit(0)))
     out = out.withColumns({"port_class": port_class(F.col("dst_port")), "dst_port_suspicious": suspicious(F.col("dst_port")), "is_port_scan_like": port_scan_like(), "protocol_num": protocol_number(F.col("protocol"))})
     scaled = standardised(out.withColumns({f"scaled_{f}": F.col(f) for f in features}), [f"scaled_{f}" for f in features])
     return scaled

@@ -340,9 +340,10 @@ _LOF = f"""{_PAIRS % 20}, k AS (SELECT i, max(d) AS kd FROM n GROUP BY i), l AS
 f AS (SELECT n.i AS vec_id, avg(o.density) / any_value(l.density) AS s FROM n JOIN l o ON n.j = o.i JOIN l ON n.i = l.i GROUP BY n.i)"""
 ORACLE["q_local_outlier_factor"] = f"WITH {_LOF} SELECT vec_id, round(s, 6) AS anomaly_score FROM f"
 ORACLE["q_factor_labels"] = f"WITH {_LOF} SELECT vec_id, round(s, 6) AS anomaly_score, (s > (SELECT quantile_cont(s, 0.95) FROM f))::BIGINT AS predicted_anomaly FROM f"
-ORACLE["q_feature_pipeline"] = f"""WITH {NET} SELECT row_id, count(*) OVER (PARTITION BY src_ip, {_BUCKET % 86400})::BIGINT AS connection_count,
+ORACLE["q_feature_pipeline"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY src_ip, {_BUCKET % 86400})::BIGINT AS connection_count FROM net)
+  SELECT row_id, connection_count, (connection_count > (SELECT quantile_cont(connection_count, 0.95) FROM c))::BIGINT AS is_dos_like,
   CASE WHEN dst_port IN {_in(X.COMMON_PORTS)} THEN dst_port WHEN dst_port BETWEEN 1 AND 1023 THEN 1 WHEN dst_port BETWEEN 1 AND 49151 THEN 2 ELSE 3 END::BIGINT AS port_class, (packets <= 3 AND duration < 0.5)::BIGINT AS is_port_scan_like,
-  round(bytes / (duration + 0.1), 6) AS bytes_per_second, {', '.join(f"round(coalesce(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 0), 6) AS scaled_{f}" for f in ("bytes", "duration"))} FROM net"""
+  round(bytes / (duration + 0.1), 6) AS bytes_per_second, {', '.join(f"round(coalesce(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 0), 6) AS scaled_{f}" for f in ("bytes", "duration"))} FROM c"""
 _seq = f"""t0 AS (SELECT service || '_' || protocol AS state, lead(service || '_' || protocol) OVER (PARTITION BY src_ip ORDER BY timestamp, row_id) AS nx FROM net), t1 AS (SELECT state, nx, count(*) AS n FROM t0 WHERE nx IS NOT NULL GROUP BY ALL), m AS (SELECT *, CASE WHEN n >= 5 THEN n / sum(n) OVER (PARTITION BY state) ELSE 0 END AS p FROM t1)"""
 ORACLE["q_ensemble"] = f"""WITH {NET}, c AS (SELECT *, count(*) OVER (PARTITION BY service, {_BUCKET % 21600}) AS connection_count FROM net),
 f AS (SELECT *, bytes / (duration + 0.1) AS bytes_per_second, (connection_count * packets)::DOUBLE AS traffic_intensity, (flag = 'S0')::INT AS syn_flag, (protocol = 'icmp')::INT AS icmp_flag, (protocol = 'udp')::INT AS udp_flag FROM c),

@@ -140,14 +140,16 @@ def q_qcut_state(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_statistical_score(spark: SparkSession, sf: str) -> DataFrame:
     net = views.net(spark, sf)
-    return P.score_against(net, P.profile(net.where("is_anomaly = 0"), "global", [], BASE), [], BASE, "statistical_score", 2.0).select("row_id", *r6("statistical_score"))
+    table = P.moments(net.where("is_anomaly = 0"), {"global": ([], 1)}, BASE)
+    return P.score_by(net, table, "global", [], BASE, "statistical_score", 2.0).select("row_id", *r6("statistical_score"))
 
 
 @query
 def q_contextual_score(spark: SparkSession, sf: str) -> DataFrame:
     net = views.net(spark, sf)
     keys = ["protocol", "dst_port"]
-    return P.score_against(net, P.profile(net.where("is_anomaly = 0"), "contextual", keys, BASE, 10), keys, BASE, "contextual_score", 1.5).select("row_id", *r6("contextual_score"))
+    table = P.moments(net.where("is_anomaly = 0"), {"contextual": (keys, 10)}, BASE)
+    return P.score_by(net, table, "contextual", keys, BASE, "contextual_score", 1.5).select("row_id", *r6("contextual_score"))
 
 
 @query
@@ -640,7 +642,7 @@ def q_sqli_differences(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     out = X.adaptive_pipeline(views.net(spark, sf), BASE, "src_ip", 86400)
-    return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))
+    return out.select("row_id", F.col("connection_count").alias("connection_count"), F.col("port_class").cast("long").alias("port_class"), F.col("is_port_scan_like").cast("long").alias("is_port_scan_like"), F.col("is_dos_like").cast("long").alias("is_dos_like"), *r6("bytes_per_second", "scaled_bytes", "scaled_duration"))
 
 
 @query

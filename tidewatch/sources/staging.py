@@ -12,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made, by application.
+_MADE: list[tuple[str, str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +26,9 @@ def scratch_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = Path(own).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    _MADE.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 class Workspace:
@@ -37,13 +43,16 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, *labels: str) -> None:
-        """Delete tables that nothing reads any more, and let the driver release the shuffle files behind them."""
-        jvm = self.spark.sparkContext._jvm
-        for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+
+def clear(spark: SparkSession) -> int:
+    """Delete the folders that this session's operators have written so far, and say how many: for when their results have been written on."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    made = [x for x in _MADE if x[0] == spark.sparkContext.applicationId]
+    for own in made:
+        path = files.Path(own[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(own)
+    return len(made)
 
 
 def release(spark: SparkSession) -> None:
