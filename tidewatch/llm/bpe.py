@@ -116,12 +116,16 @@ class Spans:
     """Which places tokens of a vocabulary can span."""
 
     def __init__(self, tokens: list[bytes]):
-        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 21, np.uint8)  # a bit for each triple
         for t in tokens:
             if len(t) == 2:
                 self.pairs[t[0] << 8 | t[1]] = True
             for i in range(len(t) - 2):
-                self.triples[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
+                self.triples[t[i] << 13 | t[i + 1] << 5 | t[i + 2] >> 3] |= 1 << (t[i + 2] & 7)
+
+    def _held(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether a token holds these three bytes side by side."""
+        return (self.triples[a << 13 | b << 5 | c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
 
     def bare(self, buf: np.ndarray, seen: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Places in (lo, hi), two bytes from the ends of the text at least, that none spans."""
@@ -129,7 +133,7 @@ class Spans:
         left, right = buf[at - 1], buf[at]
         at = at[seen[at - 1] & seen[at] & ((right & 0xC0) != 0x80) & (left != 0x27) & (right != 0x27)]
         a, b, c, d = (buf[at + i].astype(np.int32) for i in (-2, -1, 0, 1))
-        return at[~(self.pairs[b << 8 | c] | self.triples[a << 16 | b << 8 | c] | self.triples[b << 16 | c << 8 | d])]
+        return at[~(self.pairs[b << 8 | c] | self._held(a, b, c) | self._held(b, c, d))]
 
     def starts(self, buf: np.ndarray) -> np.ndarray:
         """Where words surely begin. Memory: a few arrays as long as ``SLICE_BYTES``, besides what is found."""
@@ -171,22 +175,13 @@ def plan(buf: np.ndarray, safe: np.ndarray) -> tuple[list[int], list[Joint]]:
     return cuts, joints
 
 
-class Encoder:
-    """A byte-level tokenizer, the chunks it has met, and the bytes of its tokens.
-
-    Where the vocabulary's ids are in the order of its merges (checked), chunks go through
-    tiktoken, which then gives the same ids and is several times as fast; texts that spell
-    an added token, and vocabularies of another order, go through tokenizers.
-    """
+class Decoder:
+    """The bytes of a byte-level vocabulary's tokens."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, added = path, {t["id"]: t["content"] for t in spec.get("added_tokens") or ()}
-        self.added = [t.encode() for t in added.values()]
+        added = {t["id"]: t["content"] for t in spec.get("added_tokens") or ()}
         letters, vocab = _byte_letters(), spec["model"]["vocab"]
         parts = [b""] * (max([*vocab.values(), *added]) + 1)
         for token, i in vocab.items():
@@ -196,10 +191,34 @@ class Encoder:
         self.lengths = np.array([len(x) for x in parts], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
-        self.spans = Spans(parts)
-        self.fast = None
+        self.learn(path, spec, added, parts)
+
+    def learn(self, path: str, spec: dict, added: dict[int, str], parts: list[bytes]) -> None:
+        """What else is made of the file."""
+
+    def decode(self, ids: np.ndarray) -> str:
+        n = self.lengths[ids]
+        total = int(n.sum())
+        at = np.repeat(self.begins[ids] - (np.cumsum(n) - n), n) + np.arange(total)
+        return self.bytes[at].tobytes().decode("utf-8", errors="replace")
+
+
+class Encoder(Decoder):
+    """A byte-level tokenizer, the chunks it has met, and the bytes of its tokens.
+
+    Where the vocabulary's ids are in the order of its merges (checked), chunks go through
+    tiktoken, which then gives the same ids and is several times as fast; texts that spell
+    an added token, and vocabularies of another order, go through tokenizers.
+    """
+
+    def learn(self, path: str, spec: dict, added: dict[int, str], parts: list[bytes]) -> None:
+        import tiktoken
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.added = path, [t.encode() for t in added.values()]
+        self.spans, self.fast = Spans(parts), None
         if _ordered(spec):
-            ranks = {parts[i]: i for i in vocab.values() if i not in added}
+            ranks = {parts[i]: i for i in spec["model"]["vocab"].values() if i not in added}
             self.fast = tiktoken.Encoding("chunks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.held = 0
@@ -288,12 +307,6 @@ class Encoder:
         new = self.chunk(text[u:v])
         return new if np.array_equal(new[: len(word)], word) and np.array_equal(new[len(new) - len(next_word) :], next_word) else None
 
-    def decode(self, ids: np.ndarray) -> str:
-        n = self.lengths[ids]
-        total = int(n.sum())
-        at = np.repeat(self.begins[ids] - (np.cumsum(n) - n), n) + np.arange(total)
-        return self.bytes[at].tobytes().decode("utf-8", errors="replace")
-
 
 def _ordered(spec: dict) -> bool:
     """Whether a vocabulary's splitter is the usual byte-level one and its merged tokens' ids follow the order of the merges."""
@@ -313,6 +326,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -322,6 +336,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def decoder(path: str) -> Decoder:
+    """This worker's decoder: its encoder, if it has one."""
+    if path not in _DECODERS:
+        _DECODERS[path] = _ENCODERS.get(path) or Decoder(path)
+    return _DECODERS[path]
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -350,7 +371,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` and the text of its ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path or vocabulary_path())
+        own = decoder(path or vocabulary_path())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
