@@ -42,12 +42,18 @@ def test_names_in_use_are_refused(spark):
 
 
 def _jobs(spark, run):
-    """What ``run`` returns, and how many passes (queries) it made Spark run."""
-    seen = spark._jsparkSession.sharedState().statusStore()
-    before = seen.executionsCount()
-    out = run()
+    """What ``run`` returns, and how many passes it made Spark run: jobs, where adaptive execution doesn't cut them into stages."""
+    spark.sparkContext.setJobGroup("passes", "passes")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes"))
+    try:
+        out = run()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    return out, seen.executionsCount() - before
+    count = len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes")) - before
+    spark.sparkContext._jsc.clearJobGroup()
+    return out, count
 
 
 @pytest.mark.parametrize("most", [100_000, 500, 20])
