@@ -242,8 +242,8 @@ def test_equal_hashes_of_other_texts_remove_nothing():
     words = [f"w{i}" for i in range(50)]
     other = [*words[:24], "else", *words[25:]]
     for own, expected in ((words, [(0, 30)]), (other, [(0, 4), (25, 30)]), ([f"x{i}" for i in range(50)], [])):
-        rows = [(7, 1, 0, 0, 0, 8, " ".join(words).encode()), (7, 2, 0, 0, 0, 8, " ".join(own).encode())]
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["h", "k", "t", "u", "a", "p", "words"])
+        rows = [(7, 0, 1, 0, 0, 0, 8, " ".join(words).encode()), (7, 0, 2, 0, 0, 0, 8, " ".join(own).encode())]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["h", "part", "k", "t", "u", "a", "p", "words"])
         found = [r for out in substrings._extend(20)(iter([batch])) for r in out.to_pylist()]
         assert sorted((r["a"], r["b"]) for r in found if r["kind"] == 0) == expected
         covered = {i for s, e in expected for i in range(s, e + 1)}
