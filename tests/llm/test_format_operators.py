@@ -101,6 +101,8 @@ def test_bpe_equals_the_library(spark, make, corpus, tokenizer):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(got[d]["ids"], "<u4").tolist() == ids and got[d].n_tokens == len(ids)
         assert got[d].decoded == tokenizer.decode(ids, skip_special_tokens=False)
+    once = {r.doc_id: r for r in bpe.encode(make(rows), decoded=True).collect()}
+    assert all(tuple(once[d]) == tuple(got[d]) for d, _ in rows)
 
 
 def test_chunks_are_reused_and_repaired():

@@ -349,8 +349,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text. ``path``: a byte-level vocabulary file."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text. ``path``: a byte-level vocabulary file.
+
+    ``decoded``: also the text that the ids decode to, as ``decode`` gives it, in the same pass and by the same workers.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path or vocabulary_path())
@@ -358,13 +361,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for piece in B.slices(batch.column(1), ENCODE_BYTES):
                 texts = [piece.buf[a:b].tobytes() for a, b in zip(piece.offsets, piece.offsets[1:], strict=False)]
                 ids = [own.encode(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.lo, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                columns = [batch.column(0).slice(piece.lo, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(each, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
+    out = bpe.encode(read_table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
