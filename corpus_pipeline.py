@@ -48,7 +48,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null or empty text has no ids; repeated rows each give a row; a very long text is encoded chunk by chunk.
     """
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode(docs, decoded=True)
 
 
 STAGES = [
