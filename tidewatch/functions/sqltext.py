@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import urllib.parse
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,20 +81,32 @@ def matches(low: Column, pattern: str) -> Column:
     return low.contains(plain) & regex if len(plain) > 1 else regex
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    """How many patterns match."""
-    parts = [matches(F.lower(text), p).cast("int") for p in patterns]
+def with_lower(text: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of the text in lower case, which is made once a text, not for each of its patterns."""
+    return F.get(F.transform(F.array(F.lower(text)), rule), F.lit(0))
+
+
+def _hits(low: Column, patterns: list[str]) -> Column:
+    parts = [matches(low, p).cast("int") for p in patterns]
     return sum(parts[1:], parts[0])
 
 
-def any_hit(text: Column, patterns: list[str]) -> Column:
-    low = F.lower(text)
+def _any_hit(low: Column, patterns: list[str]) -> Column:
     out = matches(low, patterns[0])
     for p in patterns[1:]:
         out = out | matches(low, p)
     return out
 
 
+def hits(text: Column, patterns: list[str]) -> Column:
+    """How many patterns match."""
+    return with_lower(text, lambda low: _hits(low, patterns))
+
+
+def any_hit(text: Column, patterns: list[str]) -> Column:
+    return with_lower(text, lambda low: _any_hit(low, patterns))
+
+
 def odd_quotes(text: Column) -> Column:
     count = lambda q: F.length(text) - F.length(F.replace(text, F.lit(q), F.lit("")))
     return (count("'") % 2 != 0) | (count('"') % 2 != 0)
@@ -101,9 +114,11 @@ def odd_quotes(text: Column) -> Column:
 
 def pattern_score(text: Column, more_critical: list[str] = (), more_secondary: list[str] = ()) -> Column:
     """1 for a critical pattern; else .15 for each secondary one up to .9, at least .6 for unbalanced quotes. Null: 0."""
-    soft = F.least(F.lit(0.9), hits(text, [*SECONDARY, *more_secondary]) * 0.15)
-    score = F.when(text.isNull(), 0.0).when(any_hit(text, [*CRITICAL, *more_critical]), 1.0).when(odd_quotes(text), F.greatest(soft, F.lit(0.6))).otherwise(soft)
-    return score
+    def score(low: Column) -> Column:
+        soft = F.least(F.lit(0.9), _hits(low, [*SECONDARY, *more_secondary]) * 0.15)
+        return F.when(_any_hit(low, [*CRITICAL, *more_critical]), 1.0).when(odd_quotes(low), F.greatest(soft, F.lit(0.6))).otherwise(soft)
+
+    return F.when(text.isNull(), 0.0).otherwise(with_lower(text, score))
 
 
 def attack_type(text: Column) -> Column:
@@ -143,11 +158,13 @@ def adaptive_threshold(df: DataFrame, score: str, partition: list[str], order: l
     frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-history, -1)
     h = F.col("__h")
     gaps = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - 1, F.lit(1))), lambda i: F.get(h, i) - F.get(h, i - 1) > 0.15)
-    middle = (F.get(h, F.get(gaps, F.lit(0)) - 1) + F.get(h, F.get(gaps, F.size(gaps) - 1))) / 2
+    found_gaps = F.col("__gaps")
+    middle = (F.get(h, F.get(found_gaps, F.lit(0)) - 1) + F.get(h, F.get(found_gaps, F.size(found_gaps) - 1))) / 2
     spread = F.col("__mean") + 2 * F.col("__std")
-    found = F.when(F.size(gaps) > 0, middle).otherwise(spread)
-    out = df.withColumns({"__h": F.array_sort(F.collect_list(score).over(frame)), "__mean": F.avg(score).over(frame), "__std": F.stddev_pop(score).over(frame)})
-    return out.withColumn("threshold", F.when(F.size(h) > 10, F.least(F.lit(0.8), F.greatest(F.lit(0.4), found))).otherwise(base)).drop("__h", "__mean", "__std")
+    found = F.when(F.size(found_gaps) > 0, middle).otherwise(spread)
+    out = df.withColumns({"__h": F.sort_array(F.collect_list(score).over(frame)), "__mean": F.avg(score).over(frame), "__std": F.stddev_pop(score).over(frame)})
+    out = out.withColumn("__gaps", gaps)
+    return out.withColumn("threshold", F.when(F.size(h) > 10, F.least(F.lit(0.8), F.greatest(F.lit(0.4), found))).otherwise(base)).drop("__h", "__mean", "__std", "__gaps")
 
 
 def scanned_value(text: Column) -> Column:
