@@ -407,7 +407,8 @@ ATTACK_TEXTS = [
 ]
 
 
-def attack_texts(df: DataFrame, text: str = "query") -> DataFrame:
-    """All attacks to learn from (column ``text``): the fixed ones and those made of plain queries."""
+def attack_texts(df: DataFrame, text: str = "query", count: str | None = None) -> DataFrame:
+    """All attacks to learn from (column ``text``): the fixed ones and those made of plain queries. ``count``: the column that says how many rows a query stands for."""
     fixed = df.sparkSession.createDataFrame([(x,) for x in ATTACK_TEXTS], f"`{text}` string")
-    return fixed.unionByName(synthetic_injections(df, text).select(F.col("made.attack").alias(text)))
+    more = [count] if count else []
+    return fixed.withColumns({c: F.lit(1).cast("long") for c in more}).unionByName(synthetic_injections(df, text).select(F.col("made.attack").alias(text), *more))
